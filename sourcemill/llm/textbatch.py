@@ -108,7 +108,7 @@ class Spans:
         n = len(self.prefix) - width
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.prefix[width:] - self.prefix[:n]) * self.down[:n] + np.uint64(width) * np.uint64(0xD6E8FEB86659FD93))
+        return mix((self.prefix[width:] - self.prefix[:n]) * self.down[:n] + np.uint64(width * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
 
 
 def signed(x: np.ndarray) -> np.ndarray:
