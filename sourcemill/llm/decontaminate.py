@@ -165,10 +165,27 @@ def contaminated(
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", **how) -> DataFrame:
-    """docs without the documents that overlap a benchmark item; all columns stay.
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, identity: float = IDENTITY, masks=MASKS, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of docs that overlap no benchmark item; all columns stay.
 
-    Documents with a null id cannot be named by a pair of ids and are kept.
+    Each row is judged by its own text in the pass that returns it, once for each block
+    of the benchmark, so no join is needed and null or repeated ids do not matter.
     """
-    bad = contaminated(docs, benchmark, doc_id=doc_id, **how).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(bad, F.col(doc_id).cast("long") == F.col("__doc"), "left_anti")
+    at, schema, kept = docs.columns.index(text), docs.schema, docs
+    for items in _blocks(benchmark, item_id, item_text, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(Block(items, masks))
+
+        def keep(batches, shared=shared):
+            for batch in batches:
+                data, offsets = utf8(batch.column(at))
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for a, b in chunks(offsets):
+                    words, first = _words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    clean[[a + t for t, *_ in shared.value.overlaps(words, first, window, identity)]] = False
+                yield batch.filter(pa.array(clean))
+
+        kept = kept.mapInArrow(keep, schema)
+    return kept

@@ -7,6 +7,12 @@ at most one bit.  Each segment is therefore indexed once for each of its bits wi
 bit left out (its one-wildcard variants), and fingerprints that share a variant are
 compared.  Equal fingerprints are merged first, so copies never meet as pairs.
 
+``near_duplicates`` links fingerprints of 64 bits at a small distance, completely.  A
+similarity of 0.8 lies far beyond what two or three segments of 64 bits can find, so
+``representatives`` makes a wide fingerprint of 384 bits with segments of 22: documents
+of that similarity have one of them with at most one differing bit with high
+probability, and chance meetings stay rare.
+
 A variant shared by more than ``BUCKET`` different fingerprints is not compared pair by
 pair.  Its fingerprints get the variants of the whole fingerprint with any d bits left
 out; those that share one differ in at most d bits and are linked in a chain, without a
@@ -25,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .graphs import components
 from .session import checkpointed
-from .textbatch import LOWER, SPACE, bounds, chunks, utf8
+from .spans import keyed
+from .textbatch import LOWER, SPACE, Spans, bounds, chunks, mix, utf8
 
 SHINGLE = 3
 MAX_DISTANCE = 2
@@ -134,3 +141,82 @@ def near_duplicates(
     rooted = rooted.select(F.col("fp").alias("node"), F.min("first").over(Window.partitionBy("root")).alias("component_id"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return found.join(rooted, F.col("fp") == F.col("node")).select("doc_id", hexed, "component_id")
+
+
+#: The wide fingerprint: words of 64 bits, bits of a segment, and the segments in it.
+WORDS, WIDTH = 6, 22
+SEGMENTS = 64 * WORDS // WIDTH
+SIMILARITY = 0.8
+#: Bits of the extra 64 in which a pair may differ to be verified at all: unrelated texts differ in 32 +- 4.
+LIKELY = 20
+
+
+def signatures(rows: DataFrame, *, shingle: int) -> DataFrame:
+    """nid, sig (the wide fingerprint and one more word of 64 bits) of rows(nid, text)."""
+
+    def scan(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            out = [np.zeros((0, WORDS + 1), np.uint64)]
+            for a, b in chunks(offsets, 1 << 19):
+                plain, starts, ends, begin = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
+                h = Spans(plain).hash(starts, ends)
+                out.append(np.stack([majority(mix(h + np.uint64(k)), begin) for k in range(WORDS + 1)], axis=1))
+            flat = np.concatenate(out).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(flat[:, k]) for k in range(WORDS + 1))], names=["nid", *(f"s{k}" for k in range(WORDS + 1))])
+
+    return rows.select("nid", "text").mapInArrow(scan, "nid long, " + ", ".join(f"s{k} long" for k in range(WORDS + 1)))
+
+
+def _segment(j: int) -> str:
+    """SQL of the j-th segment of the wide fingerprint."""
+    at, mask = j * WIDTH, (1 << WIDTH) - 1
+    k, shift = divmod(at, 64)
+    low = f"shiftrightunsigned(s{k}, {shift})"
+    if shift + WIDTH > 64:
+        low = f"({low} | shiftleft(s{k + 1}, {64 - shift}))"
+    return f"({low} & {mask}L)"
+
+
+def similar_links(found: DataFrame, *, similarity: float) -> DataFrame:
+    """(a, b): verified links between nodes of found(nid, s0, ...), no two of them with equal fingerprints.
+
+    In the order of nid, each node that shares a variant is held against the first node
+    of the variant and the one before it, so a variant shared by many makes two rows for
+    each of them and no pairs.  A pair is a link if the cosine that its differing bits
+    stand for reaches the similarity.
+    """
+    most = int(64 * WORDS * np.arccos(similarity) / np.pi)
+    variant = f"transform(array({', '.join(_segment(j) for j in range(SEGMENTS))}), (x, j) -> transform(sequence(0, {WIDTH - 1}), i -> shiftleft(cast(j * {WIDTH} + i as bigint), {WIDTH}) | (x & ~shiftleft(1L, i))))"
+    index = found.select("nid", F.col(f"s{WORDS}").alias("fp"), F.explode(F.expr(f"flatten({variant})")).alias("key"))
+    turn = Window.partitionBy("key").orderBy("nid")
+    met = index.select("nid", "fp", F.first(F.struct("nid", "fp")).over(turn).alias("x"), F.lag(F.struct("nid", "fp")).over(turn).alias("y")).where("y is not null")
+    ends = met.select(F.col("nid").alias("b"), "fp", F.explode(F.array("x", "y")).alias("o")).where(f"bit_count(fp ^ o.fp) <= {LIKELY}")
+    pairs = ends.select(F.col("o.nid").alias("a"), "b").distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("nid").alias(end), *(F.col(f"s{k}").alias(f"{end}{k}") for k in range(WORDS))), end)
+    differ = "+".join(f"bit_count(a{k} ^ b{k})" for k in range(WORDS))
+    return pairs.where(f"{differ} <= {most}").select("a", "b")
+
+
+def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs without near-duplicates: of each group that links connect, the smallest doc_id stays.
+
+    Similarity is the cosine of the shingle counts as the wide fingerprint measures it.
+    All columns stay.  Texts with equal fingerprints are one group from the start; all
+    texts without words are one group; rows repeated with the same doc_id and text leave
+    one row; a null doc_id comes after all others; an empty table stays empty.
+    """
+    rows = keyed(docs, doc_id, text).select("text", "id", "th")
+    unique = rows.where("th <> 0").limit(1).count() == 0
+    nid = F.col("id") if unique else F.xxhash64("id", "th")
+    found = checkpointed(signatures(rows.select(nid.alias("nid"), "text"), shingle=shingle))
+    same = [f"s{k}" for k in range(WORDS + 1)]
+    first = found.groupBy(*same).agg(F.min("nid").alias("nid"))
+    linked = components(similar_links(first, similarity=similarity)).where("node <> root")
+    stay = first.select("nid").join(linked.select(F.col("node").alias("nid")), "nid", "left_anti")
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
+    key = key if unique else F.xxhash64(key, F.xxhash64(F.col(text).cast("string")))
+    stay = stay.select(F.col("nid").alias("__nid")).hint("shuffle_hash")
+    kept = docs.join(stay, key == F.col("__nid"), "left_semi")
+    return kept if unique else kept.dropDuplicates([doc_id, text])

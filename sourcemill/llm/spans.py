@@ -45,6 +45,29 @@ def lists_of(column) -> tuple[np.ndarray, list[np.ndarray]]:
     return rows, [f.to_numpy(zero_copy_only=False) for f in flat.flatten()]
 
 
+def strip(joined: DataFrame) -> DataFrame:
+    """joined(row, text, spans) with the spans cut out of text; null stays null."""
+    schema = joined.select("row", "text").schema
+
+    def apply(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            row, (start, end) = lists_of(batch.column(2))
+            edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            gone = np.zeros(len(data), dtype=bool)
+            for i in np.flatnonzero(edges[1:] > edges[:-1]):
+                r = slice(edges[i], edges[i + 1])
+                gone[offsets[i] : offsets[i + 1]] = cover(start[r], end[r], int(offsets[i + 1] - offsets[i]))
+            kept = np.zeros(len(data) + 1, np.int64)
+            np.cumsum(~gone, out=kept[1:])
+            left, at = data[~gone].tobytes(), kept[offsets]
+            null = batch.column(1).is_null().to_pylist()
+            texts = [None if null[i] else left[at[i] : at[i + 1]].decode("utf-8", "ignore") for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
+
+    return joined.mapInArrow(apply, schema)
+
+
 def cut(joined: DataFrame, *, min_run: int = 1, extra: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
     """Each text without the union of its spans (start, end).
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spans import cut, firsts, keyed, lists_of, with_spans
+from .spans import cut, firsts, keyed, lists_of, strip, with_spans
 from .textbatch import Spans, chunks, mix, utf8
 
 DEPTH = 50
@@ -197,3 +197,13 @@ def dedup_suffixes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     """
     rows = keyed(docs, doc_id, text)
     return cut(with_spans(rows, repeated_spans(rows, depth=depth, gram=gram), "left", "start", "end"), texts=texts)
+
+
+def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
+    """docs with what dedup_suffixes removes cut out of the text; all columns and rows stay."""
+    rows = keyed(docs, doc_id, text)
+    spans = repeated_spans(rows, depth=depth, gram=gram)
+    th = F.xxhash64(F.col(text).cast("string")) if rows.where("th <> 0").limit(1).count() else F.lit(0).cast("long")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("id"), th.alias("th"))
+    cleaned = strip(with_spans(whole, spans, "left", "start", "end").select("row", "text", "spans"))
+    return cleaned.select(*(F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
