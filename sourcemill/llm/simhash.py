@@ -152,20 +152,20 @@ LIKELY = 20
 
 
 def signatures(rows: DataFrame, *, shingle: int) -> DataFrame:
-    """nid, sig (the wide fingerprint and one more word of 64 bits) of rows(nid, text)."""
+    """nid, id and s0, s1, ... (the wide fingerprint and one more word of 64 bits) of rows(nid, id, text)."""
 
     def scan(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
             out = [np.zeros((0, WORDS + 1), np.uint64)]
             for a, b in chunks(offsets, 1 << 19):
                 plain, starts, ends, begin = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
                 h = Spans(plain).hash(starts, ends)
                 out.append(np.stack([majority(mix(h + np.uint64(k)), begin) for k in range(WORDS + 1)], axis=1))
             flat = np.concatenate(out).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(flat[:, k]) for k in range(WORDS + 1))], names=["nid", *(f"s{k}" for k in range(WORDS + 1))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(flat[:, k]) for k in range(WORDS + 1))], names=["nid", "id", *(f"s{k}" for k in range(WORDS + 1))])
 
-    return rows.select("nid", "text").mapInArrow(scan, "nid long, " + ", ".join(f"s{k} long" for k in range(WORDS + 1)))
+    return rows.select("nid", "id", "text").mapInArrow(scan, "nid long, id long, " + ", ".join(f"s{k} long" for k in range(WORDS + 1)))
 
 
 def _segment(j: int) -> str:
@@ -210,11 +210,12 @@ def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rows = keyed(docs, doc_id, text).select("text", "id", "th")
     unique = rows.where("th <> 0").limit(1).count() == 0
     nid = F.col("id") if unique else F.xxhash64("id", "th")
-    found = checkpointed(signatures(rows.select(nid.alias("nid"), "text"), shingle=shingle))
+    found = checkpointed(signatures(rows.select(nid.alias("nid"), "id", "text"), shingle=shingle))
     same = [f"s{k}" for k in range(WORDS + 1)]
-    first = found.groupBy(*same).agg(F.min("nid").alias("nid"))
-    linked = components(similar_links(first, similarity=similarity)).where("node <> root")
-    stay = first.select("nid").join(linked.select(F.col("node").alias("nid")), "nid", "left_anti")
+    first = found.groupBy(*same).agg(F.min(F.struct("id", "nid")).alias("f")).select(*same, "f.id", "f.nid")
+    linked = components(similar_links(first, similarity=similarity))
+    groups = first.select("id", "nid").join(linked, F.col("nid") == F.col("node"), "left")
+    stay = groups.groupBy(F.coalesce("root", "nid").alias("root")).agg(F.min(F.struct("id", "nid")).alias("f")).select("f.nid")
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
     key = key if unique else F.xxhash64(key, F.xxhash64(F.col(text).cast("string")))
     stay = stay.select(F.col("nid").alias("__nid")).hint("shuffle_hash")
