@@ -110,7 +110,8 @@ def judge(urls: DataFrame, rules: DataFrame, *, row_id: str = "page_id", url: st
                     else:
                         stack.append((key, [(path, verdict, host)]))
                     continue
-                fits = next((r for _, level in reversed(stack) for r in level if path.startswith(r[0])), None)
+                # The host is checked as well, since a host may hold the separator itself.
+                fits = next((r for _, level in reversed(stack) for r in level if path.startswith(r[0]) and (host == r[2] or host.endswith("." + r[2]))), None)
                 out.append((page, host, path, fits and fits[2] + fits[0], fits[1] if fits else default))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), *[pa.string()] * 4], strict=True)], names=[x.split()[0] for x in schema.split(", ")])
