@@ -100,7 +100,7 @@ class Trees:
             keep = np.uint64((1 << (8 * (k + 1))) - 1)
             counted.append([np.unique(g & keep, return_counts=True) for g in whole])
         self.costs, self.escapes, self.found, self.contexts = [], [], [], []
-        for k in range(order + 1):
+        for k in range(order + 1 if n else 0):
             grams = np.unique(np.concatenate([g for g, _ in counted[k]]))
             contexts = np.unique(grams >> np.uint64(8))
             escape = np.zeros((len(contexts), n), np.float32)
