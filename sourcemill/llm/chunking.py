@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spans import cut, keyed, with_spans
+from .spans import cut, keyed, pieces, with_spans
 from .textbatch import chunks, mix, utf8
 
 MIN, BITS, MAX = 16, 5, 256
@@ -98,13 +98,13 @@ def _chunks_of(data: np.ndarray, offsets: np.ndarray):
 
 
 def duplicate_chunks(rows: DataFrame) -> DataFrame:
-    """(id, th, start, end) of every duplicate chunk of rows(doc_id, text, id, th)."""
+    """(id, th, start, end) of every duplicate chunk of rows(row, text, id, th)."""
     schema = "d1 long, d2 long, id long, th long, start int, end int, own boolean"
 
     def scan(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column(0))
-            ids, ths = (batch.column(k).to_numpy() for k in (1, 2))
+        for batch in pieces(batches):
+            data, offsets = utf8(batch.column("text"))
+            ids, ths = (batch.column(k).to_numpy() for k in ("id", "th"))
             parts = []
             for a, b in chunks(offsets):
                 text, start, end, halves = _chunks_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -147,4 +147,4 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     """
     rows = keyed(docs, doc_id, text)
     joined = with_spans(rows, duplicate_chunks(rows), "left", "start", "end")
-    return cut(joined.withColumn("n_dup_chunks", F.greatest(F.coalesce(F.size(F.array_distinct("spans")), F.lit(0)), F.lit(0)).cast("long")), min_run=min_run, extra=("n_dup_chunks",), texts=texts)
+    return cut(joined, min_run=min_run, texts=texts).withColumnRenamed("n_parts", "n_dup_chunks")

@@ -8,29 +8,32 @@ windows of ``depth`` bytes.
 1. The first digit are the ``gram`` bytes at an anchor.  Every window of depth bytes is
    sorted through the anchor chosen by its own bytes (the smallest gram hash in it, the
    leftmost of equal ones), so equal windows have equal anchors at equal places, and only
-   about two in ``depth - gram + 2`` positions are shuffled.
-2. The second digit is the rest of the windows that share an anchor, taken together:
-   the whole run of bytes that they span.  A run that a document with a smaller id has
-   too is settled as a whole, and so is the only run of its anchor.
-3. The last digit, for the runs left, is each single window.
-
-Digits are compared by 64-bit hashes.  In every pass the groups within an Arrow batch
-are settled where they stand and only their smallest ids are shuffled, so the rows of
-a group are bounded by the number of batches, however many copies a passage has.
+   about two in ``depth - gram + 2`` positions are shuffled, as a hash.
+2. The other digits of a group are compared where the group is: for each anchor left, the
+   run of bytes that its windows span is shuffled once, and the windows of the runs of a
+   group are sorted through their whole depth in memory.  A group of more than ``GROUP``
+   runs is taken in blocks, and windows that no block settles are shuffled, by hash.
+
+Windows are compared by 64-bit hashes, the first digit by as many bits as keep chance
+sharing below one anchor in ten thousand for the bytes there are.  In every pass what a batch can settle by itself
+is settled there and only the smallest ids are shuffled, so copies of a passage add one
+row for each batch, however many there are; whole copies of a text are settled first.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spans import cut, firsts, keyed, lists_of, strip, with_spans
+from .spans import copies, cut, firsts, keyed, lists_of, pieces, smallest, strip, with_spans, written
 from .textbatch import Spans, chunks, mix, utf8
 
 DEPTH = 50
-GRAM = 24
+GRAM = 20
+GROUP = 100_000
 _CHUNK = 1 << 18
 _LOW = np.uint64(63)
 
@@ -65,35 +68,74 @@ def _runs(data: np.ndarray, offsets: np.ndarray, depth: int, gram: int):
     return text, g[anchor[first]], first, last, spans
 
 
-def _batch(data, offsets, depth, gram):
-    """The runs of a whole batch, positions relative to their texts, and a hash of each run's bytes."""
+def _anchors(data, offsets, depth, gram):
+    """Text and anchor hash of the runs of a whole batch."""
     parts = []
     for a, b in chunks(offsets, _CHUNK):
-        own = offsets[a : b + 1] - offsets[a]
-        text, h, first, last, spans = _runs(data[offsets[a] : offsets[b]], own, depth, gram)
-        c = spans.hash(first, last + depth) if len(first) else h
-        parts.append((text + a, h, c, first - own[text], last - own[text]))
-    return [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
+        text, h, *_ = _runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], depth, gram)
+        parts.append((text + a, h))
+    return [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 2
+
+
+def _slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of many spans one after the other, and their offsets."""
+    n = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    return data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], n)], offsets
+
+
+def _windows(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Run, place in the run and hash of every window of the runs."""
+    n = np.diff(offsets) - depth + 1
+    of = np.repeat(np.arange(len(n)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    place = offsets[of] + at
+    return of, at, Spans(data).hash(place, place + depth)
+
+
+def _merged(of: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Run, start and end of the stretches of windows (ascending in each run) that follow each other."""
+    if not len(of):
+        return of, start, start
+    head = np.ones(len(of), dtype=bool)
+    head[1:] = (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(of)) - 1
+    return of[first], start[first], start[last] + depth
 
 
-def repeated_spans(rows: DataFrame, *, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """(id, th, start, end) spans of rows(doc_id, text, id, th) that together are all bytes of windows that a smaller id has too."""
+_SPANS = "id long, th long, start int, end int"
+
+
+def _spans(w, ids, ths, start, end) -> pa.RecordBatch:
+    w = pa.nulls(len(ids), pa.int64()) if w is None else pa.array(w)
+    return pa.RecordBatch.from_arrays([w, pa.array(ids), pa.array(ths), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["w", "id", "th", "start", "end"])
+
+
+def repeated_spans(rows: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """(id, th, start, end) spans of rows(row, text, id, th) that together are all bytes of windows that a smaller id has too."""
     if not 0 < depth - gram < 63:
         raise ValueError("depth - gram must be from 1 to 62")
-    text_rows = rows.where(F.octet_length("text") >= depth)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    short = np.uint64(64 - min(64, 10 + int(total).bit_length()))
+    whole = written(copies(rows).where(F.col("n") >= depth))
+    settled = whole.select("id", "th", F.lit(0).alias("start"), F.col("n").alias("end"))
+    gone = whole.select(F.col("id").alias("_id"), F.col("th").alias("_th")).hint("shuffle_hash")
+    others = rows.join(gone, (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th")), "left_anti")
 
     # First digit.
     def anchors(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column(0))
-            ids, ths = (batch.column(k).to_numpy() for k in (1, 2))
-            text, h, *_ = _batch(data, offsets, depth, gram)
+        for batch in pieces(batches):
+            data, offsets = utf8(batch.column("text"))
+            ids, ths = (batch.column(k).to_numpy() for k in ("id", "th"))
+            text, h = _anchors(data, offsets, depth, gram)
+            h = h.astype(np.uint64) >> short
             if not len(text):
                 continue
-            _, lead = np.unique(mix(h.astype(np.uint64)) ^ mix(text.astype(np.uint64) + np.uint64(1)), return_index=True)
+            _, lead = np.unique(mix(h) ^ mix(text.astype(np.uint64) + np.uint64(1)), return_index=True)
+            lead.sort()
             text, h = text[lead], h[lead]
             least, of = firsts(h, ids[text])
-            more = np.zeros(least.shape, dtype=bool)
             shared = np.zeros(of.max() + 1, dtype=bool)
             shared[of[ids[text] != least]] = True
             more = shared[of]
@@ -105,84 +147,104 @@ def repeated_spans(rows: DataFrame, *, depth: int = DEPTH, gram: int = GRAM) ->
             on = np.concatenate([np.flatnonzero(~more | tell), np.flatnonzero(more)])
             own = np.zeros(len(on), dtype=bool)
             own[len(on) - more.sum() :] = True
-            text, h = text[on], h[on].view(np.int64)
-            key = np.where(own, mix(ids[text].astype(np.uint64)).view(np.int64), h)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[text]), pa.array(ths[text]), pa.array(h, mask=~own)], names=["k", "id", "th", "h"])
+            text, h = text[on], h[on]
+            key = np.where(own, mix(ids[text].astype(np.uint64)) >> short, h).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[text]), pa.array(ths[text]), pa.array(h.view(np.int64), mask=~own)], names=["k", "id", "th", "h"])
 
     by = Window.partitionBy("k")
-    first = text_rows.select("text", "id", "th").mapInArrow(anchors, "k long, id long, th long, h long")
-    first = first.withColumn("least", F.min("id").over(by)).withColumn("most", F.max("id").over(by))
-    first = first.where("h is not null or least < most").select("id", "th", F.coalesce("h", "k").alias("h"))
+    first = others.mapInArrow(anchors, "k long, id long, th long, h long")
+    first = smallest(first, "k").withColumn("most", F.max("id").over(by))
+    first = first.where("h is not null or least < most").select("id", "th", F.coalesce("h", "k").bitwiseAND(0x7FFFFFFF).cast("int").alias("h"))
 
-    # Second digit.  kind: 0 only run of its anchor in the batch, 1 one of several, 2 a note of several, 3 settled.
-    def contexts(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column(0))
-            ids, ths = (batch.column(k).to_numpy() for k in (1, 2))
-            row, (wanted,) = lists_of(batch.column(3))
-            text, h, c, start, last = _batch(data, offsets, depth, gram)
-            mine = np.isin(mix(h.astype(np.uint64) + mix(text.astype(np.uint64))), mix(wanted.view(np.uint64) + mix(row.astype(np.uint64))))
-            text, h, c, start, last = (x[mine] for x in (text, h, c, start, last))
-            if not len(text):
-                continue
-            id_ = ids[text]
-            least, _ = firsts(mix(h) ^ c, id_)
-            settled = id_ > least
-            of_h, at = np.unique(h, return_inverse=True)
-            low, high = np.full(len(of_h), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(of_h), np.uint64)
-            np.minimum.at(low, at, c)
-            np.maximum.at(high, at, c)
-            several = (low != high)[at]
-            kind = np.where(settled, 3, np.where(several, 1, 0)).astype(np.int8)
-            key = np.where(settled, mix(id_.astype(np.uint64)), np.where(several, mix(c), h))
-            note = np.flatnonzero(low != high)
-            zero = np.zeros(2 * len(note), np.int64)
-            columns = [
-                np.concatenate([key, of_h[note], of_h[note]]).view(np.int64),
-                np.concatenate([c, low[note], high[note]]).view(np.int64),
-                np.concatenate([id_, zero]), np.concatenate([ths[text], zero]),
-                np.concatenate([start, zero]).astype(np.int32), np.concatenate([last, zero]).astype(np.int32),
-                np.concatenate([kind, np.full(2 * len(note), 2, np.int8)]),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k", "c", "id", "th", "first", "last", "kind"])
-
-    with_h = with_spans(rows, first, "inner", "h").select("text", "id", "th", "spans")
-    second = with_h.mapInArrow(contexts, "k long, c long, id long, th long, first int, last int, kind byte")
-    second = second.withColumn("low", F.min("c").over(by)).withColumn("high", F.max("c").over(by))
-    same = Window.partitionBy("k", "c")
-    second = second.withColumn("least", F.min(F.when(F.col("kind") < 2, F.col("id"))).over(same))
-    settled = second.where("kind = 3 or (kind < 2 and least < id)").select("id", "th", F.col("first").alias("start"), (F.col("last") + depth).alias("end"))
-    open_runs = second.where("kind < 2 and least = id and (kind = 1 or low <> high)").select("id", "th", "first", "last")
-
-    # Last digit.
-    def windows(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column(0))
-            ids, ths = (batch.column(k).to_numpy() for k in (1, 2))
-            row, (start, last) = lists_of(batch.column(3))
-            edges = np.searchsorted(row, np.arange(len(ids) + 1))
+    # The other digits: the bytes of the runs left, or the span of one that this batch settles.
+    def runs(batches):
+        for batch in pieces(b.filter(b.column("spans").is_valid()) for b in batches):
+            data, offsets = utf8(batch.column("text"))
+            ids, ths = (batch.column(k).to_numpy() for k in ("id", "th"))
+            row, (wanted,) = lists_of(batch.column("spans"))
+            wanted = wanted.astype(np.uint64) | (row.astype(np.uint64) << np.uint64(31))
             parts = []
             for a, b in chunks(offsets, _CHUNK):
-                r = slice(edges[a], edges[b])
-                n = (last[r] - start[r] + 1).astype(np.int64)
-                of = np.repeat(row[r], n)
-                at = np.repeat(start[r].astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                place = at + offsets[of] - offsets[a]
-                parts.append((of, at, Spans(data[offsets[a] : offsets[b]]).hash(place, place + depth)))
+                here, ends = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                text, h, start, last, spans = _runs(here, ends, depth, gram)
+                h = h >> short
+                mine = np.isin((h & np.uint64(0x7FFFFFFF)) | ((text + a).astype(np.uint64) << np.uint64(31)), wanted)
+                text, h, start, last = (x[mine] for x in (text, h, start, last))
+                bytes_, _ = _slices(here, start, last + depth)
+                parts.append((text + a, h, spans.hash(start, last + depth), start - ends[text], last - ends[text], bytes_))
             if not parts:
                 continue
-            of, at, w = (np.concatenate(p) for p in zip(*parts, strict=True))
-            if not len(of):
+            text, h, c, start, last, bytes_ = (np.concatenate(p) for p in zip(*parts, strict=True))
+            if not len(text):
                 continue
-            least, _ = firsts(w, ids[of])
-            own = ids[of] > least
-            key = np.where(own, mix(ids[of].astype(np.uint64)), w).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids[of], ths[of], at.astype(np.int32), own)], names=["k", "id", "th", "start", "own"])
+            ends = np.concatenate([[0], np.cumsum(last + depth - start)])
+            least, _ = firsts(mix(h) ^ c, ids[text])
+            own = ids[text] > least
+            key = np.where(own, mix(ids[text].astype(np.uint64)) >> short, h).view(np.int64)
+            packed = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(bytes_)])
+            packed = pc.if_else(pa.array(own), pa.scalar(None, pa.binary()), packed)
+            end = pa.array((last + depth).astype(np.int32), mask=~own)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[text]), pa.array(ths[text]), pa.array(start.astype(np.int32)), end, packed], names=["k", "id", "th", "start", "end", "run"])
 
-    with_runs = with_spans(rows, open_runs, "inner", "first", "last").select("text", "id", "th", "spans")
-    last = with_runs.mapInArrow(windows, "k long, id long, th long, start int, own boolean")
-    last = last.withColumn("least", F.min(F.when(~F.col("own"), F.col("id"))).over(by)).where("own or least < id")
-    return settled.unionByName(last.select("id", "th", "start", (F.col("start") + depth).alias("end")))
+    # A left join, as for the texts at the end: an inner one would shuffle other rows, and so all of them again.
+    second = with_spans(rows, first, "left", "h").mapInArrow(runs, "k long, id long, th long, start int, end int, run binary")
+
+    def resolve(block: pa.Table, whole: bool):
+        """Spans that a block settles; unless it holds whole groups, also the windows that it leaves open."""
+        data, offsets = utf8(block.column("run"))
+        ids, ths, start = (block.column(k).to_numpy() for k in ("id", "th", "start"))
+        of, at, w = _windows(data, offsets, depth)
+        least, _ = firsts(w, ids[of])
+        repeated = ids[of] > least
+        run, a, b = _merged(of[repeated], at[repeated] + start[of[repeated]], depth)
+        yield _spans(None, ids[run], ths[run], a, b)
+        if not whole:
+            run, a = of[~repeated], at[~repeated] + start[of[~repeated]]
+            yield _spans(w[~repeated].view(np.int64), ids[run], ths[run], a, a + depth)
+
+    def groups(batches):
+        """Rows come sorted by group; a block ends where a group does, or when it is full of one group."""
+        held, size, open_ = [], 0, None
+
+        def close(whole):
+            nonlocal held, size
+            if held:
+                yield from resolve(pa.Table.from_batches(held), whole)
+            held, size = [], 0
+
+        for batch in batches:
+            own = batch.column("run").is_null()
+            done = batch.filter(own)
+            if done.num_rows:
+                yield _spans(None, *(done.column(k).to_numpy() for k in ("id", "th", "start", "end")))
+            batch = batch.filter(pc.invert(own))
+            if not batch.num_rows:
+                continue
+            k = batch.column("k").to_numpy()
+            edges = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            if held and k[0] != held[-1].column("k")[-1].as_py():
+                yield from close(open_ is None)
+                open_ = None
+            if len(edges) > 1:
+                if open_ is not None:  # the rest of a group that was too large
+                    held.append(batch.slice(0, int(edges[1])))
+                    yield from close(False)
+                    open_ = None
+                    held.append(batch.slice(int(edges[1]), int(edges[-1] - edges[1])))
+                else:
+                    held.append(batch.slice(0, int(edges[-1])))
+                held = [h for h in held if h.num_rows]
+                yield from close(True)
+            held.append(batch.slice(int(edges[-1]) if len(edges) > 1 else 0))
+            size += held[-1].num_rows
+            if size > group:
+                open_ = k[-1]
+                yield from close(False)
+        yield from close(open_ is None)
+
+    found = second.repartition("k").sortWithinPartitions("k").mapInArrow(groups, f"w long, {_SPANS}")
+    found = smallest(found.withColumn("place", F.coalesce("w", F.xxhash64("id", "start"))), "place").where("w is null or least < id")
+    return settled.unionByName(found.select("id", "th", "start", "end"))
 
 
 def dedup_suffixes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
@@ -196,14 +258,13 @@ def dedup_suffixes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     table gives an empty result.
     """
     rows = keyed(docs, doc_id, text)
-    return cut(with_spans(rows, repeated_spans(rows, depth=depth, gram=gram), "left", "start", "end"), texts=texts)
+    spans = repeated_spans(rows, depth=depth, gram=gram)
+    return cut(with_spans(rows, spans, "left", "start", "end"), texts=texts).drop("n_parts")
 
 
 def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """docs with what dedup_suffixes removes cut out of the text; all columns and rows stay."""
-    rows = keyed(docs, doc_id, text)
+    rows = keyed(docs, doc_id, text, [c for c in docs.columns if c != text])
     spans = repeated_spans(rows, depth=depth, gram=gram)
-    th = F.xxhash64(F.col(text).cast("string")) if rows.where("th <> 0").limit(1).count() else F.lit(0).cast("long")
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("id"), th.alias("th"))
-    cleaned = strip(with_spans(whole, spans, "left", "start", "end").select("row", "text", "spans"))
+    cleaned = strip(with_spans(rows, spans, "left", "start", "end"))
     return cleaned.select(*(F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
