@@ -32,7 +32,7 @@ from .spans import copies, cut, firsts, keyed, lists_of, pieces, smallest, strip
 from .textbatch import Spans, chunks, mix, utf8
 
 DEPTH = 50
-GRAM = 20
+GRAM = 16
 GROUP = 100_000
 _CHUNK = 1 << 18
 _LOW = np.uint64(63)
@@ -243,7 +243,9 @@ def repeated_spans(rows: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, gro
         yield from close(open_ is None)
 
     found = second.repartition("k").sortWithinPartitions("k").mapInArrow(groups, f"w long, {_SPANS}")
-    found = smallest(found.withColumn("place", F.coalesce("w", F.xxhash64("id", "start"))), "place").where("w is null or least < id")
+    # Settled spans pass through by their id; only open windows count for the smallest id.
+    own = F.min(F.when(F.col("w").isNotNull(), F.col("id"))).over(Window.partitionBy(F.coalesce("w", "id")))
+    found = found.withColumn("least", own).where("w is null or least < id")
     return settled.unionByName(found.select("id", "th", "start", "end"))
 
 
