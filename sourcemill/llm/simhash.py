@@ -149,6 +149,8 @@ SEGMENTS = 64 * WORDS // WIDTH
 SIMILARITY = 0.8
 #: Bits of the extra 64 in which a pair may differ to be verified at all: unrelated texts differ in 32 +- 4.
 LIKELY = 20
+#: Bits of them within which the first text of a variant is close enough that no other is asked.
+CLOSE = 10
 
 
 def signatures(rows: DataFrame, *, shingle: int) -> DataFrame:
@@ -182,8 +184,8 @@ def similar_links(found: DataFrame, *, similarity: float) -> DataFrame:
     """(a, b): verified links between nodes of found(nid, s0, ...), no two of them with equal fingerprints.
 
     In the order of nid, each node that shares a variant is held against the first node
-    of the variant and the one before it, so a variant shared by many makes two rows for
-    each of them and no pairs.  A pair is a link if the cosine that its differing bits
+    of the variant and, unless that is clearly close, the one before it, so a variant
+    shared by many makes at most two rows for each of them and no pairs.  A pair is a link if the cosine that its differing bits
     stand for reaches the similarity.
     """
     most = int(64 * WORDS * np.arccos(similarity) / np.pi)
@@ -191,7 +193,9 @@ def similar_links(found: DataFrame, *, similarity: float) -> DataFrame:
     index = found.select("nid", F.col(f"s{WORDS}").alias("fp"), F.explode(F.expr(f"flatten({variant})")).alias("key"))
     turn = Window.partitionBy("key").orderBy("nid")
     met = index.select("nid", "fp", F.first(F.struct("nid", "fp")).over(turn).alias("x"), F.lag(F.struct("nid", "fp")).over(turn).alias("y")).where("y is not null")
-    ends = met.select(F.col("nid").alias("b"), "fp", F.explode(F.array("x", "y")).alias("o")).where(f"bit_count(fp ^ o.fp) <= {LIKELY}")
+    # Judged before rows are made of them, and the one before only where the first is not clearly close.
+    near = f"filter(array(x, if(bit_count(fp ^ x.fp) > {CLOSE} and y.nid <> x.nid, y, null)), o -> o is not null and bit_count(fp ^ o.fp) <= {LIKELY})"
+    ends = met.select(F.col("nid").alias("b"), F.explode(F.expr(near)).alias("o"))
     pairs = ends.select(F.col("o.nid").alias("a"), "b").distinct()
     for end in ("a", "b"):
         pairs = pairs.join(found.select(F.col("nid").alias(end), *(F.col(f"s{k}").alias(f"{end}{k}") for k in range(WORDS))), end)
