@@ -11,7 +11,8 @@ compared.  Equal fingerprints are merged first, so copies never meet as pairs.
 similarity of 0.8 lies far beyond what two or three segments of 64 bits can find, so
 ``representatives`` makes a wide fingerprint of 384 bits with segments of 22: documents
 of that similarity have one of them with at most one differing bit with high
-probability, and chance meetings stay rare.
+probability, and all that share a
+variant are compared on all bits.
 
 A variant shared by more than ``BUCKET`` different fingerprints is not compared pair by
 pair.  Its fingerprints get the variants of the whole fingerprint with any d bits left
@@ -147,27 +148,25 @@ def near_duplicates(
 WORDS, WIDTH = 6, 22
 SEGMENTS = 64 * WORDS // WIDTH
 SIMILARITY = 0.8
-#: Bits of the extra 64 in which a pair may differ to be verified at all: unrelated texts differ in 32 +- 4.
-LIKELY = 20
-#: Bits of them within which the first text of a variant is close enough that no other is asked.
-CLOSE = 10
+#: Texts that share a variant are compared pair by pair in one pass up to FEW; a text with more than MANY links is followed at once.
+FEW, MANY, _TILE = 32, 64, 4096
 
 
 def signatures(rows: DataFrame, *, shingle: int) -> DataFrame:
-    """nid, id and s0, s1, ... (the wide fingerprint and one more word of 64 bits) of rows(nid, id, text)."""
+    """nid, id and s0, s1, ... (the wide fingerprint) of rows(nid, id, text)."""
 
     def scan(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(2))
-            out = [np.zeros((0, WORDS + 1), np.uint64)]
+            out = [np.zeros((0, WORDS), np.uint64)]
             for a, b in chunks(offsets, 1 << 19):
                 plain, starts, ends, begin = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
                 h = Spans(plain).hash(starts, ends)
-                out.append(np.stack([majority(mix(h + np.uint64(k)), begin) for k in range(WORDS + 1)], axis=1))
+                out.append(np.stack([majority(mix(h + np.uint64(k)), begin) for k in range(WORDS)], axis=1))
             flat = np.concatenate(out).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(flat[:, k]) for k in range(WORDS + 1))], names=["nid", "id", *(f"s{k}" for k in range(WORDS + 1))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(flat[:, k]) for k in range(WORDS))], names=["nid", "id", *(f"s{k}" for k in range(WORDS))])
 
-    return rows.select("nid", "id", "text").mapInArrow(scan, "nid long, id long, " + ", ".join(f"s{k} long" for k in range(WORDS + 1)))
+    return rows.select("nid", "id", "text").mapInArrow(scan, "nid long, id long, " + ", ".join(f"s{k} long" for k in range(WORDS)))
 
 
 def _segment(j: int) -> str:
@@ -180,27 +179,128 @@ def _segment(j: int) -> str:
     return f"({low} & {mask}L)"
 
 
+def _near(x: np.ndarray, y: np.ndarray, most: int):
+    """Indices of the pairs of the fingerprints x and y that differ in at most ``most`` bits."""
+    found = []
+    for at in range(0, len(y), _TILE):
+        part, half = y[at : at + _TILE], WORDS // 2
+        some = np.zeros((len(x), len(part)), np.uint8)
+        for k in range(half):
+            some += np.bitwise_count(x[:, None, k] ^ part[None, :, k])
+        i, j = np.nonzero(some <= most)
+        if len(i):
+            ok = np.bitwise_count(x[i] ^ part[j]).sum(axis=1, dtype=np.int64) <= most
+            found.append((i[ok], j[ok] + at))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
+def _forest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the links i, j, taken in their order, join what those before leave apart."""
+    root: dict[int, int] = {}
+
+    def top(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    keep = np.zeros(len(i), dtype=bool)
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        if (a := top(a)) != (b := top(b)):
+            root[max(a, b)], keep[k] = min(a, b), True
+    return keep
+
+
+def _crowd(words: np.ndarray, most: int):
+    """Links that connect what links within one large variant connect, as arrays of indices.
+
+    Every pair is compared unless a path of links joins it already: a text with many
+    links is followed to the end and all it reaches leaves the others, which are
+    compared in blocks.
+    """
+    rest = np.arange(len(words))
+    while len(rest) > 1:
+        block = rest[:FEW]
+        i, j = _near(words[block], words[rest], most)
+        i, j = i[j > i], j[j > i]
+        many = np.flatnonzero(np.bincount(i, minlength=len(block)) > MANY)
+        if not len(many):
+            yield block[i], rest[j]
+            rest = rest[FEW:]
+            continue
+        front, rest, step = rest[many[:1]], np.delete(rest, many[0]), 1
+        while len(front) and len(rest):
+            reached, at = [], 0
+            while at < len(front) and len(rest):
+                own, at, step = front[at : at + step], at + step, min(2 * step, FEW)
+                i, j = _near(words[own], words[rest], most)
+                j, first = np.unique(j, return_index=True)
+                yield own[i[first]], rest[j]
+                reached.append(rest[j])
+                rest = np.delete(rest, j)
+            front = np.concatenate(reached)
+
+
+def _linked(keys: np.ndarray, words: np.ndarray, most: int):
+    """Links between rows with the same key, which are sorted by it: indices of their ends."""
+    starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+    sizes = np.diff(starts)
+    after = np.repeat(starts[1:], sizes) - np.arange(len(keys)) - 1
+    after[np.repeat(sizes > FEW, sizes)] = 0
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    i, d = np.flatnonzero(after > 0), 1
+    while len(i):
+        some = np.bitwise_count(words[i, : WORDS // 2] ^ words[i + d, : WORDS // 2]).sum(axis=1, dtype=np.uint8)
+        x = i[some <= most]
+        x = x[np.bitwise_count(words[x] ^ words[x + d]).sum(axis=1, dtype=np.int64) <= most]
+        left.append(x)
+        right.append(x + d)
+        d += 1
+        i = i[after[i] >= d]
+    for k in np.flatnonzero(sizes > FEW):
+        for x, y in _crowd(words[starts[k] : starts[k + 1]], most):
+            left.append(x + starts[k])
+            right.append(y + starts[k])
+    left, right = np.concatenate(left), np.concatenate(right)
+    order = np.lexsort((np.maximum(left, right), np.minimum(left, right)))
+    left, right = left[order], right[order]
+    keep = _forest(left, right)
+    return left[keep], right[keep]
+
+
 def similar_links(found: DataFrame, *, similarity: float) -> DataFrame:
-    """(a, b): verified links between nodes of found(nid, s0, ...), no two of them with equal fingerprints.
+    """(a, b): links between nodes of found(nid, s0, ...), no two of them with equal fingerprints.
 
-    In the order of nid, each node that shares a variant is held against the first node
-    of the variant and, unless that is clearly close, the one before it, so a variant
-    shared by many makes at most two rows for each of them and no pairs.  A pair is a link if the cosine that its differing bits
-    stand for reaches the similarity.
+    A pair is a link if the cosine that its differing bits stand for reaches the
+    similarity.  All nodes that share a variant are compared, however many they are; of
+    their links those are returned that connect all that links connect.
     """
     most = int(64 * WORDS * np.arccos(similarity) / np.pi)
+    names = [f"s{k}" for k in range(WORDS)]
+    def compare(batches):
+        def links_of(parts):
+            key, nid, words = (np.concatenate(x) for x in zip(*parts, strict=True))
+            a, b = _linked(key, words, most)
+            return pa.RecordBatch.from_arrays([pa.array(nid[a]), pa.array(nid[b])], names=["a", "b"])
+
+        held = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, nid, *words = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            words = np.stack(words, axis=1).view(np.uint64)
+            last = np.searchsorted(key, key[-1])
+            if last or (held and held[-1][0][-1] != key[0]):
+                yield links_of([*held, (key[:last], nid[:last], words[:last])])
+                held = []
+            held.append((key[last:], nid[last:], words[last:]))
+        if held:
+            yield links_of(held)
+
     variant = f"transform(array({', '.join(_segment(j) for j in range(SEGMENTS))}), (x, j) -> transform(sequence(0, {WIDTH - 1}), i -> shiftleft(cast(j * {WIDTH} + i as bigint), {WIDTH}) | (x & ~shiftleft(1L, i))))"
-    index = found.select("nid", F.col(f"s{WORDS}").alias("fp"), F.explode(F.expr(f"flatten({variant})")).alias("key"))
-    turn = Window.partitionBy("key").orderBy("nid")
-    met = index.select("nid", "fp", F.first(F.struct("nid", "fp")).over(turn).alias("x"), F.lag(F.struct("nid", "fp")).over(turn).alias("y")).where("y is not null")
-    # Judged before rows are made of them, and the one before only where the first is not clearly close.
-    near = f"filter(array(x, if(bit_count(fp ^ x.fp) > {CLOSE} and y.nid <> x.nid, y, null)), o -> o is not null and bit_count(fp ^ o.fp) <= {LIKELY})"
-    ends = met.select(F.col("nid").alias("b"), F.explode(F.expr(near)).alias("o"))
-    pairs = ends.select(F.col("o.nid").alias("a"), "b").distinct()
-    for end in ("a", "b"):
-        pairs = pairs.join(found.select(F.col("nid").alias(end), *(F.col(f"s{k}").alias(f"{end}{k}") for k in range(WORDS))), end)
-    differ = "+".join(f"bit_count(a{k} ^ b{k})" for k in range(WORDS))
-    return pairs.where(f"{differ} <= {most}").select("a", "b")
+    index = found.select(F.explode(F.expr(f"flatten({variant})")).alias("key"), "nid", *names)
+    return index.repartition("key").sortWithinPartitions("key", "nid").mapInArrow(compare, "a long, b long").distinct()
 
 
 def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -215,8 +315,8 @@ def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     unique = rows.where("th <> 0").limit(1).count() == 0
     nid = F.col("id") if unique else F.xxhash64("id", "th")
     found = checkpointed(signatures(rows.select(nid.alias("nid"), "id", "text"), shingle=shingle))
-    same = [f"s{k}" for k in range(WORDS + 1)]
-    first = found.groupBy(*same).agg(F.min(F.struct("id", "nid")).alias("f")).select(*same, "f.id", "f.nid")
+    same = [f"s{k}" for k in range(WORDS)]
+    first = checkpointed(found.groupBy(*same).agg(F.min(F.struct("id", "nid")).alias("f")).select(*same, "f.id", "f.nid"))
     linked = components(similar_links(first, similarity=similarity))
     groups = first.select("id", "nid").join(linked, F.col("nid") == F.col("node"), "left")
     stay = groups.groupBy(F.coalesce("root", "nid").alias("root")).agg(F.min(F.struct("id", "nid")).alias("f")).select("f.nid")

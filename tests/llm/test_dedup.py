@@ -198,3 +198,59 @@ def test_representatives(spark):
     assert got.columns == df.columns
     assert sorted((r.doc_id for r in got.collect()), key=str) == sorted([*(g * 10 for g in range(12)), None], key=str)
     assert simhash.representatives(df.limit(0)).count() == 0
+
+
+def wide(spark, prints):
+    """Random fingerprints, numbered in their order, as similar_links takes them."""
+    schema = "nid long, " + ", ".join(f"s{k} long" for k in range(7))
+    return spark.createDataFrame([(i, *map(int, w.view(np.int64))) for i, w in enumerate(prints)], schema)
+
+
+def flipped(rng, prints, n):
+    """The fingerprints with n of their first 384 bits changed."""
+    flips = rng.permuted(np.tile(np.arange(384) < n, (len(prints), 1)), axis=1)
+    out = prints.copy()
+    out[:, :6] ^= np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
+def test_similar_links_in_crowds(spark):
+    rng = np.random.default_rng(4)
+    random = lambda n: rng.integers(0, 1 << 64, (n, 7), dtype=np.uint64)
+    x = random(1)
+    y = flipped(rng, x, 30)
+    # Unrelated texts before and between the two in every variant of 22 bits.
+    crowd = []
+    for end in (x, y):
+        own = np.unpackbits(end.view(np.uint8), bitorder="little")
+        for at in range(0, 374, 22):
+            bits = rng.integers(0, 2, (40, 448), dtype=np.uint8)
+            bits[:, at : at + 22] = own[at : at + 22]
+            crowd.append(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
+    crowd = np.concatenate(crowd)
+    got = simhash.similar_links(wide(spark, np.concatenate([crowd, x, crowd[:, ::-1] ^ np.uint64(5), crowd ^ flipped(rng, crowd * np.uint64(0), 2), y])), similarity=0.8)
+    ends = {(r.a, r.b) for r in got.collect()}
+    assert (len(crowd), 3 * len(crowd) + 1) in ends
+    assert {(i, 2 * len(crowd) + 1 + i) for i in range(len(crowd))} <= ends
+
+
+@pytest.mark.parametrize("size", [20, 90, 1500])
+def test_linked_compares_all_with_one_key(size):
+    rng = np.random.default_rng(size)
+    words = rng.integers(0, 1 << 64, (size, 7), dtype=np.uint64)
+    words[size // 3 : size // 2] = flipped(rng, np.repeat(words[:1], size // 2 - size // 3, axis=0), 20)
+    words[-3:] = flipped(rng, words[1:4], 78)
+    words[-6:-3] = flipped(rng, words[4:7], 79)
+    words = np.ascontiguousarray(words[rng.permutation(size), :6])
+    near = np.stack([np.bitwise_count(words ^ w).sum(axis=1) <= 78 for w in words])
+    want, left = [], set(range(size))
+    while left:
+        group, front = set(), {min(left)}
+        while front:
+            group |= front
+            front = {int(v) for u in front for v in np.flatnonzero(near[u])} - group
+        left -= group
+        want.append(group)
+    i, j = simhash._linked(np.zeros(size, np.int64), words, 78)
+    assert near[i, j].all() and len(i) == size - len(want)
+    assert all(any({a, b} <= g for g in want) for a, b in zip(i.tolist(), j.tolist(), strict=True))
