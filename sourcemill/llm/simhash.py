@@ -9,10 +9,9 @@ compared.  Equal fingerprints are merged first, so copies never meet as pairs.
 
 ``near_duplicates`` links fingerprints of 64 bits at a small distance, completely.  A
 similarity of 0.8 lies far beyond what two or three segments of 64 bits can find, so
-``representatives`` makes a wide fingerprint of 384 bits with segments of 22: documents
-of that similarity have one of them with at most one differing bit with high
-probability, and all that share a
-variant are compared on all bits.
+``representatives`` makes a wide fingerprint of 384 bits and leaves out all but a few
+bits at a time: ``cuts`` are as many as it takes for 99 in 100 pairs of exactly that
+similarity to agree in one, and all that share a cut are compared on all bits.
 
 A variant shared by more than ``BUCKET`` different fingerprints is not compared pair by
 pair.  Its fingerprints get the variants of the whole fingerprint with any d bits left
@@ -144,11 +143,14 @@ def near_duplicates(
     return found.join(rooted, F.col("fp") == F.col("node")).select("doc_id", hexed, "component_id")
 
 
-#: The wide fingerprint: words of 64 bits, bits of a segment, and the segments in it.
-WORDS, WIDTH = 6, 22
-SEGMENTS = 64 * WORDS // WIDTH
+#: The wide fingerprint: words of 64 bits.
+WORDS = 6
 SIMILARITY = 0.8
-#: Texts that share a variant are compared pair by pair in one pass up to FEW; a text with more than MANY links is followed at once.
+#: Bits of a cut, and how many texts may meet in one by chance before cuts get wider.
+WIDTH, CHANCE = 14, 1024
+#: The share of pairs at exactly the similarity asked for that the cuts must bring together.
+RECALL = 0.99
+#: Texts that share a cut are compared pair by pair in one pass up to FEW; a text with more than MANY links is followed at once.
 FEW, MANY, _TILE = 32, 64, 4096
 
 
@@ -169,14 +171,26 @@ def signatures(rows: DataFrame, *, shingle: int) -> DataFrame:
     return rows.select("nid", "id", "text").mapInArrow(scan, "nid long, id long, " + ", ".join(f"s{k} long" for k in range(WORDS)))
 
 
-def _segment(j: int) -> str:
-    """SQL of the j-th segment of the wide fingerprint."""
-    at, mask = j * WIDTH, (1 << WIDTH) - 1
-    k, shift = divmod(at, 64)
-    low = f"shiftrightunsigned(s{k}, {shift})"
-    if shift + WIDTH > 64:
-        low = f"({low} | shiftleft(s{k + 1}, {64 - shift}))"
-    return f"({low} & {mask}L)"
+def cuts(n: int, most: int, recall: float = RECALL) -> np.ndarray:
+    """Bit positions of each cut of the wide fingerprint, one row for each.
+
+    A cut is a choice of bits; two fingerprints meet where they agree in all bits of one.
+    Cuts are added until they catch the share recall of random patterns of ``most``
+    differing bits, which are the hardest pairs that the check accepts.  Their width
+    grows with the number n of fingerprints, so that few meet by chance.
+    """
+    rng, bits = np.random.default_rng(SEED), 64 * WORDS
+    width = max(WIDTH, int(np.ceil(np.log2(max(n, 1) / CHANCE))))
+    differ = rng.permuted(np.tile(np.arange(bits) < most, (20000, 1)), axis=1)
+    out, caught = [], np.zeros(len(differ), dtype=bool)
+    while caught.mean() < recall:
+        order = rng.permutation(bits)
+        for at in range(0, bits - width + 1, width):
+            out.append(order[at : at + width])
+            caught |= ~differ[:, out[-1]].any(axis=1)
+            if caught.mean() >= recall:
+                break
+    return np.array(out)
 
 
 def _near(x: np.ndarray, y: np.ndarray, most: int):
@@ -213,7 +227,7 @@ def _forest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _crowd(words: np.ndarray, most: int):
-    """Links that connect what links within one large variant connect, as arrays of indices.
+    """Links that connect what links within one large cut connect, as arrays of indices.
 
     Every pair is compared unless a path of links joins it already: a text with many
     links is followed to the end and all it reaches leaves the others, which are
@@ -273,11 +287,26 @@ def similar_links(found: DataFrame, *, similarity: float) -> DataFrame:
     """(a, b): links between nodes of found(nid, s0, ...), no two of them with equal fingerprints.
 
     A pair is a link if the cosine that its differing bits stand for reaches the
-    similarity.  All nodes that share a variant are compared, however many they are; of
+    similarity.  All nodes that share a cut are compared, however many they are; of
     their links those are returned that connect all that links connect.
     """
     most = int(64 * WORDS * np.arccos(similarity) / np.pi)
     names = [f"s{k}" for k in range(WORDS)]
+    chosen = cuts(found.count(), most)
+    schema = "key long, nid long, " + ", ".join(f"{c} long" for c in names)
+
+    def cut(batches):
+        n, width = chosen.shape
+        powers, base = 1 << np.arange(width, dtype=np.int64), np.arange(n, dtype=np.int64) << width
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                words = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
+                bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+                keys = bits[:, chosen.ravel()].reshape(len(batch), n, width) @ powers + base
+                spread = [np.repeat(c, n) for c in (batch.column(0).to_numpy(zero_copy_only=False), *words.T)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *map(pa.array, spread)], names=["key", "nid", *names])
+
     def compare(batches):
         def links_of(parts):
             key, nid, words = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -298,8 +327,7 @@ def similar_links(found: DataFrame, *, similarity: float) -> DataFrame:
         if held:
             yield links_of(held)
 
-    variant = f"transform(array({', '.join(_segment(j) for j in range(SEGMENTS))}), (x, j) -> transform(sequence(0, {WIDTH - 1}), i -> shiftleft(cast(j * {WIDTH} + i as bigint), {WIDTH}) | (x & ~shiftleft(1L, i))))"
-    index = found.select(F.explode(F.expr(f"flatten({variant})")).alias("key"), "nid", *names)
+    index = found.select("nid", *names).mapInArrow(cut, schema)
     return index.repartition("key").sortWithinPartitions("key", "nid").mapInArrow(compare, "a long, b long").distinct()
 
 

@@ -254,3 +254,31 @@ def test_linked_compares_all_with_one_key(size):
     i, j = simhash._linked(np.zeros(size, np.int64), words, 78)
     assert near[i, j].all() and len(i) == size - len(want)
     assert all(any({a, b} <= g for g in want) for a, b in zip(i.tolist(), j.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("differ", [78, 70, 58])
+def test_similar_links_recall(spark, differ):
+    rng = np.random.default_rng(differ)
+    x = rng.integers(0, 1 << 64, (2000, 7), dtype=np.uint64)
+    got = {(r.a, r.b) for r in simhash.similar_links(wide(spark, np.concatenate([x, flipped(rng, x, differ)])), similarity=0.8).collect()}
+    assert got <= {(i, i + 2000) for i in range(2000)}
+    assert len(got) >= 0.98 * 2000
+
+
+def test_representatives_recall(spark):
+    """Isolated pairs whose five-word shingles have a Jaccard similarity of 0.80 to 0.85, counted by brute force."""
+    rng, rows = random.Random(8), []
+    cut = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    while len(rows) < 800:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(150, 260))]
+        other = list(words)
+        while True:
+            other[rng.randrange(len(other))] = f"v{rng.randrange(10**6)}"
+            a, b = cut(words), cut(other)
+            if (same := len(a & b) / len(a | b)) <= 0.85:
+                break
+        if same >= 0.8:
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    stay = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i in range(0, 800, 2)} <= stay
+    assert len(stay) <= 400 + 0.01 * 400
