@@ -12,7 +12,7 @@ A code length depends on the last ``order`` + 1 bytes only, so the trees of all
 languages become one table from byte strings to a row of costs; texts are scored by
 looking up every byte of the whole text, in NumPy, without a shuffle.
 
-Training takes a bounded sample: at most ``max_docs`` labelled documents of each
+Training takes a bounded sample: at most ``max_docs`` different labelled texts of each
 language, chosen by the hash of their text.  The sample is what the driver gathers and
 the tables made from it are what is broadcast; both are bounded by it.
 """
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import checkpointed
 from .textbatch import chunks, mix, utf8
 
 ORDER = 4
@@ -151,30 +152,33 @@ class Trees:
 
 
 def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", order: int = ORDER, max_docs: int = MAX_DOCS, max_languages: int = MAX_LANGUAGES) -> Trees:
-    """Context trees from at most max_docs texts of each language.
+    """Context trees from at most max_docs different texts of each language.
 
-    Rows with null text or language are not used.  The rows of each language are
-    thinned by the hash of their text to about twice the number wanted before the
-    smallest hashes are taken, so no task gathers a whole language.  More than
-    max_languages languages are an error; with none, every text is ``und``.
+    Rows with null text or language are not used; copies of a text count once in each
+    language.  The hashes of the different texts of a language are thinned to about
+    twice the number wanted before the smallest are taken, so no task gathers a whole
+    language and every language with a text is learned.  More than max_languages
+    languages are an error; with none, every text is ``und``.
     """
     rows = labelled.select(F.col(lang).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")
-    counts = rows.groupBy("l").count().orderBy("l").limit(max_languages + 1).collect()
+    hashed = rows.withColumn("h", F.xxhash64("t"))
+    different = checkpointed(hashed.select("l", "h").distinct())
+    counts = different.groupBy("l").count().orderBy("l").limit(max_languages + 1).collect()
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
         return Trees({}, order)
     share = F.create_map(*[x for r in counts for x in (F.lit(r.l), F.lit(min(1.0, (2 * max_docs + 50) / r["count"])))])
-    hashed = rows.withColumn("h", F.xxhash64("t"))
-    thin = hashed.where(F.pmod("h", F.lit(1_000_003)) < share[F.col("l")] * 1_000_003)
+    thin = different.where(F.pmod("h", F.lit(1_000_003)) < share[F.col("l")] * 1_000_003)
     parts = [thin.where(F.col("l") == r.l).orderBy(F.pmod("h", F.lit(1_000_003)), "h").limit(max_docs) for r in counts]
     samples: dict[str, list[str]] = {r.l: [] for r in counts}
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    for r in whole.collect():
+    # At most max_docs hashes of each language, so the chosen side is bounded.
+    for r in hashed.join(F.broadcast(whole), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t")).collect():
         samples[r.l].append(r.t)
-    return Trees({k: sorted(v) for k, v in samples.items() if v}, order)
+    return Trees({k: sorted(v) for k, v in samples.items()}, order)
 
 
 def identify(docs: DataFrame, trees: Trees, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

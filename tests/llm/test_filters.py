@@ -138,6 +138,18 @@ def test_language_edges(spark):
         language.fit(train, max_languages=1)
 
 
+def test_language_copies_count_once(spark):
+    names = [f"l{i}" for i in range(8)]
+    train = spark.range(16000).select(F.concat(F.lit("text of "), (F.col("id") % 8).cast("string")).alias("text"), F.concat(F.lit("l"), (F.col("id") % 8).cast("string")).alias("lang"))
+    assert language.fit(train, max_docs=1).languages == names
+    texts = [f"words {i} of a text" for i in range(40)]
+    copies = [("the one that is copied", "a")] * 90 + [(t, "a") for t in texts] + [("andere", "b")]
+    got = language.fit(spark.createDataFrame(copies, "text string, lang string"), max_docs=60)
+    want = language.Trees({"a": sorted({t for t, lang in copies if lang == "a"}), "b": ["andere"]})
+    data, offsets = utf8(pa.array([*texts, "the one", "zzz"]))
+    assert np.allclose(got.bits(data, offsets), want.bits(data, offsets))
+
+
 # Licences
 
 
