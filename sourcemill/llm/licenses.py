@@ -1,8 +1,10 @@
 """License scans by sentence-rule recognition, on DataFrame functions alone.
 
-Texts are cut into sentences at line ends and after a full stop, semicolon or colon
-that is followed by a space; a sentence is normalised (lower case, runs of anything but
-letters and digits become one space).  Sentences that stand in a fixed table get its
+Texts are cut at blank lines (of comment marks too) and after a full stop, semicolon or
+colon that is followed by space; a single line end is a space, as licence texts are
+wrapped.  A sentence is normalised (lower case, runs of anything but letters and digits
+become one space, so comment marks go).  Known sentences that stand in one as whole
+words, whatever comes before or after them, get their
 identifier; the others are dropped.  The identifiers of a document, in order, form a
 sequence, and a rule fits where its own identifiers occur in that sequence in order,
 without another identifier between them.  Rules are ordered: each part of the sequence
@@ -11,7 +13,7 @@ is claimed by the first rule that fits, so a long licence text wins over its sho
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Known licence sentences, normalised, with their identifiers.
@@ -69,11 +71,15 @@ RULES = (
     ("All-Rights-Reserved", ("reserved",)),
 )
 
-_CUT = r"\r?\n|(?<=[.;:])[ \t]+"
-
+# Further wordings of the real notices, which the SQL does not have.
+WORDINGS = {
+    "gnu general public license as published by the free software foundation either version 3 of the license": "gpl3",
+    "gnu general public license as published by the free software foundation version 3": "gpl3",
+    "apache license 2 0": "apache2",
+    "software is provided by the copyright holders and contributors as is": "as-is",
+}
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+_CUT = r"(?<=[.;:])\s++|\n(?:[^\p{L}\p{N}\n]*+\n)++"
 
 
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sentences=None, rules=RULES) -> DataFrame:
@@ -81,18 +87,17 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sentenc
 
     ``sequence`` has the identifiers in text order, joined by spaces; ``licenses`` the
     distinct licences claimed, sorted, joined by spaces; ``n_sentences`` the known ones.
-    Two known sentences that are cut apart only by length (a licence name with a version
-    number) are one sentence, since a full stop inside a number is not followed by a
-    space.  Null and empty texts and texts without a known sentence give no row;
+    Of known sentences that begin at the same word the longest counts, and none
+    overlaps another.  A full stop inside a number does not cut, since no space follows it.  Null and empty texts and texts without a known sentence give no row;
     repeated rows each get theirs; all the work on a row happens in that row.
     """
-    known = sentences or SENTENCES
+    known = sentences or SENTENCES | WORDINGS
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    # Only sentences near the length of a known one are normalised: the longest known one
-    # with as much again for the characters that normalising drops.
-    longest = 2 * max(map(len, known))
-    cut = F.filter(F.split(F.col(text), _CUT), lambda s: F.length(s).between(3, longest))
-    ids = F.filter(F.transform(cut, lambda s: F.try_element_at(table, normalised(s))), lambda x: x.isNotNull())
+    words = "|".join(sorted(known, key=len, reverse=True))
+    # A control character stands at the cuts, so no known sentence reaches over one.
+    marked = F.regexp_replace(F.lower(F.regexp_replace(F.col(text), _CUT, "\x01")), r"[^\p{L}\p{N}\x01]+", " ")
+    spaced = F.concat(F.lit(" "), F.replace(marked, F.lit("\x01"), F.lit(" \x01 ")), F.lit(" "))
+    ids = F.transform(F.regexp_extract_all(spaced, F.lit(f"(?<= )(?:{words})(?= )"), F.lit(0)), lambda s: F.try_element_at(table, s))
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), ids.alias("ids")).where(F.size("ids") > 0)
     rows = rows.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" ")).alias("left"), F.array_join("ids", " ").alias("sequence"))
     # Each rule in order claims its part of the sequence; a bar stands where it was.

@@ -168,6 +168,39 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+    bsd = """Copyright (c) 2020, Somebody. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+    commented = "\r\n".join(f" * {line}".rstrip() for line in mit.splitlines())
+    rows = [(1, mit), (2, commented), (3, gpl), (4, bsd), (5, "This file is released under the MIT license"), (6, "We like the MIT\n\nLicense plates. Permit license."), (7, "x" * 2000 + " is under the MIT\n# license " + "y" * 2000)]
+    got = rows_of(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "sequence", "licenses"))
+    assert got == [
+        (1, "mit-grant mit-notice as-is", "MIT"), (2, "mit-grant mit-notice as-is", "MIT"), (3, "gpl3 gpl-copy", "GPL-3.0"),
+        (4, "reserved bsd-grant", "BSD-3-Clause"), (5, "mit", "MIT"), (7, "mit", "MIT"),
+    ]
+
+
 # Decontamination
 
 
