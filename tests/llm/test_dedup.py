@@ -57,19 +57,41 @@ def brute_suffixes(rows, depth=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("seed", "group"), [(1, 100_000), (2, 2)])
-def test_suffixes(spark, seed, group, monkeypatch):
-    monkeypatch.setitem(suffixes.repeated_spans.__kwdefaults__, "group", group)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "15")
-    try:
-        rows = corpus(seed) + [(7, "another text under an id that occurs twice")]
-        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(1)).repartition(3)
-        assert sorted([tuple(r) for r in suffixes.dedup_suffixes(df).collect()], key=str) == brute_suffixes(rows)
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+@pytest.mark.parametrize(("seed", "hot", "block"), [(1, 1024, 1 << 20), (2, 1, 900), (3, 2, 500)])
+def test_suffixes(spark, seed, hot, block):
+    rows = corpus(seed) + [(7, "another text under an id that occurs twice")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(1), "block": F.lit("x"), "row": F.lit(2)}).repartition(3)
+    assert sorted([tuple(r) for r in suffixes.dedup_suffixes(df, hot=hot, block_bytes=block).collect()], key=str) == brute_suffixes(rows)
     assert suffixes.dedup_suffixes(df.limit(0)).count() == 0
 
 
+def test_suffixes_of_long_periodic_texts(spark):
+    letters, rules = "a" * 1_000_000, ("-" * 70 + "\n") * 14_000
+    rows = [(1, letters), (2, letters + "b"), (3, "x" + rules), (4, rules + "y"), (5, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.dedup_suffixes(df).collect()}
+    n = len(rules)
+    assert got == {1: (1_000_000, 0, 0), 2: (1_000_001, 1_000_000, 1), 3: (n + 1, 0, 0), 4: (n + 1, n, 1), 5: (5, 0, 0)}
+
+
+def test_suffixes_are_sorted_by_all_their_bytes():
+    rng = np.random.default_rng(5)
+    data = np.frombuffer(bytes(rng.integers(97, 99, 4000).astype(np.uint8)) + b"ab" * 300, np.uint8)
+    place, ids = rng.permutation(len(data) - 20)[:2000], rng.integers(0, 9, 2000)
+    for depth in (1, 7, 8, 20):
+        first = {}
+        for p, i in zip(place, ids, strict=True):
+            first[bytes(data[p : p + depth])] = min(first.get(bytes(data[p : p + depth]), 99), i)
+        assert suffixes.radix(data, place, ids, depth).tolist() == [i > first[bytes(data[p : p + depth])] for p, i in zip(place, ids, strict=True)]
+
+
+def test_a_hot_anchor_is_dealt_by_its_windows(spark):
+    line = "a line that very many documents share, in other surroundings each time it is found"
+    rows = [(i, f"{i * 7919:09d} {line} {i * 104729:09d} and some more of it") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    assert sorted([tuple(r) for r in suffixes.dedup_suffixes(df, hot=3).collect()], key=str) == brute_suffixes(rows)
+
+
 def test_without_repeats_keeps_columns(spark):
     base = "this passage is long enough to be found again, more than fifty bytes of it"
     df = spark.createDataFrame([(1, f"x {base}", "a"), (2, f"{base} y", "b"), (3, None, "c")], "doc_id long, text string, th string")
