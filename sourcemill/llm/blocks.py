@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .spans import LAST, pieces, written
 from .textbatch import utf8
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def squeeze(*columns: np.ndarray) -> bytes:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, beside, blocks_of, copies_in, expand, squeeze, steps, unpacked
-from .textbatch import Spans, mix, utf8
+from .textbatch import Spans, chunks, mix, utf8
 
 DEPTH = 50
 GRAM = 28
@@ -43,7 +43,7 @@ HOT = 1024
 BUCKET_BYTES = 48 << 20
 _PIECE = 1 << 18
 _SLICE = 1 << 16
-_LOW = np.uint64(63)
+_LOW, _ANY = np.uint64(63), np.uint64(0xA0761D6478BD642F)
 #: A second, independent hash reads the bytes through this table.
 _OTHER = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED270B))
 
@@ -112,14 +112,19 @@ def _runs(data: np.ndarray, valid: np.ndarray, depth: int, gram: int):
         head = np.append(True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1))
         first = np.flatnonzero(head)
         last = at[np.append(first[1:], len(at)) - 1]
-        yield g[anchor[first]], anchor[first] + start, at[first] + start, last + start, spans.hash(at[first], last + depth)
+        # The smallest of many hashes is small; mixed once more, it is any.
+        yield mix(g[anchor[first]] ^ _ANY), anchor[first] + start, at[first] + start, last + start, spans.hash(at[first], last + depth)
 
 
 def _slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of many spans one after the other, and their offsets."""
     n = ends - starts
     offsets = np.concatenate([[0], np.cumsum(n)])
-    return data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], n)], offsets
+    out = np.empty(offsets[-1], data.dtype)
+    for a, b in chunks(offsets, _PIECE):
+        x, y = offsets[a], offsets[b]
+        out[x:y] = data[np.arange(x, y) + np.repeat(starts[a:b] - offsets[a:b], n[a:b])]
+    return out, offsets
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +243,8 @@ def repeated_spans(blocks: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, h
         edges = np.flatnonzero(np.append(True, whole[1:] != whole[:-1]))
         n = np.diff(np.append(edges, len(whole)))
         flag = (n > 1).astype(np.uint8) + (n > hot)
-        flags = [pa.compress(flag[np.searchsorted(whole[edges], p)].tobytes(), codec="zstd", asbytes=True) for p in parts]
+        known = whole[edges]
+        flags = [pa.compress(flag[np.searchsorted(known, p)].tobytes(), codec="zstd", asbytes=True) for p in parts]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": table.column("n"), "flags": pa.array(flags, pa.binary())})
 
     first = held.mapInArrow(anchors, "bucket int, block long, n long, hashes binary")
