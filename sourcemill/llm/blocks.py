@@ -37,11 +37,13 @@ def steps(x: np.ndarray) -> np.ndarray:
 
 
 def blocks_of(docs: DataFrame, doc_id: str, text: str, carry: list[str], *, least: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, n_bytes, ids, digests and payload: docs as a written table of blocks of about block_bytes of text.
+    """block, n_bytes, ids, digests, here and payload: docs as a written table of blocks of about block_bytes of text.
 
     payload holds row (a struct of the carried columns), text and id of the rows; ids and
-    digests (null under ``least`` bytes) are theirs, in order.  A null doc_id is the
-    largest id.  A text is never cut: a longer one is a block of its own.
+    digests are theirs, in order.  here are the places of texts that a smaller id in the
+    block has whole; these, and texts under ``least`` bytes, have no digest, so a text
+    with very many copies has one for each block.  A null doc_id is the largest id.  A
+    text is never cut: a longer one is a block of its own.
     """
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id")
@@ -58,12 +60,19 @@ def blocks_of(docs: DataFrame, doc_id: str, text: str, carry: list[str], *, leas
             data, offsets = utf8(batch.column("text"))
             whole = memoryview(data)
             digests = [hashlib.sha256(whole[a:b]).digest()[:16] if b - a >= least else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            ids, first_of, here = batch.column("id").to_pylist(), {}, []
+            for k, d in zip(ids, digests, strict=True):
+                first_of[d] = min(k, first_of.get(d, k))
+            for at, (k, d) in enumerate(zip(ids, digests, strict=True)):
+                if d is not None and k > first_of[d]:
+                    here.append(at)
+                    digests[at] = None
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(batch)
-            row = {"block": [first + n], "n_bytes": [len(data)], "ids": [batch.column("id").to_pylist()], "digests": [digests], "payload": [sink.getvalue().to_pybytes()]}
+            row = {"block": [first + n], "n_bytes": [len(data)], "ids": [ids], "digests": [digests], "here": [here], "payload": [sink.getvalue().to_pybytes()]}
             n, held, size = n + 1, [], 0
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("payload", pa.binary())]))
+            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("here", pa.list_(pa.int32())), ("payload", pa.binary())]))
 
         for piece in pieces(batches, block_bytes):
             more = len(utf8(piece.column("text"))[0])
@@ -74,7 +83,7 @@ def blocks_of(docs: DataFrame, doc_id: str, text: str, carry: list[str], *, leas
         if held:
             yield block()
 
-    return written(rows.mapInArrow(pack, "block long, n_bytes long, ids array<long>, digests array<binary>, payload binary"))
+    return written(rows.mapInArrow(pack, "block long, n_bytes long, ids array<long>, digests array<binary>, here array<int>, payload binary"))
 
 
 def unpacked(payload) -> pa.RecordBatch:

@@ -42,22 +42,23 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 def cuts(data: np.ndarray, least: int = MIN, bits: int = BITS, most: int = MAX) -> list[int]:
     """Ends of the chunks of one text."""
-    n, out, last = len(data), [], 0
-    if not n:
-        return out
-    for at in (np.flatnonzero(gear(data) >> np.uint32(32 - bits) == 0) + 1).tolist():
+    return _ends((np.flatnonzero(gear(data) >> np.uint32(32 - bits) == 0) + 1).tolist(), 0, len(data), least, most)
+
+
+def _ends(marks: list[int], last: int, end: int, least: int = MIN, most: int = MAX) -> list[int]:
+    """Ends of the chunks of last..end, given where the hash allows one."""
+    out = []
+    for at in marks:
         while at - last > most:
             last += most
             out.append(last)
         if at - last >= least:
             out.append(at)
             last = at
-    while n - last > most:
+    while end - last > most:
         last += most
         out.append(last)
-    if last < n:
-        out.append(n)
-    return out
+    return [*out, end] if last < end else out
 
 
 def _chunks_of(data: np.ndarray, offsets: np.ndarray):
@@ -74,20 +75,7 @@ def _chunks_of(data: np.ndarray, offsets: np.ndarray):
             continue
         early = np.flatnonzero(gear(data[a : min(a + 31, b)]) >> np.uint32(32 - BITS) == 0) + 1 + a
         late = marks[edges[i] : np.searchsorted(marks, b, "right")]
-        last = a
-        ends = []
-        for at in [*early.tolist(), *late.tolist()]:
-            while at - last > MAX:
-                last += MAX
-                ends.append(last)
-            if at - last >= MIN:
-                ends.append(at)
-                last = at
-        while b - last > MAX:
-            last += MAX
-            ends.append(last)
-        if last < b:
-            ends.append(b)
+        ends = _ends([*early.tolist(), *late.tolist()], a, b)
         starts = [a, *ends[:-1]]
         text += [i] * len(ends)
         start += starts
@@ -114,15 +102,14 @@ def duplicate_chunks(rows: DataFrame) -> DataFrame:
                 continue
             text, start, end, halves = (np.concatenate(p) for p in zip(*parts, strict=True))
             # In order of key and position, the first chunk of each digest goes on.
-            order = np.lexsort((start, ths[text], ids[text]))
+            order = np.lexsort((start, ths[text], ids[text], halves[:, 1], halves[:, 0]))
             text, start, end, halves = text[order], start[order], end[order], halves[order]
-            _, lead, of = np.unique(halves[:, 0] ^ mix(halves[:, 1]), return_index=True, return_inverse=True)
+            out = np.append(True, (halves[1:] != halves[:-1]).any(axis=1))
+            lead = np.flatnonzero(out)[np.cumsum(out) - 1]
             key = ids[text], ths[text], start
             own = np.zeros(len(text), dtype=bool)
             for k in key:
-                own |= k != k[lead][of]
-            out = np.zeros(len(text), dtype=bool)
-            out[lead] = True
+                own |= k != k[lead]
             out |= own
             d1, d2 = halves[:, 0].copy(), halves[:, 1].copy()
             d1[own] = mix(ids[text[own]].astype(np.uint64))
@@ -143,7 +130,8 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     texts, kept.  The first occurrence of a chunk, by doc_id and position, always stays.
     Null and empty texts have no chunk and come back empty; a null doc_id comes after
     all others; rows repeated with the same doc_id and text count as one document and each
-    get their row; an empty table gives an empty result.
+    get their row; a very long text is chunked whole; other columns, whatever their
+    names, are not read; an empty table gives an empty result.
     """
     rows = keyed(docs, doc_id, text)
     joined = with_spans(rows, duplicate_chunks(rows), "left", "start", "end")

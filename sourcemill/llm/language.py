@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import checkpointed
@@ -29,6 +29,8 @@ from .textbatch import chunks, mix, utf8
 
 ORDER = 4
 MAX_DOCS = 300
+#: Bytes of training text of each language that the driver gathers.
+MAX_BYTES = 4 << 20
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
 #: What stands before the first byte of a text, as context.
@@ -151,18 +153,19 @@ class Trees:
         return out
 
 
-def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", order: int = ORDER, max_docs: int = MAX_DOCS, max_languages: int = MAX_LANGUAGES) -> Trees:
+def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", order: int = ORDER, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, max_languages: int = MAX_LANGUAGES) -> Trees:
     """Context trees from at most max_docs different texts of each language.
 
-    Rows with null text or language are not used; copies of a text count once in each
-    language.  The hashes of the different texts of a language are thinned to about
-    twice the number wanted before the smallest are taken, so no task gathers a whole
-    language and every language with a text is learned.  More than max_languages
-    languages are an error; with none, every text is ``und``.
+    Rows with null text or language, and texts of more than max_bytes, are not used;
+    copies of a text count once in each language.  The hashes of the different texts of
+    a language are thinned to about twice the number wanted before the smallest are
+    taken, up to max_docs texts and max_bytes of them, so no task gathers a whole language
+    and the sample has a bound in bytes.  More than max_languages languages are an error;
+    with none, every text is ``und``.
     """
-    rows = labelled.select(F.col(lang).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")
+    rows = labelled.select(F.col(lang).alias("l"), F.col(text).alias("t")).where(F.col("l").isNotNull() & (F.octet_length("t") <= max_bytes))
     hashed = rows.withColumn("h", F.xxhash64("t"))
-    different = checkpointed(hashed.select("l", "h").distinct())
+    different = checkpointed(hashed.groupBy("l", "h").agg(F.min(F.octet_length("t")).alias("n")))
     counts = different.groupBy("l").count().orderBy("l").limit(max_languages + 1).collect()
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
@@ -170,11 +173,9 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", order: i
         return Trees({}, order)
     share = F.create_map(*[x for r in counts for x in (F.lit(r.l), F.lit(min(1.0, (2 * max_docs + 50) / r["count"])))])
     thin = different.where(F.pmod("h", F.lit(1_000_003)) < share[F.col("l")] * 1_000_003)
-    parts = [thin.where(F.col("l") == r.l).orderBy(F.pmod("h", F.lit(1_000_003)), "h").limit(max_docs) for r in counts]
+    turn = Window.partitionBy("l").orderBy(F.pmod("h", F.lit(1_000_003)), "h")
+    whole = thin.withColumns({"k": F.row_number().over(turn), "sum": F.sum("n").over(turn)}).where((F.col("k") <= max_docs) & (F.col("sum") <= max_bytes)).select("l", "h")
     samples: dict[str, list[str]] = {r.l: [] for r in counts}
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
     # At most max_docs hashes of each language, so the chosen side is bounded.
     for r in hashed.join(F.broadcast(whole), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t")).collect():
         samples[r.l].append(r.t)
@@ -187,7 +188,9 @@ def identify(docs: DataFrame, trees: Trees, *, doc_id: str = "doc_id", text: str
     score is the posterior of the predicted language under equal priors, from the code
     lengths, and lies between 0 and 1.  A text that is null or has no letter is ``und``
     with score 0; so is every text if no language was learned.  Ties go to the first
-    language by name.  Whole texts are scored; repeated rows each get their row.
+    language by name.  Whole texts are scored, however long; repeated rows each get
+    their row; other columns, whatever their names, are not read; an empty table gives an
+    empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     schema = "doc_id long, lang_pred string, score double, bits_per_byte double"

@@ -8,8 +8,10 @@ over a permutation of its blocks: whole passes first, then the blocks of one mor
 until the rest of the quota is used up.
 
 Documents fall into blocks by hash, and a source gets blocks in proportion to its
-tokens, so that no window ever holds more than about one block or one row for each block
-of a source.  Only one row for each source is gathered, to find the exponent.
+tokens.  Running sums over the blocks of a pass are made on two levels, so no window holds
+more than about one block of documents, one row for each shelf of a pass, or one in 4096
+of its blocks.  To find the exponent, one element for each different size of a source is
+gathered in one row.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ def n_tokens(text: Column) -> Column:
 
 
 def _mass(shares: Column, a: Column, term) -> Column:
-    return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc + term(p, a))
+    return F.aggregate(shares, F.lit(0.0), lambda acc, s: acc + s["n"] * term(s["p"], a))
 
 
 def _entropy(shares: Column, a: Column) -> Column:
@@ -60,16 +62,18 @@ def source_weights(tokens: DataFrame, *, budget: int | None = None, target_entro
     if (target_entropy is None) == (max_repeats is None):
         raise ValueError("give target_entropy or max_repeats")
     sums = tokens.groupBy("source").agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
-    whole = sums.agg(F.sort_array(F.collect_list("tokens")).alias("all"), F.sum("tokens").alias("total")).where("total > 0")
-    whole = whole.withColumn("shares", F.transform("all", lambda t: t / F.col("total"))).withColumn("budget", F.col("total") if budget is None else F.lit(budget).cast("long"))
+    # Sources of one size count together: the array has one element for each different size, not for each source.
+    sizes = sums.groupBy("tokens").agg(F.count("*").alias("n"))
+    whole = sizes.agg(F.sort_array(F.collect_list(F.struct("tokens", "n"))).alias("all"), F.sum(F.col("tokens") * F.col("n")).alias("total"), F.sum("n").alias("sources")).where("total > 0")
+    whole = whole.withColumn("shares", F.transform("all", lambda t: F.struct((t["tokens"] / F.col("total")).alias("p"), t["n"].alias("n")))).withColumn("budget", F.col("total") if budget is None else F.lit(budget).cast("long"))
     if target_entropy is not None:
-        goal = F.log(F.size("shares")) * target_entropy
+        goal = F.log(F.col("sources")) * target_entropy
         exponent = _bisect(F.col("shares"), lambda s, a: _entropy(s, a) >= goal)
     else:
         # Repeats fall as the exponent grows, so the bisection runs on 1 - exponent.
         def within(s: Column, b: Column) -> Column:
             a = 1 - b
-            most = F.array_max(F.transform(s, lambda p: F.pow(p, a - 1)))
+            most = F.array_max(F.transform(s, lambda x: F.pow(x["p"], a - 1)))
             return most * F.col("budget") / F.col("total") / _mass(s, a, lambda p, a: F.pow(p, a)) <= max_repeats
 
         exponent = 1 - _bisect(F.col("shares"), within)
@@ -103,7 +107,8 @@ def mix(
     source exceeds its quota by less than one document.  A null source is a source of
     its own; sources without a token take no part; documents without a token (null,
     empty) cost nothing and are used along with their block; repeated rows are used
-    like different documents; an empty table gives an empty mixture.
+    like different documents; very long texts are counted whole; other columns, whatever
+    their names, are not read; an empty table gives an empty mixture.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_tokens(F.col(text)).alias("tokens"))
     plan = source_weights(rows, budget=budget, target_entropy=target_entropy, max_repeats=max_repeats, block_tokens=block_tokens)
@@ -116,9 +121,16 @@ def mix(
     blocks = dealt.groupBy("source", "block", "passes", "rest").agg(F.sum("tokens").alias("block_tokens"))
     blocks = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("rest") > 0, F.col("passes")).otherwise(F.col("passes") - 1), F.lit(1).cast("long"))))
     blocks = blocks.where("pass >= 0 and (pass < passes or rest > 0)")
-    turn = Window.partitionBy("source", "pass").orderBy(_order(F.lit(seed), F.col("pass").cast("string"), name, F.col("block").cast("string")), "block")
-    blocks = blocks.withColumn("block_rank", F.row_number().over(turn).cast("long"))
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("block_tokens").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # Running sums on two levels: the order of a pass is cut into 4096 shelves, which are summed first.
+    blocks = blocks.withColumn("turn", _order(F.lit(seed), F.col("pass").cast("string"), name, F.col("block").cast("string")))
+    blocks = blocks.withColumn("shelf", F.substring("turn", 1, 3))
+    shelves = blocks.groupBy(F.col("source").alias("s"), F.col("pass").alias("p"), F.col("shelf").alias("h")).agg(F.count("*").alias("n"), F.sum("block_tokens").alias("tokens"))
+    above = Window.partitionBy("s", "p").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    shelves = shelves.select("s", "p", "h", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("rank_before"), F.coalesce(F.sum("tokens").over(above), F.lit(0)).alias("tokens_before"))
+    blocks = blocks.join(shelves, F.col("source").eqNullSafe(F.col("s")) & (F.col("pass") == F.col("p")) & (F.col("shelf") == F.col("h"))).drop("s", "p", "h")
+    turn = Window.partitionBy("source", "pass", "shelf").orderBy("turn", "block")
+    blocks = blocks.withColumn("block_rank", (F.col("rank_before") + F.row_number().over(turn)).cast("long"))
+    blocks = blocks.withColumn("before", F.col("tokens_before") + F.coalesce(F.sum("block_tokens").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     blocks = blocks.withColumn("left", F.when(F.col("pass") < F.col("passes"), F.lit(None).cast("long")).otherwise(F.col("rest") - F.col("before")))
     blocks = blocks.where("left is null or left > 0").select(F.col("source").alias("s"), F.col("block").alias("b"), "pass", "block_rank", "left")
     used = dealt.select("doc_id", "source", "tokens", "block").join(blocks, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))

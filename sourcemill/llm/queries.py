@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunking, decontaminate, language, licenses, mixing, quality, simhash, suffixes, urls, warc
-from .session import shared_dir, table
+from .session import scratch, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = warc.new_folder(shared_dir(spark))
+    folder = warc.new_folder(scratch(spark))
     warc.write_warc(table(spark, sf_dir, "pages"), folder).agg(F.sum("records")).collect()
     return warc.page_records(warc.read_warc(spark, folder))
 
@@ -37,8 +37,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    trees = language.fit(docs.where(~F.coalesce(held_out, F.lit(False))))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    trees = language.fit(docs.where(~held_out))
     found = language.identify(docs, trees)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 

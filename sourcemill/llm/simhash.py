@@ -131,14 +131,17 @@ def near_duplicates(
     Fingerprints at max_distance or less are linked; component_id is the smallest doc_id
     that links reach, itself included.  Texts without words have the fingerprint zero and
     link like any other; repeated rows each get their row; a null doc_id takes part in
-    links but is never a component_id unless the component has no other; an empty table
-    gives an empty result.
+    links but is never a component_id unless the component has no other, which is then
+    null; very long texts are hashed whole; other columns, whatever their names, are not
+    read; an empty table gives an empty result.
     """
     found = checkpointed(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle, seed=seed))
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
     linked = components(links(nodes.select("fp"), max_distance=max_distance))
     rooted = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = rooted.select(F.col("fp").alias("node"), F.min("first").over(Window.partitionBy("root")).alias("component_id"))
+    # A component may be large: its smallest id is summed up first, and joined back.
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = rooted.join(least, "root").select(F.col("fp").alias("node"), "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return found.join(rooted, F.col("fp") == F.col("node")).select("doc_id", hexed, "component_id")
 
@@ -337,7 +340,8 @@ def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     Similarity is the cosine of the shingle counts as the wide fingerprint measures it.
     All columns stay.  Texts with equal fingerprints are one group from the start; all
     texts without words are one group; rows repeated with the same doc_id and text leave
-    one row; a null doc_id comes after all others; an empty table stays empty.
+    one row; a null doc_id comes after all others; very long texts are hashed whole;
+    columns of any name stay as they are; an empty table stays empty.
     """
     rows = keyed(docs, doc_id, text).select("text", "id", "th")
     unique = rows.where("th <> 0").limit(1).count() == 0

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import shared_dir
+from .session import scratch
 from .textbatch import chunks, cover, utf8
 
 LAST = (1 << 63) - 1
@@ -58,7 +58,7 @@ def lists_of(column) -> tuple[np.ndarray, list[np.ndarray]]:
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read again: computed once for several uses."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/spans-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/spans-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

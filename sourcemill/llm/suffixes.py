@@ -213,7 +213,8 @@ def repeated_spans(blocks: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, h
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // bucket_bytes))
     short = np.uint64(64 - min(64, max(33, 10 + int(total).bit_length())))
-    held = beside(blocks.select("block", "payload"), copies_in(blocks))
+    held = beside(blocks.select("block", "payload", "here"), copies_in(blocks))
+    held = held.select("block", "payload", F.concat("here", F.coalesce("gone", F.array().cast("array<int>"))).alias("gone"))
 
     def anchors_of(data, offsets, skipped):
         parts = [(h >> short, *rest) for h, *rest in _runs(data, _valid(offsets, skipped, depth), depth, gram)]

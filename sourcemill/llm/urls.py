@@ -8,18 +8,20 @@ points come from a bounded sample and affect only the balance), every rule goes
 partitions that its interval meets, each partition is sorted, and one sweep keeps a
 stack of the rules whose interval is open.  The rules on the stack are those whose host
 fits; the longest whose path fits decides.  Nothing is broadcast but the cut points,
-and a sweep holds one stack, however many rules or rows there are.
+and a sweep holds one stack with the rules of the hosts that are open.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SEPARATOR = "\x01"
+SEPARATOR, AFTER = "\x01", "\x02"
 #: Sampled keys from which the cut points are taken.
 SAMPLE_KEYS = 20_000
 
@@ -55,7 +57,8 @@ def judge(urls: DataFrame, rules: DataFrame, *, row_id: str = "page_id", url: st
     then that with the longest path, then the smaller verdict; rules with null or empty
     host are ignored, a null path is ``/``.  Without a fitting rule, ``rule`` is null and
     ``verdict`` the default.  Null urls and urls without ``://`` have an empty host and
-    path, which no rule fits.  Repeated rows each get their row; empty tables are fine.
+    path, which no rule fits.  Repeated rows each get their row; very long urls are judged
+    whole; other columns, whatever their names, are not read; empty tables are fine.
     """
     spark = urls.sparkSession
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -66,21 +69,21 @@ def judge(urls: DataFrame, rules: DataFrame, *, row_id: str = "page_id", url: st
     held = rules.where("host is not null and host <> ''").select(
         F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("rule_host"), F.coalesce("path", F.lit("/")).alias("rule_path"), F.col("verdict").alias("rule_verdict")
     ).dropDuplicates().withColumn("key", reversed_key("rule_host"))
-    total = rows.count()
-    thin = max(1, total // SAMPLE_KEYS)
-    sample = sorted(r.place for r in rows.where(F.pmod(F.xxhash64("place"), F.lit(thin)) == 0).select("place").limit(2 * SAMPLE_KEYS).collect())
-    cuts = [sample[len(sample) * k // n] for k in range(1, n)] if sample else []
-    cuts = sorted(set(cuts))
+    # One pass: the keys with the smallest hashes are a random sample of bounded size.
+    sample = sorted(r.place for r in rows.select("place", F.xxhash64("place", "page_id").alias("h")).orderBy("h").limit(SAMPLE_KEYS).collect())
+    cuts = sorted({sample[len(sample) * k // n] for k in range(1, n)} if sample else ())
+    table = np.array(cuts, dtype=object)
 
     @F.pandas_udf("int")
     def part_of(place):
-        return place.map(lambda x: bisect_right(cuts, x))
+        return pd.Series(np.searchsorted(table, place.to_numpy(dtype=object), "right").astype(np.int32), place.index)
 
     def spread(batches):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                first, last = bisect_right(cuts, r["key"]), bisect_right(cuts, r["key"] + "\U0010ffff")
+                # The keys that begin with this one end before the same key with the character after the separator.
+                first, last = bisect_left(cuts, r["key"]), bisect_left(cuts, r["key"][:-1] + AFTER)
                 out += [(p, r["key"], r["key"], r["rule_host"], r["rule_path"], r["rule_verdict"]) for p in range(first, last + 1)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.string()] * 5], strict=True)], names=["part", "key", "place", "host", "path", "rule_verdict"])
@@ -90,9 +93,21 @@ def judge(urls: DataFrame, rules: DataFrame, *, row_id: str = "page_id", url: st
     both = spread_rules.withColumn("page_id", F.lit(None).cast("long")).withColumn("kind", F.lit(0)).unionByName(
         rows.select(part_of("place").alias("part"), "key", "place", "host", "path", F.lit(None).cast("string").alias("rule_verdict"), "page_id", F.lit(1).alias("kind"))
     )
-    swept = both.repartition(n, "part").sortWithinPartitions("part", "key", "kind", "place")
+    swept = both.repartitionById(n, F.col("part")).sortWithinPartitions("part", "key", "kind", "place")
     schema = "page_id long, host string, path string, rule string, verdict string"
 
+    def best(stack, host, path):
+        """Rule and verdict: paths are looked up by their length, the longest first, so a host may have very many rules."""
+        for _, by_host, lengths in reversed(stack):
+            # The host is checked as well, since a host may hold the separator itself.
+            fits = {h: p for h, p in by_host.items() if host == h or host.endswith("." + h)}
+            for length in lengths if fits else ():
+                if -length <= len(path):
+                    for h, paths in fits.items():
+                        if path[:-length] in paths:
+                            return h + path[:-length], paths[path[:-length]]
+        return None
+
     def sweep(batches):
         part, stack = None, []
         for batch in batches:
@@ -104,15 +119,16 @@ def judge(urls: DataFrame, rules: DataFrame, *, row_id: str = "page_id", url: st
                 while stack and not key.startswith(stack[-1][0]):
                     stack.pop()
                 if kind == 0:
-                    if stack and stack[-1][0] == key:
-                        stack[-1][1].append((path, verdict, host))
-                        stack[-1][1].sort(key=lambda x: (-len(x[0]), x[0], x[1] or ""))
-                    else:
-                        stack.append((key, [(path, verdict, host)]))
+                    if not stack or stack[-1][0] != key:
+                        stack.append((key, {}, []))
+                    by_host, lengths = stack[-1][1:]
+                    paths = by_host.setdefault(host, {})
+                    if path not in paths or (verdict or "") < (paths[path] or ""):
+                        paths[path] = verdict
+                    if (at := bisect_left(lengths, -len(path))) == len(lengths) or lengths[at] != -len(path):
+                        lengths.insert(at, -len(path))
                     continue
-                # The host is checked as well, since a host may hold the separator itself.
-                fits = next((r for _, level in reversed(stack) for r in level if path.startswith(r[0]) and (host == r[2] or host.endswith("." + r[2]))), None)
-                out.append((page, host, path, fits and fits[2] + fits[0], fits[1] if fits else default))
+                out.append((page, host, path, *(best(stack, host, path) or (None, default))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), *[pa.string()] * 4], strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 

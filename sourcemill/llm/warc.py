@@ -23,7 +23,7 @@ MIN_REVISIT_BYTES = 100
 SPLIT_BYTES = 32 << 20
 _BLOCK = 1 << 20
 _MAGIC = b"\x1f\x8b\x08"
-_HEADER_LIMIT = 64 << 10
+_HEADER_LIMIT = 256 << 20
 _DATE = "1970-01-01T00:00:00Z"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -62,15 +62,18 @@ def write_warc(pages: DataFrame, folder: str, *, page_id: str = "page_id", url:
     smallest page_id are responses, the others revisits of it; smaller payloads are
     always responses.  A null html is an empty payload, a null url leaves out the target,
     a null page_id leaves out the page header and is never referred to.  Repeated rows
-    are written each.  A file is written under a name of the attempt and then moved, so a
+    are written each; very long pages and urls are written whole; other columns,
+    whatever their names, are not read; an empty table gives no file.  A file is written under a name of the attempt and then moved, so a
     task that runs again replaces it whole.
     """
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     firsts = rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    rows = rows.join(firsts.drop("n"), F.col("digest") == F.col("d"), "left")
-    refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None).cast("long")).otherwise(F.col("first"))
+    # Digests meet without their payloads; the payloads are then dealt by page and digest, so copies of one page spread.
+    copies = rows.select("page_id", "digest").join(firsts.drop("n"), F.col("digest") == F.col("d"))
+    refers = copies.where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("p"), "d", F.col("first").alias("refers")).distinct()
+    rows = rows.join(refers, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
 
     def write(batches):
         from pyspark import TaskContext
@@ -93,7 +96,7 @@ def write_warc(pages: DataFrame, folder: str, *, page_id: str = "page_id", url:
             files.move(draft, path)
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [records], "bytes": [size]})
 
-    return rows.select("page_id", "url", "payload", "digest", refers.alias("refers")).mapInArrow(write, "path string, records long, bytes long")
+    return rows.select("page_id", "url", "payload", "digest", "refers").mapInArrow(write, "path string, records long, bytes long")
 
 
 class _Window:

@@ -100,7 +100,17 @@ def test_without_repeats_keeps_columns(spark):
 
 def brute_chunks(rows, min_run):
     data = [(INF if d is None else d, (t or "").encode(), d) for d, t in rows]
-    ends = lambda b: chunking.cuts(np.frombuffer(b, np.uint8))
+
+    def ends(b):
+        """The gear rule, byte by byte."""
+        out, last, h = [], 0, 0
+        for at, x in enumerate(b, 1):
+            h = ((h << 1) + int(chunking._GEAR[x])) & 0xFFFFFFFF
+            if (at - last >= chunking.MIN and h >> 32 - chunking.BITS == 0) or at - last == chunking.MAX:
+                out.append(at)
+                last = at
+        return out + [len(b)] * (last < len(b))
+
     first = {}
     for d, b, _ in data:
         p = 0
@@ -127,8 +137,10 @@ def brute_chunks(rows, min_run):
 
 
 def test_chunks(spark):
-    rows = corpus(3)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rng = random.Random(9)
+    long = "".join(chr(rng.randrange(97, 123)) for _ in range(60_000))
+    rows = [*corpus(3), (70, long), (71, "x" + long[:50_000]), (72, "a" * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(1), "row": F.lit("x"), "start": F.lit(2)}).repartition(3)
     assert sorted([tuple(r) for r in chunking.dedup_substrings(df).collect()], key=str) == brute_chunks(rows, chunking.MIN_RUN)
     assert chunking.dedup_substrings(df.limit(0)).count() == 0
 

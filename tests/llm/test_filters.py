@@ -1,6 +1,7 @@
 """Quality rules, language ID, licences, decontamination, URL filters, archives and mixing on small fixtures."""
 
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -216,9 +217,8 @@ def brute_leaks(docs, items, window=13, identity=0.8):
                 pairs = [(p, p + shift) for p in range(len(x)) if 0 <= p + shift < len(w)]
                 if size and len(pairs) >= size and pairs:
                     same = [x[p] == w[q] for p, q in pairs]
-                    seeded = any(all(k + m < len(same) and same[k + m] for m in mask) for mask in decontaminate.MASKS for k in range(len(same)))
-                    good = [k for k in range(len(same) - size + 1) if sum(same[k : k + size]) >= identity * size]
-                    if seeded and good:
+                    good = [k for k in range(len(same) - size + 1) if sum(same[k : k + size]) >= identity * size - 1e-9]
+                    if good and len(x) >= 3:
                         out[d, i] = max(out.get((d, i), 0), sum(same[good[0] : good[-1] + size]))
     return out
 
@@ -226,17 +226,17 @@ def brute_leaks(docs, items, window=13, identity=0.8):
 def test_decontamination(spark):
     rng = random.Random(3)
     words = [f"w{k}" for k in range(400)]
-    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([5, 9, 12, 20, 40])))) for i in range(12)] + [(50, None), (51, ""), (52, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w1")]
+    items = [(i, " ".join(rng.choice(words) for _ in range(k))) for i, k in enumerate([2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 20, 40])] + [(50, None), (51, ""), (52, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w1")]
     docs = []
-    for d in range(60):
+    for d in range(150):
         text = [rng.choice(words) for _ in range(rng.randrange(60))]
         if rng.random() < 0.6:
             part = (rng.choice(items)[1] or "").split()
-            part = [rng.choice(words) if rng.random() < 0.1 else w for w in part][rng.randrange(3) :]
+            part = [rng.choice(words) if rng.random() < 0.15 else w for w in part][rng.choice([0, 0, 1, 2]) :]
             k = rng.randrange(len(text) + 1)
             text[k:k] = [w.upper() + rng.choice(["", ",", "."]) for w in part]
         docs.append((d, " ".join(text)))
-    docs += [(100, None), (101, ""), (102, items[9][1] + " " + items[9][1])]
+    docs += [(200, None), (201, ""), (202, items[9][1] + " " + items[9][1]), (203, ("word " * 40_000) + items[14][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("x"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute_leaks(docs, items)
@@ -248,6 +248,35 @@ def test_decontamination(spark):
         assert clean.columns == df.columns
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0
+    unnamed = spark.createDataFrame([(None, items[13][1])], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.decontaminate(df, unnamed).collect()} == {d for d, _ in docs} - {d for d, i in want if i == 13}
+
+
+def test_masks_miss_every_allowed_set_of_substitutions():
+    for words in range(3, 60):
+        for window, identity in ((13, 0.8), (8, 0.7), (50, 0.8)):
+            size, most = decontaminate._rule(words, window, identity)
+            masks = decontaminate.masks_for(size, most)
+            assert all(len(m) >= 2 for m in masks) or size < 4
+            for gone in itertools.combinations(range(size), most):
+                assert any(not {p + at for p in m} & set(gone) for m in masks for at in range(size - m[-1]))
+
+
+def test_decontamination_finds_all_substituted_passages(spark):
+    rng = random.Random(8)
+    words = [f"v{k}" for k in range(3000)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(k))) for k in range(5, 20)]
+    docs, want = [], set()
+    for k, text in items:
+        for _ in range(20):
+            part = text.split()
+            size = min(13, k)
+            for p in rng.sample(range(k), 2 if size >= 10 else 1):
+                part[p] = "other"
+            want.add((len(docs), k))
+            docs.append((len(docs), " ".join([*rng.choices(words, k=30), *part, *rng.choices(words, k=30)])))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert want <= {(r.doc_id, r.item_id) for r in got.collect()}
 
 
 # URL filters
