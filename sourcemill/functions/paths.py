@@ -79,7 +79,7 @@ def ancestors(path: Column, most: int = 64) -> Column:
 
 def order_key(path: Column) -> Column:
     """A text whose byte order puts ``/`` before every other character."""
-    return F.translate(path, "/", "\x00")
+    return F.replace(path, F.lit("/"), F.lit("\x00"))
 
 
 def file_uri(path: Column) -> Column:

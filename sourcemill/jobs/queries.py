@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, paths, text
 from ..operators import compare, diff, fixes, graph, imports, lint, lines, markup, names, report, spans
+from ..operators.session import shared_dir
 from ..sources import files as sources
 from . import adapters as a
 from . import incremental
@@ -30,6 +33,35 @@ def query(sql: str | None = None):
 
 # A: sources and file selection
 
+_FOLDERS = ("node_modules/x/", "_private/", ".hidden/", "pkg/vendor/", "src/a/b/", "")
+
+
+def _tree(spark, sf_dir) -> str:
+    """The documents as files of a tree in the shared folder, some of them in folders that a listing skips."""
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+
+    def write(batches):
+        folder, n = sources.filesystem(root)[1], 0
+        for batch in batches:
+            files = sources.filesystem(root)[0]
+            for path, text_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                files.create_dir(f"{folder}/{path}".rpartition("/")[0], recursive=True)
+                with files.open_output_stream(f"{folder}/{path}") as f:
+                    f.write(text_.encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    folder = F.element_at(F.array(*map(F.lit, _FOLDERS)), (F.col("doc_id") % 6 + 1).cast("int"))
+    d = a.table(spark, sf_dir, "documents").where("text is not null")
+    d.select(F.concat(folder, F.lit("__init__"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return root
+
+
+@query(f"SELECT {list(_FOLDERS)}[doc_id % 6 + 1] || '__init__' || doc_id || '.py' AS path, text AS source, true AS valid FROM documents WHERE text IS NOT NULL AND doc_id % 6 NOT IN (0, 3)")
+def a1_read_sources(spark, sf_dir):
+    return sources.read_sources(spark, _tree(spark, sf_dir))
+
+
 _EXT = "regexp_extract(path, '\\.([^./]*)$', 1)"
 
 
@@ -296,17 +328,29 @@ def c8_mask_spans(spark, sf_dir):
     return spans.mask_spans(regions, holes).select("file_id", "region", "text")
 
 
-@query()
+def _inside(opening: str, closing: str) -> str:
+    """Offset and length in bytes, in SQL, of what stands between two marks that each page has once."""
+    before = f"split_part(html, '{opening}', 1)"
+    return f"octet_length(encode({before})) + {len(opening)} AS \"offset\", octet_length(encode(split_part(substr(html, length({before}) + {len(opening) + 1}), '{closing}', 1))) AS length"
+
+
+@query(f"SELECT page_id, 0 AS ordinal, 'style' AS kind, {_inside('<style>', '</style>')}, NULL AS tag, 0 AS n_holes FROM pages UNION ALL SELECT page_id, 1, 'script', {_inside('<script>', '</script>')}, NULL, 0 FROM pages")
 def c9_markup_regions(spark, sf_dir):
-    return markup.markup_regions(a.table(spark, sf_dir, "pages"))
+    found = markup.markup_regions(a.table(spark, sf_dir, "pages"), tags={"x-data": "data", "@*": "on"})
+    return found.withColumn("n_holes", F.size("holes")).drop("holes")
 
 
-@query()
+@query(f"SELECT page_id, 0 AS ordinal, 'html' AS kind, \"offset\" - 4 AS \"offset\", length + 7 AS length FROM (SELECT page_id, {_inside('<!--', '-->')} FROM pages)")
 def c10_comment_spans(spark, sf_dir):
     return markup.comment_spans(a.table(spark, sf_dir, "pages"))
 
 
-@query()
+_ATTRIBUTES = r"""plain AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)(<(?:script|style)>).*?</(?:script|style)>', '\1', 'g') AS p FROM pages),
+tags AS (SELECT page_id, unnest(t) AS body, generate_subscripts(t, 1) - 1 AS tag FROM (SELECT page_id, regexp_extract_all(p, '<([A-Za-z][^>]*)>', 1) AS t FROM plain)),
+pairs AS (SELECT page_id, tag, lower(regexp_extract(body, '^([^\s/>]+)', 1)) AS element, unnest(regexp_extract_all(body, '[^\s="<>/]+="[^"]*"')) AS pair FROM tags)"""
+
+
+@query(f"WITH {_ATTRIBUTES} SELECT page_id, tag, element, lower(split_part(pair, '=', 1)) AS attribute, regexp_extract(pair, '=\"(.*)\"$', 1, 's') AS value FROM pairs")
 def c11_attributes(spark, sf_dir):
     return markup.attributes(a.table(spark, sf_dir, "pages"))
 
@@ -378,10 +422,12 @@ def d7_def_checks(spark, sf_dir):
     return count(names.unused_defs(d, u), "unused").unionByName(count(names.missing_uses(d, u), "missing")).unionByName(names.duplicate_defs(d).withColumn("what", F.lit("duplicate")))
 
 
-@query()
+@query(f"WITH {_ATTRIBUTES} SELECT page_id, 'id' AS kind, regexp_extract(pair, '=\"(.*)\"$', 1) AS name, 'def' AS what FROM pairs WHERE starts_with(pair, 'class=') UNION ALL SELECT page_id, 'id', regexp_extract(pair, '=\"/(.*)\"$', 1), 'use' FROM pairs WHERE regexp_matches(pair, '^href=\"/.')")
 def d6_markup_ids(spark, sf_dir):
-    defs, uses = markup.markup_ids(markup.attributes(a.table(spark, sf_dir, "pages")))
-    return defs.withColumn("what", F.lit("def")).unionByName(uses.withColumn("what", F.lit("use")))
+    # The links of a page as uses, its classes as definitions.
+    html = F.replace(F.replace("html", F.lit('href="/'), F.lit('href="#')), F.lit('class="'), F.lit('id="'))
+    defs, uses = markup.markup_ids(markup.attributes(a.table(spark, sf_dir, "pages").withColumn("html", html)))
+    return defs.withColumn("what", F.lit("def")).unionByName(uses.withColumn("what", F.lit("use"))).drop("tag")
 
 
 _CHAIN = """chain AS (SELECT file_id, scope, scope AS ancestor, 0 AS distance, false AS crossed FROM scopes
@@ -598,7 +644,9 @@ e AS (SELECT doc_id AS src, lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id
 SELECT e.src, e.dst, a.layer AS src_layer, b.layer AS dst_layer FROM e JOIN f a ON a.file_id = e.src JOIN f b ON b.file_id = e.dst WHERE a.layer > b.layer""")
 def e9_layer_violations(spark, sf_dir):
     d = a.table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    edges = d.select(F.col("doc_id").alias("src"), F.lead("doc_id").over(Window.partitionBy("lang").orderBy("doc_id")).alias("dst"))
+    order = sources.numbered(d.select("lang", "doc_id"), "lang", "doc_id", name="place")
+    after = order.select(F.col("lang").alias("l"), (F.col("place") - 1).alias("p"), F.col("doc_id").alias("dst"))
+    edges = order.join(after, (F.col("place") == F.col("p")) & F.col("lang").eqNullSafe(F.col("l")), "left").select(F.col("doc_id").alias("src"), "dst")
     layers = d.select("source").distinct()
     allowed = layers.select(F.col("source").alias("src_layer")).join(layers.select(F.col("source").alias("dst_layer")), F.col("src_layer") < F.col("dst_layer"))
     return graph.layer_violations(edges, a.files(spark, sf_dir).select(F.col("file_id").alias("file"), "path"), allowed)
@@ -952,17 +1000,30 @@ def h2_render_grouped(spark, sf_dir):
     return report.render_grouped(_positioned(spark, sf_dir))
 
 
-@query()
+@query(_PLACED + f""", shown AS (SELECT p.finding_id, l.line, lpad(CAST(l.line + 1 AS VARCHAR), CAST(length(CAST(p."row" + 1 AS VARCHAR)) AS INT), ' ') || ' | ' || l.text || CASE WHEN l.line = p."row" - 1 THEN chr(10) || repeat(' ', length(CAST(p."row" + 1 AS VARCHAR))) || ' | ' || repeat(' ', p."column" - 1) || repeat('^', greatest(1, p.end_column - p."column")) ELSE '' END AS s
+  FROM placed p JOIN lines l ON l.file_id = p.file_id AND l.line BETWEEN p."row" - 2 AND p."row"),
+j AS (SELECT finding_id, string_agg(s, chr(10) ORDER BY line) AS body FROM shown GROUP BY 1)
+SELECT p.finding_id, p.path, p.path || ':' || p."row" || ':' || p."column" || ': ' || code || {_FIX} || ' ' || message || chr(10) || body || chr(10) || CASE WHEN code = 'S001' THEN '- ' || line_text || chr(10) || '+ X' || substr(line_text, 2) || chr(10) ELSE '' END AS text FROM placed p JOIN j ON j.finding_id = p.finding_id""")
 def h2_render_full(spark, sf_dir):
-    return report.render_full(_positioned(spark, sf_dir), lines.explode_lines(a.files(spark, sf_dir)))
+    p = _positioned(spark, sf_dir)
+    return report.render_full(p, lines.explode_lines(a.files(spark, sf_dir)), edits=_edits(p))
 
 
-@query(_PLACED + """ SELECT finding_id, code, "column", end_column, end_row AS end_line, path AS file, applicability IS NOT NULL AS fixable, "row" AS line, message, rule, severity FROM placed""")
+def _edits(p):
+    """The fix of each finding of kind S001: its first letter becomes an X."""
+    return p.where("code = 'S001'").select("finding_id", "file_id", F.lit(0).alias("ordinal"), "offset", F.lit(1).alias("length"), F.lit("X").alias("replacement"))
+
+
+@query(_PLACED + """ SELECT 'https://example.org/sourcemill/rules/' || code AS url, CASE WHEN arrival = 0 THEN 0 ELSE 1 END AS n_related, CASE WHEN arrival > 0 THEN path || ':' || "row" || ':1:' || code END AS first_related, finding_id, code, "column", end_column, end_row AS end_line, path AS file, applicability IS NOT NULL AS fixable, "row" AS line, message, rule, severity FROM placed""")
 def h3_render_json(spark, sf_dir):
-    rows = report.render(_positioned(spark, sf_dir), "json_lines")
-    schema = "code string, column int, end_column int, end_line int, file string, fixable boolean, line int, message string, rule string, severity string"
+    p = _positioned(spark, sf_dir)
+    related = p.where("arrival > 0").select("finding_id", F.lit(0).alias("ordinal"), "path", "row", F.lit(1).alias("column"), F.col("code").alias("message"))
+    rows = report.render(report.with_related_places(p, related), "json_lines")
+    schema = "url string, related array<struct<column:int,file:string,line:int,message:string>>, code string, column int, end_column int, end_line int, file string, fixable boolean, line int, message string, rule string, severity string"
     back = F.from_json("text", schema).alias("j")
-    return rows.select("arrival", back).select((F.regexp_extract("j.file", r"doc_(\d+)", 1).cast("long") * 1000000 + F.col("arrival")).alias("finding_id"), "j.*")
+    return rows.select("arrival", back).select((F.regexp_extract("j.file", r"doc_(\d+)", 1).cast("long") * 1000000 + F.col("arrival")).alias("finding_id"), "j.*").select(
+        "*", F.size("related").cast("int").alias("n_related"), F.expr("concat(get(related, 0).file, ':', get(related, 0).line, ':', get(related, 0).column, ':', get(related, 0).message)").alias("first_related")
+    ).drop("related")
 
 
 @query(_PLACED + f""", fp AS (SELECT *, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(regexp_extract_all(hex(encode(path)) || 'FF' || hex(encode(code)) || 'FF' || hex(encode(trim(line_text))) || 'FF', '..'), lambda x: ('0x' || x)::HUGEINT)), lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM placed)
@@ -973,10 +1034,38 @@ def h4_render_gitlab(spark, sf_dir):
     return rows.select(j).select("j.location.path", "j.check_name", "j.location.lines.begin", "j.fingerprint", "j.severity")
 
 
-@query()
+_RULES = [("S001", "rule-s001", "a short word"), ("S002", "rule-s002", "a long line"), ("S003", "rule-s003", "any other")]
+
+
+@query(_PLACED + """, b AS (SELECT *, row_number() OVER (ORDER BY replace(path, '/', chr(1)), "offset", code, arrival) - 1 AS i FROM placed),
+pos AS (SELECT *, '{"path":"' || path || '","range":{"start":{"line":' || "row" || ',"column":' || "column" || '},"end":{"line":' || end_row || ',"column":' || end_column || '}}}' AS spot FROM b)
+SELECT 'rdjson' AS format, i AS "index", CASE WHEN i = 0 THEN '' ELSE ',' END || '{"code":{"url":"https://example.org/sourcemill/rules/' || code || '","value":"' || code || '"},"location":' || spot || ',"message":"' || message || '","severity":"' || upper(severity) || '","suggestions":[' || CASE WHEN code = 'S001' THEN '{"range":{"end":{"column":2,"line":' || "row" || '},"start":{"column":1,"line":' || "row" || '}},"text":"X"}' ELSE '' END || ']}' AS text FROM pos
+UNION ALL SELECT 'sarif', i, CASE WHEN i = 0 THEN '' ELSE ',' END || '{"level":"' || severity || '","locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || path || '"},"region":{"startLine":' || "row" || ',"startColumn":' || "column" || ',"endLine":' || end_row || ',"endColumn":' || end_column || '}}}],"message":{"text":"' || message || '"},"ruleId":"' || code || '"}' FROM pos
+UNION ALL SELECT 'rdjson', -1, '{"diagnostics":[' UNION ALL SELECT 'rdjson', 9223372036854775807, '],"severity":"WARNING","source":{"name": "sourcemill", "url": "https://example.org/sourcemill"}}'
+UNION ALL SELECT 'sarif', -1, '{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"results":['
+UNION ALL SELECT 'sarif', 9223372036854775807, '],"tool":{"driver":{"informationUri":"https://example.org/sourcemill","name":"sourcemill","rules":[' || string_agg('{"helpUri":"https://example.org/sourcemill/rules/' || c || '","id":"' || c || '","name":"rule-' || lower(c) || '","shortDescription":{"text":"' || s || '"}}', ',' ORDER BY c) || '],"version":"0.1.0"}}}],"version":"2.1.0"}' FROM (VALUES ('S001', 'a short word'), ('S002', 'a long line'), ('S003', 'any other')) v(c, s)""")
 def h5_render_documents(spark, sf_dir):
     p = _positioned(spark, sf_dir)
-    return report.render(p, "rdjson").withColumn("format", F.lit("rdjson")).unionByName(report.render(p, "sarif").withColumn("format", F.lit("sarif"))).select("format", "path", "offset", "text")
+    own = report.with_suggestions(p, _edits(p), lines.explode_lines(a.files(spark, sf_dir)))
+    rules = spark.createDataFrame(_RULES, "code string, name string, summary string")
+    one = lambda f: report.document(report.render(own, f), f, rules).withColumn("format", F.lit(f))
+    return one("rdjson").unionByName(one("sarif"))
+
+
+@query(_PLACED + """, f AS (SELECT p.file_id, l.line FROM placed p JOIN lines l ON l.file_id = p.file_id AND l.line = p.arrival)
+SELECT 'lines' AS name, lang AS language, count(*) AS n FROM lines JOIN documents ON doc_id = file_id GROUP BY lang UNION ALL SELECT 'findings', lang, count(*) FROM f JOIN documents ON doc_id = file_id GROUP BY lang UNION ALL SELECT 'files', NULL, count(*) FROM documents""")
+def h8_dump_tables(spark, sf_dir):
+    """Tables written by dump_tables and read back: rows by table and language."""
+    lang = a.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("lang").alias("language"))
+    tables = {"lines": lines.explode_lines(a.files(spark, sf_dir)).join(lang, "file_id"), "findings": a.placed_findings(spark, sf_dir).join(lang, "file_id"), "files": a.files(spark, sf_dir)}
+    folder = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}"
+    report.dump_tables(tables, folder)
+    out = []
+    for name in tables:
+        back = spark.read.parquet(f"{folder}/{name}")
+        counted = back.groupBy("language").count() if "language" in back.columns else back.agg(F.count("*").alias("count")).withColumn("language", F.lit(None).cast("string"))
+        out.append(counted.select(F.lit(name).alias("name"), "language", F.col("count").alias("n")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query(_PLACED + """ SELECT path, '  <testsuite name="' || path || '" tests="' || count(*) || '" failures="' || count(*) || '">' || chr(10) || string_agg('    <testcase name="' || code || '" line="' || "row" || '" column="' || "column" || '"><failure message="' || message || '"/></testcase>', chr(10) ORDER BY "offset", code, arrival) || chr(10) || '  </testsuite>' AS text FROM placed GROUP BY path""")
@@ -990,6 +1079,12 @@ def h7_statistics(spark, sf_dir):
     return report.statistics(a.placed_findings(spark, sf_dir))
 
 
+@query(_PLACED + """, t AS (SELECT code, count(*) AS n, count(applicability) FILTER (applicability = 'safe') AS f FROM placed GROUP BY 1)
+SELECT '[' || string_agg('{"code":"' || code || '","count":' || n || ',"fixable":' || CASE WHEN n = f THEN 'true' ELSE 'false' END || ',"fixable_count":' || f || ',"name":"rule-' || lower(code) || '","url":"https://example.org/sourcemill/rules/' || code || '"}', ',' ORDER BY n DESC, code) || ']' AS text FROM t""")
+def h7_statistics_json(spark, sf_dir):
+    return report.statistics(a.placed_findings(spark, sf_dir), "json")
+
+
 # I: comparison and coverage
 
 
@@ -1089,13 +1184,8 @@ def j5_edit_batch(spark, sf_dir):
 
 def _streamed(spark, sf_dir: str, name: str, build, mode: str) -> DataFrame:
     """The rows that a stream over a table of sf_dir wrote up to now, with batch: all of its files, then stop."""
-    import uuid
-
-    from ..operators.session import checkpointed
-
     source = spark.readStream.schema(a.table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
-    checkpointed(spark.range(1))  # names the shared folder
-    out = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(df: DataFrame, batch: int) -> None:
         df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/rows/batch={batch}")
@@ -1118,14 +1208,26 @@ def j6_stream_findings(spark, sf_dir):
     return rows.join(F.broadcast(last), F.col("batch") == F.col("last")).select("code", "n")  # one row
 
 
-@query("SELECT 'k' || (o_custkey) AS path, arg_max(o_orderstatus, o_orderkey) AS content_hash, CAST(count(*) AS BIGINT) AS changes FROM orders GROUP BY 1")
+@query("SELECT 'k' || o_custkey AS path, arg_max(o_orderstatus, o_orderkey) AS stamp, 'changed' AS state FROM orders GROUP BY o_custkey")
+def j4_watch_stream(spark, sf_dir):
+    """The last status of each customer's orders as its stamp, all in one micro-batch."""
+    from ..streaming import changes
+
+    def build(orders):
+        return changes.watch_stream(orders.select(F.concat(F.lit("k"), F.col("o_custkey")).alias("path"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("stamp")))
+
+    return _streamed(spark, sf_dir, "orders", build, "update").select("path", "stamp", "state")
+
+
+@query("SELECT 'k' || (o_custkey) AS path, arg_max(o_orderstatus, o_orderkey) AS content_hash, CAST(count(*) AS BIGINT) AS changes, row_number() OVER (ORDER BY min(o_orderkey), 'k' || o_custkey) - 1 AS sequence FROM orders GROUP BY o_custkey")
 def j1_upsert_stream(spark, sf_dir):
     from ..streaming import changes
 
     def build(orders):
-        rows = orders.select(F.concat(F.lit("k"), F.col("o_custkey")).alias("path"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("content_hash"), F.lit("python").alias("language"), F.lit(False).alias("removed"))
+        rows = orders.select(F.concat(F.lit("k"), F.col("o_custkey")).alias("path"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("content_hash"), F.lit("python").alias("language"), F.lit(None).cast("string").alias("flavor"), F.lit(False).alias("removed"))
         return changes.upsert_stream(rows)
 
     rows = _streamed(spark, sf_dir, "orders", build, "update")
-    last = rows.groupBy("path").agg(F.max_by(F.struct("content_hash", "generation", "touched"), "batch").alias("s"))
-    return last.select("path", "s.content_hash", (F.col("s.generation") + F.col("s.touched")).cast("long").alias("changes"))
+    last = rows.groupBy("path").agg(F.max_by(F.struct("content_hash", "generation", "touched", "placed"), "batch").alias("s"))
+    last = changes.with_sequence(last.select("path", "s.*"))
+    return last.select("path", "content_hash", (F.col("generation") + F.col("touched")).cast("long").alias("changes"), "sequence")

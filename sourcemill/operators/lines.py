@@ -60,14 +60,15 @@ def locate(offsets: DataFrame, lines: DataFrame, unit: str = "utf32", offset: st
 
     An as-of join: offsets and line starts are put in one order per file and each offset
     takes the last line at or before it, so a file costs its rows, not their product.
-    An offset beyond its line's end counts as the end; one before the first line as its start.
+    An offset beyond its line's end counts as the end; one before the first line as its start,
+    for which line 0 is marked at offset 0 even where a BOM stands before it.
     """
-    marks = lines.select("file_id", F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.struct("line", "start", "text").alias("_line"))
-    points = offsets.select("file_id", F.col(offset).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_line"].dataType).alias("_line"), F.struct(*[c for c in offsets.columns]).alias("_row"))
+    begin = F.when(F.col("line") == 0, F.lit(0)).otherwise(F.col("start")).cast("long")
+    marks = lines.select("file_id", begin.alias("_at"), F.lit(0).alias("_kind"), F.struct("line", "start", "text").alias("_line"))
+    points = offsets.select("file_id", F.greatest(F.col(offset).cast("long"), F.lit(0)).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_line"].dataType).alias("_line"), F.struct(*[c for c in offsets.columns]).alias("_row"))
     marks = marks.withColumn("_row", F.lit(None).cast(points.schema["_row"].dataType))
     order = Window.partitionBy("file_id").orderBy("_at", "_kind")
-    line = F.coalesce(F.last("_line", True).over(order), F.first("_line", True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    found = marks.unionByName(points).withColumn("_line", line).where("_kind = 1")
+    found = marks.unionByName(points).withColumn("_line", F.last("_line", True).over(order)).where("_kind = 1")
     inside = F.greatest(F.lit(0), F.least(F.col("_at") - F.col("_line.start"), F.octet_length("_line.text"))).cast("int")
     column = _units(_prefix(F.col("_line.text"), inside), unit)
     return found.select(*(F.col(f"_row.{c}").alias(c) for c in offsets.columns), F.col("_line.line").alias("line"), column.alias("column"))

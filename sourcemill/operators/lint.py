@@ -199,17 +199,16 @@ def region_claims(findings: DataFrame, directives: DataFrame) -> DataFrame:
     directives: file_id, directive (its number), kind (file, line, disable, enable), line,
     first, codes, wildcard.  A file directive covers the file and comes first; a line
     directive covers first..line; a disable covers from its line on, unless an enable of
-    the code after it, in number and line, stands at or before the finding.  Instead of a
-    join with the enables, a window finds for each disable and code the first line that
-    reopens it.
+    the code after it stands at or before the finding.  Directives are numbered in the
+    order of their lines.  Instead of a join with the enables, one running window finds
+    for each disable and code the first line that reopens it.
     """
     codes = directives.where("not wildcard").select("file_id", "directive", "kind", "line", "first", F.explode("codes").alias("code"))
     wild = directives.where("wildcard").select("file_id", "directive", "kind", "line", "first").join(findings.select("file_id", "code").distinct(), "file_id")
     d = codes.unionByName(wild.select(codes.columns))
-    later = Window.partitionBy("file_id", "code").orderBy("directive").rowsBetween(1, Window.unboundedFollowing)
-    enables = F.collect_list(F.when(F.col("kind") == "enable", F.col("line"))).over(later)
-    own = F.col("line")
-    d = d.withColumn("until", F.when(F.col("kind") == "disable", F.array_min(F.filter(enables, lambda x: x > own))))
+    # From the last line up, the smallest enable so far is the next one below.
+    later = Window.partitionBy("file_id", "code").orderBy(F.col("line").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("until", F.when(F.col("kind") == "disable", F.min(F.when(F.col("kind") == "enable", F.col("line"))).over(later)))
     hit = (F.col("d.kind") == "file") | ((F.col("d.kind") == "line") & F.col("f.line").between(F.col("d.first"), F.col("d.line")))
     hit = hit | ((F.col("d.kind") == "disable") & (F.col("d.line") <= F.col("f.line")) & (F.col("d.until").isNull() | (F.col("d.until") > F.col("f.line"))))
     rows = findings.alias("f").join(d.where("kind <> 'enable'").alias("d"), (F.col("f.file_id") == F.col("d.file_id")) & (F.col("f.code") == F.col("d.code")) & hit)
@@ -247,18 +246,27 @@ def unused_directives(directives: DataFrame, claims: DataFrame, findings: DataFr
     """file_id, directive, reason and dead codes of directives that do nothing.
 
     reason: unknown (a code that is no rule), closes (an enable that no disable before
-    it opens), dead (never used, or codes that are enabled but were never used).
+    it opens), dead (never used, or codes that are enabled but were never used).  What a
+    disable opened is carried on as running flags, of the file and of each code.
     """
     used = claims.join(findings.select("finding_id", "file_id", "code"), "finding_id").groupBy("file_id", "directive").agg(F.collect_set("code").alias("used"))
     known = enabled.agg(F.collect_set("code").alias("known"), F.collect_set(F.when(F.col("enabled"), F.col("code"))).alias("on"))
     rows = directives.join(used, ["file_id", "directive"], "left").crossJoin(F.broadcast(known))  # one row: the codes of the library
     before = Window.partitionBy("file_id").orderBy("directive").rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.flatten(F.collect_list(F.when(F.col("kind") == "disable", F.when(F.col("wildcard"), F.col("known")).otherwise(F.col("codes")))).over(before))
-    rows = rows.withColumns({"opened": opened, "used": F.coalesce("used", F.array().cast("array<string>"))})
-    own = F.when(F.col("wildcard"), F.col("known")).otherwise(F.col("codes"))
+    disable = F.col("kind") == "disable"
+    every = F.max(disable & F.col("wildcard")).over(before)
+    some = F.max(disable & (F.col("wildcard") | F.arrays_overlap("codes", "known"))).over(before)
+    rows = rows.withColumns({"every": every, "some": some, "used": F.coalesce("used", F.array().cast("array<string>"))})
+    # Of each code: whether a disable names it before.
+    named = directives.where("kind in ('disable', 'enable') and not wildcard").select("file_id", "directive", "kind", F.explode(F.array_distinct("codes")).alias("code"))
+    earlier = Window.partitionBy("file_id", "code").orderBy("directive").rowsBetween(Window.unboundedPreceding, -1)
+    named = named.withColumn("opened", F.max(disable).over(earlier)).where("kind = 'enable'").groupBy("file_id", "directive").agg(F.max("opened").alias("opened"))
+    rows = rows.join(named, ["file_id", "directive"], "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    opens = F.when(F.col("wildcard"), yes("some")).otherwise(yes("opened") | (yes("every") & F.arrays_overlap("codes", "known")))
     dead = F.array_sort(F.array_except(F.array_intersect("codes", "on"), "used"))
     reason = F.when(F.size(F.array_except("codes", "known")) > 0, "unknown")
-    reason = reason.when(F.col("kind") == "enable", F.when(~F.arrays_overlap("opened", own), "closes"))
+    reason = reason.when(F.col("kind") == "enable", F.when(~yes(opens), "closes"))
     reason = reason.when(F.col("wildcard"), F.when(F.size("used") == 0, "dead")).when(F.size(dead) > 0, "dead")
     return rows.withColumn("reason", reason).where("reason is not null").select("file_id", "directive", "reason", F.when((F.col("reason") == "dead") & ~F.col("wildcard"), dead).otherwise(F.array().cast("array<string>")).alias("dead"))
 

@@ -9,32 +9,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Script types that hold JavaScript.
-SCRIPT_TYPES = ("", "module", "text/javascript", "application/javascript", "text/ecmascript", "application/ecmascript", "text/babel")
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b([^>]*)>(.*?)(?=</\1\s*>|\Z)|<[a-z][^>]*?\sstyle\s*=\s*(?:\"([^\"]*)\"|'([^']*)')[^>]*>", re.I | re.S)
-_TYPE = re.compile(r"\btype\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-
-
-def _regions(text: str | None) -> list[tuple[str, int, int]]:
-    out = []
-    for m in _TAG.finditer(text or ""):
-        if m[1]:
-            kind = m[1].lower()
-            t = _TYPE.search(m[2])
-            if kind == "script" and t and (t[1] or t[2] or t[3] or "").strip().lower() not in SCRIPT_TYPES:
-                continue
-            out.append((kind, m.start(3), m.end(3)))
-        elif m.group().startswith("<") and not m.group().startswith("<!--"):
-            g = 4 if m[4] is not None else 5
-            out.append(("attribute", m.start(g), m.end(g)))
-    return out
+SCRIPT_TYPES = ("", "application/ecmascript", "application/javascript", "module", "text/ecmascript", "text/javascript")
+
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S)
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>=`]+))", re.S)
+_HOLE = re.compile(r"\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\}", re.S)
+
+
+def _tag_of(name: str, tags: dict[str, str]) -> str | None:
+    """The tag of an attribute: by its whole name, or by a key that ends with ``*`` and begins it."""
+    return tags.get(name) or next((t for k, t in tags.items() if k.endswith("*") and name.startswith(k[:-1])), None)
+
+
+def _regions(text: str | None, tags: dict[str, str] | None = None) -> list[tuple[str, int, int, str | None]]:
+    """kind, start, end and tag of the embedded code, in order of start and end; none is empty."""
+    text, out, at = text or "", [], 0
+    while m := _TAG.search(text, at):
+        at = m.end()
+        if not m[1]:
+            continue
+        element, script = m[1].lower(), True
+        for x in _ATTRIBUTE.finditer(text, m.start(2), m.end(2)):
+            g = next(k for k in (2, 3, 4) if x[k] is not None)
+            if x[1].lower() == "type" and x[g].strip().lower() not in SCRIPT_TYPES:
+                script = False
+            tag = "style" if x[1].lower() == "style" else _tag_of(x[1], tags or {})
+            if tag and x[g]:
+                out.append(("attribute", x.start(g), x.end(g), tag))
+        if element in ("script", "style"):
+            close = re.compile(rf"</{element}\s*>", re.I).search(text, at)
+            end = close.start() if close else len(text)
+            if end > at and (script or element == "style"):
+                out.append((element, at, end, None))
+            at = end
+    return sorted(out, key=lambda r: (r[1], r[2]))
 
 
 def _comments(text: str | None) -> list[tuple[str, int, int]]:
     text = text or ""
     out = [("html", m.start(), m.end()) for m in re.finditer(r"<!--.*?(?:-->|\Z)", text, re.S)]
     out += [("template", m.start(), m.end()) for m in re.finditer(r"\{#.*?#\}|\{%-?\s*comment\b.*?%\}.*?\{%-?\s*endcomment\s*-?%\}", text, re.S)]
-    for kind, a, b in _regions(text):
+    for kind, a, b, _ in _regions(text):
         if kind == "script":
             out += [("script", a + m.start(), a + m.end()) for m in re.finditer(r"/\*.*?\*/|//[^\n]*", text[a:b], re.S)]
         elif kind == "style":
@@ -43,29 +58,36 @@ def _comments(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def _exploded(pages: DataFrame, find, page: str, html: str) -> DataFrame:
-    @F.pandas_udf("array<struct<kind:string,offset:int,length:int>>")
+    @F.pandas_udf("array<struct<kind:string,offset:int,length:int,tag:string,holes:array<struct<offset:int,length:int>>>>")
     def run(s: pd.Series) -> pd.Series:
         def one(text):
             out = []
-            for kind, a, b in find(text):
+            for kind, a, b, *tag in find(text):
                 at = len(text[:a].encode())
-                out.append({"kind": kind, "offset": at, "length": len(text[a:b].encode())})
+                holes = [{"offset": at + len(text[a : a + m.start()].encode()), "length": len(m.group().encode())} for m in _HOLE.finditer(text[a:b])] if tag else []
+                out.append({"kind": kind, "offset": at, "length": len(text[a:b].encode()), "tag": tag[0] if tag else None, "holes": holes})
             return out
 
         return s.map(one)
 
     rows = pages.select(F.col(page).alias("page_id"), F.posexplode(run(F.coalesce(F.col(html), F.lit("")))).alias("ordinal", "r"))
-    return rows.select("page_id", "ordinal", "r.kind", "r.offset", "r.length")
+    return rows.select("page_id", "ordinal", "r.kind", "r.offset", "r.length", "r.tag", "r.holes")
 
 
-def markup_regions(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
-    """page_id, ordinal, kind (script, style or attribute), offset and length in bytes of the embedded code; scripts of other types and comments hold none."""
-    return _exploded(pages, _regions, page, html)
+def markup_regions(pages: DataFrame, page: str = "page_id", html: str = "html", tags: dict[str, str] | None = None) -> DataFrame:
+    """page_id, ordinal, kind, offset and length in bytes, tag and holes of the embedded code, in order of offset and end.
+
+    kind is script (only types that hold JavaScript), style or attribute; the tag of an
+    attribute is style, or what ``tags`` names it by: attribute names, or their beginning
+    before a ``*``.  holes are the offsets and lengths of template marks inside.  Empty
+    regions are none; comments hold none.
+    """
+    return _exploded(pages, lambda text: _regions(text, tags), page, html)
 
 
 def comment_spans(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
     """page_id, ordinal, kind (html, template, script or style), offset and length in bytes of the comments."""
-    return _exploded(pages, _comments, page, html)
+    return _exploded(pages, _comments, page, html).drop("tag", "holes")
 
 
 _ISLANDS = r"(?is)<!--.*?(?:-->|$)|(<(script|style)\b[^>]*>).*?</\2\s*>"
@@ -84,7 +106,7 @@ def attributes(pages: DataFrame, page: str = "page_id", html: str = "html") -> D
 
 
 # Attributes that refer to identifiers, by how.
-LISTS = ("aria-controls", "aria-describedby", "aria-details", "aria-errormessage", "aria-flowto", "aria-labelledby", "aria-owns", "headers")
+LISTS = ("aria-activedescendant", "aria-controls", "aria-describedby", "aria-details", "aria-errormessage", "aria-flowto", "aria-labelledby", "aria-owns", "headers")
 SINGLE = ("for", "form", "list")
 LINKS = ("href", "usemap", "xlink:href")
 

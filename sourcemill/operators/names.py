@@ -186,14 +186,19 @@ def resolve_refs(refs: DataFrame, bindings: DataFrame, chain: DataFrame, builtin
     refs: file_id, ref, scope, name, offset.  bindings: file_id, binding, scope, name,
     visible_from (null: everywhere).  The nearest scope outward that holds a visible
     binding of the name wins, in it the newest (or oldest) binding.  Names meet first:
-    only scopes that bind the name are looked up in the chain.
+    only scopes that bind the name are looked up in the chain.  A reference meets each
+    such scope once, not its bindings: a running window over the bindings of a name in a
+    scope, in the order in which they become visible, holds the one that counts.
     """
-    b = bindings.select("file_id", "name", F.col("scope").alias("ancestor"), "binding", "visible_from")
+    b = bindings.select("file_id", F.col("scope").alias("ancestor"), "name", "binding", F.col("visible_from").cast("long").alias("at"))
     c = chain.select("file_id", "scope", "ancestor", "distance", "crossed")
-    found = refs.select("file_id", "ref", "scope", "name", "offset").join(b, ["file_id", "name"]).where("visible_from is null or visible_from <= offset")
-    found = found.join(c, ["file_id", "scope", "ancestor"])
-    turn = F.struct("distance", (-F.col("binding") if newest else F.col("binding")).alias("b"))
-    best = found.groupBy("file_id", "ref").agg(F.min_by("binding", turn).alias("binding"))
+    binders = b.select("file_id", "name", "ancestor").distinct()
+    met = refs.select("file_id", "ref", "scope", "name", F.col("offset").cast("long").alias("at")).join(binders, ["file_id", "name"]).join(c.drop("crossed"), ["file_id", "scope", "ancestor"])
+    key = ["file_id", "ancestor", "name"]
+    both = b.select(*key, "at", F.lit(0).alias("kind"), "binding").unionByName(met.select(*key, "at", F.lit(1).alias("kind"), "ref", "distance"), allowMissingColumns=True)
+    seen = Window.partitionBy(*key).orderBy(F.col("at").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("binding", (F.max if newest else F.min)("binding").over(seen)).where("kind = 1 and binding is not null")
+    best = found.groupBy("file_id", "ref").agg(F.min_by("binding", "distance").alias("binding"))
     dynamic = c.where("crossed").select("file_id", "scope").distinct().withColumn("_dynamic", F.lit(True))
     out = refs.join(best, ["file_id", "ref"], "left").join(dynamic, ["file_id", "scope"], "left")
     built = F.lit(False)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.hashing import fingerprint
 from ..functions.paths import order_key
+from ..sources.files import numbered
 from .lint import order_tally, severity_as, tally
 from .lines import locate
 
@@ -20,6 +25,16 @@ def positioned(findings: DataFrame, lines: DataFrame) -> DataFrame:
     return out.join(text, ["file_id", "_line"], "left").drop("_line")
 
 
+# The schema that SARIF documents name, and what reports say of the tool that made them.
+SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
+TOOL = {"name": "sourcemill", "version": "0.1.0", "information_uri": "https://example.org/sourcemill", "rule_uri_prefix": "https://example.org/sourcemill/rules/", "rule_uri_suffix": ""}
+LAST = (1 << 63) - 1
+
+
+def rule_url(code: Column, tool: dict = TOOL) -> Column:
+    return F.concat(F.lit(tool["rule_uri_prefix"]), code, F.lit(tool["rule_uri_suffix"]))
+
+
 def _escape_github(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
@@ -34,7 +49,7 @@ def _fixable() -> Column:
     return F.coalesce(F.col("applicability").isin("safe", "unsafe"), F.lit(False))
 
 
-def _line(format_: str) -> Column:
+def _line(format_: str, tool: dict = TOOL) -> Column:
     if format_ == "concise":
         return F.format_string("%s:%d:%d: %s%s %s", "path", "row", "column", "code", F.when(_fixable(), " [*]").otherwise(""), "message")
     if format_ == "github":
@@ -46,7 +61,7 @@ def _line(format_: str) -> Column:
     if format_ in ("json", "json_lines"):
         return F.to_json(F.struct(
             "code", F.col("column"), "end_column", F.col("end_row").alias("end_line"), F.col("path").alias("file"), _fixable().alias("fixable"),
-            F.col("row").alias("line"), "message", "rule", "severity",
+            F.col("row").alias("line"), "message", F.col("related"), "rule", "severity", rule_url(F.col("code"), tool).alias("url"),
         ))
     if format_ == "gitlab":
         where = F.struct(F.struct(F.col("row").alias("begin")).alias("lines"), "path")
@@ -55,7 +70,8 @@ def _line(format_: str) -> Column:
     if format_ == "rdjson":
         spot = lambda r, c: F.struct(F.col(r).alias("line"), F.col(c).alias("column"))
         where = F.struct("path", F.struct(spot("row", "column").alias("start"), spot("end_row", "end_column").alias("end")).alias("range"))
-        return F.to_json(F.struct(F.struct(F.col("code").alias("value")).alias("code"), where.alias("location"), "message", severity_as(F.col("severity"), "rdjson").alias("severity")))
+        code = F.struct(rule_url(F.col("code"), tool).alias("url"), F.col("code").alias("value"))
+        return F.to_json(F.struct(code.alias("code"), where.alias("location"), "message", severity_as(F.col("severity"), "rdjson").alias("severity"), F.col("suggestions")))
     if format_ == "sarif":
         region = F.struct(F.col("row").alias("startLine"), F.col("column").alias("startColumn"), F.col("end_row").alias("endLine"), F.col("end_column").alias("endColumn"))
         where = F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
@@ -63,14 +79,66 @@ def _line(format_: str) -> Column:
     raise ValueError(f"no such format: {format_}")
 
 
-def render(findings: DataFrame, format_: str) -> DataFrame:
+def render(findings: DataFrame, format_: str, tool: dict = TOOL) -> DataFrame:
     """One text row for each finding, with path, offset, code and arrival to order by.
 
     findings as positioned() gives them, with path, rule, severity, message, applicability
-    and arrival.  Formats: concise, github, azure, pylint, json, json_lines, gitlab,
-    rdjson, sarif.  Nothing is sorted here: write_report does that.
+    and arrival; related (see with_related_places) and suggestions (see with_suggestions)
+    are empty where they are missing.  Formats: concise, github, azure, pylint, json,
+    json_lines, gitlab, rdjson, sarif.  Nothing is sorted here: write_report does that.
+    """
+    for name in ("related", "suggestions"):
+        if name not in findings.columns:
+            findings = findings.withColumn(name, F.array().cast("array<string>"))
+    return findings.select("path", "offset", "code", "arrival", _line(format_, tool).alias("text"))
+
+
+def with_related_places(findings: DataFrame, related: DataFrame) -> DataFrame:
+    """findings with ``related``: file, line, column and message of related(finding_id, ordinal, path, row, column, message), in order."""
+    n = related.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.col("path").alias("file"), F.col("row").alias("line"), "column", "message"))).alias("_r"))
+    none = F.array().cast("array<struct<column:int,file:string,line:int,message:string>>")
+    places = F.transform("_r", lambda x: F.struct(x["column"].cast("int").alias("column"), x["file"].alias("file"), x["line"].cast("int").alias("line"), x["message"].alias("message")))
+    return findings.join(n, "finding_id", "left").withColumn("related", F.coalesce(places, none)).drop("_r")
+
+
+def with_suggestions(findings: DataFrame, edits: DataFrame, lines: DataFrame) -> DataFrame:
+    """findings with ``suggestions``: the edits(finding_id, file_id, ordinal, offset, length, replacement) of their fixes as ranges and texts, in order."""
+    spot = lambda at: locate(edits.select("finding_id", "file_id", "ordinal", at.alias("offset")), lines).select("finding_id", "ordinal", F.struct((F.col("column") + 1).alias("column"), (F.col("line") + 1).alias("line")).alias("at"))
+    key = ["finding_id", "ordinal"]
+    places = edits.select(*key, "replacement").join(spot(F.col("offset")).withColumnRenamed("at", "start"), key).join(spot(F.col("offset") + F.col("length")).withColumnRenamed("at", "end"), key)
+    n = places.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(F.struct("end", "start").alias("range"), F.col("replacement").alias("text")).alias("s")))).alias("_s"))
+    none = F.array().cast("array<struct<range:struct<end:struct<column:int,line:int>,start:struct<column:int,line:int>>,text:string>>")
+    return findings.join(n, "finding_id", "left").withColumn("suggestions", F.coalesce(F.transform("_s", lambda x: x["s"]), none)).drop("_s")
+
+
+def document(rendered: DataFrame, format_: str, rules: DataFrame | None = None, tool: dict = TOOL) -> DataFrame:
+    """index and text of the lines of one whole document: a head, the rows that render() gave for the format, and a tail.
+
+    Formats: json (an array), rdjson, sarif; the last has the rules(code, name, summary)
+    in its tail, a table of the library's size.  The rows are numbered by partition, in the order of a
+    report, so that all but the first can begin with a comma and no task sees them all;
+    ordered by index and joined by line ends they are the document.
     """
-    return findings.select("path", "offset", "code", "arrival", _line(format_).alias("text"))
+    spark = rendered.sparkSession
+    if format_ == "json":
+        head, tail = "[", "]"
+    elif format_ == "rdjson":
+        head, tail = '{"diagnostics":[', f'],"severity":"WARNING","source":{json.dumps({"name": tool["name"], "url": tool["information_uri"]})}}}'
+    elif format_ == "sarif":
+        head, tail = f'{{"$schema":{json.dumps(SARIF_SCHEMA)},"runs":[{{"results":[', None
+    else:
+        raise ValueError(f"{format_} is no format of one document")
+    rows = numbered(rendered.withColumn("_path", order_key(F.col("path"))), "_path", "offset", "code", "arrival").drop("_path")
+    body = rows.select("index", F.concat(F.when(F.col("index") == 0, "").otherwise(","), F.col("text")).alias("text"))
+    ends = spark.createDataFrame([(-1, head)] + ([(LAST, tail)] if tail else []), "index long, text string")
+    if tail is None:
+        entry = F.to_json(F.struct(rule_url(F.col("code"), tool).alias("helpUri"), F.col("code").alias("id"), "name", F.struct(F.col("summary").alias("text")).alias("shortDescription")))
+        held = (rules if rules is not None else spark.createDataFrame([], "code string, name string, summary string")).select("code", entry.alias("r"))
+        list_ = held.agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "r"))), lambda x: x["r"]).alias("rules"))
+        own = f'],"tool":{{"driver":{{"informationUri":{json.dumps(tool["information_uri"])},"name":{json.dumps(tool["name"])},"rules":['
+        end = f'],"version":{json.dumps(tool["version"])}}}}}}}],"version":"2.1.0"}}'
+        ends = ends.unionByName(list_.select(F.lit(LAST).cast("long").alias("index"), F.concat(F.lit(own), F.array_join("rules", ","), F.lit(end)).alias("text")))
+    return body.unionByName(ends)
 
 
 def render_grouped(findings: DataFrame) -> DataFrame:
@@ -82,8 +150,43 @@ def render_grouped(findings: DataFrame) -> DataFrame:
     return rows.select("path", F.concat(F.col("path"), F.lit(":\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("text"))
 
 
-def render_full(findings: DataFrame, lines: DataFrame, context: int = 1) -> DataFrame:
-    """finding_id, path and text: the headline and the line with ``context`` lines around, the finding underlined."""
+@F.pandas_udf(StringType())
+def _fix_diff(shown: pd.Series, edits: pd.Series) -> pd.Series:
+    """The lines that the edits touch, removed and added; "" without edits."""
+
+    def one(lines, own):
+        if lines is None or own is None or not len(own):
+            return ""
+        lines = sorted(lines, key=lambda x: x["line"])
+        text, base = "\n".join(x["text"] for x in lines).encode(), lines[0]["start"]
+        first = text.rfind(b"\n", 0, own[0]["offset"] - base) + 1
+        stop = text.find(b"\n", own[-1]["offset"] + own[-1]["length"] - base)
+        stop = len(text) if stop < 0 else stop
+        new, at = b"", first
+        for e in own:
+            new += text[at : e["offset"] - base] + e["replacement"].encode()
+            at = e["offset"] - base + e["length"]
+        new += text[at:stop]
+        out = [f"- {x}" for x in text[first:stop].decode("utf-8", "replace").split("\n")] + [f"+ {x}" for x in new.decode("utf-8", "replace").split("\n")]
+        return "\n".join(out) + "\n"
+
+    return pd.Series([one(s, e) for s, e in zip(shown, edits, strict=True)])
+
+
+def render_full(findings: DataFrame, lines: DataFrame, context: int = 1, edits: DataFrame | None = None) -> DataFrame:
+    """finding_id, path and text: the headline and the line with ``context`` lines around, the finding underlined.
+
+    With edits(finding_id, ordinal, offset, length, replacement) of fixes, the lines that
+    they touch follow, removed and added.
+    """
+    if edits is not None:
+        n = edits.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "replacement"))).alias("edits"))
+        reach = findings.join(n, "finding_id").select("finding_id", "file_id", F.col("edits")[0]["offset"].alias("a"), F.element_at("edits", -1).alias("z"), "edits")
+        spots = reach.select("finding_id", "file_id", "a", (F.col("z.offset") + F.col("z.length")).alias("b"))
+        place = lambda c: locate(spots.select("finding_id", "file_id", F.col(c).alias("offset")), lines).select("finding_id", F.col("line").alias(f"_{c}"))
+        touched = spots.join(place("a"), "finding_id").join(place("b"), "finding_id").select("finding_id", "file_id", F.explode(F.sequence("_a", "_b")).alias("line"))
+        touched = touched.join(lines.select("file_id", "line", "start", "text"), ["file_id", "line"]).groupBy("finding_id").agg(F.collect_list(F.struct("line", "start", "text")).alias("_touched"))
+        findings = findings.join(reach.select("finding_id", "edits").join(touched, "finding_id").select("finding_id", _fix_diff("_touched", "edits").alias("_diff")), "finding_id", "left")
     spots = findings.select("finding_id", "file_id", F.explode(F.sequence(F.col("row") - 1 - context, F.col("row") - 1 + context)).alias("line"))
     shown = spots.join(lines.select("file_id", "line", "text"), ["file_id", "line"]).groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("shown"))
     rows = findings.join(shown, "finding_id", "left")
@@ -93,7 +196,7 @@ def render_full(findings: DataFrame, lines: DataFrame, context: int = 1) -> Data
     body = F.flatten(F.transform("shown", lambda x: F.concat(
         F.array(F.concat(F.lpad((x["line"] + 1).cast("string"), gutter, " "), F.lit(" | "), x["text"])), F.when(x["line"] == F.col("row") - 1, F.array(under)).otherwise(F.array().cast("array<string>"))
     )))
-    return rows.select("finding_id", "path", F.concat(_line("concise"), F.lit("\n"), F.array_join(body, "\n"), F.lit("\n")).alias("text"))
+    return rows.select("finding_id", "path", F.concat(_line("concise"), F.lit("\n"), F.array_join(body, "\n"), F.lit("\n"), F.coalesce("_diff", F.lit("")) if edits is not None else F.lit("")).alias("text"))
 
 
 def render_junit(findings: DataFrame) -> DataFrame:
@@ -104,13 +207,17 @@ def render_junit(findings: DataFrame) -> DataFrame:
     return rows.select("path", F.concat(head, F.lit("\n"), F.array_join(F.transform("f", lambda x: x["case"]), "\n"), F.lit("\n  </testsuite>")).alias("text"))
 
 
-def statistics(findings: DataFrame, format_: str = "text", unsafe: bool = False) -> DataFrame:
-    """text rows of the tally, the most frequent code first."""
-    rows = order_tally(tally(findings, unsafe))
+def statistics(findings: DataFrame, format_: str = "text", unsafe: bool = False, tool: dict = TOOL) -> DataFrame:
+    """text rows of the tally, the most frequent code first; as json, one row with the whole array."""
+    rows = tally(findings, unsafe)
     if format_ == "json":
-        return rows.select(F.to_json(F.struct("code", F.col("n").alias("count"), (F.col("mark") == "all").alias("fixable"), F.col("fixable").alias("fixable_count"))).alias("text"))
+        names = findings.groupBy("code").agg(F.min("rule").alias("name"))
+        entry = F.struct("code", F.col("n").alias("count"), (F.col("mark") == "all").alias("fixable"), F.col("fixable").alias("fixable_count"), "name", rule_url(F.col("code"), tool).alias("url"))
+        held = rows.join(names, "code").select(F.struct((-F.col("n")).alias("n"), "code", F.to_json(entry).alias("j")).alias("x"))
+        # One element for each code of the rule table.
+        return held.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["j"]), ","), F.lit("]")).alias("text"))
     mark = F.when(F.col("mark") == "all", "[*]").when(F.col("mark") == "some", "[-]").otherwise("[ ]")
-    return rows.select(F.format_string("%8d  %s  %s", "n", mark, "code").alias("text"))
+    return order_tally(rows).select(F.format_string("%8d  %s  %s", "n", mark, "code").alias("text"))
 
 
 def write_report(rendered: DataFrame, folder: str) -> None:

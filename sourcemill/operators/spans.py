@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 OPENING = {"(": "paren", "[": "bracket", "{": "brace"}
 CLOSING = {")": "paren", "]": "bracket", "}": "brace"}
 
+_NOT_LINE_END = re.compile(rb"[^\n]")
+
 
 def gaps(spans: DataFrame, files: DataFrame) -> DataFrame:
     """file_id, offset and length of the stretches that no span covers, the head and tail of each file included.
@@ -142,11 +146,17 @@ def parent_spans(spans: DataFrame, bucket: int = 4096) -> DataFrame:
     return spans.select("file_id", "span_id").join(best, ["file_id", "span_id"], "left")
 
 
-def mask_spans(regions: DataFrame, holes: DataFrame) -> DataFrame:
-    """regions(file_id, region, offset, text) with the bytes of holes(file_id, offset, length) made blanks; line ends and the length stay."""
-    r = regions.select("file_id", "region", F.col("offset").alias("_a"), (F.col("offset") + F.octet_length("text")).alias("_b"))
-    h = holes.select("file_id", F.col("offset").alias("_c"), (F.col("offset") + F.col("length")).alias("_d"))
-    inside = r.join(h, "file_id").where("_c < _b and _d > _a").groupBy("file_id", "region").agg(F.collect_list(F.struct((F.col("_c") - F.col("_a")).alias("c"), (F.col("_d") - F.col("_a")).alias("d"))).alias("holes"))
+def mask_spans(regions: DataFrame, holes: DataFrame, bucket: int = 4096) -> DataFrame:
+    """regions(file_id, region, offset, text) with the bytes of holes(file_id, offset, length) made blanks; line ends and the length stay.
+
+    Both stand in the buckets of offsets that they reach, and a pair counts in the first
+    bucket that it shares, so only holes near a region are compared with it.
+    """
+    reach = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.greatest(F.col(a), F.col(b) - 1) / bucket)))
+    r = regions.select("file_id", "region", F.col("offset").alias("_a"), (F.col("offset") + F.octet_length("text")).alias("_b")).withColumn("_bucket", reach("_a", "_b"))
+    h = holes.select("file_id", F.col("offset").alias("_c"), (F.col("offset") + F.col("length")).alias("_d")).withColumn("_bucket", reach("_c", "_d"))
+    near = r.join(h, ["file_id", "_bucket"]).where("_c < _b and _d > _a").where(F.col("_bucket") == F.floor(F.greatest("_a", "_c") / bucket))
+    inside = near.groupBy("file_id", "region").agg(F.collect_list(F.struct((F.col("_c") - F.col("_a")).alias("c"), (F.col("_d") - F.col("_a")).alias("d"))).alias("holes"))
 
     @F.pandas_udf("string")
     def blanked(text: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -155,9 +165,8 @@ def mask_spans(regions: DataFrame, holes: DataFrame) -> DataFrame:
                 return t
             b = bytearray(t.encode())
             for x in hs:
-                for i in range(max(0, x["c"]), min(len(b), x["d"])):
-                    if b[i] != 0x0A:
-                        b[i] = 0x20
+                span = slice(max(0, x["c"]), min(len(b), x["d"]))
+                b[span] = _NOT_LINE_END.sub(b" ", b[span])
             return b.decode("utf-8", "replace")
 
         return pd.Series([one(t, hs) for t, hs in zip(text, cuts, strict=True)])

@@ -2,29 +2,98 @@
 
 from __future__ import annotations
 
+import os
 import re
+from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators.session import checkpointed
 
-# Directories that a listing skips.
-SKIPPED = (".git", ".hg", ".svn", ".venv", "venv", "node_modules", "__pycache__", "dist", "build", "target", "zig-cache", ".zig-cache", "zig-out")
+# Names of directories that a listing skips.
+SKIPPED = (
+    ".bzr", ".direnv", ".eggs", ".git", ".git-rewrite", ".hg", ".mypy_cache", ".nox", ".pants.d", ".pytype", ".ruff_cache", ".snapshots", ".svn", ".tox", ".venv",
+    "__pycache__", "__pypackages__", "__snapshots__", "build", "dist", "node_modules", "site-packages", "snapshots", "target", "testdata", "vendor", "venv", "zig-cache", "zig-out",
+)
+_BATCH_BYTES = 8 << 20
+
+
+def filesystem(path: str):
+    """The Arrow file system of a path or URI, and the path on it."""
+    path = re.sub(r"^file:/+", "/", path.rstrip("/"))
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+
+
+def list_sources(spark: SparkSession, root: str, skipped=SKIPPED) -> DataFrame:
+    """path (below root), kind and size of what a walk from root finds: files, and each directory that holds a ``.git`` as a repository.
+
+    The walk goes level by level; tasks list the directories of a level, and skipped
+    names are never opened.  Symbolic links are left out.  Names that begin with ``.`` or
+    ``_`` are like others.  root is a folder that all executors share; it is an error
+    where there is none.
+    """
+    files, base = filesystem(root)
+    if files.get_file_info(base).type != fs.FileType.Directory:
+        raise FileNotFoundError(root)
+    names = frozenset(skipped)
+
+    def listed(batches):
+        files, base = filesystem(root)
+        for batch in batches:
+            out = []
+            for folder in batch.column(0).to_pylist():
+                for i in files.get_file_info(fs.FileSelector(f"{base}/{folder}")):
+                    if i.base_name == ".git":
+                        out.append((folder, "repository", None))
+                    if i.base_name in names or (isinstance(files, fs.LocalFileSystem) and os.path.islink(i.path)):
+                        continue
+                    path = f"{folder}/{i.base_name}" if folder else i.base_name
+                    out.append((path, "directory" if i.type == fs.FileType.Directory else "file", i.size))
+            columns = zip(*out, strict=True) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["path", "kind", "size"])
+
+    front, found = spark.createDataFrame([("",)], "path string"), []
+    while not found or not front.isEmpty():
+        level = checkpointed(front.repartition("path").mapInArrow(listed, "path string, kind string, size long"))
+        found.append(level.where("kind <> 'directory'"))
+        front = level.where("kind = 'directory'").select("path")
+    return reduce(DataFrame.unionByName, found)
 
 
 def read_sources(spark: SparkSession, root: str, skipped=SKIPPED) -> DataFrame:
-    """path (below root), source and valid of every file under root outside the skipped directories.
+    """path (below root), source and valid of every file that list_sources finds.
 
-    valid is false, and source null, where the bytes are no UTF-8.
+    valid is false, and source null, where the bytes are no UTF-8.  Only files that
+    are kept are read, by the tasks they are dealt to.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
-    base = re.sub(r"^[a-z]+:/*", "/", root.rstrip("/"))
-    path = F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/")
-    files = files.withColumn("path", paths.relative_to(F.lit(base), path))
-    files = files.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skipped))))
-    return files.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).alias("source"), F.is_valid_utf8(F.col("content").cast("string")).alias("valid"))
+
+    def read(batches):
+        files, base = filesystem(root)
+        for batch in batches:
+            out, size = [], 0
+            for path in batch.column(0).to_pylist():
+                with files.open_input_stream(f"{base}/{path}") as f:
+                    data = f.read()
+                try:
+                    out.append((path, data.decode(), True))
+                except UnicodeDecodeError:
+                    out.append((path, None, False))
+                size += len(data)
+                if size > _BATCH_BYTES:
+                    yield rows(out)
+                    out, size = [], 0
+            yield rows(out)
+
+    def rows(out):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.bool_()))], names=["path", "source", "valid"])
+
+    listed = list_sources(spark, root, skipped).where("kind = 'file'").select("path")
+    return listed.repartition("path").mapInArrow(read, "path string, source string, valid boolean")
 
 
 def with_language(df: DataFrame, path: str = "path") -> DataFrame:
@@ -93,27 +162,45 @@ def per_file_sets(files: DataFrame, patterns: list[tuple[str, list[str]]], path:
 ORIGINS = (".ignore", ".gitignore", "exclude", "global")
 
 
+def _ignore_rule(text: str) -> tuple[str, bool, bool] | None:
+    """Regular expression, negated and only for directories, of a line of an ignore file; None for blanks and comments."""
+    line = text.rstrip()
+    if not line or line.startswith("#"):
+        return None
+    negated = line.startswith("!")
+    line = line[negated:]
+    body = line.strip("/")
+    return glob_regex(f"/{body}" if "/" in line.rstrip("/") else body, below=False), negated, line.endswith("/")
+
+
 def ignore_frame(spark: SparkSession, lines: list[tuple[str, str, int, str]]) -> DataFrame:
     """base, origin, line_no, regex, negated and dirs of ignore lines (base, origin, line_no, text); blanks and comments are dropped."""
-    rows = []
-    for base, origin, number, text in lines:
-        line = text.rstrip()
-        if not line or line.startswith("#"):
-            continue
-        negated = line.startswith("!")
-        line = line[negated:]
-        dirs, anchored = line.endswith("/"), "/" in line.rstrip("/")
-        body = line.strip("/")
-        rows.append((base, ORIGINS.index(origin), number, glob_regex(f"/{body}" if anchored else body, below=False), negated, dirs))
+    rows = [(base, ORIGINS.index(origin), number, *rule) for base, origin, number, text in lines if (rule := _ignore_rule(text))]
     return spark.createDataFrame(rows, "base string, origin int, line_no int, regex string, negated boolean, dirs boolean")
 
 
-def apply_ignores(files: DataFrame, ignore_lines: DataFrame, path: str = "path") -> DataFrame:
+def ignore_lines(sources: DataFrame) -> DataFrame:
+    """What ignore_frame gives, of the files of sources(path, source) that are named ``.ignore`` or ``.gitignore``."""
+
+    @F.pandas_udf("struct<regex:string,negated:boolean,dirs:boolean>")
+    def rule(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_ignore_rule(t) or (None, None, None) for t in text], columns=["regex", "negated", "dirs"])
+
+    name = paths.file_name(F.col("path"))
+    own = sources.where(name.isin(*ORIGINS[:2]) & F.col("source").isNotNull())
+    rows = own.select(paths.dir_of(F.col("path")).alias("base"), F.when(name == ORIGINS[0], 0).otherwise(1).alias("origin"), F.posexplode(F.split("source", "\n")).alias("line_no", "text"))
+    return rows.withColumn("rule", rule("text")).select("base", "origin", "line_no", "rule.*").where("regex is not null")
+
+
+def apply_ignores(files: DataFrame, ignore_lines: DataFrame, path: str = "path", repositories: DataFrame | None = None) -> DataFrame:
     """files with ``ignored``, as a walk that stops at ignored directories would find.
 
     ignore_lines as ignore_frame makes them.  For each directory on the way to a file,
     and the file, the last line that fits (deepest base, then latest) of the strongest
-    origin decides; one ignored step ignores what is below it.
+    origin decides; one ignored step ignores what is below it.  With repositories(base),
+    the directories that hold one, lines of ``.gitignore`` and exclude files above the
+    innermost repository around a step do not count there, and global lines count only
+    inside one; without, all files are in one repository.
     """
     own = files.select(F.col(path).alias("_path")).distinct()
     steps = own.select("_path", F.explode(F.concat(F.array("_path"), F.filter(paths.ancestors(F.col("_path")), lambda d: d != ""))).alias("step"))
@@ -121,6 +208,11 @@ def apply_ignores(files: DataFrame, ignore_lines: DataFrame, path: str = "path")
     # Every directory above a step is joined with the lines bound to it: an equi-join, however many lines there are.
     placed = steps.select("step", "is_dir").distinct().withColumn("base", F.explode(paths.ancestors(F.col("step"))))
     fits = placed.join(ignore_lines, "base").where((~F.col("dirs") | F.col("is_dir")) & F.rlike(paths.relative_to(F.col("base"), F.col("step")), F.col("regex")))
+    if repositories is not None:
+        inner = placed.join(repositories.select("base").distinct(), "base").groupBy("step", "is_dir").agg(F.max(F.length("base")).alias("inner"))
+        fits = fits.join(inner, ["step", "is_dir"], "left")
+        held = F.col("inner").isNull() | (F.length("base") >= F.col("inner"))
+        fits = fits.where(F.when(F.col("origin") == 3, F.col("inner").isNotNull()).otherwise((F.col("origin") == 0) | held))
     last = fits.groupBy("step", "is_dir", "origin").agg(F.max_by("negated", F.struct(F.length("base"), "line_no")).alias("negated"))
     decided = last.groupBy("step", "is_dir").agg(F.min_by("negated", "origin").alias("negated")).where("not negated")
     bad = steps.join(decided, ["step", "is_dir"], "left_semi").select("_path").distinct().withColumn("_bad", F.lit(True))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.lint import line_findings
+from ..sources.files import numbered
 
-UPSERT = "path string, content_hash string, language string, generation int, rebuilds int, touched int, outcome string"
-_UPSERT_STATE = "content_hash string, language string, generation int, rebuilds int, touched int"
+UPSERT = "path string, content_hash string, language string, flavor string, generation int, rebuilds int, touched int, version long, placed long, outcome string"
+_UPSERT_STATE = "content_hash string, language string, flavor string, generation int, rebuilds int, touched int, version long, placed long"
 
 
 def _in_order(batches, by: list[str]) -> pd.DataFrame:
@@ -19,38 +20,54 @@ def _in_order(batches, by: list[str]) -> pd.DataFrame:
 
 
 def upsert_stream(changes: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """The store's entry after each micro-batch of changes(path, version, content_hash, language, removed), by path.
-
-    Equal content and language only count as touched; other content makes a new
-    generation and a rebuild; a removal bumps the generation.  outcome says what the
-    last change of the batch did.  The state holds a hash, never the text; with ttl_ms it
-    is dropped when a path had no change for so long.
+    """The store's entry after each micro-batch of changes(path, version, content_hash, language, flavor, removed), by path.
+
+    Equal content, language and flavor only count as touched; others make a new
+    generation and a rebuild; a removal bumps the generation.  Versions order the changes
+    of a path within and across micro-batches: one that is not newer than the entry's is
+    stale and changes nothing, however late it comes.  placed is the version that first
+    placed the path since it was last absent; with_sequence numbers entries by it.
+    outcome says what the last change of the batch did.  The state holds a hash, never
+    the text; with ttl_ms it is dropped when a path had no change for so long.
     """
 
     def update(key, batches, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        digest, language, generation, rebuilds, touched = state.get if state.exists else (None, None, 0, 0, 0)
+        digest, language, flavor, generation, rebuilds, touched, version, placed = state.get if state.exists else (None, None, None, 0, 0, 0, None, None)
         outcome = None
         for r in _in_order(batches, ["version"]).itertuples():
+            kind = tuple(None if pd.isna(x) else x for x in (r.content_hash, r.language, r.flavor))
+            if version is not None and r.version <= version:
+                outcome = "stale"
+                continue
+            version = int(r.version)
             if r.removed:
-                digest, language, generation, outcome = None, None, generation + 1, "removed"
-            elif generation and (r.content_hash, r.language) == (digest, language):
+                digest, language, flavor, placed, generation, outcome = None, None, None, None, generation + 1, "removed"
+            elif placed is not None and kind == (digest, language, flavor):
                 touched, outcome = touched + 1, "touched"
             else:
                 rebuilds += generation > 0
                 outcome = "replaced" if generation else "added"
-                digest, language, generation = r.content_hash, r.language, generation + 1
-        state.update((digest, language, int(generation), int(rebuilds), int(touched)))
+                placed = version if placed is None else placed
+                (digest, language, flavor), generation = kind, generation + 1
+        entry = (digest, language, flavor, int(generation), int(rebuilds), int(touched), version, placed)
+        state.update(entry)
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame([(*key, digest, language, generation, rebuilds, touched, outcome)], columns=[c.split()[0] for c in UPSERT.split(", ")])
+        out = pd.DataFrame([(*key, *entry, outcome)], columns=[c.split()[0] for c in UPSERT.split(", ")])
+        yield out.astype({"version": "Int64", "placed": "Int64"})
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
     return changes.groupBy("path").applyInPandasWithState(update, UPSERT, _UPSERT_STATE, "update", timeout)
 
 
+def with_sequence(entries: DataFrame) -> DataFrame:
+    """entries(path, placed, ...) of present paths with sequence: their number in the order in which they were placed, numbered by partition."""
+    return numbered(entries.where("placed is not null"), "placed", "path", name="sequence")
+
+
 WATCH = "path string, stamp string, state string"
 
 

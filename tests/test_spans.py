@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sourcemill.operators import fixes, graph, lines, lint, spans
+from sourcemill.operators import fixes, graph, lines, lint, markup, spans
 
 
 def test_lines(spark):
@@ -138,3 +138,51 @@ def test_serial_equals_repartitioned(spark):
     rows = lambda d: sorted(tuple(r) for r in lint.line_findings(d).collect())
     assert rows(df.coalesce(1)) == rows(df.repartition(7))
     assert lint.line_findings(df.where(F.lit(False))).count() == 0
+
+
+def test_markup_regions_tags_and_holes(spark):
+    page = """<!-- <script>no()</script> --><div X-DATA="{ open: {{ a }} }" @click='go("é")' style="" x-on:blur=b style=top>é</div>
+<script></script><script type="text/template">no</script><script type=module>let a = 1 // x
+</script><STYLE>p { /* c */ }</STYLE><script src=x>{% if a %}b(){% endif %} /* d */</script><a style='{{ s }}'>{# t #}</a><script>end"""
+    df = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")
+    raw = page.encode()
+    found = markup.markup_regions(df, tags={"X-DATA": "data", "@*": "on", "x-on:*": "on"}).orderBy("ordinal").collect()
+    cut = lambda a, n: raw[a : a + n].decode()
+    assert [(r.kind, r.tag, cut(r.offset, r.length), [cut(*h) for h in r.holes]) for r in found] == [
+        ("attribute", "data", "{ open: {{ a }} }", ["{{ a }}"]), ("attribute", "on", 'go("é")', []), ("attribute", "on", "b", []), ("attribute", "style", "top", []),
+        ("script", None, "let a = 1 // x\n", []), ("style", None, "p { /* c */ }", []), ("script", None, "{% if a %}b(){% endif %} /* d */", ["{% if a %}", "{% endif %}"]),
+        ("attribute", "style", "{{ s }}", ["{{ s }}"]), ("script", None, "end", []),
+    ]
+    assert [r.ordinal for r in found] == list(range(9))
+    comments = [(r.kind, cut(r.offset, r.length)) for r in markup.comment_spans(df).orderBy("ordinal").collect()]
+    assert comments == [("html", "<!-- <script>no()</script> -->"), ("script", "// x"), ("style", "/* c */"), ("script", "/* d */"), ("template", "{# t #}")]
+
+
+def test_markup_ids(spark):
+    page = """<i id=a></i><i id="b" id="no"></i><i aria-activedescendant="a c" headers=" b "></i><label for="a"></label><label for="a b"></label>
+<a href="#b"></a><a href="#"></a><a href="b"></a><i id="{{ x }}"></i><img usemap='#m'>"""
+    defs, uses = markup.markup_ids(markup.attributes(spark.createDataFrame([(1, page)], "page_id long, html string")))
+    assert sorted(r.name for r in defs.collect()) == ["a", "b"]
+    assert sorted(r.name for r in uses.collect()) == ["a", "a", "b", "b", "c", "m"]
+
+
+def test_locate_is_linear_and_knows_a_bom(spark):
+    text = "\ufeffab\r\ncd\n" + "x\n" * 20_000
+    n = len(text.encode())
+    located = lines.locate(spark.createDataFrame([(1, i) for i in [-1, 0, 2, 3, 5, 7, *range(10, n, 2)]], "file_id long, offset long"), lines.explode_lines(spark.createDataFrame([(1, text)], "file_id long, source string")))
+    got = {r.offset: (r.line, r.column) for r in located.collect()}
+    assert [got[k] for k in (-1, 0, 2, 3, 5, 7)] == [(0, 0), (0, 0), (0, 0), (0, 0), (0, 2), (1, 0)]
+    assert all(got[i] == (2 + (i - 10) // 2, 0) for i in range(10, n - 2, 2))
+
+
+def test_masks_across_buckets(spark):
+    regions = [(1, 0, 0, "ab\ncd" * 40), (1, 1, 500, "é" * 20), (2, 2, 0, "whole"), (1, 3, 900, "")]
+    holes = [(1, 1, 3), (1, 60, 100), (1, 195, 320), (1, 530, 9), (2, 7, 2), (1, 0, 0)]
+    df = spark.createDataFrame(regions, "file_id long, region long, offset long, text string")
+    got = {r.region: r.text for r in spans.mask_spans(df, spark.createDataFrame(holes, "file_id long, offset long, length long"), bucket=16).collect()}
+    for f, r, at, text in regions:
+        b = bytearray(text.encode())
+        for hf, c, n in holes:
+            for i in range(max(0, c - at), min(len(b), c + n - at)) if hf == f else ():
+                b[i] = b[i] if b[i] == 10 else 32
+        assert got[r] == b.decode("utf-8", "replace")

@@ -3,7 +3,7 @@ import random
 from sourcemill.operators import diff, lint
 from sourcemill.streaming import changes
 
-UPSERTS = "path string, version long, content_hash string, language string, removed boolean"
+UPSERTS = "path string, version long, content_hash string, language string, flavor string, removed boolean"
 
 
 def streamed(spark, tmp_path, batches, schema, build, mode):
@@ -28,13 +28,28 @@ def streamed(spark, tmp_path, batches, schema, build, mode):
 
 def test_upserts(spark, tmp_path):
     batches = [
-        [("a", 1, "h1", "py", False), ("b", 1, "g", "py", False), ("a", 2, "h1", "py", False)],
-        [("a", 3, "h2", "py", False)],
-        [("b", 2, None, None, True), ("a", 4, "h2", "go", False)],
+        [("a", 1, "h1", "py", None, False), ("b", 2, "g", "py", None, False), ("a", 2, "h1", "py", None, False)],
+        [("a", 4, "h2", "py", None, False), ("c", 3, "h", "py", "stub", False)],
+        [("b", 3, None, None, None, True), ("a", 5, "h2", "go", None, False), ("a", 3, "late", "py", None, False), ("c", 4, "h", "py", None, False)],
+        [("b", 4, "g", "py", None, False), ("a", 5, "later", "py", None, False)],
     ]
     out = streamed(spark, tmp_path, batches, UPSERTS, changes.upsert_stream, "update")
     got = {r[0]: r[1:] for b in out for r in b}
-    assert got == {"a": ("h2", "go", 3, 2, 1, "replaced"), "b": (None, None, 2, 0, 0, "removed")}
+    assert got == {
+        "a": ("h2", "go", None, 3, 2, 1, 5, 1, "stale"), "b": ("g", "py", None, 3, 1, 0, 4, 4, "replaced"), "c": ("h", "py", None, 2, 1, 0, 4, 3, "replaced"),
+    }
+    entries = spark.createDataFrame([(k, v[7]) for k, v in got.items()], "path string, placed long")
+    assert {r.path: r.sequence for r in changes.with_sequence(entries).collect()} == {"a": 0, "c": 1, "b": 2}
+
+
+def test_shuffled_and_late_upserts_end_like_a_batch(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(f"p{k % 7}", k, f"h{rng.randrange(3)}", "py", rng.choice([None, "stub"]), rng.random() < 0.15) for k in range(60)]
+    mixed = rng.sample(rows, 60)
+    out = streamed(spark, tmp_path, [mixed[:25], mixed[25:40], mixed[40:]], UPSERTS, changes.upsert_stream, "update")
+    got = {r[0]: (r[1], r[3]) for b in out for r in b}
+    last = {p: (None, None) if gone else (h, f) for p, _, h, _, f, gone in rows}
+    assert got == last
 
 
 def test_watch(spark, tmp_path):

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from sourcemill.functions import hashing, paths, text
@@ -98,10 +99,45 @@ def test_globs(spark):
     assert {r.path for r in files.glob_filter(df, ["*.py"], ["test"]).collect()} == {"a/b.py"}
 
 
-def test_read_sources(spark, tmp_path):
-    for name, data in {"a/x.py": b"x = 1\n", "node_modules/y.js": b"", "b/bad.py": b"\xff\xfe"}.items():
-        p = tmp_path / name
+def tree(folder, files):
+    for name, data in files.items():
+        p = folder / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(data)
-    found = {r.path: (r.source, r.valid) for r in files.read_sources(spark, str(tmp_path)).collect()}
-    assert found == {"a/x.py": ("x = 1\n", True), "b/bad.py": (None, False)}
+
+
+def test_read_sources(spark, tmp_path):
+    tree(tmp_path / "t", {
+        "a/x.py": b"x = 1\n", "node_modules/y.js": b"", "b/bad.py": b"\xff\xfe", "pkg/__init__.py": b"", "pkg/_x.py": b"1", ".hidden/keep.html": b"<p>",
+        ".gitignore": b"*.log\n", "static/vendor/lib.js": b"", "static/app.js": b"", "deep/a/b/c/d.py": b"d", ".git/config": b"", "empty.py": b"",
+    })
+    (tmp_path / "t" / "void").mkdir()
+    (tmp_path / "t" / "link.py").symlink_to(tmp_path / "t" / "a" / "x.py")
+    (tmp_path / "t" / "loop").symlink_to(tmp_path / "t")
+    for root in (str(tmp_path / "t"), f"file://{tmp_path}/t/"):
+        found = {r.path: (r.source, r.valid) for r in files.read_sources(spark, root).collect()}
+        assert found == {
+            "a/x.py": ("x = 1\n", True), "b/bad.py": (None, False), "pkg/__init__.py": ("", True), "pkg/_x.py": ("1", True), ".hidden/keep.html": ("<p>", True),
+            ".gitignore": ("*.log\n", True), "static/app.js": ("", True), "deep/a/b/c/d.py": ("d", True), "empty.py": ("", True),
+        }
+    assert {r.path for r in files.read_sources(spark, str(tmp_path / "t"), skipped=()).collect()} >= {"node_modules/y.js", ".git/config"}
+    with pytest.raises(FileNotFoundError):
+        files.read_sources(spark, str(tmp_path / "no"))
+
+
+def test_ignore_files_of_nested_repositories(spark, tmp_path):
+    tree(tmp_path, {
+        ".git/HEAD": b"", ".gitignore": b"# all\n\n*.log\n/out/\n!keep.log\n", "a.log": b"", "keep.log": b"", "out/x.py": b"", "src/out/x.py": b"",
+        "src/.ignore": b"*.tmp\r\n", "src/y.tmp": b"", "src/b.log": b"", "sub/.git/HEAD": b"", "sub/c.log": b"", "sub/.gitignore": b"*.py\n", "sub/d.py": b"", "sub/.ignore": b"!d.py\n", "sub/e.py": b"",
+    })
+    listed = files.list_sources(spark, str(tmp_path))
+    repositories = listed.where("kind = 'repository'").select(F.col("path").alias("base"))
+    sources = files.read_sources(spark, str(tmp_path))
+    found = files.apply_ignores(sources.select("path"), files.ignore_lines(sources), repositories=repositories)
+    assert {r.path for r in found.where("ignored").collect()} == {"a.log", "out/x.py", "src/y.tmp", "src/b.log", "sub/e.py"}
+
+
+def test_paths_are_ordered_by_component(spark):
+    rows = ["src10/a", "src1/b", "src1/a/c", "src1", "src-1/a"]
+    df = spark.createDataFrame([(r,) for r in rows], "path string")
+    assert [r.path for r in df.orderBy(paths.order_key(F.col("path"))).collect()] == ["src-1/a", "src1", "src1/a/c", "src1/b", "src10/a"]
