@@ -68,7 +68,7 @@ def blocks_of(docs: DataFrame, doc_id: str, text: str, carry: list[str], *, leas
                     here.append(at)
                     digests[at] = None
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
                 out.write_batch(batch)
             row = {"block": [first + n], "n_bytes": [len(data)], "ids": [ids], "digests": [digests], "here": [here], "payload": [sink.getvalue().to_pybytes()]}
             n, held, size = n + 1, [], 0

@@ -195,13 +195,67 @@ Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are met:"""
     commented = "\r\n".join(f" * {line}".rstrip() for line in mit.splitlines())
     rows = [(1, mit), (2, commented), (3, gpl), (4, bsd), (5, "This file is released under the MIT license"), (6, "We like the MIT\n\nLicense plates. Permit license."), (7, "x" * 2000 + " is under the MIT\n# license " + "y" * 2000)]
-    got = rows_of(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "sequence", "licenses"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ids": F.lit(1), "left": F.lit("x")})
+    got = rows_of(licenses.scan(frame).select("doc_id", "sequence", "licenses"))
+    assert licenses.scan(frame.limit(0)).count() == 0
     assert got == [
         (1, "mit-grant mit-notice as-is", "MIT"), (2, "mit-grant mit-notice as-is", "MIT"), (3, "gpl3 gpl-copy", "GPL-3.0"),
         (4, "reserved bsd-grant", "BSD-3-Clause"), (5, "mit", "MIT"), (7, "mit", "MIT"),
     ]
 
 
+CONDITIONS = """Copyright (c) 2020, Somebody.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NAMES = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+WARRANTY = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   2. Grant of Copyright License. Subject to the terms and conditions of
+      this License, each Contributor hereby grants to You a perpetual,
+      worldwide, non-exclusive, no-charge, royalty-free, irrevocable
+      copyright license to reproduce, prepare Derivative Works of,"""
+
+
+def test_standard_licences(spark):
+    texts = {"BSD-2-Clause": CONDITIONS + WARRANTY, "BSD-3-Clause": CONDITIONS + NAMES + WARRANTY, "ISC": ISC, "MPL-2.0": MPL, "Apache-2.0": APACHE}
+    rows = []
+    for name, text in texts.items():
+        whole = re.sub(r"\s*\n(?!\n)\s*", " ", text)
+        rows += [(name, text), (name, whole), (name, "\n".join(f"# {x}".rstrip() for x in text.splitlines())), (name, "A text before it.\n\n" + text + "\n\nAnd one after."), (name, "word " * 50_000 + "\n\n" + text)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.licenses for r in licenses.scan(df).collect()} == {i: name for i, (name, _) in enumerate(rows)}
+
+
 # Decontamination
 
 
@@ -375,3 +429,44 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0), target_entropy=0.9).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(df)
+
+
+def test_mixing_of_very_many_blocks(spark):
+    """The order within a pass does not depend on how its blocks are shelved."""
+    rows = [(i, "w " * (i % 7 + 1), "a" if i % 3 else "b") for i in range(3000)]
+    used = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), target_entropy=0.99, block_tokens=5).collect()
+    for source in "ab":
+        for turn in {r["pass"] for r in used if r.source == source}:
+            ranks = sorted({r.block_rank for r in used if r.source == source and r["pass"] == turn})
+            assert len(ranks) > 100 and ranks[0] >= 1
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [("the house and the tree " + str(i), "en") for i in range(40)] + [("das haus und der baum " * 2000 + str(i), "de") for i in range(40)] + [("une maison", "fr")]
+    train = spark.createDataFrame(rows, "text string, lang string")
+    trees = language.fit(train, max_docs=10, max_bytes=100_000)
+    assert trees.languages == ["de", "en", "fr"]
+    docs = spark.createDataFrame([(1, "the tree"), (2, "der baum"), (3, "la maison"), (4, "the house " * 100_000)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language.identify(docs, trees).collect()} == {1: "en", 2: "de", 3: "fr", 4: "en"}
+
+
+def test_very_long_urls_and_pages(spark, tmp_path):
+    rows = [(1, "http://h/" + "a" * 3_000_000, "x" * 200), (2, "http://h/" + "".join(random.Random(1).choices("abcdef0123456789", k=2_000_000)), "y" * 3_000_000), (3, "u", "z" * 10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "first": F.lit(2), "payload": F.lit("x"), "refers": F.lit(3)})
+    folder = "file://" + str(tmp_path / "long")
+    assert warc.write_warc(df, folder).agg(F.sum("records")).first()[0] == 3
+    assert {(r.page_id, r.payload_bytes) for r in warc.page_records(warc.read_warc(spark, folder, split_bytes=5000)).collect()} == {(1, 200), (2, 3_000_000), (3, 10)}
+    judged = urls.judge(df, urls.rules_frame(spark))
+    assert {(r.page_id, r.host, len(r.path)) for r in judged.collect()} == {(1, "h", 3_000_001), (2, "h", 2_000_001), (3, "", 0)}
+
+
+def test_many_copies_of_a_page_and_rules_of_a_host(spark, tmp_path):
+    df = spark.createDataFrame([(i, None, "same page " * 20) for i in range(500)], "page_id long, url string, html string").repartition(7)
+    folder = "file://" + str(tmp_path / "copies")
+    assert warc.write_warc(df, folder).agg(F.sum("records")).first()[0] == 500
+    found = warc.page_records(warc.read_warc(spark, folder)).collect()
+    assert {(r.page_id, r.refers_to) for r in found} == {(0, None)} | {(i, 0) for i in range(1, 500)}
+    rules = spark.createDataFrame([("h.org", "/" + "x" * n, "block") for n in range(1, 400)] + [("org", "/", "allow"), ("h.org\U0010ffff", "/", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(n, "http://a.h.org/" + "x" * n + "y") for n in range(0, 400, 7)] + [(999, "http://\U0010ffffz.org/q")], "page_id long, url string")
+    got = {r.page_id: r.rule for r in urls.judge(pages, rules, partitions=9).collect()}
+    assert got == {n: "h.org/" + "x" * n if n else "org/" for n in range(0, 400, 7)} | {999: "org/"}

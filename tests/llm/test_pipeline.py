@@ -5,6 +5,8 @@ import random
 import duckdb
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from sourcemill.llm import mixing
 
 from .test_dedup import brute_suffixes
@@ -82,5 +84,16 @@ def test_stages(spark, tmp_path):
     want = sorted(found.fetchall(), key=str)
     assert sorted((tuple(r) for r in kept[4].select(order).collect()), key=str) == want
     assert sorted((tuple(r) for r in corpus_pipeline.run(spark, folder).select(order).collect()), key=str) == want
+    empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    odd = spark.createDataFrame([(1, None, "en", None, 0), (None, "", None, "s", 0), (2, "few words", "en", "s", 9), (2, "few words", "en", "s", 9)], SCHEMA)
+    long = spark.createDataFrame([(d, " ".join(f"w{(k * 7919 + (d or 0)) % 100_003}" for k in range(60_000)), "en", "s", 1) for d in (None, 5, 5)], SCHEMA)
+    extra = long.withColumns({"row": F.lit(1), "id": F.lit("x"), "block": F.lit(2.5)})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0
+        if name != "quality_rules":
+            assert stage(spark, odd, folder).count() >= 0
+        kept_long = stage(spark, extra, folder)
+        assert kept_long.count() == (2 if name == "simhash_near_dedup" else 3)
+        assert name == "source_mixing" or kept_long.columns == extra.columns
     for df in kept[:-1]:
         assert df.columns == [c.split()[0] for c in SCHEMA.split(", ")]
