@@ -3,10 +3,12 @@
 For each text the suffixes of its word sequence are sorted by prefix doubling (many
 texts share one NumPy pass; suffixes of different texts never compare equal).  The
 longest common prefix of each pair of neighbours in that order follows from the ranks
-of the doubling steps.  A stretch of words that occurs twice or more and cannot be
-made longer to the left or right is a maximal repeat; the union of the spans of all
-repeats of at least ``min_repeat`` words gives the covered fraction of the text, the
-largest gives its longest repeat, and texts beyond either limit are rejected.
+of the doubling steps.  A stretch of neighbours that share a prefix, longer than either
+outsider shares with them, is an interval: the occurrences of one repeated substring
+that cannot be made longer to the right.  Where the words before them differ, it cannot
+be made longer to the left either and is a maximal repeat.  The union of the spans of
+all maximal repeats of at least ``min_repeat`` words gives the covered fraction of the
+text, the largest gives its longest repeat, and texts beyond either limit are rejected.
 """
 
 from __future__ import annotations
@@ -46,14 +48,13 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeat_lengths(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For every position the length of the longest stretch from it that occurs again in its text.
+def suffix_array(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of all texts in order, the prefix that each shares with the next, and a number for each word.
 
-    tokens: one uint64 for each word; first: where each text starts, and the end.
+    tokens: one uint64 for each of one or more words; first: where each text starts, and
+    the end.  Suffixes of different texts share nothing; equal words of a text have one number.
     """
     n = len(tokens)
-    if n == 0:
-        return np.zeros(0, np.int64)
     text = np.searchsorted(first, np.arange(n), "right") - 1
     end = first[text + 1]
     # Ranks by one word: equal exactly for equal words of one text.
@@ -100,10 +101,57 @@ def repeat_lengths(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
         a = a + step
         b = b + step
     lcp[where] = got
-    best = np.zeros(n, np.int64)
-    best[order[:-1]] = lcp
-    best[order[1:]] = np.maximum(best[order[1:]], lcp)
-    return best
+    return order, lcp, levels[0]
+
+
+def intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Value, first and last suffix of each interval of at least ``least`` shared words, and each entry's interval or -1.
+
+    An entry of lcp belongs to the interval with its value.  Intervals nest: those open
+    stand on a stack and close where the shared prefix gets shorter.
+    """
+    value, low, high, held = [], [], [], []
+    starts, ends = bounds(lcp >= least, np.array([0, len(lcp)]))
+    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+        open_: list[int] = []
+        for at, v in enumerate(lcp[start:end].tolist(), start):
+            lowest = at
+            while open_ and value[open_[-1]] > v:
+                lowest = low[open_[-1]]
+                high[open_.pop()] = at
+            if not open_ or value[open_[-1]] < v:
+                open_.append(len(value))
+                value.append(v)
+                low.append(lowest)
+                high.append(end)
+            held.append(open_[-1])
+    owner = np.full(len(lcp), -1, np.int64)
+    owner[lcp >= least] = held
+    return np.array(value, np.int64), np.array(low, np.int64), np.array(high, np.int64), owner
+
+
+def maximal_repeats(tokens: np.ndarray, first: np.ndarray, least: int):
+    """Maximal repeats of at least ``least`` words: (text, length) of each, and (start, length) of spans with the same union as theirs.
+
+    Of the intervals that a suffix lies in, the innermost has the longest span; if it is
+    not maximal, a span that begins further left covers it.
+    """
+    none = np.zeros(0, np.int64)
+    if len(tokens) == 0:
+        return none, none, none, none
+    order, lcp, word = suffix_array(tokens, first)
+    value, low, high, owner = intervals(lcp, least)
+    if not len(value):
+        return none, none, none, none
+    text = np.searchsorted(first, np.arange(len(tokens)), "right") - 1
+    before = -1 - np.arange(len(tokens))  # nothing comes before the first word of a text
+    before[1:] = np.where(text[1:] == text[:-1], word[:-1], before[1:])
+    before = before[order]
+    changes = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
+    maximal = changes[high] > changes[low]
+    inner = np.where(np.append(lcp, 0) >= np.append(0, lcp), np.append(owner, -1), np.append(-1, owner))
+    spans = np.flatnonzero((inner >= 0) & maximal[inner])
+    return text[order[low[maximal]]], value[maximal], order[spans], value[inner[spans]]
 
 
 def measures(data: np.ndarray, offsets: np.ndarray, min_repeat: int) -> dict[str, np.ndarray]:
@@ -140,16 +188,11 @@ def measures(data: np.ndarray, offsets: np.ndarray, min_repeat: int) -> dict[str
         for k in range(3):
             hit[again + k] = True
     out["n_repeat_words"] = per_text(hit, first)
-    # Maximal repeats: as long as can be to the right by the sort, to the left if the text before does not repeat along.
-    length = repeat_lengths(words, first)
-    long = np.where(length >= min_repeat, length, 0)
-    before = np.zeros(n, np.int64)
-    before[1:] = np.where(text[1:] == text[:-1], length[:-1], 0) if n else 0
-    at = np.flatnonzero((long > 0) & (before != long + 1))
-    out["n_repeats"] = np.bincount(text[at], minlength=n_texts) if n else np.zeros(n_texts, np.int64)
-    out["covered_words"] = per_text(cover(at, at + long[at], n), first)
+    of, length, at, span = maximal_repeats(words, first, min_repeat)
+    out["n_repeats"] = np.bincount(of, minlength=n_texts)
+    out["covered_words"] = per_text(cover(at, at + span, n), first)
     longest = np.zeros(n_texts, np.int64)
-    np.maximum.at(longest, text[at], long[at])
+    np.maximum.at(longest, of, length)
     out["longest_repeat"] = longest
     return out
 

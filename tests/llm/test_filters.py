@@ -68,6 +68,37 @@ def brute_quality(text, least=10):
     return (len(words), sum(map(len, words)), sum(text.count(c) for c in quality.SYMBOLS), len(lines) - len(set(lines)), len(hit), len(covered), longest, failed, kept)
 
 
+def brute_repeats(words, least):
+    """How many substrings of at least least words occur twice or more and in no way longer."""
+    found, n = 0, least
+    while True:
+        at = defaultdict(list)
+        for i in range(len(words) - n + 1):
+            at[tuple(words[i : i + n])].append(i)
+        more = [p for p in at.values() if len(p) > 1]
+        if not more:
+            return found
+        sides = [({words[i - 1] if i else i for i in p}, {words[i + n] if i + n < len(words) else i for i in p}) for p in more]
+        found += sum(len(a) > 1 and len(b) > 1 for a, b in sides)
+        n += 1
+
+
+def test_maximal_repeats():
+    rng = random.Random(7)
+    for least in (1, 2, 4):
+        texts = [[rng.choice("abc"[: rng.randrange(1, 4)]) for _ in range(rng.randrange(0, 60))] for _ in range(30)]
+        tokens = np.array([ord(c) for t in texts for c in t], np.uint64)
+        first = np.cumsum([0, *map(len, texts)])
+        of, length, at, span = quality.maximal_repeats(tokens, first, least)
+        assert np.bincount(of, minlength=len(texts)).tolist() == [brute_repeats(t, least) for t in texts]
+        for k, t in enumerate(texts):
+            want = longest_repeats(t)
+            assert max(length[of == k], default=0) == max((n for n in want if n >= least), default=0)
+            own = (at >= first[k]) & (at < first[k + 1])
+            covered = {i for a, n in zip(at[own] - first[k], span[own]) for i in range(a, a + n)}
+            assert covered == {i + j for i, n in enumerate(want) if n >= least for j in range(n)}
+
+
 def test_quality(spark):
     rng = random.Random(2)
     texts = [None, "", " \n\t", "é# ü\né# ü\n\n", "a\x0bb\x85c d"]
@@ -79,7 +110,9 @@ def test_quality(spark):
         texts.append("".join(w + rng.choice([" ", " ", "\n", "\t "]) for w in words))
     texts.append("word " * 3000)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("kept", F.lit("x"))
-    got = quality.quality(df).drop("n_repeats")
+    found = quality.quality(df)
+    assert all(r.n_repeats == brute_repeats(re.findall(r"[^\x20\x09-\x0D]+", t or ""), 10) for r, t in zip(found.orderBy("doc_id").collect(), texts[:-1]))
+    got = found.drop("n_repeats")
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == {i: brute_quality(t) if i < len(texts) - 1 else (3000, 12000, 0, 0, 3000, 3000, 2999, True, False) for i, t in enumerate(texts)}
     assert {r.doc_id for r in quality.keep_good(df).collect()} == {r.doc_id for r in got.collect() if r.kept}
     assert quality.keep_good(df).columns == df.columns
