@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import checkpointed
@@ -80,14 +80,15 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     left = checkpointed(edges.where("dst is not null and src <> dst").select("src", "dst").distinct())
     done = []
     for _ in range(MAX_ROUNDS):
-        while True:  # trim
-            n = left.count()
+        n = left.count()
+        while n:  # trim
             heads, tails = left.select(F.col("src").alias("n")).distinct(), left.select(F.col("dst").alias("n")).distinct()
             core = heads.join(tails, "n")
             left = checkpointed(left.join(core.select(F.col("n").alias("src")), "src", "left_semi").join(core.select(F.col("n").alias("dst")), "dst", "left_semi"))
-            if left.count() == n:
+            n, before = left.count(), n
+            if n == before:
                 break
-        if left.isEmpty():
+        if not n:
             break
         colour = checkpointed(left.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")))
         while True:  # forward: the largest colour that arrives
@@ -99,7 +100,9 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         own = colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("b"))
         inside = left.join(own[0], "src").join(own[1], "dst").where("a = b").select(F.col("dst").alias("node"), F.col("src").alias("next"))
         members = _grow(colour.where("node = colour").select("colour", "node"), inside, ["colour"])
-        found = checkpointed(members.select("node", F.min("node").over(Window.partitionBy("colour")).alias("component")))
+        # A component may be large: its smallest node is summed up first, and joined back.
+        least = members.groupBy("colour").agg(F.min("node").alias("component"))
+        found = checkpointed(members.join(least, "colour").select("node", "component"))
         done.append(found)
         gone = found.select("node")
         left = checkpointed(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
@@ -115,7 +118,8 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """component and node of every cycle: components of two or more nodes, and nodes that import themselves."""
     parts = strong_components(edges, nodes)
-    big = parts.withColumn("n", F.count("*").over(Window.partitionBy("component"))).where("n > 1").select("component", "node")
+    several = parts.where("node <> component").select("component").distinct()
+    big = parts.join(several, "component", "left_semi").select("component", "node")
     own = edges.where("src = dst").select(F.col("src").alias("node")).distinct().join(big, "node", "left_anti")
     return big.unionByName(own.select(F.col("node").alias("component"), "node"))
 
@@ -153,16 +157,19 @@ def resolve_exports(queries: DataFrame, forwards: DataFrame, edges: DataFrame, d
     A name that a forward fact of its file passes on is followed to the file of the
     fact's edge, under its remote name, at most ``hops`` times.  Outcomes: binding (found
     declared), maybe (a star import may supply it, or the chain is too long), missing,
-    unresolved (the edge leads nowhere).  Only open queries take part in a round.
+    unresolved (the edge leads nowhere).  What a file says of a name is put together and
+    partitioned once; only open queries take part in a round and are shuffled to it.
     """
     step = forwards.join(edges.select(F.col("src").alias("file_id"), "fact", "dst"), ["file_id", "fact"], "left").select(F.col("file_id").alias("at"), F.col("local").alias("as"), F.coalesce("remote", "local").alias("next"), "dst")
-    step = checkpointed(step)
     held = declarations.select(F.col("file_id").alias("at"), F.col("name").alias("as"), "binding")
     stars = star_files(facts).select(F.col("file_id").alias("at"), F.lit(True).alias("star"))
+    said = step.withColumn("forward", F.lit(True)).join(held, ["at", "as"], "full")
+    said = checkpointed(said.repartition("at", "as"))
+    stars = checkpointed(stars.repartition("at"))
     open_ = queries.select("file_id", "name", F.col("file_id").alias("at"), F.col("name").alias("as")).distinct()
     done = None
     for hop in range(hops + 1):
-        tried = open_.join(step.withColumn("forward", F.lit(True)), ["at", "as"], "left").join(held, ["at", "as"], "left").join(stars, "at", "left")
+        tried = open_.join(said, ["at", "as"], "left").join(stars, "at", "left")
         outcome = F.when(F.col("forward") & F.col("dst").isNull(), "unresolved").when(F.col("forward"), F.lit("maybe") if hop == hops else None)
         outcome = outcome.when(F.col("binding").isNotNull(), "binding").when(F.col("star"), "maybe").otherwise("missing")
         tried = checkpointed(tried.withColumn("outcome", outcome))

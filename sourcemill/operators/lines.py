@@ -55,22 +55,43 @@ def _prefix16(text: Column, n: Column) -> Column:
     return F.decode(F.substring(whole, F.lit(1), F.when(half, 2 * n - 2).otherwise(2 * n)), "UTF-16BE")
 
 
+#: Characters of the pieces that lines beyond ASCII are looked up in.
+PIECE = 64
+
+
+def _pieces(lines: DataFrame, unit: str) -> DataFrame:
+    """file_id, line, piece, at (bytes), units before it in its line, size and text of the pieces of lines.
+
+    A line of ASCII is one piece whatever its length, and its text is null: bytes count
+    its units.  Others are cut, so that an offset carries and reads PIECE characters.
+    """
+    plain = F.octet_length("text") == F.char_length("text")
+    cut = F.when(plain, F.array(F.lit(None).cast("string"))).otherwise(F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % PIECE), F.lit(0)))
+    rows = lines.select("file_id", "line", "start", F.when(plain, F.octet_length("text")).alias("_whole"), F.posexplode(cut).alias("piece", "text"))
+    rows = rows.withColumns({"size": F.coalesce("_whole", F.octet_length("text")), "_units": F.coalesce(_units(F.col("text"), unit), F.lit(0))})
+    before = Window.partitionBy("file_id", "line").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    back = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    return rows.select("file_id", "line", "piece", (F.col("start") + back("size")).alias("at"), back("_units").cast("int").alias("units"), "size", "text")
+
+
 def locate(offsets: DataFrame, lines: DataFrame, unit: str = "utf32", offset: str = "offset") -> DataFrame:
     """offsets(file_id, offset, ...) with line and column, both from 0, in units of utf8, utf16 or utf32.
 
     An as-of join: offsets and line starts are put in one order per file and each offset
     takes the last line at or before it, so a file costs its rows, not their product.
     An offset beyond its line's end counts as the end; one before the first line as its start,
-    for which line 0 is marked at offset 0 even where a BOM stands before it.
+    for which line 0 is marked at offset 0 even where a BOM stands before it.  Long lines
+    are marked piece by piece, so an offset never carries the whole text of its line.
     """
-    begin = F.when(F.col("line") == 0, F.lit(0)).otherwise(F.col("start")).cast("long")
-    marks = lines.select("file_id", begin.alias("_at"), F.lit(0).alias("_kind"), F.struct("line", "start", "text").alias("_line"))
+    begin = F.when((F.col("line") == 0) & (F.col("piece") == 0), F.lit(0)).otherwise(F.col("at")).cast("long")
+    marks = _pieces(lines, unit).select("file_id", begin.alias("_at"), F.lit(0).alias("_kind"), F.struct("line", "at", "units", "size", "text").alias("_line"))
     points = offsets.select("file_id", F.greatest(F.col(offset).cast("long"), F.lit(0)).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_line"].dataType).alias("_line"), F.struct(*[c for c in offsets.columns]).alias("_row"))
     marks = marks.withColumn("_row", F.lit(None).cast(points.schema["_row"].dataType))
     order = Window.partitionBy("file_id").orderBy("_at", "_kind")
     found = marks.unionByName(points).withColumn("_line", F.last("_line", True).over(order)).where("_kind = 1")
-    inside = F.greatest(F.lit(0), F.least(F.col("_at") - F.col("_line.start"), F.octet_length("_line.text"))).cast("int")
-    column = _units(_prefix(F.col("_line.text"), inside), unit)
+    inside = F.greatest(F.lit(0), F.least(F.col("_at") - F.col("_line.at"), F.col("_line.size"))).cast("int")
+    part = F.when(F.col("_line.text").isNull(), inside).otherwise(_units(_prefix(F.col("_line.text"), inside), unit))
+    column = F.col("_line.units") + part
     return found.select(*(F.col(f"_row.{c}").alias(c) for c in offsets.columns), F.col("_line.line").alias("line"), column.alias("column"))
 
 

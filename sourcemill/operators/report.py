@@ -18,9 +18,13 @@ from .lines import locate
 
 def positioned(findings: DataFrame, lines: DataFrame) -> DataFrame:
     """findings(finding_id, file_id, offset, length, ...) with row, column, end_row and end_column from 1 in code points, and the text of the first line."""
-    start = locate(findings.select("file_id", "finding_id", "offset"), lines).select("finding_id", (F.col("line") + 1).alias("row"), (F.col("column") + 1).alias("column"), F.col("line").alias("_line"))
-    end = locate(findings.select("file_id", "finding_id", (F.col("offset") + F.col("length")).alias("offset")), lines).select("finding_id", (F.col("line") + 1).alias("end_row"), (F.col("column") + 1).alias("end_column"))
-    out = findings.join(start, "finding_id").join(end, "finding_id")
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("offset")), F.struct(F.lit(1).alias("side"), (F.col("offset") + F.col("length")).alias("offset")))
+    points = findings.select("file_id", "finding_id", F.inline(ends))
+    place = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c) + 1))
+    found = locate(points, lines).groupBy("finding_id").agg(
+        place("line", 0).alias("row"), place("column", 0).alias("column"), place("line", 1).alias("end_row"), place("column", 1).alias("end_column")
+    )
+    out = findings.join(found.withColumn("_line", F.col("row") - 1), "finding_id")
     text = lines.select("file_id", F.col("line").alias("_line"), F.col("text").alias("line_text"))
     return out.join(text, ["file_id", "_line"], "left").drop("_line")
 

@@ -186,3 +186,16 @@ def test_masks_across_buckets(spark):
             for i in range(max(0, c - at), min(len(b), c + n - at)) if hf == f else ():
                 b[i] = b[i] if b[i] == 10 else 32
         assert got[r] == b.decode("utf-8", "replace")
+
+
+def test_locate_in_long_lines(spark):
+    text = "\ufeff" + "né𝄞x" * 90 + "\r\n" + "a" * 300 + "\n\nü" + "z" * 63 + "é"
+    raw = text.encode()
+    own = lines.explode_lines(spark.createDataFrame([(1, text)], "file_id long, source string"))
+    at = spark.createDataFrame([(1, i) for i in range(-1, len(raw) + 3)], "file_id long, offset long")
+    spans = [(r.line, r.start, r.end) for r in own.orderBy("line").collect()]
+    for unit, size in (("utf8", lambda b: len(b)), ("utf16", lambda b: len(b.decode(errors="ignore").encode("utf-16-be")) // 2), ("utf32", lambda b: len(b.decode(errors="ignore")))):
+        for r in lines.locate(at, own, unit).collect():
+            line, start, end = max((x for x in spans if x[1] <= r.offset), default=spans[0])
+            part = raw[start : max(start, min(r.offset, end))]
+            assert (r.line, r.column) == (line, size(part.decode(errors="ignore").encode()))
