@@ -11,7 +11,8 @@ compared.  Equal fingerprints are merged first, so copies never meet as pairs.
 similarity of 0.8 lies far beyond what two or three segments of 64 bits can find, so
 ``representatives`` makes a wide fingerprint of 384 bits and leaves out all but a few
 bits at a time: ``cuts`` are as many as it takes for 99 in 100 pairs of exactly that
-similarity to agree in one, and all that share a cut are compared on all bits.
+similarity to agree in one, and all that share a cut are compared on all bits.  Cuts that
+have most of their bits in common form a bundle, so a text is sent once for several cuts.
 
 A variant shared by more than ``BUCKET`` different fingerprints is not compared pair by
 pair.  Its fingerprints get the variants of the whole fingerprint with any d bits left
@@ -151,6 +152,8 @@ WORDS = 6
 SIMILARITY = 0.8
 #: Bits of a cut, and how many texts may meet in one by chance before cuts get wider.
 WIDTH, CHANCE = 14, 1024
+#: Cuts of a bundle, and the bits that each has for itself.
+BUNDLE, OWN = 4, 7
 #: The share of pairs at exactly the similarity asked for that the cuts must bring together.
 RECALL = 0.99
 #: Texts that share a cut are compared pair by pair in one pass up to FEW; a text with more than MANY links is followed at once.
@@ -174,26 +177,30 @@ def signatures(rows: DataFrame, *, shingle: int) -> DataFrame:
     return rows.select("nid", "id", "text").mapInArrow(scan, "nid long, id long, " + ", ".join(f"s{k} long" for k in range(WORDS)))
 
 
-def cuts(n: int, most: int, recall: float = RECALL) -> np.ndarray:
-    """Bit positions of each cut of the wide fingerprint, one row for each.
+def cuts(n: int, most: int, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
+    """Bit positions that the cuts of a bundle have in common (bundle x bits), and those of each (bundle x cut x bits).
 
     A cut is a choice of bits; two fingerprints meet where they agree in all bits of one.
-    Cuts are added until they catch the share recall of random patterns of ``most``
-    differing bits, which are the hardest pairs that the check accepts.  Their width
-    grows with the number n of fingerprints, so that few meet by chance.
+    The cuts of a bundle differ in OWN bits only.  Bundles are added until their cuts
+    catch the share recall of random patterns of ``most`` differing bits, which are the
+    hardest pairs that the check accepts.  The width of a cut grows with the number n of
+    fingerprints, so that few meet by chance.
     """
     rng, bits = np.random.default_rng(SEED), 64 * WORDS
-    width = max(WIDTH, int(np.ceil(np.log2(max(n, 1) / CHANCE))))
+    common = max(WIDTH, int(np.ceil(np.log2(max(n, 1) / CHANCE)))) - OWN
+    size = common + BUNDLE * OWN
     differ = rng.permuted(np.tile(np.arange(bits) < most, (20000, 1)), axis=1)
     out, caught = [], np.zeros(len(differ), dtype=bool)
     while caught.mean() < recall:
         order = rng.permutation(bits)
-        for at in range(0, bits - width + 1, width):
-            out.append(order[at : at + width])
-            caught |= ~differ[:, out[-1]].any(axis=1)
+        for at in range(0, bits - size + 1, size):
+            out.append(order[at : at + size])
+            own = differ[:, out[-1][common:]].reshape(-1, BUNDLE, OWN).any(axis=2)
+            caught |= ~differ[:, out[-1][:common]].any(axis=1) & ~own.all(axis=1)
             if caught.mean() >= recall:
                 break
-    return np.array(out)
+    chosen = np.array(out)
+    return chosen[:, :common], chosen[:, common:].reshape(-1, BUNDLE, OWN)
 
 
 def _near(x: np.ndarray, y: np.ndarray, most: int):
@@ -286,6 +293,29 @@ def _linked(keys: np.ndarray, words: np.ndarray, most: int):
     return left[keep], right[keep]
 
 
+def _bundled(keys: np.ndarray, words: np.ndarray, bundle: np.ndarray, own: np.ndarray, most: int):
+    """Links between rows with the same key that agree in a cut of their bundle: indices of their ends.
+
+    keys are sorted; bundle is the number of each row's bundle, and own the bit positions
+    of each bundle's cuts beyond those that the key stands for.
+    """
+    left, right = [], []
+    for c in range(BUNDLE):
+        full = np.empty(len(keys), np.int64)
+        for at in range(0, len(keys), _BLOCK):
+            where, part = own[bundle[at : at + _BLOCK], c], words[at : at + _BLOCK]
+            bits = np.take_along_axis(part, where >> 6, axis=1) >> (where & 63).astype(np.uint64) & np.uint64(1)
+            full[at : at + _BLOCK] = bits.astype(np.int64) @ (1 << np.arange(OWN, dtype=np.int64))
+        full += keys << OWN
+        order = np.argsort(full, kind="stable")
+        i, j = _linked(full[order], words[order], most)
+        left.append(order[i])
+        right.append(order[j])
+    left, right = np.concatenate(left), np.concatenate(right)
+    keep = _forest(left, right)
+    return left[keep], right[keep]
+
+
 def similar_links(found: DataFrame, *, similarity: float) -> DataFrame:
     """(a, b): links between nodes of found(nid, s0, ...), no two of them with equal fingerprints.
 
@@ -295,25 +325,25 @@ def similar_links(found: DataFrame, *, similarity: float) -> DataFrame:
     """
     most = int(64 * WORDS * np.arccos(similarity) / np.pi)
     names = [f"s{k}" for k in range(WORDS)]
-    chosen = cuts(found.count(), most)
+    common, own = cuts(found.count(), most)
+    n, width = common.shape
     schema = "key long, nid long, " + ", ".join(f"{c} long" for c in names)
 
     def cut(batches):
-        n, width = chosen.shape
         powers, base = 1 << np.arange(width, dtype=np.int64), np.arange(n, dtype=np.int64) << width
         for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, len(whole), 512):
+                batch = whole.slice(at, 512)
                 words = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
                 bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
-                keys = bits[:, chosen.ravel()].reshape(len(batch), n, width) @ powers + base
+                keys = bits[:, common.ravel()].reshape(len(batch), n, width) @ powers + base
                 spread = [np.repeat(c, n) for c in (batch.column(0).to_numpy(zero_copy_only=False), *words.T)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *map(pa.array, spread)], names=["key", "nid", *names])
 
     def compare(batches):
         def links_of(parts):
             key, nid, words = (np.concatenate(x) for x in zip(*parts, strict=True))
-            a, b = _linked(key, words, most)
+            a, b = _bundled(key, words, key >> width, own, most)
             return pa.RecordBatch.from_arrays([pa.array(nid[a]), pa.array(nid[b])], names=["a", "b"])
 
         held = []
