@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, decontaminate, language, licenses, mixing, quality, simhash, suffixes, urls, warc
+from . import chunking, decontaminate, language, licenses, mixing, quality, simhash, suffixes, tokens, urls, warc
 from .session import scratch, table
 
 
@@ -55,6 +55,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokens.new_folder(scratch(spark))
+    tokens.write_tokens(table(spark, sf_dir, "documents"), folder, tokens.public_vocabulary()).agg(F.sum("ids")).collect()
+    return tokens.token_digests(tokens.read_tokens(spark, folder))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_url_filter": op2_url_filter,
@@ -66,6 +72,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
+    "op11_token_ids": op11_token_ids,
 }
 
 ORACLES = {
