@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, decontaminate, language, licenses, mixing, quality, simhash, suffixes, tokens, urls, warc
+from . import chunking, decontaminate, language, licenses, mixing, quality, simhash, suffixes, tokens, tries, urls, warc
 from .session import scratch, table
 
 
@@ -61,6 +61,10 @@ def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(tokens.read_tokens(spark, folder))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_url_filter": op2_url_filter,
@@ -73,6 +77,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
     "op11_token_ids": op11_token_ids,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
 ORACLES = {
@@ -80,4 +85,5 @@ ORACLES = {
     "op3_warc": warc.ORACLE_SQL,
     "op4_mixing": mixing.ORACLE_SQL,
     "op9_licenses": licenses.oracle_sql(),
+    "op12_conversation_trie": tries.ORACLE_SQL,
 }
