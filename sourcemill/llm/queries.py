@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, decontaminate, language, licenses, mixing, quality, simhash, suffixes, tokens, tries, urls, warc
+from . import chunking, decontaminate, language, licenses, mixing, quality, repairs, simhash, suffixes, tokens, tries, urls, warc
 from .session import scratch, table
 
 
@@ -65,6 +65,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repairs.conversation_repairs(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_url_filter": op2_url_filter,
@@ -78,6 +82,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_token_ids": op11_token_ids,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_structure_repair": op13_structure_repair,
 }
 
 ORACLES = {
