@@ -22,6 +22,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ FILE_IDS = 32 << 20
 END = 0
 MAGIC = b"PFORIDS1"
 #: Encoded pieces that a worker keeps, and the longest piece among them, in bytes.
-KEPT, KEPT_BYTES = 400_000, 48
+KEPT, KEPT_BYTES = 600_000, 48
 
 
 def _widths(x: np.ndarray) -> np.ndarray:
@@ -181,6 +182,25 @@ class TokenFile:
         return np.concatenate(parts)
 
 
+def _visible(second: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether a character with these last two bytes is surely no white space."""
+    return (last > 0x20) & (last < 0x7F) | (last >= 0x80) & ~_DOUBT[second]
+
+
+#: Bytes before the last one of characters beyond ASCII that are white space.
+_DOUBT = np.zeros(256, dtype=bool)
+_DOUBT[[0xC2, 0x80, 0x81, 0x9A]] = True
+
+
+def _joined(pieces: pa.LargeBinaryArray) -> np.ndarray:
+    """Which pieces begin and end where a text may be cut, whatever stands beside them."""
+    if not len(pieces):
+        return np.zeros(0, dtype=bool)
+    data, offsets = utf8(pieces)
+    first, last = data[offsets[:-1]], data[offsets[1:] - 1]
+    return SPACE[first] & _visible(data[np.maximum(offsets[1:] - 2, 0)], last) & (np.diff(offsets) > 1)
+
+
 def _edges(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where texts may be cut without a change of their ids: the starts of texts, and white space after a visible character.
 
@@ -191,71 +211,96 @@ def _edges(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(data)
     cut = np.zeros(n + 1, dtype=bool)
     if n > 1:
-        before, second = data[:-1], np.concatenate([[np.uint8(0)], data[:-2]])
-        visible = (before > 0x20) & (before < 0x7F) | (before >= 0x80) & ~((second == 0xC2) | np.isin(second, (0x80, 0x81, 0x9A)))
-        cut[1:n] = SPACE[data[1:]] & visible
+        cut[1:n] = SPACE[data[1:]] & _visible(np.concatenate([[np.uint8(0)], data[:-2]]), data[:-1])
     cut[offsets] = True
     return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Encodes texts piece by piece; pieces seen before are looked up."""
+    """Encodes texts piece by piece; pieces seen before are looked up.
+
+    New pieces are encoded many at a time, as one text in which each begins where a text
+    may be cut, and told apart again by the bytes that each id stands for.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _learn(self, pieces: list[bytes]) -> np.ndarray:
-        """Numbers of the pieces, after those not yet known are encoded."""
-        at = [self.known.get(p) for p in pieces]
-        new = [k for k, x in enumerate(at) if x is None]
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[k].decode("utf-8", "replace") for k in new], add_special_tokens=False)]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            total, first = int(counts.sum()), len(self.known)
-            if self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(self.used, total) + total, np.uint32)])
-            if first + len(new) > len(self.start):
-                more = np.zeros(max(first, len(new)) + len(new), np.int64)
-                self.start, self.count = np.concatenate([self.start[:first], more]), np.concatenate([self.count[:first], more])
-            self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
-            self.count[first : first + len(new)] = counts
-            self.start[first : first + len(new)] = self.used + np.cumsum(counts) - counts
-            self.used += total
-            for n, k in enumerate(new):
-                at[k] = first + n
-                self.known[pieces[k]] = first + n
-        return np.array(at, np.int64)
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():  # a byte-level vocabulary spells every byte as one character
+            self.bytes[i] = len(token)
+        self._keep([], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def _keep(self, pieces: list[bytes], flat: np.ndarray, ends: np.ndarray) -> None:
+        self.known = dict(zip(pieces, itertools.count()))
+        self.flat, self.ends, self.uses = flat, ends, np.zeros(len(pieces), np.int32)
+
+    def _forget(self) -> None:
+        """Keeps the pieces that came up again, unless they are too many."""
+        again = np.flatnonzero(self.uses > 1)
+        if len(again) > KEPT // 2:
+            again = again[:0]
+        names = list(self.known)
+        chosen = pa.LargeListArray.from_arrays(self.ends, self.flat).take(pa.array(again))
+        self._keep([names[k] for k in again.tolist()], chosen.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(self.ends)[again])]))
+
+    def _encode(self, pieces: list[bytes], joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces and how many each has; joined are those that may follow one another in a text."""
+        groups, alone = [], [k for k in range(len(pieces)) if not joined[k]]
+        own = np.flatnonzero(joined).tolist()
+        texts = [pieces[k].decode("utf-8", "replace") for k in alone]
+        for at in range(0, len(own), 1024):
+            part = own[at : at + 1024]
+            try:
+                texts.append(b"".join([pieces[k] for k in part]).decode())
+                groups.append(part)
+            except UnicodeDecodeError:
+                alone += part
+                texts[len(alone) - len(part) : len(alone) - len(part)] = [pieces[k].decode("utf-8", "replace") for k in part]
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.zeros(len(pieces), np.int64)
+        counts[alone] = [len(x) for x in found[: len(alone)]]
+        for part, ids in zip(groups, found[len(alone) :], strict=True):
+            reached = np.cumsum(self.bytes[ids])
+            places = np.searchsorted(reached, ends := np.cumsum([len(pieces[k]) for k in part]))
+            if (reached[np.minimum(places, len(reached) - 1)] != ends).any():
+                raise ValueError("the vocabulary is not byte-level")
+            counts[part] = np.diff(places, prepend=-1)
+        order = np.array(alone + [k for part in groups for k in part], np.int64)
+        starts = np.concatenate([[0], np.cumsum(counts[order])])
+        lists = pa.LargeListArray.from_arrays(starts, np.concatenate([np.zeros(0, np.uint32), *found]))
+        place = np.empty(len(pieces), np.int64)
+        place[order] = np.arange(len(pieces))
+        return lists.take(pa.array(place)).flatten().to_numpy(), counts
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts in a row, and where each text's begin and the last's end."""
+        if len(self.known) > KEPT:
+            self._forget()
         edges = _edges(data, offsets)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pieces.dictionary_encode()
-        distinct, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.known) > KEPT:
-            self._clear()
-        # Long pieces are rare and would fill the memory of a worker: they are learned last and forgotten.
-        long = np.array([len(p) > KEPT_BYTES for p in distinct], dtype=bool)
-        number = np.zeros(len(distinct), np.int64)
-        number[~long] = self._learn([distinct[k] for k in np.flatnonzero(~long)])
-        used, own = self.used, [distinct[k] for k in np.flatnonzero(long)]
-        number[long] = self._learn(own)
-        count, start = self.count[number][of], self.start[number][of]
-        ends = np.concatenate([[0], np.cumsum(count)])
-        flat = self.flat[np.arange(ends[-1]) + np.repeat(start - ends[:-1], count)] if len(count) else np.zeros(0, np.uint32)
-        for piece in own:
-            del self.known[piece]
-        self.used = used
-        return flat, ends[np.searchsorted(edges, offsets)]
+        distinct = coded.dictionary.to_pylist()
+        number = np.array([self.known.get(p, -1) for p in distinct], np.int64)
+        self.uses[number[number >= 0]] += 1
+        new, kept = np.flatnonzero(number < 0), len(self.known)
+        # Long pieces are rare and would fill the memory of a worker: they come last and are forgotten.
+        sizes = pa.compute.binary_length(coded.dictionary).to_numpy()
+        new = new[np.argsort(sizes[new] > KEPT_BYTES, kind="stable")]
+        stay = kept + int((sizes[new] <= KEPT_BYTES).sum())
+        flat, counts = self._encode([distinct[k] for k in new.tolist()], _joined(coded.dictionary)[new])
+        number[new] = np.arange(kept, kept + len(new))
+        self.known.update(zip([distinct[k] for k in new[: stay - kept].tolist()], itertools.count(kept)))
+        self.flat, self.ends = np.concatenate([self.flat, flat]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+        self.uses = np.concatenate([self.uses, np.ones(stay - kept, np.int32)])
+        found = pa.LargeListArray.from_arrays(self.ends, self.flat).take(pa.array(number)).take(coded.indices)
+        whole = found.offsets.to_numpy()[np.searchsorted(edges, offsets)]
+        flat = found.flatten().to_numpy()
+        self.ends = self.ends[: stay + 1]
+        self.flat = self.flat[: self.ends[-1]]
+        return flat, whole - whole[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
