@@ -38,12 +38,17 @@ def brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ASCII words of documents as tokens: file_id, idx, offset and length in bytes, kind by its first letter.
+    """The ASCII words of documents as tokens."""
+    return words_of(files(spark, sf_dir))
+
+
+def words_of(files: DataFrame) -> DataFrame:
+    """The ASCII words of files as tokens: file_id, idx, offset and length in bytes, kind by its first letter.
 
     Words and the stretches between them alternate, so offsets are running sums in the row.
     """
     parts = F.regexp_extract_all(F.col("source"), F.lit(r"([A-Za-z]+|[^A-Za-z]+)"), 1)
-    rows = files(spark, sf_dir).select("file_id", F.posexplode(parts).alias("at", "word"))
+    rows = files.select("file_id", F.posexplode(parts).alias("at", "word"))
     before = Window.partitionBy("file_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("offset", F.coalesce(F.sum(F.octet_length("word")).over(before), F.lit(0)).cast("long"))
     rows = rows.where(F.col("word").rlike("^[A-Za-z]"))

@@ -362,13 +362,17 @@ def c11_attributes(spark, sf_dir):
 SELECT p_partkey AS file_id, 0 AS fact, ['import_named', 'import_module', 'reexport_named', 'import_side_effect', 'import_module'][i + 1] AS kind,
   CASE i WHEN 0 THEN 'b' WHEN 1 THEN 'os' WHEN 2 THEN 'd' WHEN 4 THEN 'std' END AS local, CASE i WHEN 0 THEN n WHEN 2 THEN n END AS remote, ['m' || n, 'os.' || n, './' || n, n || '.css', n][i + 1] AS specifier FROM p""")
 def d1_extract_facts(spark, sf_dir):
+    return names.extract_facts(_fact_sources(spark, sf_dir)).drop("only")
+
+
+def _fact_sources(spark, sf_dir):
+    """Parts as sources of one statement each, in turn in several languages."""
     n = F.replace("p_name", F.lit(" "), F.lit("_"))
     i = F.col("p_partkey") % 5
     line = F.when(i == 0, F.concat(F.lit("from m"), n, F.lit(" import "), n, F.lit(" as b"))).when(i == 1, F.concat(F.lit("import os."), n))
     line = line.when(i == 2, F.concat(F.lit("export { "), n, F.lit(" as d } from './"), n, F.lit("';"))).when(i == 3, F.concat(F.lit('@import "'), n, F.lit('.css";'))).otherwise(F.concat(F.lit('const std = @import("'), n, F.lit('");')))
     language = F.element_at(F.array(*map(F.lit, ("python", "python", "javascript", "css", "zig"))), (i + 1).cast("int"))
-    rows = a.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), language.alias("language"), F.concat(F.lit("x\n"), line, F.lit("\ny")).alias("source"))
-    return names.extract_facts(rows).drop("only")
+    return a.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), language.alias("language"), F.concat(F.lit("x\n"), line, F.lit("\ny")).alias("source"))
 
 
 @query(a.sql("steps", "bindings") + " SELECT file_id, name, max(binding) AS binding FROM bindings GROUP BY 1, 2")
@@ -687,15 +691,27 @@ def e13_recursive_functions(spark, sf_dir):
     return graph.recursive_functions(graph.call_edges(r, r.select("file_id", "ref"), _functions(spark, sf_dir)))
 
 
-@query("""WITH f AS (SELECT p_brand AS name, p_type IN ('SMALL', 'ECONOMY') AND p_size % 2 = 0 AS fallible, p_size >= 10 AS value FROM part)
-SELECT name, CASE WHEN min(fallible) = max(fallible) THEN min(fallible) END AS fallible, CASE WHEN min(value) = max(value) THEN min(value) END AS value FROM f GROUP BY 1""")
+_TYPES = {
+    "zig": ("void", "!void", "u32", "!u32", "?u8", "noreturn"), "rust": ("()", "Result<u8>", "Option<T>", "", "String", "Error"), "python": ("None", "Optional[int]", "int", "", "NoReturn", "error"),
+    "go": ("", "error", "(int, error)", "int", "Error", "void"), "typescript": ("void", "string | null", "undefined", "never", "T", "None"), "odin": ("", "Maybe(int)", "int", "bool", "Error", "os.error"),
+}
+
+
+@query(f"""WITH t AS (SELECT unnest({list(_TYPES)}) AS language, unnest({[list(v) for v in _TYPES.values()]}) AS types, unnest(range(6)) AS l),
+f AS (SELECT p_brand || '/' || p_type AS name, language, types[p_size % 6 + 1] AS r FROM part JOIN t ON l = p_partkey % 6),
+g AS (SELECT name, r <> '' AND r NOT IN ('()', '!noreturn', '!void', 'None', 'noreturn', 'void') AS value,
+  regexp_matches(r, CASE language WHEN 'zig' THEN 'error|!|[?]' WHEN 'rust' THEN 'error|Option<|Result<' WHEN 'python' THEN 'error|None|Optional[[]' WHEN 'typescript' THEN 'error|null|undefined' WHEN 'odin' THEN 'error|Maybe[(]' ELSE 'error' END) AS fallible FROM f)
+SELECT name, CASE WHEN min(fallible) = max(fallible) THEN min(fallible) END AS fallible, CASE WHEN min(value) = max(value) THEN min(value) END AS value FROM g GROUP BY 1
+UNION ALL SELECT '=' || r || '/' || language, regexp_matches(r, CASE language WHEN 'zig' THEN 'error|!|[?]' WHEN 'rust' THEN 'error|Option<|Result<' WHEN 'python' THEN 'error|None|Optional[[]' WHEN 'typescript' THEN 'error|null|undefined' WHEN 'odin' THEN 'error|Maybe[(]' ELSE 'error' END),
+  r <> '' AND r NOT IN ('()', '!noreturn', '!void', 'None', 'noreturn', 'void') FROM (SELECT DISTINCT language, r FROM f)""")
 def e14_function_flags(spark, sf_dir):
-    odd = F.col("p_type").isin("SMALL", "ECONOMY") & (F.col("p_size") % 2 == 0)
-    kind = F.concat(F.when(odd, "!").otherwise(""), F.when(F.col("p_size") < 10, "void").otherwise("u32"))
-    # A void that may fail is spelled !void, which is no bare void.
-    rows = a.table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.lit("zig").alias("language"), kind.alias("return_type"))
-    flagged = graph.function_flags(rows).withColumn("value", F.col("value") & ~F.endswith("return_type", F.lit("void")))
-    return graph.agreed_flags(flagged)
+    """What the functions of a name agree on, and the flags of every spelling by itself."""
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    spelled = F.element_at(F.array(*[pick(v, F.col("p_size")) for v in _TYPES.values()]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    rows = a.table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("/"), "p_type").alias("name"), pick(list(_TYPES), F.col("p_partkey")).alias("language"), spelled.alias("return_type"))
+    flagged = graph.function_flags(rows)
+    each = flagged.withColumn("name", F.concat(F.lit("="), "return_type", F.lit("/"), "language"))
+    return graph.agreed_flags(flagged).unionByName(graph.agreed_flags(each))
 
 
 @query(_PARTS + """, s AS (SELECT p_partkey AS f_at, p_size, CASE WHEN p_size % 10 <> 0 THEN dst END AS target FROM part JOIN next_part ON src = p_partkey WHERE p_size <= 35 AND dst IS NOT NULL),
@@ -933,15 +949,15 @@ def g1_plan_fixes(spark, sf_dir):
     return fixes.plan_fixes(fix, edits.drop("file_id"))
 
 
-@query(a.sql("files", "raw") + r" SELECT file_id, string_agg('[' || raw[2:] || '!', chr(10) ORDER BY line) AS fixed, CAST(sum(2) AS INT) AS applied FROM raw WHERE file_id NOT IN (SELECT file_id FROM raw WHERE raw = '') GROUP BY file_id")
+@query(a.sql("files", "raw") + r" SELECT file_id, string_agg('[' || raw[2:] || '!', chr(10) ORDER BY line) AS fixed, CAST(sum(CASE WHEN raw = '' THEN 1 ELSE 2 END) AS INT) AS applied FROM raw GROUP BY file_id")
 def g2_apply_edits(spark, sf_dir):
+    """Of every line the first character is replaced and something added; an empty line gets one edit for both."""
     own = lines.explode_lines(a.files(spark, sf_dir))
-    whole = own.groupBy("file_id").agg(F.min(F.char_length("text")).alias("n")).where("n > 0")
-    own = own.join(whole.select("file_id"), "file_id")
+    bare = F.col("text") == ""
     first = F.octet_length(F.left("text", F.lit(1))).cast("long")
-    heads = own.select("file_id", F.col("start").alias("offset"), first.alias("length"), F.lit("[").alias("replacement"))
-    tails = own.select("file_id", F.col("end").alias("offset"), F.lit(0).cast("long").alias("length"), F.lit("!").alias("replacement"))
-    return fixes.apply_edits(a.files(spark, sf_dir).join(whole.select("file_id"), "file_id").select("file_id", "source"), heads.unionByName(tails))
+    heads = own.select("file_id", F.col("start").alias("offset"), first.alias("length"), F.when(bare, "[!").otherwise("[").alias("replacement"))
+    tails = own.where(~bare).select("file_id", F.col("end").alias("offset"), F.lit(0).cast("long").alias("length"), F.lit("!").alias("replacement"))
+    return fixes.apply_edits(a.files(spark, sf_dir).select("file_id", "source"), heads.unionByName(tails))
 
 
 @query(a.sql("steps") + """, e AS (SELECT file_id, idx * 10 AS o, k % 8 AS l, k % 5 AS r FROM steps WHERE kind = 'purchase'), p AS (SELECT file_id, idx * 10 + k % 10 AS "offset" FROM steps),
@@ -1122,14 +1138,35 @@ def i5_exactly_one(spark, sf_dir):
     return compare.exactly_one(items, [("a", "Customer#00000"), ("b", "Customer#000001"), ("c", "Customer#1")])
 
 
-@query(a.sql("files", "words") + ' SELECT file_id, count(*) AS n, 0 AS differ FROM words GROUP BY 1')
+_PREFIX = "## é — 12\n"
+
+
+@query(a.sql("files", "words") + """ SELECT 'words' AS suite, file_id, count(*) AS n, 0 AS differ FROM words GROUP BY 2
+UNION ALL SELECT 'brackets', file_id, length(regexp_replace(source, '[^()\\[\\]{}]', '', 'g')), 0 FROM files WHERE regexp_matches(source, '[()\\[\\]{}]')
+UNION ALL SELECT 'facts', p_partkey, 1, 0 FROM part""")
 def i6_shift_spans(spark, sf_dir):
-    """Words of each text after a prefix, held against the shifted words of the text."""
-    w = a.words(spark, sf_dir).select("file_id", F.col("kind").alias("name"), "offset", (F.col("offset") + F.col("length")).alias("end"))
-    moved = compare.shift_spans(w, 3)
-    differ = compare.compare_rows(compare.shift_spans(moved, -3), w, ("file_id", "name", "offset", "end")).groupBy("file_id").agg(F.count("*").alias("d"))
-    n = w.groupBy("file_id").agg(F.count("*").alias("n"))
-    return n.join(differ, "file_id", "left").select("file_id", "n", F.coalesce("d", F.lit(0)).alias("differ"))
+    """Words, brackets and facts extracted twice, from sources and from sources after a comment, and what differs."""
+
+    def words(files):
+        w = a.words_of(files)
+        return w.select("file_id", F.col("kind").alias("name"), "offset", (F.col("offset") + F.col("length")).alias("end"))
+
+    def brackets(files):
+        found = spans.bracket_pairs(spans.bracket_tokens(files))
+        name = F.concat("text", F.col("depth").cast("string"), F.col("partner").isNotNull().cast("string"))
+        return found.select("file_id", name.alias("name"), "offset", (F.col("offset") + F.col("length")).alias("end"))
+
+    def facts(files):
+        return names.extract_facts(files)
+
+    whole = None
+    documents, sources_ = a.files(spark, sf_dir), _fact_sources(spark, sf_dir)
+    for suite, files, extract in (("words", documents, words), ("brackets", documents, brackets), ("facts", sources_, facts)):
+        differ = compare.prefix_check(files, extract, _PREFIX).groupBy("file_id").agg(F.count("*").alias("d"))
+        n = extract(files).groupBy("file_id").agg(F.count("*").alias("n"))
+        rows = n.join(differ, "file_id", "full").select(F.lit(suite).alias("suite"), F.col("file_id").cast("long").alias("file_id"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("d", F.lit(0)).alias("differ"))
+        whole = rows if whole is None else whole.unionByName(rows)
+    return whole
 
 
 # J: incremental, in batch form

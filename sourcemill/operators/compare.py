@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +47,16 @@ def exactly_one(items: DataFrame, partitions: list[tuple[str, str]]) -> DataFram
 def shift_spans(rows: DataFrame, delta: int) -> DataFrame:
     """rows with offset and end moved by delta: what a prefix of delta bytes must do, and nothing else."""
     return rows.withColumns({"offset": F.col("offset") + delta, "end": F.col("end") + delta})
+
+
+def prefix_check(files: DataFrame, extract: Callable[[DataFrame], DataFrame], prefix: str) -> DataFrame:
+    """The rows in which extract departs from the rule that text before a source moves every span by its length and changes nothing else.
+
+    files: file_id, source, ...; extract makes rows from them, with offset and end, or
+    neither for rows without a place.  It runs twice, on the sources and on the sources
+    after the prefix; missing counts rows that should be there, extra rows that should not.
+    """
+    plain = extract(files)
+    after = extract(files.withColumn("source", F.concat(F.lit(prefix), F.col("source"))))
+    expected = shift_spans(plain, len(prefix.encode())) if "offset" in plain.columns else plain
+    return compare_rows(after, expected, tuple(plain.columns))

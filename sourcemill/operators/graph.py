@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import checkpointed
+from .session import Grown, checkpointed
 from .spans import innermost
 
 MAX_HOPS = 16
@@ -32,16 +32,50 @@ def dependents(edges: DataFrame) -> DataFrame:
     return edges.where("dst is not null").select(F.col("dst").alias("file"), F.col("src").alias("dependent")).distinct()
 
 
-def _grow(front: DataFrame, step: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows of keys + [node] that steps (node, next) reach from front, front included."""
-    seen = checkpointed(front.select(*keys, "node").distinct())
-    front = seen
+def _chains(step: DataFrame) -> DataFrame:
+    """node, next, least, cuts and endless of the nodes with one step in steps (node, next), all distinct and none to the node itself.
+
+    Such a node leads on without a choice.  next is where its chain stops, at a node with no
+    step or several, or some node on it if it never stops (endless); least is the smallest
+    node before next; cuts are nodes further and further along.  Each round goes four times
+    as far, so a chain of n nodes takes log4(n) rounds.
+    """
+    only = step.groupBy("node").agg(F.min("next").alias("next"), F.count("*").alias("n")).where("n = 1")
+    chains = checkpointed(only.select("node", "next", F.col("node").alias("least"), F.filter(F.array("next"), lambda x: F.lit(False)).alias("cuts"), F.lit(True).alias("endless")))
+    reach, n = 1, chains.count()
+    while reach <= n:
+        far = chains.select(F.col("node").alias("_node"), F.col("next").alias("_next"), F.col("least").alias("_least"))
+        for _ in range(3):
+            on = F.col("_next").isNotNull()
+            chains = chains.join(far, F.col("next") == F.col("_node"), "left").select(
+                "node", F.coalesce("_next", "next").alias("next"), F.least("least", "_least").alias("least"), F.when(on, F.array_append("cuts", F.col("_next"))).otherwise(F.col("cuts")).alias("cuts"), on.alias("endless"),
+            )
+        chains, reach = checkpointed(chains), 4 * reach
+        if chains.where("endless").isEmpty():
+            break
+    return chains
+
+
+def _cuts(chains: DataFrame) -> DataFrame:
+    return chains.select("node", F.explode("cuts").alias("next")).where("node <> next")
+
+
+def _grow(front: DataFrame, step: DataFrame, keys: list[str], cuts: DataFrame | None = None) -> DataFrame:
+    """All rows of keys + [node] that steps (node, next) reach from front, front included.
+
+    Rounds follow the number of choices on a path, not its length: chains without a choice
+    are crossed by shortcuts, which cuts (node, next) has if they are known.  Every row is
+    written once, in the round that reached it.
+    """
+    step = checkpointed(step.where("node <> next").distinct())
+    step = step.unionByName(_cuts(_chains(step)) if cuts is None else cuts)
+    seen = Grown(front.sparkSession)
+    front = seen.add(front.select(*keys, "node").distinct())
     for _ in range(MAX_ROUNDS):
         new = front.join(step, "node").select(*keys, F.col("next").alias("node")).distinct()
-        front = checkpointed(new.join(seen, [*keys, "node"], "left_anti"))
+        front = seen.add(new.join(seen.all(), [*keys, "node"], "left_anti"))
         if front.isEmpty():
-            return seen
-        seen = checkpointed(seen.unionByName(front))
+            return seen.all()
     raise RuntimeError("the closure did not settle")
 
 
@@ -68,51 +102,74 @@ def unreached(files: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame
     return files.select("file").join(reachable(edges, roots), "file", "left_anti")
 
 
+def _peeled(left: DataFrame, one: str, other: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(gone, rings, chains) of the edges (src, dst), followed from ``one`` to ``other``.
+
+    gone has the nodes from which every way is a chain: one that stops, so no cycle holds
+    them, or one that runs into a ring.  rings has node and component of the nodes on such
+    rings, which nothing leaves.
+    """
+    step = left.select(F.col(one).alias("node"), F.col(other).alias("next"))
+    chains = _chains(step)
+    stopped = step.select(F.col("next").alias("node")).distinct().join(step.select("node"), "node", "left_anti")
+    dead = chains.join(stopped.withColumnRenamed("node", "next"), "next", "left_semi").select("node").unionByName(stopped)
+    endless = chains.where("endless").join(chains.select(F.col("node").alias("next")), "next", "left_semi")
+    rings = endless.join(endless.select(F.col("next").alias("node")).distinct(), "node", "left_semi").select("node", F.col("least").alias("component"))
+    return checkpointed(dead.unionByName(endless.select("node"))), rings, chains
+
+
+def _without(left: DataFrame, gone: DataFrame) -> DataFrame:
+    return checkpointed(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and component: the smallest node of its strongly connected component.
 
-    Nodes that no cycle can hold, for want of an edge in or out, are trimmed first and
-    again after each round.  In the rest, colours spread: every node takes the largest
-    node that reaches it, and the nodes of a colour that reach its root backwards
-    within the colour are one component.  Each round settles at least one component of
-    every colour.
+    Nodes on chains that stop, or run into a ring, are peeled off from both sides, again
+    after each round.  In the rest, colours spread: every node takes the largest node that
+    reaches it, and the nodes of a colour that reach its root backwards within the colour
+    are one component.  Each round settles at least one component of every colour.
+    Chains are crossed by shortcuts, so a ring or a chain of n nodes takes some log n rounds.
     """
     left = checkpointed(edges.where("dst is not null and src <> dst").select("src", "dst").distinct())
-    done = []
+    done = Grown(edges.sparkSession)
     for _ in range(MAX_ROUNDS):
-        n = left.count()
-        while n:  # trim
-            heads, tails = left.select(F.col("src").alias("n")).distinct(), left.select(F.col("dst").alias("n")).distinct()
-            core = heads.join(tails, "n")
-            left = checkpointed(left.join(core.select(F.col("n").alias("src")), "src", "left_semi").join(core.select(F.col("n").alias("dst")), "dst", "left_semi"))
+        n, before, chains = left.count(), None, None
+        while n and n != before:
+            gone, rings, chains = _peeled(left, "src", "dst")
+            if not gone.isEmpty():
+                done.add(rings)
+                left = _without(left, gone)
+                if left.isEmpty():
+                    n = 0
+                    break
+            gone, rings, back = _peeled(left, "dst", "src")
+            if not gone.isEmpty():
+                done.add(rings)
+                left = _without(left, gone)
             n, before = left.count(), n
-            if n == before:
-                break
         if not n:
             break
+        there, back = _cuts(chains).select(F.col("node").alias("src"), F.col("next").alias("dst")), _cuts(back).select(F.col("next").alias("src"), F.col("node").alias("dst"))
+        ways = checkpointed(left.unionByName(there).unionByName(back).distinct())
         colour = checkpointed(left.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")))
         while True:  # forward: the largest colour that arrives
-            came = left.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("c"))
+            came = ways.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("c"))
             new = checkpointed(colour.join(came, "node", "left").select("node", F.greatest("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") > F.col("colour")).alias("up")))
             colour = new.select("node", "colour")
             if new.where("up").isEmpty():
                 break
         own = colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("b"))
-        inside = left.join(own[0], "src").join(own[1], "dst").where("a = b").select(F.col("dst").alias("node"), F.col("src").alias("next"))
-        members = _grow(colour.where("node = colour").select("colour", "node"), inside, ["colour"])
+        inside = ways.join(own[0], "src").join(own[1], "dst").where("a = b").select(F.col("dst").alias("node"), F.col("src").alias("next"))
+        # What lies on a way between two nodes of a colour has that colour, so shortcuts stay inside.
+        members = _grow(colour.where("node = colour").select("colour", "node"), inside, ["colour"], inside.limit(0))
         # A component may be large: its smallest node is summed up first, and joined back.
         least = members.groupBy("colour").agg(F.min("node").alias("component"))
-        found = checkpointed(members.join(least, "colour").select("node", "component"))
-        done.append(found)
-        gone = found.select("node")
-        left = checkpointed(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+        left = _without(left, done.add(members.join(least, "colour").select("node", "component")).select("node"))
     out = nodes.select("node").distinct()
-    if not done:
+    if not done.parts:
         return out.withColumn("component", F.col("node"))
-    whole = done[0]
-    for d in done[1:]:
-        whole = whole.unionByName(d)
-    return out.join(whole, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return out.join(done.all(), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -124,26 +181,72 @@ def cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return big.unionByName(own.select(F.col("node").alias("component"), "node"))
 
 
+def _through(one: DataFrame) -> DataFrame:
+    """a, b, w and low of rows (a, b, w, low), one for each a: where the chain from a leads, with level(a) = max(low, level(b) + w).
+
+    Such functions of a level are closed under composition; each round composes four.
+    """
+    reach, n = 1, one.count()
+    while reach <= n:
+        far = one.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("w").alias("_w"), F.col("low").alias("_low"))
+        for _ in range(3):
+            one = one.join(far, F.col("b") == F.col("_a"), "left").select(
+                "a", F.coalesce("_b", "b").alias("b"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"), F.greatest("low", F.col("_low") + F.col("w")).alias("low"), F.col("_b").isNotNull().alias("moved"),
+            )
+        one, reach = checkpointed(one), 4 * reach
+        if one.where("moved").isEmpty():
+            break
+    return one.select("a", "b", "w", "low")
+
+
+def _levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a and level of nodes(a): the longest path over edges (a, b), which have no cycle.
+
+    Each round takes the nodes without an edge left, whose level is known, and puts what
+    they give into the bound ``low`` of those above; nodes with one edge left are taken
+    out of the graph as functions of where their chain leads.  Rounds thus follow the
+    branching of the graph, not the length of its paths.
+    """
+    edges = checkpointed(edges.select("a", "b", F.lit(1).cast("long").alias("w")))
+    left = checkpointed(nodes.select("a", F.lit(0).cast("long").alias("low")))
+    known, waiting = Grown(edges.sparkSession), []
+    for _ in range(MAX_ROUNDS):
+        free = known.add(left.join(edges, "a", "left_anti").select("a", F.col("low").alias("level")))
+        left = checkpointed(left.join(free, "a", "left_anti"))
+        if left.isEmpty():
+            break
+        given = edges.join(free.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.max(F.col("level") + F.col("w")).alias("more"))
+        left = checkpointed(left.join(given, "a", "left").select("a", F.greatest("low", F.coalesce("more", F.lit(0))).alias("low")))
+        edges = checkpointed(edges.join(free.select(F.col("a").alias("b")), "b", "left_anti"))
+        single = edges.groupBy("a").agg(F.min("b").alias("b"), F.min("w").alias("w"), F.count("*").alias("n")).where("n = 1").drop("n")
+        single = checkpointed(single.join(left, "a"))
+        if single.isEmpty():
+            continue
+        chains = _through(single)
+        waiting.append(chains)
+        left = checkpointed(left.join(chains, "a", "left_anti"))
+        over = edges.join(chains.select("a"), "a", "left_anti").join(chains.select(F.col("a").alias("b"), F.col("b").alias("_b"), F.col("w").alias("_w"), F.col("low").alias("_low")), "b", "left")
+        over = checkpointed(over)
+        more = over.where("_b is not null").groupBy("a").agg(F.max(F.col("_low") + F.col("w")).alias("more"))
+        left = checkpointed(left.join(more, "a", "left").select("a", F.greatest("low", F.coalesce("more", F.lit(0))).alias("low")))
+        edges = checkpointed(over.groupBy("a", F.coalesce("_b", "b").alias("b")).agg(F.max(F.col("w") + F.coalesce("_w", F.lit(0))).alias("w")))
+    for chains in reversed(waiting):
+        ends = known.all().select(F.col("a").alias("b"), F.col("level").alias("_l"))
+        known.add(chains.join(ends, "b").select("a", F.greatest("low", F.col("_l") + F.col("w")).alias("level")))
+    return known.all()
+
+
 def dependency_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, component and level: what a file imports has a smaller level, unless they share a component.
 
     The level is the longest path in the graph of components; sorting by (level,
-    component, node) is a valid order.  One round for each level.
+    component, node) is a valid order.
     """
     parts = checkpointed(strong_components(edges, nodes))
     a, b = parts.select(F.col("node").alias("src"), F.col("component").alias("a")), parts.select(F.col("node").alias("dst"), F.col("component").alias("b"))
-    left = checkpointed(edges.where("dst is not null").select("src", "dst").distinct().join(a, "src").join(b, "dst").where("a <> b").select("a", "b").distinct())
-    rest = checkpointed(parts.select(F.col("component").alias("a")).distinct())
-    levels, level = None, 0
-    while not rest.isEmpty():
-        free = checkpointed(rest.join(left, "a", "left_anti").withColumn("level", F.lit(level)))
-        levels = free if levels is None else levels.unionByName(free)
-        rest = checkpointed(rest.join(free.select("a"), "a", "left_anti"))
-        left = checkpointed(left.join(free.select(F.col("a").alias("b")), "b", "left_anti"))
-        level += 1
-    if levels is None:
-        return parts.withColumn("level", F.lit(0))
-    return parts.join(levels.withColumnRenamed("a", "component"), "component").select("node", "component", "level")
+    between = edges.where("dst is not null").select("src", "dst").distinct().join(a, "src").join(b, "dst").where("a <> b").select("a", "b").distinct()
+    levels = _levels(between, parts.select(F.col("component").alias("a")).distinct())
+    return parts.join(levels.withColumnRenamed("a", "component"), "component").select("node", "component", F.col("level").cast("int").alias("level"))
 
 
 def star_files(facts: DataFrame) -> DataFrame:
@@ -230,19 +333,23 @@ def recursive_functions(calls: DataFrame) -> DataFrame:
     return cycles(edges, nodes).select("node.file_id", "node.function")
 
 
-# Spellings of no value, and marks of an error type, by language.
-VOID = {"zig": ("void", "noreturn"), "rust": ("", "()", "!"), "go": ("",), "python": ("None", "NoReturn"), "typescript": ("void", "never"), "javascript": ("void",), "odin": ("",)}
-FALLIBLE = {"zig": "!", "rust": "Result<", "go": "error", "python": "raises", "typescript": "Error", "javascript": "Error", "odin": "Error"}
+# Spellings of no value, in whatever language, and marks of a result that may be absent or fail, by language.
+VOID = ("()", "!noreturn", "!void", "None", "noreturn", "void")
+FALLIBLE = {"javascript": ("null", "undefined"), "typescript": ("null", "undefined"), "odin": ("Maybe(",), "python": ("None", "Optional["), "rust": ("Option<", "Result<"), "zig": ("!", "?")}
 
 
 def function_flags(functions: DataFrame) -> DataFrame:
-    """functions(language, return_type, ...) with fallible and value."""
-    void = F.create_map(*[x for k, v in VOID.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    mark = F.create_map(*[F.lit(x) for kv in FALLIBLE.items() for x in kv])
-    text = F.trim(F.coalesce("return_type", F.lit("")))
-    fallible = F.contains(F.lower(text), F.lit("error")) | F.coalesce(F.contains(text, F.try_element_at(mark, F.col("language"))), F.lit(False))
-    value = ~F.coalesce(F.array_contains(F.try_element_at(void, F.col("language")), text), F.lit(False))
-    return functions.withColumns({"fallible": fallible, "value": value})
+    """functions(language, return_type, ...) with fallible and value.
+
+    A function is fallible where its return type holds ``error`` or a mark of its
+    language, and returns a value unless its type is a spelling of none, or is absent.
+    """
+    text = F.coalesce("return_type", F.lit(""))
+    fallible = F.contains(text, F.lit("error"))
+    for language, marks in FALLIBLE.items():
+        for mark in marks:
+            fallible = fallible | ((F.col("language") == language) & F.contains(text, F.lit(mark)))
+    return functions.withColumns({"fallible": F.coalesce(fallible, F.lit(False)), "value": (text != "") & ~text.isin(*VOID)})
 
 
 def agreed_flags(flagged: DataFrame) -> DataFrame:

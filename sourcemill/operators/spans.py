@@ -28,6 +28,18 @@ def gaps(spans: DataFrame, files: DataFrame) -> DataFrame:
     return rows.withColumn("from", reach).where("offset > from").select("file_id", F.col("from").alias("offset"), (F.col("offset") - F.col("from")).alias("length"))
 
 
+def bracket_tokens(files: DataFrame) -> DataFrame:
+    """file_id, idx, offset, length and text of every bracket in the sources of files(file_id, source).
+
+    Brackets and the stretches between them alternate, so offsets are running sums.
+    """
+    parts = F.regexp_extract_all(F.col("source"), F.lit(r"([()\[\]{}]|[^()\[\]{}]+)"), 1)
+    rows = files.select("file_id", F.posexplode(parts).alias("idx", "text"))
+    before = Window.partitionBy("file_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("offset", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("long"))
+    return rows.where(F.col("text").isin(*OPENING, *CLOSING)).select("file_id", F.col("idx").cast("long").alias("idx"), "offset", F.lit(1).cast("long").alias("length"), "text")
+
+
 def bracket_pairs(tokens: DataFrame) -> DataFrame:
     """Every bracket with depth (of its inside, from 1; 0 for a close that closes nothing) and partner (idx, null without one).
 

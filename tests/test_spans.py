@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sourcemill.operators import fixes, graph, lines, lint, markup, spans
+from sourcemill.operators import compare, fixes, graph, lines, lint, markup, spans
 
 
 def test_lines(spark):
@@ -105,7 +105,7 @@ def test_plan_apply_remap(spark):
 
 def test_cycles_like_a_walk(spark):
     rng = random.Random(8)
-    for n, m in ((12, 14), (20, 40), (6, 0)):
+    for n, m in ((24, 34), (6, 0)):
         edges = [(rng.randrange(n), rng.choice([None, *range(n)])) for _ in range(m)]
         reach = {a: {a} for a in range(n)}
         for _ in range(n):
@@ -124,6 +124,47 @@ def test_cycles_like_a_walk(spark):
         level = {r.node: (r.level, r.component) for r in graph.dependency_order(e, nodes).collect()}
         assert len(level) == n
         assert all(level[s][1] == level[d][1] or level[s][0] > level[d][0] for s, d in edges if d is not None)
+        longest = {}
+
+        def depth(c):
+            if c not in longest:
+                longest[c] = 0
+                below = {level[d][1] for s, d in edges if d is not None and level[s][1] == c} - {c}
+                longest[c] = max((depth(b) + 1 for b in below), default=0)
+            return longest[c]
+
+        assert all(level[a][0] == depth(level[a][1]) for a in range(n))
+        if not m:
+            continue
+        roots = spark.createDataFrame([(0,), (1,)], "file long")
+        assert {r.file for r in graph.reachable(e, roots).collect()} == reach[0] | reach[1]
+        behind = {(r.file, r.dependent) for r in graph.transitive_dependents(e, roots).collect()}
+        assert behind == {(f, s) for f in (0, 1) for s, d in edges if d is not None for s in [a for a in range(n) if s in reach[a]] if f in reach[d]}
+
+
+def test_long_chains_and_rings_take_few_rounds(spark):
+    n = 5000
+    name = lambda c: (c * 1237) % n
+    ring = spark.range(n).select(name(F.col("id")).alias("src"), name((F.col("id") + 1) % n).alias("dst"))
+    chain, nodes = ring.where("dst <> 0"), spark.range(n).select(F.col("id").alias("node"))
+    assert graph.cycles(ring, nodes).agg(F.count("*"), F.countDistinct("component")).first() == (n, 1)
+    assert graph.cycles(chain, nodes).count() == 0
+    order = graph.dependency_order(chain, nodes).agg(F.min("level"), F.max("level"), F.countDistinct("level")).first()
+    assert order == (0, n - 1, n)
+    assert graph.reachable(chain, nodes.where("node = 0").select(F.col("node").alias("file"))).count() == n
+
+
+def test_prefix_check_finds_planted_faults(spark):
+    df = spark.createDataFrame([(1, "a (b) [c"), (2, "none"), (3, "é{}é")], "file_id int, source string")
+    tokens = lambda f: spans.bracket_tokens(f).select("file_id", F.col("text").alias("name"), "offset", (F.col("offset") + F.col("length")).alias("end"))
+    check = lambda extract: sorted(map(tuple, compare.prefix_check(df, extract, "# é\n").collect()))
+    assert check(tokens) == []
+    characters = lambda f: tokens(f).withColumn("offset", F.col("offset") - F.when(F.col("offset") > 4, 1).otherwise(0))
+    assert {r[0] for r in check(characters)} == {1, 3}
+    first = lambda f: tokens(f).where("offset < 9")
+    assert all(r[-2:] == (1, 0) for r in check(first)) and len(check(first)) == 2
+    flat = lambda f: f.select("file_id", F.char_length("source").alias("name"))
+    assert len(check(flat)) == 6
 
 
 def test_line_findings_edges(spark):
