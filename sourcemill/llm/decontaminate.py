@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spans import by_place
 from .textbatch import LOWER, Spans, bounds, chunks, mix, utf8
 
 WINDOW = 13
@@ -229,7 +230,7 @@ def decontaminate(
     items, do not matter.  Null, empty and short texts stay; very long ones are read
     whole; columns of any name stay as they are; empty tables are fine.
     """
-    at, schema, kept = docs.columns.index(text), docs.schema, docs
+    at, kept = docs.columns.index(text), docs
     for items in _blocks(benchmark, item_id, item_text, block_bytes, True):
         shared = docs.sparkSession.sparkContext.broadcast(Block(items, window, identity, min_words))
 
@@ -242,5 +243,5 @@ def decontaminate(
                     clean[[a + t for t, *_ in shared.value.overlaps(words, first, window, identity)]] = False
                 yield batch.filter(pa.array(clean))
 
-        kept = kept.mapInArrow(keep, schema)
+        kept = by_place(kept, keep)
     return kept

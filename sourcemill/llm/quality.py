@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spans import by_place
 from .textbatch import SPACE, Spans, bounds, chunks, cover, mix, per_text, utf8
 
 MIN_REPEAT = 10
@@ -230,7 +231,9 @@ def keep_good(docs: DataFrame, *, text: str = "text", **how) -> DataFrame:
     """The rows of docs whose text the rules keep; all columns stay, in the same pass.
 
     The text itself is judged in the pass that returns it, so no join is needed and
-    rows with null or repeated ids are judged like any other.
+    rows with null or repeated ids are judged like any other.  Null and empty texts have
+    no words and go; very long ones are judged whole; columns of any name stay as they
+    are; an empty table stays empty.
     """
     how = {"min_words": MIN_WORDS, "max_repeat_percent": MAX_REPEAT_PERCENT, "min_repeat": MIN_REPEAT, "max_covered": MAX_COVERED, "max_longest": MAX_LONGEST} | how
     at = docs.columns.index(text)
@@ -246,4 +249,4 @@ def keep_good(docs: DataFrame, *, text: str = "text", **how) -> DataFrame:
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return by_place(docs, keep)

@@ -9,10 +9,12 @@ compared.  Equal fingerprints are merged first, so copies never meet as pairs.
 
 ``near_duplicates`` links fingerprints of 64 bits at a small distance, completely.  A
 similarity of 0.8 lies far beyond what two or three segments of 64 bits can find, so
-``representatives`` makes a wide fingerprint of 384 bits and leaves out all but a few
-bits at a time: ``cuts`` are as many as it takes for 99 in 100 pairs of exactly that
-similarity to agree in one, and all that share a cut are compared on all bits.  Cuts that
-have most of their bits in common form a bundle, so a text is sent once for several cuts.
+``representatives`` makes a wide fingerprint of 384 bits of the different shingles and
+leaves out all but a few bits at a time: ``cuts`` are as many as it takes for 99 in 100
+pairs of that similarity to agree in one, and all that share a cut are compared on all
+bits.  Cuts that have most of their bits in common form a bundle, so a text is sent once
+for several cuts.  Fingerprints only propose: a link counts if the sets of shingles
+themselves reach the similarity.
 
 A variant shared by more than ``BUCKET`` different fingerprints is not compared pair by
 pair.  Its fingerprints get the variants of the whole fingerprint with any d bits left
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .graphs import components
 from .session import checkpointed
-from .spans import keyed
+from .spans import keyed, written
 from .textbatch import LOWER, SPACE, Spans, bounds, chunks, mix, utf8
 
 SHINGLE = 3
@@ -149,27 +151,49 @@ def near_duplicates(
 
 #: The wide fingerprint: words of 64 bits.
 WORDS = 6
+#: Of the sets of different shingles: what two texts share, as part of what either has (Jaccard).
 SIMILARITY = 0.8
 #: Bits of a cut, and how many texts may meet in one by chance before cuts get wider.
 WIDTH, CHANCE = 14, 1024
 #: Cuts of a bundle, and the bits that each has for itself.
 BUNDLE, OWN = 4, 7
-#: The share of pairs at exactly the similarity asked for that the cuts must bring together.
+#: The share of pairs at the similarity asked for that the cuts must bring together.
 RECALL = 0.99
 #: Texts that share a cut are compared pair by pair in one pass up to FEW; a text with more than MANY links is followed at once.
 FEW, MANY, _TILE = 32, 64, 4096
 
 
+def differing(similarity: float) -> tuple[int, int]:
+    """How many bits differ between fingerprints of two sets at that Jaccard similarity: the number that the cuts are made for, and the most that is looked at.
+
+    One and three standard deviations above the mean.  Of sets at one similarity, those
+    of equal size have the smallest cosine, 2 s / (1 + s).
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    deviation = np.sqrt(64 * WORDS * p * (1 - p))
+    return round(64 * WORDS * p + deviation), round(64 * WORDS * p + 3 * deviation)
+
+
+def _distinct(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different shingles of each text, ascending, and where each text's begin."""
+    plain, starts, ends, begin = shingles(data, offsets, k)
+    h, text = Spans(plain).hash(starts, ends), np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return h[new], np.searchsorted(text[new], np.arange(len(begin)))
+
+
 def signatures(rows: DataFrame, *, shingle: int) -> DataFrame:
-    """nid, id and s0, s1, ... (the wide fingerprint) of rows(nid, id, text)."""
+    """nid, id and s0, s1, ... (the wide fingerprint of the different shingles) of rows(nid, id, text)."""
 
     def scan(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             out = [np.zeros((0, WORDS), np.uint64)]
             for a, b in chunks(offsets, 1 << 19):
-                plain, starts, ends, begin = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
-                h = Spans(plain).hash(starts, ends)
+                h, begin = _distinct(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
                 out.append(np.stack([majority(mix(h + np.uint64(k)), begin) for k in range(WORDS)], axis=1))
             flat = np.concatenate(out).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(flat[:, k]) for k in range(WORDS))], names=["nid", "id", *(f"s{k}" for k in range(WORDS))])
@@ -177,6 +201,27 @@ def signatures(rows: DataFrame, *, shingle: int) -> DataFrame:
     return rows.select("nid", "id", "text").mapInArrow(scan, "nid long, id long, " + ", ".join(f"s{k} long" for k in range(WORDS)))
 
 
+def shingle_sets(rows: DataFrame, *, shingle: int) -> DataFrame:
+    """nid and shingles (32 bits of the hash of each different one) of rows(nid, text)."""
+
+    def scan(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for a, b in chunks(offsets, 1 << 20):
+                h, begin = _distinct(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
+                values = pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), values)], names=["nid", "shingles"])
+
+    return rows.select("nid", "text").mapInArrow(scan, "nid long, shingles array<int>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets(nid, shingles) have a Jaccard similarity of at least that."""
+    x, y = sets.select(F.col("nid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("nid").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
 def cuts(n: int, most: int, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
     """Bit positions that the cuts of a bundle have in common (bundle x bits), and those of each (bundle x cut x bits).
 
@@ -286,16 +331,44 @@ def _linked(keys: np.ndarray, words: np.ndarray, most: int):
         for x, y in _crowd(words[starts[k] : starts[k + 1]], most):
             left.append(x + starts[k])
             right.append(y + starts[k])
-    left, right = np.concatenate(left), np.concatenate(right)
-    order = np.lexsort((np.maximum(left, right), np.minimum(left, right)))
+    return _closest(np.concatenate(left), np.concatenate(right), words)
+
+
+def _closest(left: np.ndarray, right: np.ndarray, words: np.ndarray):
+    """A forest of the links: of those that would close a circle the most distant are left out."""
+    far = np.bitwise_count(words[left] ^ words[right]).sum(axis=1, dtype=np.int64)
+    order = np.lexsort((np.maximum(left, right), np.minimum(left, right), far))
     left, right = left[order], right[order]
     keep = _forest(left, right)
     return left[keep], right[keep]
 
 
-def _bundled(keys: np.ndarray, words: np.ndarray, bundle: np.ndarray, own: np.ndarray, most: int):
+def _apart(keys: np.ndarray, words: np.ndarray, part: np.ndarray, most: int):
+    """All pairs of rows with the same key (sorted) and different parts that differ in at most ``most`` bits."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if b - a < 2 or (part[a:b] == part[a]).all():
+            continue
+        names, sizes = np.unique(part[a:b], return_counts=True)
+        main = part[a:b] == names[sizes.argmax()]
+        rare = np.flatnonzero(~main)  # pairs within the largest part are not looked at
+        for at in range(0, len(rare), FEW):
+            own = rare[at : at + FEW]
+            i, j = _near(words[a:b][own], words[a:b], most)
+            i = own[i]
+            new = (part[a:b][i] != part[a:b][j]) & (main[j] | (i < j))
+            left.append(i[new] + a)
+            right.append(j[new] + a)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _bundled(keys: np.ndarray, words: np.ndarray, bundle: np.ndarray, own: np.ndarray, most: int, part: np.ndarray | None = None):
     """Links between rows with the same key that agree in a cut of their bundle: indices of their ends.
 
+    They connect all that links connect; where rows belong to a part, they are all those
+    between different parts.
+
     keys are sorted; bundle is the number of each row's bundle, and own the bit positions
     of each bundle's cuts beyond those that the key stands for.
     """
@@ -303,29 +376,30 @@ def _bundled(keys: np.ndarray, words: np.ndarray, bundle: np.ndarray, own: np.nd
     for c in range(BUNDLE):
         full = np.empty(len(keys), np.int64)
         for at in range(0, len(keys), _BLOCK):
-            where, part = own[bundle[at : at + _BLOCK], c], words[at : at + _BLOCK]
-            bits = np.take_along_axis(part, where >> 6, axis=1) >> (where & 63).astype(np.uint64) & np.uint64(1)
+            where, some = own[bundle[at : at + _BLOCK], c], words[at : at + _BLOCK]
+            bits = np.take_along_axis(some, where >> 6, axis=1) >> (where & 63).astype(np.uint64) & np.uint64(1)
             full[at : at + _BLOCK] = bits.astype(np.int64) @ (1 << np.arange(OWN, dtype=np.int64))
         full += keys << OWN
         order = np.argsort(full, kind="stable")
-        i, j = _linked(full[order], words[order], most)
+        i, j = _linked(full[order], words[order], most) if part is None else _apart(full[order], words[order], part[order], most)
         left.append(order[i])
         right.append(order[j])
     left, right = np.concatenate(left), np.concatenate(right)
-    keep = _forest(left, right)
-    return left[keep], right[keep]
+    return (left, right) if part is not None else _closest(left, right, words)
 
 
 def similar_links(found: DataFrame, *, similarity: float) -> DataFrame:
-    """(a, b): links between nodes of found(nid, s0, ...), no two of them with equal fingerprints.
+    """(a, b): pairs of nodes of found(nid, s0, ...), no two of them with equal fingerprints, that may have the similarity.
 
-    A pair is a link if the cosine that its differing bits stand for reaches the
-    similarity.  All nodes that share a cut are compared, however many they are; of
-    their links those are returned that connect all that links connect.
+    All nodes that share a cut are compared, however many they are.  Of the pairs that
+    differ in no more bits than the similarity allows, those are returned that connect
+    all that they connect, the closest first; if found has part as well, all those
+    between nodes of different parts.
     """
-    most = int(64 * WORDS * np.arccos(similarity) / np.pi)
-    names = [f"s{k}" for k in range(WORDS)]
-    common, own = cuts(found.count(), most)
+    hard, most = differing(similarity)
+    parted = "part" in found.columns
+    names = [f"s{k}" for k in range(WORDS)] + ["part"] * parted
+    common, own = cuts(found.count(), hard)
     n, width = common.shape
     schema = "key long, nid long, " + ", ".join(f"{c} long" for c in names)
 
@@ -335,7 +409,7 @@ def similar_links(found: DataFrame, *, similarity: float) -> DataFrame:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
                 words = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
-                bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+                bits = np.unpackbits(np.ascontiguousarray(words[:, :WORDS]).view(np.uint8), axis=1, bitorder="little")
                 keys = bits[:, common.ravel()].reshape(len(batch), n, width) @ powers + base
                 spread = [np.repeat(c, n) for c in (batch.column(0).to_numpy(zero_copy_only=False), *words.T)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *map(pa.array, spread)], names=["key", "nid", *names])
@@ -343,7 +417,7 @@ def similar_links(found: DataFrame, *, similarity: float) -> DataFrame:
     def compare(batches):
         def links_of(parts):
             key, nid, words = (np.concatenate(x) for x in zip(*parts, strict=True))
-            a, b = _bundled(key, words, key >> width, own, most)
+            a, b = _bundled(key, np.ascontiguousarray(words[:, :WORDS]), key >> width, own, most, words[:, WORDS].view(np.int64) if parted else None)
             return pa.RecordBatch.from_arrays([pa.array(nid[a]), pa.array(nid[b])], names=["a", "b"])
 
         held = []
@@ -367,23 +441,42 @@ def similar_links(found: DataFrame, *, similarity: float) -> DataFrame:
 def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs without near-duplicates: of each group that links connect, the smallest doc_id stays.
 
-    Similarity is the cosine of the shingle counts as the wide fingerprint measures it.
-    All columns stay.  Texts with equal fingerprints are one group from the start; all
-    texts without words are one group; rows repeated with the same doc_id and text leave
-    one row; a null doc_id comes after all others; very long texts are hashed whole;
-    columns of any name stay as they are; an empty table stays empty.
+    Two texts are linked if their sets of shingles have a Jaccard similarity of at least
+    ``similarity``.  Fingerprints propose pairs; of a group that they connect only the
+    closest are looked at first.  Where one of those falls short of the similarity, all
+    pairs between what is not linked yet are proposed, so no link is lost behind it.
+
+    All columns stay.  Texts with equal sets are one group from the start; all texts
+    without words are one group; rows repeated with the same doc_id and text leave one
+    row; a null doc_id comes after all others; very long texts are hashed whole; columns
+    of any name stay as they are; an empty table stays empty.
     """
     rows = keyed(docs, doc_id, text).select("text", "id", "th")
     unique = rows.where("th <> 0").limit(1).count() == 0
     nid = F.col("id") if unique else F.xxhash64("id", "th")
-    found = checkpointed(signatures(rows.select(nid.alias("nid"), "id", "text"), shingle=shingle))
+    rows = rows.select(nid.alias("nid"), "id", "text")
+    found = checkpointed(signatures(rows, shingle=shingle))
     same = [f"s{k}" for k in range(WORDS)]
     first = checkpointed(found.groupBy(*same).agg(F.min(F.struct("id", "nid")).alias("f")).select(*same, "f.id", "f.nid"))
-    linked = components(similar_links(first, similarity=similarity))
+    proposed = checkpointed(similar_links(first, similarity=similarity))
+    ends = proposed.select(F.col("a").alias("nid")).unionByName(proposed.select(F.col("b").alias("nid"))).distinct()
+    needed = rows.join(ends.hint("shuffle_hash"), "nid", "left_semi")
+    sets = written(shingle_sets(needed if unique else needed.dropDuplicates(["nid"]), shingle=shingle))
+    good = checkpointed(verified(proposed, sets, similarity))
+    short = checkpointed(proposed.join(good, ["a", "b"], "left_anti"))
+    if not short.isEmpty():
+        crowds, parts = components(proposed), components(good)
+        open_ = short.select(F.col("a").alias("node")).distinct().join(crowds, "node").select("root").distinct()
+        again = crowds.join(open_, "root", "left_semi").select("node").join(parts, "node", "left").select(F.col("node").alias("nid"), F.coalesce("root", "node").alias("part"))
+        more = similar_links(first.join(again, "nid").select("nid", *same, "part"), similarity=similarity)
+        good = good.unionByName(checkpointed(verified(more.join(short, ["a", "b"], "left_anti"), sets, similarity)))
+    linked = components(good)
     groups = first.select("id", "nid").join(linked, F.col("nid") == F.col("node"), "left")
     stay = groups.groupBy(F.coalesce("root", "nid").alias("root")).agg(F.min(F.struct("id", "nid")).alias("f")).select("f.nid")
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
-    key = key if unique else F.xxhash64(key, F.xxhash64(F.col(text).cast("string")))
-    stay = stay.select(F.col("nid").alias("__nid")).hint("shuffle_hash")
-    kept = docs.join(stay, key == F.col("__nid"), "left_semi")
+    key = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1))
+    key = key if unique else F.xxhash64(key, F.xxhash64(F.col(f"`{text}`").cast("string")))
+    name = "nid"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    kept = docs.join(stay.select(F.col("nid").alias(name)).hint("shuffle_hash"), key == F.col(name), "left_semi")
     return kept if unique else kept.dropDuplicates([doc_id, text])

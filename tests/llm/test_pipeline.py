@@ -87,13 +87,21 @@ def test_stages(spark, tmp_path):
     empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     odd = spark.createDataFrame([(1, None, "en", None, 0), (None, "", None, "s", 0), (2, "few words", "en", "s", 9), (2, "few words", "en", "s", 9)], SCHEMA)
     long = spark.createDataFrame([(d, " ".join(f"w{(k * 7919 + (d or 0)) % 100_003}" for k in range(60_000)), "en", "s", 1) for d in (None, 5, 5)], SCHEMA)
-    extra = long.withColumns({"row": F.lit(1), "id": F.lit("x"), "block": F.lit(2.5)})
+    names = {"row": F.lit(1), "id": F.lit("x"), "block": F.lit(2.5), "nid": F.lit(1), "__nid": F.lit(3), "nid_": F.lit(4), "part": F.lit(5), "a.b": F.lit(6), "text.x": F.lit(7), "c0": F.lit(8)}
+    extra = long.withColumns(names)
+    #: Which rows of odd each stage keeps: null, empty, and twice the same few words.
+    odd_ids = {"quality_rules": [], "simhash_near_dedup": [1, 2], "suffix_array_dedup": [2, 2], "benchmark_decontamination": [None, 1, 2, 2], "source_mixing": None}
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
-        if name != "quality_rules":
-            assert stage(spark, odd, folder).count() >= 0
+        found = stage(spark, odd, folder)
+        if odd_ids[name] is None:
+            assert {r.doc_id for r in found.collect()} <= {None, 1, 2}
+        else:
+            assert sorted((r.doc_id for r in found.collect()), key=str) == sorted(odd_ids[name], key=str)
         kept_long = stage(spark, extra, folder)
         assert kept_long.count() == (2 if name == "simhash_near_dedup" else 3)
         assert name == "source_mixing" or kept_long.columns == extra.columns
+        if name != "source_mixing":
+            assert all(r["a.b"] == 6 and r["__nid"] == 3 and r["nid"] == 1 for r in kept_long.collect())
     for df in kept[:-1]:
         assert df.columns == [c.split()[0] for c in SCHEMA.split(", ")]
