@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +13,23 @@ from pyspark.sql import functions as F
 APPLICABILITY = ("display", "unsafe", "safe")
 
 
-def _overlap(a: tuple[int, int], b: tuple[int, int]) -> bool:
-    """Whether two spans (start, end) overlap; equal starts do, even without length."""
-    return a[0] == b[0] or (a[0] < b[1] and b[0] < a[1])
+class _Taken:
+    """Spans that were taken, in order: a new one is held against its neighbours only."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, start)
+        if k < len(self.starts) and (self.starts[k] == start or self.starts[k] < end):
+            return False
+        return k == 0 or self.ends[k - 1] <= start
+
+    def take(self, start: int, end: int) -> None:
+        k = bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
 
 
 def plan_fixes(fixes: DataFrame, edits: DataFrame, minimum: str = "safe") -> DataFrame:
@@ -21,33 +38,54 @@ def plan_fixes(fixes: DataFrame, edits: DataFrame, minimum: str = "safe") -> Dat
     fixes: fix_id, file_id, applicability, isolation; edits: fix_id, ordinal, offset,
     length.  In each file, by first edit and then fix_id, a fix is taken if it is safe
     enough, no taken fix has its isolation group, and its edits overlap neither each other
-    nor an edit that is taken.  The order decides, so a file is one group; what is
-    gathered is its spans, not its text.
+    nor an edit that is taken.  Two spans overlap also where they only start together.
+
+    Edits fall into islands that do not overlap.  A fix alone on its island is taken
+    without more; islands without isolation groups and without fixes that reach into
+    others are planned one by one; only the rest of a file is one plan, in the order that
+    decides.  Plans run over sorted partitions and hold the spans taken so far.
     """
     good = fixes.where(F.array_position(F.array(*map(F.lit, APPLICABILITY)), F.col("applicability")) > max(1, APPLICABILITY.index(minimum)))
-    spans = edits.groupBy("fix_id").agg(F.array_sort(F.collect_list(F.struct("offset", (F.col("offset") + F.col("length")).alias("end")))).alias("spans"))
-    rows = good.join(spans, "fix_id").select("file_id", "fix_id", F.col("isolation").cast("string"), F.col("spans.offset").alias("starts"), F.col("spans.end").alias("ends"))
-
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, groups, out = [], set(), []
-        order = sorted(range(len(pdf)), key=lambda i: (pdf.starts[i][0], pdf.fix_id[i]))
-        for i in order:
-            own = list(zip(pdf.starts[i], pdf.ends[i], strict=True))
-            group = pdf.isolation[i]
-            if group is not None and group in groups:
-                continue
-            if any(_overlap(a, b) for k, a in enumerate(own) for b in own[k + 1 :]):
-                continue
-            # Taken spans are ascending and apart, so only the last few can overlap.
-            if any(_overlap(a, b) for a in own for b in reversed(taken) if b[1] >= own[0][0]):
-                continue
-            taken += own
-            groups |= {group} - {None}
-            out.append(i)
-        return pdf.loc[out, ["file_id", "fix_id"]]
-
-    schema = f"file_id {fixes.schema['file_id'].dataType.simpleString()}, fix_id {fixes.schema['fix_id'].dataType.simpleString()}"
-    return rows.groupBy("file_id").applyInPandas(plan, schema)
+    ends = F.struct(F.col("offset").cast("long").alias("offset"), (F.col("offset") + F.col("length")).cast("long").alias("end"))
+    spans = edits.groupBy("fix_id").agg(F.array_sort(F.collect_list(ends)).alias("spans"))
+    clash = "exists(sequence(1, size(spans) - 1), k -> size(spans) > 1 and k > 0 and (spans[k].offset = spans[k - 1].offset or spans[k].offset < spans[k - 1].end))"
+    rows = good.join(spans, "fix_id").where(f"size(spans) = 1 or not {clash}").select("file_id", "fix_id", F.col("isolation").cast("string").alias("isolation"), "spans")
+    each = rows.select("file_id", "fix_id", "isolation", F.explode("spans").alias("s")).select("file_id", "fix_id", "isolation", "s.offset", "s.end")
+    order = Window.partitionBy("file_id").orderBy("offset", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = reach.isNull() | ((F.col("offset") >= reach) & (F.col("offset") > F.lag("offset").over(order)))
+    each = each.withColumn("new", new.cast("long"))
+    each = each.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    over = each.groupBy("fix_id").agg(F.min("island").alias("island"), F.max("island").alias("other"))
+    each = each.join(over.select("fix_id", (F.col("island") < F.col("other")).alias("wide")), "fix_id")
+    kinds = each.groupBy("file_id", "island").agg(F.min("fix_id").alias("a"), F.max("fix_id").alias("b"), F.max(F.col("wide") | F.col("isolation").isNotNull()).alias("tied"))
+    kinds = kinds.select("file_id", "island", "tied", (F.col("a") == F.col("b")).alias("alone"))
+    rows = rows.join(over.select("fix_id", "island"), "fix_id").join(kinds, ["file_id", "island"])
+    alone = rows.where("alone and not tied").select("file_id", "fix_id")
+    rest = rows.where("not alone or tied").withColumn("island", F.when(F.col("tied"), 0).otherwise(F.col("island")))
+    schema = rest.select("file_id", "fix_id").schema
+
+    def plan(batches):
+        now, taken, groups = None, _Taken(), set()
+        for batch in batches:
+            keep = []
+            files, islands, isolation, starts, stops = (batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5))
+            for i, key in enumerate(zip(files, islands, strict=True)):
+                if key != now:
+                    now, taken, groups = key, _Taken(), set()
+                if isolation[i] is not None and isolation[i] in groups:
+                    continue
+                own = list(zip(starts[i], stops[i], strict=True))
+                if all(taken.free(x, y) for x, y in own):
+                    for x, y in own:
+                        taken.take(x, y)
+                    groups.add(isolation[i])
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
+
+    rest = rest.repartition("file_id", "island").sortWithinPartitions("file_id", "island", F.col("spans")[0]["offset"], "fix_id")
+    planned = rest.select("file_id", "fix_id", "island", "isolation", F.col("spans.offset").alias("starts"), F.col("spans.end").alias("stops")).mapInArrow(plan, schema)
+    return alone.unionByName(planned)
 
 
 def planned_edits(plan: DataFrame, edits: DataFrame) -> DataFrame:

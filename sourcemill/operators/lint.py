@@ -193,6 +193,14 @@ def line_suppress(findings: DataFrame, directives: DataFrame, runs: DataFrame) -
     return findings.join(claims, "finding_id", "left_anti"), claims
 
 
+def _dyadic(first, last) -> Column:
+    """The lines first..last as few aligned blocks: structs of level k and number, the block number n of level k holding lines n 2^k to (n + 1) 2^k - 1."""
+    lo, hi = f"cast(ceil({first} / power(2, k)) as bigint)", f"cast(floor(({last} + 1) / power(2, k)) as bigint)"
+    left = f"if({lo} < {hi} and {lo} % 2 = 1, named_struct('level', k, 'block', {lo}), null)"
+    right = f"if({hi} % 2 = 1 and {lo} + {lo} % 2 < {hi}, named_struct('level', k, 'block', {hi} - 1), null)"
+    return F.expr(f"filter(flatten(transform(sequence(0, 31), k -> array({left}, {right}))), x -> x is not null)")
+
+
 def region_claims(findings: DataFrame, directives: DataFrame) -> DataFrame:
     """finding_id and directive: the first directive, in order, that suppresses each suppressed finding.
 
@@ -200,19 +208,32 @@ def region_claims(findings: DataFrame, directives: DataFrame) -> DataFrame:
     first, codes, wildcard.  A file directive covers the file and comes first; a line
     directive covers first..line; a disable covers from its line on, unless an enable of
     the code after it stands at or before the finding.  Directives are numbered in the
-    order of their lines.  Instead of a join with the enables, one running window finds
-    for each disable and code the first line that reopens it.
+    order of their lines.
+
+    Disables, enables and findings of a file and code are swept together in the order of
+    their lines: enables count up a number, and the first disable under the present
+    number is the one that claims.  Stretches of line directives are looked up by
+    aligned blocks of lines.  Both are linear in the rows of a file, up to a logarithm.
     """
     codes = directives.where("not wildcard").select("file_id", "directive", "kind", "line", "first", F.explode("codes").alias("code"))
     wild = directives.where("wildcard").select("file_id", "directive", "kind", "line", "first").join(findings.select("file_id", "code").distinct(), "file_id")
     d = codes.unionByName(wild.select(codes.columns))
-    # From the last line up, the smallest enable so far is the next one below.
-    later = Window.partitionBy("file_id", "code").orderBy(F.col("line").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("until", F.when(F.col("kind") == "disable", F.min(F.when(F.col("kind") == "enable", F.col("line"))).over(later)))
-    hit = (F.col("d.kind") == "file") | ((F.col("d.kind") == "line") & F.col("f.line").between(F.col("d.first"), F.col("d.line")))
-    hit = hit | ((F.col("d.kind") == "disable") & (F.col("d.line") <= F.col("f.line")) & (F.col("d.until").isNull() | (F.col("d.until") > F.col("f.line"))))
-    rows = findings.alias("f").join(d.where("kind <> 'enable'").alias("d"), (F.col("f.file_id") == F.col("d.file_id")) & (F.col("f.code") == F.col("d.code")) & hit)
-    return rows.groupBy("f.finding_id").agg(F.min(F.struct((F.col("d.kind") != "file").alias("late"), F.col("d.directive").alias("directive"))).alias("c")).select("finding_id", "c.directive")
+    f = findings.select("finding_id", "file_id", "code", "line")
+    # A disable on the line of an enable stands after it.
+    marks = d.where("kind in ('enable', 'disable')").select("file_id", "code", F.col("line").cast("long").alias("line"), F.when(F.col("kind") == "enable", 0).otherwise(1).alias("turn"), F.col("directive").cast("long").alias("directive"), F.lit(None).cast(f.schema["finding_id"].dataType).alias("finding_id"))
+    swept = marks.unionByName(f.select("file_id", "code", F.col("line").cast("long").alias("line"), F.lit(2).alias("turn"), F.lit(None).cast("long").alias("directive"), "finding_id"))
+    swept = swept.withColumn("open", F.sum(F.when(F.col("turn") == 0, 1).otherwise(0)).over(Window.partitionBy("file_id", "code").orderBy("line", "turn")))
+    since = Window.partitionBy("file_id", "code", "open").orderBy("line", "turn")
+    swept = swept.withColumn("claim", F.min(F.when(F.col("turn") == 1, F.col("directive"))).over(since)).where("turn = 2 and claim is not null")
+    hits = swept.select("finding_id", F.lit(1).alias("late"), F.col("claim").alias("directive"))
+    whole = d.where("kind = 'file'").groupBy("file_id", "code").agg(F.min("directive").cast("long").alias("directive"))
+    hits = hits.unionByName(f.join(whole, ["file_id", "code"]).select("finding_id", F.lit(0).alias("late"), "directive"))
+    lines = d.where("kind = 'line' and first <= line").select("file_id", "code", "directive", F.explode(_dyadic("first", "line")).alias("b"))
+    lines = lines.groupBy("file_id", "code", "b.level", "b.block").agg(F.min("directive").cast("long").alias("directive"))
+    levels = [r["level"] for r in lines.select("level").distinct().collect()]  # 32 at most
+    asked = f.withColumn("level", F.explode(F.array(*map(F.lit, levels or [0])))).withColumn("block", F.expr("cast(floor(line / power(2, level)) as bigint)"))
+    hits = hits.unionByName(asked.join(lines, ["file_id", "code", "level", "block"]).select("finding_id", F.lit(1).alias("late"), "directive"))
+    return hits.groupBy("finding_id").agg(F.min(F.struct("late", "directive")).alias("c")).select("finding_id", "c.directive")
 
 
 def region_suppress(findings: DataFrame, directives: DataFrame) -> DataFrame:

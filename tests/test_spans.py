@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -103,6 +104,87 @@ def test_plan_apply_remap(spark):
     assert moved == {(1, 0): 0, (1, 1): 3, (1, 2): 3, (1, 3): 3, (1, 4): 5, (1, 5): 6, (2, 3): 3}
 
 
+def brute_plan(fix, edits):
+    out, spans = [], {}
+    for f, o, n in edits:
+        spans.setdefault(f, []).append((o, o + n))
+    over = lambda a, b: a[0] == b[0] or (a[0] < b[1] and b[0] < a[1])
+    taken, groups = {}, set()
+    for f, file, safe, group in sorted((x for x in fix if x[0] in spans), key=lambda x: (min(spans[x[0]])[0], x[0])):
+        own, there = sorted(spans[f]), taken.setdefault(file, [])
+        if safe != "safe" or (group is not None and (file, group) in groups):
+            continue
+        if any(over(a, b) for k, a in enumerate(own) for b in own[k + 1 :]) or any(over(a, b) for a in own for b in there):
+            continue
+        taken[file] += own
+        groups.add((file, group))
+        out.append((file, f))
+    return sorted(out)
+
+
+def test_plan_of_islands_equals_brute_force(spark):
+    rng = random.Random(12)
+    fix = [(i, rng.randrange(3), rng.choice(["safe", "safe", "safe", "unsafe"]), rng.choice([None] * 8 + ["g", "h"])) for i in range(900)]
+    edits = [(i, rng.randrange(2500), rng.choice([0, 0, 1, 2, 5])) for i in range(900) for _ in range(rng.choice([1, 1, 1, 2, 3]))]
+    f = spark.createDataFrame(fix, "fix_id int, file_id int, applicability string, isolation string")
+    e = spark.createDataFrame([(i, 0, o, n) for i, o, n in edits], "fix_id int, ordinal int, offset long, length long")
+    assert sorted(map(tuple, fixes.plan_fixes(f, e).collect())) == brute_plan(fix, edits)
+
+
+def test_plan_of_one_large_file(spark):
+    n = 200_000
+    f = spark.range(n).select(F.col("id").alias("fix_id"), F.lit(1).alias("file_id"), F.lit("safe").alias("applicability"), F.when(F.col("id") % 1000 == 7, "g").alias("isolation"))
+    e = spark.range(n).select(F.col("id").alias("fix_id"), F.lit(0).alias("ordinal"), (F.col("id") * 3).alias("offset"), F.when(F.col("id") % 5 == 0, 4).otherwise(2).cast("long").alias("length"))
+    e = e.unionByName(spark.range(0, n, 1000).select(F.col("id").alias("fix_id"), F.lit(1).alias("ordinal"), (n * 3 + F.col("id")).alias("offset"), F.lit(2).cast("long").alias("length")))
+    began = time.time()
+    assert fixes.plan_fixes(f, e).count() == n - n // 5 - (n // 1000 - 1)
+    assert time.time() - began < 60
+
+
+def brute_claims(findings, directives):
+    out = {}
+    for i, file, code, line in findings:
+        for late in (False, True):
+            for f, d, kind, at, first, codes, wild in directives:
+                if f != file or not (wild or code in codes) or (kind == "file") == late:
+                    continue
+                shut = any(f2 == file and k2 == "enable" and (w2 or code in c2) and at < l2 <= line for f2, _, k2, l2, _, c2, w2 in directives)
+                if kind == "file" or (kind == "line" and first <= line <= at) or (kind == "disable" and at <= line and not shut):
+                    out.setdefault(i, d)
+    return out
+
+
+DIRECTIVES = "file_id int, directive int, kind string, line int, first int, codes array<string>, wildcard boolean"
+
+
+def test_region_claims_equal_brute_force(spark):
+    rng = random.Random(5)
+    findings = [(i, rng.randrange(3), rng.choice("ABC"), rng.randrange(60)) for i in range(300)]
+    directives = []
+    for file in range(3):
+        at = 0
+        for d in range(40):
+            at += rng.randrange(3)
+            kind, wild = rng.choice(["disable", "enable", "line", "line"] + ["file"] * (d % 19 == 18)), rng.random() < 0.15
+            first = at + rng.randrange(2)
+            directives.append((file, d, kind, first + rng.choice([0, 0, 1, 7]) if kind == "line" else at, first, [] if wild else rng.sample("ABC", rng.randrange(1, 3)), wild))
+    f = spark.createDataFrame(findings, "finding_id int, file_id int, code string, line int")
+    d = spark.createDataFrame(directives, DIRECTIVES)
+    assert {r.finding_id: r.directive for r in lint.region_claims(f, d).collect()} == brute_claims(findings, directives)
+
+
+def test_region_claims_of_one_large_file(spark):
+    n = 100_000
+    f = spark.range(n).select("id", F.lit(1).alias("file_id"), F.lit("A").alias("code"), F.col("id").cast("int").alias("line")).withColumnRenamed("id", "finding_id")
+    kind = F.element_at(F.array(*map(F.lit, ("disable", "disable", "enable", "line"))), (F.col("id") % 4 + 1).cast("int"))
+    d = spark.range(n).select(F.lit(1).alias("file_id"), F.col("id").cast("int").alias("directive"), kind.alias("kind"), F.col("id").cast("int").alias("line"), F.col("id").cast("int").alias("first"), F.array(F.lit("A")).alias("codes"), F.lit(False).alias("wildcard"))
+    began = time.time()
+    found = {r.finding_id: r.directive for r in lint.region_claims(f, d).collect()}
+    assert time.time() - began < 60
+    # Lines 0 and 1 of each four are disabled by the first, 2 enables, and 3 has its own directive.
+    assert found == {i: i // 4 * 4 + (3 if i % 4 == 3 else 0) for i in range(n) if i % 4 != 2}
+
+
 def test_cycles_like_a_walk(spark):
     rng = random.Random(8)
     for n, m in ((24, 34), (6, 0)):
