@@ -463,6 +463,66 @@ def d9_resolve_refs(spark, sf_dir):
     return names.resolve_refs(r, b, names.scope_chain(a.scopes(spark, sf_dir)), builtins).select("file_id", "ref", "name", "binding", "resolution")
 
 
+_RULED = """lg AS (SELECT r_regionkey AS file_id, ['go', 'odin', 'python', 'rust', 'zig'][r_regionkey + 1] AS language FROM region),
+sc AS (SELECT s.file_id, s.scope, s.parent, s.dynamic, CASE WHEN s.scope = 0 THEN 'module' WHEN s.scope < 1000 THEN ['class', 'function', 'block'][s.scope % 3 + 1] ELSE ['function', 'block', 'lambda'][s.scope % 3 + 1] END AS class FROM scopes s),
+ch AS (SELECT c.file_id, c.scope, c.ancestor, c.distance, a.class, a.dynamic FROM chain c JOIN sc a ON a.file_id = c.file_id AND a.scope = c.ancestor),
+bi AS (SELECT n_regionkey AS file_id, s_suppkey + 1 AS binding, n_nationkey + 1 AS scope, 's' || (s_suppkey % 20) AS name, CASE WHEN s_suppkey % 4 = 0 THEN 'type' ELSE 'value' END AS namespace, s_suppkey * 7 % 300 AS visible_from, s_suppkey AS "offset" FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT n_regionkey, 100000 + c_custkey, c_custkey + 1000, 's' || (c_custkey % 30), 'value', c_custkey + c_custkey % 3, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 4 = 0
+  UNION ALL SELECT r_regionkey, 0, 0, 's7', 'value', NULL, NULL FROM region UNION ALL SELECT r_regionkey, 1000000, 0, 's7', 'value', 200, 5 FROM region),
+qu AS (SELECT n_regionkey AS file_id, language, c_custkey AS ref, c_custkey + 1000 AS scope, CASE WHEN c_custkey % 11 = 0 THEN n_nationkey + 1 END AS start, 's' || (c_custkey % 30) AS name, c_custkey AS "offset", CASE WHEN c_custkey % 5 = 0 THEN 'type' ELSE 'value' END AS namespace, CASE WHEN c_custkey % 10 = 0 THEN 'value' END AS retry, c_custkey % 3 = 0 AS qualified
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN lg ON lg.file_id = n_regionkey),
+po AS (SELECT qu.*, ch.ancestor, ch.distance, ch.class, qu.start IS NOT NULL OR (language = 'python' AND EXISTS (SELECT 1 FROM ch x WHERE x.file_id = qu.file_id AND x.scope = coalesce(start, qu.scope) AND x.distance < ch.distance AND x.class IN ('function', 'lambda'))) AS crossed
+  FROM qu JOIN ch ON ch.file_id = qu.file_id AND ch.scope = coalesce(start, qu.scope)),
+hi AS (SELECT po.file_id, po.ref, po.distance, CASE WHEN bi.namespace = po.namespace THEN 0 ELSE 1 END AS turn, CASE WHEN language = 'go' THEN min(binding) ELSE max(binding) END AS binding
+  FROM po JOIN bi ON bi.file_id = po.file_id AND bi.scope = po.ancestor AND bi.name = po.name AND (bi.namespace = po.namespace OR bi.namespace = po.retry)
+  WHERE NOT (language = 'python' AND po.class = 'class' AND distance > 0)
+    AND (crossed OR (language = 'go' AND NOT (po.class IN ('block', 'function') AND bi.namespace = 'value')) OR bi.visible_from IS NULL OR bi.visible_from <= po."offset" OR (language IN ('go', 'odin') AND bi."offset" = po."offset"))
+  GROUP BY po.file_id, po.ref, po.distance, turn, language),
+be AS (SELECT file_id, ref, arg_min(binding, turn * 1000 + distance) AS binding FROM hi GROUP BY 1, 2)"""
+
+
+@query(a.sql("scopes", recursive=True) + f""", {_CHAIN}, {_RULED} SELECT qu.file_id, qu.ref, qu.name, be.binding,
+  CASE WHEN be.binding IS NOT NULL THEN 'bound' WHEN qu.name = 's29' AND language <> 'zig' THEN 'builtin' WHEN language = 'rust' AND qualified THEN 'external'
+    WHEN EXISTS (SELECT 1 FROM ch WHERE ch.file_id = qu.file_id AND ch.scope = coalesce(start, qu.scope) AND ch.dynamic) THEN 'maybe' ELSE 'unresolved' END AS resolution
+FROM qu LEFT JOIN be ON be.file_id = qu.file_id AND be.ref = qu.ref""")
+def d9_resolve_by_rules(spark, sf_dir):
+    """Customers as references in scopes of nations and regions, a language for each region."""
+    return _ruled(spark, sf_dir).select("file_id", "ref", "name", "binding", "resolution")
+
+
+@query(a.sql("scopes", recursive=True) + f""", {_CHAIN}, {_RULED}, re AS (SELECT qu.file_id, qu.namespace AS context,
+  CASE WHEN be.binding IS NOT NULL THEN 'bound' WHEN qu.name = 's29' AND language <> 'zig' THEN 'builtin' WHEN language = 'rust' AND qualified THEN 'external'
+    WHEN EXISTS (SELECT 1 FROM ch WHERE ch.file_id = qu.file_id AND ch.scope = coalesce(start, qu.scope) AND ch.dynamic) THEN 'maybe' ELSE 'unresolved' END AS r
+FROM qu LEFT JOIN be ON be.file_id = qu.file_id AND be.ref = qu.ref)
+SELECT file_id, context, count(*) FILTER (r = 'bound') AS bound, count(*) FILTER (r = 'builtin') AS builtin, count(*) FILTER (r = 'external') AS "external", count(*) FILTER (r = 'maybe') AS maybe, count(*) FILTER (r = 'unresolved') AS unresolved FROM re GROUP BY 1, 2""")
+def d12_tally_by_rules(spark, sf_dir):
+    return names.resolution_tally(_ruled(spark, sf_dir), context="namespace").withColumnRenamed("namespace", "context")
+
+
+def _ruled(spark, sf_dir):
+    n = a.table(spark, sf_dir, "nation")
+    s = a.table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    c = a.table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    file_id, name = F.col("n_regionkey").cast("long").alias("file_id"), lambda k: F.concat(F.lit("s"), k).alias("name")
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    key = F.col("c_custkey")
+    b = s.select(file_id, (F.col("s_suppkey") + 1).alias("binding"), (F.col("n_nationkey") + 1).cast("long").alias("scope"), name(F.col("s_suppkey") % 20), F.when(F.col("s_suppkey") % 4 == 0, "type").otherwise("value").alias("namespace"), (F.col("s_suppkey") * 7 % 300).alias("visible_from"), F.col("s_suppkey").alias("offset"))
+    b = b.union(c.where("c_custkey % 4 = 0").select(file_id, key + 100000, key + 1000, name(key % 30), F.lit("value"), key + key % 3, key))
+    region = a.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long"))
+    for binding, at, own in ((0, None, None), (1000000, 200, 5)):
+        b = b.union(region.select("r_regionkey", F.lit(binding).cast("long"), F.lit(0).cast("long"), F.lit("s7"), F.lit("value"), F.lit(at).cast("long"), F.lit(own).cast("long")))
+    scope = F.col("scope")
+    kind = F.when(scope == 0, "module").when(scope < 1000, pick(("class", "function", "block"), scope)).otherwise(pick(("function", "block", "lambda"), scope))
+    scopes = a.scopes(spark, sf_dir).withColumn("class", kind)
+    languages = ("go", "odin", "python", "rust", "zig")
+    r = c.select(
+        file_id, pick(languages, F.col("n_regionkey")).alias("language"), key.alias("ref"), (key + 1000).alias("scope"), F.when(key % 11 == 0, F.col("n_nationkey") + 1).cast("long").alias("start"), name(key % 30), key.alias("offset"),
+        F.when(key % 5 == 0, "type").otherwise("value").alias("namespace"), F.when(key % 10 == 0, "value").alias("retry"), (key % 3 == 0).alias("qualified"),
+    )
+    builtins = spark.createDataFrame([(x, "s29") for x in languages if x != "zig"], "language string, name string")
+    return names.resolve_by_rules(r, b, scopes, builtins)
+
+
 def _bound(spark, sf_dir):
     r = a.refs(spark, sf_dir)
     found = names.asof_binding(r, a.bindings(spark, sf_dir)).join(r.select("file_id", "ref", "context", "scope"), ["file_id", "ref"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,6 +211,95 @@ def resolve_refs(refs: DataFrame, bindings: DataFrame, chain: DataFrame, builtin
     return out.withColumn("resolution", kind).drop("_dynamic", "_built")
 
 
+@dataclass(frozen=True)
+class ScopeRules:
+    """How a language looks names up.
+
+    crosses: classes of scopes that are functions to what lies in them; skips: classes that a
+    lookup passes by unless it starts there; order: which bindings of a scope a
+    reference sees: ``from`` (visible before it), ``from_or_self`` (those, and a binding whose
+    own name it is) or ``unordered``; ordered: the classes for which that holds, all if
+    none are named, and only in these namespaces; newest: whether the last or the first
+    of several counts; external: whether qualified names belong to other files.
+    """
+
+    crosses: tuple[str, ...] = ()
+    skips: tuple[str, ...] = ()
+    order: str = "from"
+    ordered: tuple[str, ...] = ()
+    namespaces: tuple[str, ...] = ()
+    newest: bool = True
+    external: bool = False
+
+
+# The rules of languages.
+SCOPE_RULES = {
+    "go": ScopeRules(order="from_or_self", ordered=("block", "function"), namespaces=("value",), newest=False),
+    "odin": ScopeRules(order="from_or_self"),
+    "python": ScopeRules(crosses=("function", "lambda"), skips=("class",)),
+    "rust": ScopeRules(external=True),
+    "zig": ScopeRules(),
+}
+
+
+def resolve_by_rules(refs: DataFrame, bindings: DataFrame, scopes: DataFrame, builtins: DataFrame | None = None, rules: dict[str, ScopeRules] = SCOPE_RULES) -> DataFrame:
+    """refs with resolution (bound, builtin, external, maybe or unresolved) and binding, by the rules of their language.
+
+    refs: file_id, ref, language, scope, start (the scope where the lookup starts, null: its
+    own), name, offset, namespace, retry (a namespace to try where the first has nothing, or
+    null), qualified.  bindings: file_id, binding, scope, name, namespace, offset,
+    visible_from (null: everywhere).  scopes: file_id, scope, parent, class, dynamic.
+    builtins: language, name.  The rules are a table, joined to the chain of scopes by
+    language and class of scope; a lookup that starts in another scope than its own counts
+    as one from inside a function.
+
+    As in resolve_refs, names meet first, and a reference meets each scope that binds its
+    name once: running windows over the bindings of a name in a scope hold the one that counts.
+    """
+    spark = refs.sparkSession
+    table = [(language, r.order, list(r.ordered), list(r.namespaces), list(r.crosses), list(r.skips), r.newest, r.external) for language, r in rules.items()]
+    table = F.broadcast(spark.createDataFrame(table, "language string, _order string, _ordered array<string>, _namespaces array<string>, _crosses array<string>, _skips array<string>, _newest boolean, _external boolean"))  # one row for each language
+    chain = scope_chain(scopes).select("file_id", "scope", "ancestor", "distance").join(scopes.select("file_id", F.col("scope").alias("ancestor"), F.col("class").alias("_class"), F.coalesce("dynamic", F.lit(False)).alias("_dynamic")), ["file_id", "ancestor"])
+    chain = checkpointed(chain)
+    # The classes above a scope, 256 at most.
+    above = chain.groupBy("file_id", "scope").agg(F.collect_list(F.struct("distance", "_class")).alias("_above"), F.max("_dynamic").alias("_dynamic"))
+    r = refs.withColumn("_start", F.coalesce("start", "scope")).join(table, "language", "left")
+    asked = F.filter(F.array(F.struct(F.lit(0).alias("turn"), F.col("namespace").alias("ns")), F.struct(F.lit(1).alias("turn"), F.col("retry").alias("ns"))), lambda x: x["ns"].isNotNull())
+    r = r.withColumn("_asked", asked)
+    binders = bindings.select("file_id", "name", "namespace", F.col("scope").alias("ancestor")).distinct()
+    met = r.select("file_id", "ref", "name", F.col("offset").cast("long").alias("at"), "scope", "_start", "_order", "_ordered", "_namespaces", "_crosses", "_skips", "_newest", F.explode("_asked").alias("q"))
+    met = met.select("*", "q.turn", F.col("q.ns").alias("namespace")).drop("q").join(binders, ["file_id", "name", "namespace"])
+    met = met.join(chain.select("file_id", F.col("scope").alias("_start"), "ancestor", "distance", "_class"), ["file_id", "_start", "ancestor"])
+    met = met.where(~(F.array_contains("_skips", F.col("_class")) & (F.col("distance") > 0)))
+    ordered = ((F.size("_ordered") == 0) | F.array_contains("_ordered", F.col("_class"))) & ((F.size("_namespaces") == 0) | F.array_contains("_namespaces", F.col("namespace")))
+    # A language whose functions are crossed sees all of an outer scope: its body runs later.
+    inside = met.join(above.select("file_id", F.col("scope").alias("_start"), "_above"), ["file_id", "_start"])
+    crossed = (F.col("_start") != F.col("scope")) | F.exists("_above", lambda x: (x["distance"] < F.col("distance")) & F.array_contains("_crosses", x["_class"]))
+    met = inside.withColumn("order", F.when(ordered & ~crossed, F.col("_order")).otherwise("unordered")).drop("_above")
+    key = ["file_id", "ancestor", "name", "namespace"]
+    b = bindings.select("file_id", F.col("scope").alias("ancestor"), "name", "namespace", "binding", F.col("visible_from").cast("long").alias("at"), F.col("offset").cast("long").alias("own"))
+    both = b.withColumn("kind", F.lit(0)).unionByName(met.select(*key, "ref", "at", F.lit(1).alias("kind"), "distance", "turn", "order", "_newest"), allowMissingColumns=True)
+    seen = Window.partitionBy(*key).orderBy(F.col("at").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy(*key)
+    of = lambda w: (F.min("binding").over(w), F.max("binding").over(w))
+    both = both.withColumns({"_s0": of(seen)[0], "_s1": of(seen)[1], "_e0": of(every)[0], "_e1": of(every)[1]}).where("kind = 1")
+    selves = b.where("own is not null").groupBy(*key, F.col("own").alias("at")).agg(F.min("binding").alias("_o0"), F.max("binding").alias("_o1"))
+    both = both.join(selves, [*key, "at"], "left")
+    self0, self1 = (F.when(F.col("order") == "from_or_self", F.col(c)) for c in ("_o0", "_o1"))
+    least = F.when(F.col("order") == "unordered", F.col("_e0")).otherwise(F.least("_s0", self0))
+    most = F.when(F.col("order") == "unordered", F.col("_e1")).otherwise(F.greatest("_s1", self1))
+    both = both.withColumn("binding", F.when(F.col("_newest"), most).otherwise(least)).where("binding is not null")
+    best = both.groupBy("file_id", "ref").agg(F.min_by("binding", F.struct("turn", "distance")).alias("binding"))
+    out = r.join(best, ["file_id", "ref"], "left").join(above.select("file_id", F.col("scope").alias("_start"), "_dynamic"), ["file_id", "_start"], "left")
+    built = F.lit(False)
+    if builtins is not None:
+        out = out.join(builtins.select("language", "name").distinct().withColumn("_built", F.lit(True)), ["language", "name"], "left")
+        built = F.coalesce("_built", F.lit(False))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    kind = F.when(F.col("binding").isNotNull(), "bound").when(built, "builtin").when(yes("_external") & yes("qualified"), "external").when(yes("_dynamic"), "maybe").otherwise("unresolved")
+    return out.withColumn("resolution", kind).select(*refs.columns, "binding", "resolution")
+
+
 def asof_binding(refs: DataFrame, bindings: DataFrame) -> DataFrame:
     """refs(file_id, ref, name, offset) with the last binding of the name at or before each: one window over both."""
     b = bindings.select("file_id", "name", F.col("offset").alias("at"), F.lit(0).alias("kind"), "binding", F.lit(None).cast("long").alias("ref"))
@@ -227,7 +318,7 @@ def unused_bindings(bindings: DataFrame, resolved: DataFrame) -> DataFrame:
     return bindings.join(resolved.where("binding is not null").select("file_id", "binding").distinct(), ["file_id", "binding"], "left_anti")
 
 
-def resolution_tally(resolved: DataFrame, kinds=("bound", "builtin", "maybe", "unresolved"), context: str = "context") -> DataFrame:
+def resolution_tally(resolved: DataFrame, kinds=("bound", "builtin", "external", "maybe", "unresolved"), context: str = "context") -> DataFrame:
     """file_id, context and one count column for each kind of resolution."""
     return resolved.groupBy("file_id", context).pivot("resolution", list(kinds)).count().na.fill(0)
 
