@@ -774,16 +774,33 @@ def e14_function_flags(spark, sf_dir):
     return graph.agreed_flags(flagged).unionByName(graph.agreed_flags(each))
 
 
-@query(_PARTS + """, s AS (SELECT p_partkey AS f_at, p_size, CASE WHEN p_size % 10 <> 0 THEN dst END AS target FROM part JOIN next_part ON src = p_partkey WHERE p_size <= 35 AND dst IS NOT NULL),
-w AS (SELECT f_at AS file_id, 1 AS depth, target, [f_at] AS seen FROM s UNION ALL SELECT w.file_id, w.depth + 1, s.target, list_append(w.seen, s.f_at) FROM w JOIN s ON s.f_at = w.target WHERE w.target IS NOT NULL AND NOT list_contains(w.seen, w.target) AND depth < 64)
+@query(_PARTS + """, s AS (SELECT p_partkey AS f_at, CASE WHEN p_size % 10 <> 0 THEN dst END AS target FROM part JOIN next_part ON src = p_partkey WHERE dst IS NOT NULL),
+w AS (SELECT f_at AS file_id, 1 AS depth, target, [f_at] AS seen FROM s UNION ALL SELECT w.file_id, w.depth + 1, s.target, list_append(w.seen, s.f_at) FROM w JOIN s ON s.f_at = w.target WHERE w.target IS NOT NULL AND NOT list_contains(w.seen, w.target))
 SELECT file_id, depth, target, CASE WHEN target IS NULL THEN 'missing' WHEN list_contains(seen, target) THEN 'circular' ELSE 'found' END AS state FROM w""")
 def e15_template_tree(spark, sf_dir):
-    p = a.table(spark, sf_dir, "part").where("p_size <= 35")
+    return graph.template_tree(*_templates(spark, sf_dir))
+
+
+def _templates(spark, sf_dir):
+    """Parts as templates that extend the next part, a tenth of which are missing; some include the part after them, or one that is missing."""
+    p = a.table(spark, sf_dir, "part")
     step = a.next_part(spark, sf_dir).where("dst is not null")
-    missing = F.when(F.col("p_size") % 10 != 0, F.concat(F.lit("t"), F.col("dst"))).otherwise("none")
-    facts = p.join(step, F.col("src") == F.col("p_partkey")).select(F.col("src").alias("file_id"), F.lit(0).alias("fact"), F.lit("extends").alias("kind"), missing.alias("specifier"))
-    keys = a.table(spark, sf_dir, "part").select(F.concat(F.lit("t"), F.col("p_partkey")).alias("specifier"), F.col("p_partkey").alias("file_id"))
-    return graph.template_tree(facts, keys)
+    target = F.when(F.col("p_size") % 10 != 0, F.concat(F.lit("t"), F.col("dst"))).otherwise("none")
+    facts = p.join(step, F.col("src") == F.col("p_partkey")).select(F.col("src").alias("file_id"), F.lit(0).alias("fact"), F.lit("extends").alias("kind"), target.alias("specifier"))
+    part = p.where("p_size % 25 = 0").select(F.col("p_partkey").alias("file_id"), F.lit(1).alias("fact"), F.lit("include").alias("kind"), F.when(F.col("p_size") == 25, F.concat(F.lit("t"), F.col("p_partkey") + 1)).otherwise("gone").alias("specifier"))
+    keys = p.select(F.concat(F.lit("t"), F.col("p_partkey")).alias("specifier"), F.col("p_partkey").alias("file_id"))
+    return facts.unionByName(part), keys
+
+
+@query(_PARTS + """, e AS (SELECT p_partkey AS src, CASE WHEN p_size % 10 <> 0 THEN n.dst END AS dst, CASE WHEN p_size % 10 = 0 THEN 'none' END AS lost, 1 AS ext FROM part JOIN next_part n ON n.src = p_partkey WHERE n.dst IS NOT NULL
+  UNION ALL SELECT p_partkey, CASE WHEN p_size = 25 AND p_partkey < (SELECT max(p_partkey) FROM part) THEN p_partkey + 1 END, CASE WHEN p_size = 50 THEN 'gone' WHEN p_partkey = (SELECT max(p_partkey) FROM part) THEN 't' || (p_partkey + 1) END, 0 FROM part WHERE p_size % 25 = 0),
+r AS (SELECT src AS f_at, dst AS t_at, ext FROM e WHERE dst IS NOT NULL UNION SELECT r.f_at, e.dst, r.ext * e.ext FROM r JOIN e ON e.src = r.t_at WHERE e.dst IS NOT NULL),
+p AS (SELECT f_at, t_at, max(ext) AS ext FROM r GROUP BY 1, 2), z AS (SELECT f_at, t_at, ext FROM p UNION ALL SELECT DISTINCT src, src, 1 FROM e WHERE lost IS NOT NULL)
+SELECT f_at AS file_id, t_at AS target, CAST(NULL AS VARCHAR) AS specifier, ext = 1 AS by_extends, CASE WHEN f_at = t_at THEN 'circular' ELSE 'found' END AS state FROM p
+UNION ALL SELECT z.f_at, NULL, lost, max(z.ext * e.ext) = 1, 'missing' FROM z JOIN e ON e.src = z.t_at WHERE lost IS NOT NULL GROUP BY z.f_at, lost""")
+def e15_template_closure(spark, sf_dir):
+    found = graph.template_closure(*_templates(spark, sf_dir))
+    return found.select("file_id", "target", "specifier", F.col("extended").isNotNull().alias("by_extends"), "state")
 
 
 # F: the lint pipeline

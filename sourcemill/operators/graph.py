@@ -358,19 +358,54 @@ def agreed_flags(flagged: DataFrame) -> DataFrame:
     return flagged.groupBy("name").agg(agree("fallible"), agree("value"))
 
 
-def template_tree(facts: DataFrame, keys: DataFrame, most: int = 64) -> DataFrame:
-    """file_id, depth, target and state of the chain of ``extends`` from each template: found, missing or circular."""
-    edges = import_edges(facts.where("kind = 'extends'"), keys).groupBy("src").agg(F.min_by("dst", "fact").alias("dst"), F.count("*").alias("n"))
-    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("target"))
-    front = step.select(F.col("at").alias("file_id"), F.array("at").alias("seen"), "target")
-    done = None
-    for depth in range(1, most + 1):
-        state = F.when(F.col("target").isNull(), "missing").when(F.array_contains("seen", F.col("target")), "circular").otherwise("found")
-        front = checkpointed(front.withColumn("state", state).withColumn("depth", F.lit(depth)))
-        rows = front.select("file_id", "depth", "target", "state")
-        done = rows if done is None else done.unionByName(rows)
-        going = front.where("state = 'found'").select("file_id", F.array_append("seen", F.col("target")).alias("seen"), F.col("target").alias("at"))
-        front = going.join(step, "at").select("file_id", "seen", "target")
-        if front.isEmpty():
-            break
-    return done
+def _closure(pairs: DataFrame) -> DataFrame:
+    """a, b, depth and extended of all pairs that pairs (a, b, depth, extended) lead along: the least sums, of all and of those without a null.
+
+    Each round joins the closure with itself, so paths of twice the length are covered.
+    """
+    least = lambda df: df.groupBy("a", "b").agg(F.min("depth").alias("depth"), F.min("extended").alias("extended"))
+    size = lambda df: tuple(df.agg(F.count("*"), F.sum("depth"), F.count("extended"), F.sum("extended")).first())
+    whole = checkpointed(least(pairs))
+    now, before = size(whole), None
+    while now != before:
+        far = whole.select(F.col("a").alias("b"), F.col("b").alias("_b"), F.col("depth").alias("_d"), F.col("extended").alias("_e"))
+        more = whole.join(far, "b").select("a", F.col("_b").alias("b"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("extended") + F.col("_e")).alias("extended"))
+        whole = checkpointed(least(whole.unionByName(more)))
+        now, before = size(whole), now
+    return whole
+
+
+def template_tree(facts: DataFrame, keys: DataFrame) -> DataFrame:
+    """file_id, depth, target and state of the chain of ``extends`` from each template: found, missing or circular.
+
+    A chain ends with a template that extends none, with a missing one, or where it comes
+    back to one of its own (circular).  Of several extends in a file the first counts.
+    """
+    edges = import_edges(facts.where("kind = 'extends'"), keys).groupBy("src").agg(F.min_by(F.struct("dst"), "fact").alias("t")).select(F.col("src").alias("a"), F.col("t.dst").alias("b"))
+    one = F.lit(1).alias("depth")
+    found = _closure(edges.where("b is not null").select("a", "b", one, F.lit(1).alias("extended"))).where("a <> b").select(F.col("a").alias("file_id"), "depth", F.col("b").alias("target"))
+    # Where the chain stands last, itself if it leads nowhere else, and what comes next there.
+    last = found.groupBy("file_id").agg(F.max("depth").alias("depth"), F.max_by("target", "depth").alias("at"))
+    last = edges.select(F.col("a").alias("file_id")).join(last, "file_id", "left").select("file_id", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("at", "file_id").alias("at"))
+    ends = last.join(edges.select(F.col("a").alias("at"), F.col("b").alias("target")), "at")
+    ends = ends.select("file_id", (F.col("depth") + 1).alias("depth"), "target", F.when(F.col("target").isNull(), "missing").otherwise("circular").alias("state"))
+    return found.withColumn("state", F.lit("found")).unionByName(ends)
+
+
+def template_closure(facts: DataFrame, keys: DataFrame) -> DataFrame:
+    """file_id, target, specifier, depth, extended and state of all that each template draws in by ``extends`` and ``include``.
+
+    depth is the least number of steps, extended the least by extends alone (null if that
+    does not lead there).  state is found, circular where a template draws in itself, or
+    missing: then target is null and specifier says what was asked for, by the template or
+    one that it draws in.  No depth is too great; every pair is one row.
+    """
+    used = facts.where("kind in ('extends', 'include') and specifier is not null")
+    edges = import_edges(used, keys).join(used.select(F.col("file_id").alias("src"), "fact", "kind", "specifier"), ["src", "fact"])
+    step = F.when(F.col("kind") == "extends", 1)
+    whole = _closure(edges.where("dst is not null").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).alias("depth"), step.alias("extended")))
+    found = whole.select(F.col("a").alias("file_id"), F.col("b").alias("target"), F.lit(None).cast("string").alias("specifier"), "depth", "extended", F.when(F.col("a") == F.col("b"), "circular").otherwise("found").alias("state"))
+    lost = edges.where("dst is null").select(F.col("src").alias("b"), "specifier", step.alias("step"))
+    there = whole.select("a", "b", "depth", "extended").unionByName(lost.select(F.col("b").alias("a"), "b", F.lit(0).alias("depth"), F.lit(0).alias("extended")).distinct())
+    missing = there.join(lost, "b").groupBy(F.col("a").alias("file_id"), "specifier").agg(F.min(F.col("depth") + 1).alias("depth"), F.min(F.col("extended") + F.col("step")).alias("extended"))
+    return found.unionByName(missing.select("file_id", F.lit(None).cast(found.schema["target"].dataType).alias("target"), "specifier", "depth", "extended", F.lit("missing").alias("state")))

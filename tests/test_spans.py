@@ -224,6 +224,24 @@ def test_cycles_like_a_walk(spark):
         assert behind == {(f, s) for f in (0, 1) for s, d in edges if d is not None for s in [a for a in range(n) if s in reach[a]] if f in reach[d]}
 
 
+def test_templates_of_any_depth(spark):
+    n = 200
+    kind = F.when(F.col("id") % 2 == 0, "extends").otherwise("include")
+    facts = spark.range(n).select(F.col("id").alias("file_id"), F.lit(0).alias("fact"), kind.alias("kind"), F.concat(F.lit("t"), F.col("id") + 1).alias("specifier"))
+    facts = facts.unionByName(spark.createDataFrame([(5, 1, "include", "t5"), (0, 1, "extends", "t2"), (0, 2, "extends", "t4")], "file_id long, fact int, kind string, specifier string"))
+    keys = spark.range(n).select(F.concat(F.lit("t"), F.col("id")).alias("specifier"), F.col("id").alias("file_id"))
+    got = {(r.file_id, r.target, r.specifier): (r.depth, r.extended, r.state) for r in graph.template_closure(facts, keys).collect()}
+    assert len(got) == n * (n - 1) // 2 + 1 + n
+    assert got[0, 1, None] == (1, 1, "found") and got[0, 2, None] == (1, 1, "found") and got[0, 3, None] == (2, 2, "found") and got[0, 5, None] == (2, 2, "found")
+    assert got[5, 5, None] == (1, None, "circular") and got[1, 199, None] == (198, None, "found") and got[198, None, "t200"] == (2, None, "missing")
+    chain = facts.withColumn("kind", F.lit("extends")).where("fact = 0")
+    tree = {(r.file_id, r.depth): (r.target, r.state) for r in graph.template_tree(chain, keys).collect()}
+    assert len(tree) == n * (n + 1) // 2 and tree[0, 199] == (199, "found") and tree[0, 200] == (None, "missing")
+    ring = spark.createDataFrame([(1, 0, "extends", "t2"), (2, 0, "extends", "t3"), (3, 0, "extends", "t2"), (4, 0, "extends", "t4")], "file_id long, fact int, kind string, specifier string")
+    rows = sorted((r.file_id, r.depth, r.target, r.state) for r in graph.template_tree(ring, keys).collect())
+    assert rows == [(1, 1, 2, "found"), (1, 2, 3, "found"), (1, 3, 2, "circular"), (2, 1, 3, "found"), (2, 2, 2, "circular"), (3, 1, 2, "found"), (3, 2, 3, "circular"), (4, 1, 4, "circular")]
+
+
 def test_long_chains_and_rings_take_few_rounds(spark):
     n = 5000
     name = lambda c: (c * 1237) % n
