@@ -871,8 +871,28 @@ def f5_run_rules(spark, sf_dir):
 
 
 def _line_directives(spark, sf_dir):
+    """errors as comments that suppress on the next line, read by the library."""
     s = a.steps(spark, sf_dir)
-    return s.where("kind = 'error'").select("file_id", F.col("idx").alias("directive"), F.when(F.col("k") % 40 != 0, F.col("idx") + 1).alias("line"), (F.col("k") % 9 == 0).alias("blanket"), F.array(F.concat(F.lit("K"), F.col("k") % 5)).alias("codes"))
+    code = F.when(F.col("k") % 9 == 0, "").otherwise(F.concat(F.lit(": K"), F.col("k") % 5, F.lit(", why")))
+    text = F.concat(F.when(F.col("k") % 40 == 0, "# ruff: noqa").otherwise("# NoQA"), code)
+    comments = s.where("kind = 'error'").select("file_id", F.col("idx").alias("offset"), (F.col("idx") + 1).alias("line"), text.alias("text"))
+    return lint.read_suppressions(comments).withColumn("directive", F.col("offset"))
+
+
+#: A comment, and whether it is read, holds for the file, is blanket, and its codes.
+_SUPPRESSIONS = [
+    ("# noqa", True, False, True, ""), ("# noqa: E501", True, False, False, "E501"), ("#noqa:E501,W29 F4", True, False, False, "E501 W29 F4"), ("# noqa E501 and prose", True, False, False, "E501"),
+    ("# noqa prose E501", True, False, True, ""), ("# noqa: E501x", False, False, False, ""), ("# noqa E501-x", True, False, True, ""), ("# noqa:", False, False, False, ""), ("# noqa: prose", False, False, False, ""),
+    ("# noqa: E1, F2_", False, False, False, ""), ("# ruff: noqa", True, True, True, ""), ("# flake8:noqa: E1", True, True, False, "E1"), ("# see noqa", False, False, False, ""), ("# see # NOQA : E1", True, False, True, ""),
+    ("/* noqa:E1 */", True, False, False, "E1"), ("# noqaE1", False, False, False, ""), ("# noqa\tE1,,F2, G", True, False, False, "E1 F2"),
+]
+
+
+@query(a.sql("steps") + f", v AS (SELECT i - 1 AS i, x FROM (SELECT generate_subscripts(l, 1) AS i, unnest(l) AS x FROM (SELECT {[list(map(str, x[1:])) for x in _SUPPRESSIONS]} AS l))) SELECT file_id, idx AS \"offset\", CASE WHEN x[2] = 'False' THEN idx + 7 END AS line, x[3] = 'True' AS blanket, x[4] AS codes FROM steps JOIN v ON i = (k + idx) % {len(_SUPPRESSIONS)} WHERE x[1] = 'True'")
+def f6_read_suppressions(spark, sf_dir):
+    text = F.element_at(F.array(*[F.lit(x[0]) for x in _SUPPRESSIONS]), ((F.col("k") + F.col("idx")) % len(_SUPPRESSIONS) + 1).cast("int"))
+    comments = a.steps(spark, sf_dir).select("file_id", F.col("idx").alias("offset"), (F.col("idx") + 7).alias("line"), text.alias("text"))
+    return lint.read_suppressions(comments).select("file_id", "offset", "line", "blanket", F.array_join("codes", " ").alias("codes"))
 
 
 @query(a.sql("steps", "marks") + f""", {_RUNS}, {_MERGED}, dl AS (SELECT file_id, idx AS directive, CASE WHEN k % 40 <> 0 THEN idx + 1 END AS line, k % 9 = 0 AS blanket, 'K' || (k % 5) AS code FROM steps WHERE kind = 'error'),
@@ -902,6 +922,34 @@ def f8_parse_directives(spark, sf_dir):
     return lint.parse_directives(comments, "mill").withColumn("codes", F.array_join("codes", " "))
 
 
+_MILL = lint.Markers(file="mill-file:", disable="mill-off", enable="mill-on", line="mill-skip:", annotation="#[")
+
+
+@query(a.sql("steps", recursive=True) + """, t AS (SELECT file_id, CAST(idx - 1 AS INT) AS line, kind, k, kind = 'view' AND k % 4 IN (0, 1) AS starts, CASE WHEN kind <> 'view' THEN 0 WHEN k % 4 = 1 THEN 2 WHEN k % 4 = 2 THEN -2 ELSE 0 END AS more FROM steps),
+d AS (SELECT file_id, line, kind, k FROM t WHERE kind IN ('error', 'signup', 'purchase')),
+w AS (SELECT file_id, line AS d, line + 1 AS at_, 0 AS depth, 0 AS inside, 0 AS n, NULL::INT AS target FROM d WHERE kind = 'purchase' AND k % 3 > 0
+  UNION ALL SELECT file_id, d, at_ + 1, CASE WHEN ends THEN 0 ELSE depth + more END, CASE WHEN ends THEN 0 ELSE inside + 1 END, n + CASE WHEN inside = 0 THEN 1 ELSE 0 END, CASE WHEN inside = 0 AND n = 32 THEN d + 1 WHEN inside = 0 AND NOT starts THEN at_ END
+  FROM (SELECT w.*, t.starts, t.more, depth + t.more <= 0 OR inside + 1 = 32 AS ends FROM w JOIN t ON t.file_id = w.file_id AND t.line = w.at_ WHERE w.target IS NULL)),
+g AS (SELECT file_id, d, coalesce(max(target), d + 1) AS target FROM w GROUP BY 1, 2)
+SELECT d.file_id, row_number() OVER (PARTITION BY d.file_id ORDER BY d.line) - 1 AS directive, CASE kind WHEN 'error' THEN 'disable' WHEN 'signup' THEN 'enable' WHEN 'purchase' THEN CASE WHEN k % 10 = 9 THEN 'file' ELSE 'line' END END AS kind,
+  CASE WHEN kind = 'purchase' AND k % 10 <> 9 THEN coalesce(g.target, d.line) ELSE d.line END AS line, CASE WHEN kind = 'purchase' AND k % 10 <> 9 AND g.target IS NOT NULL THEN d.line + 1 ELSE d.line END AS first,
+  CASE WHEN k % 5 = 0 THEN '' ELSE 'K' || (k % 5) || ' x/y.z' END AS codes, k % 5 = 0 AS wildcard
+FROM d LEFT JOIN g ON g.file_id = d.file_id AND g.d = d.line""")
+def f8_region_directives(spark, sf_dir):
+    """Every step as a line of its user's file: directives in comments, annotations over one or more lines, code."""
+    s, k = a.steps(spark, sf_dir), F.col("k")
+    codes = F.when(k % 5 == 0, F.when(k % 2 == 0, " *").otherwise("")).otherwise(F.concat(F.lit(" K"), k % 5, F.lit(", x/y.z. -- why K9")))
+    kind = F.col("kind")
+    word = F.when(kind == "error", "mill-off").when(kind == "signup", "mill-on").when(k % 10 == 9, "mill-file:").otherwise("mill-skip:")
+    head = F.when((kind == "purchase") & (k % 3 > 0), "\t ").otherwise("call() ")
+    other = F.when((kind == "view") & (k % 4 == 0), " #[é]").when((kind == "view") & (k % 4 == 1), "#[a(").when((kind == "view") & (k % 4 == 2), ")] ").otherwise("code(1)")
+    text = F.when(kind.isin("error", "signup", "purchase"), F.concat(head, F.lit("# "), word, codes)).otherwise(other)
+    files = s.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", text.alias("t")))), lambda x: x["t"]), "\n").alias("source"))
+    own = lines.explode_lines(files)
+    comments = own.where(F.contains("text", F.lit("# "))).select("file_id", (F.col("start") + F.instr("text", "# ") - 1).alias("offset"), F.expr("substring(text, instr(text, '# '))").alias("text"))
+    return lint.region_directives(comments, own, _MILL).select("file_id", "directive", "kind", "line", "first", F.array_join("codes", " ").alias("codes"), "wildcard")
+
+
 @query(a.sql("steps", "marks") + f""", {_CLAIMS}, us AS (SELECT DISTINCT f.file_id, cl.directive, f.code FROM cl JOIN findings f ON f.finding_id = cl.finding_id),
 op AS (SELECT e.file_id, e.directive FROM dx e WHERE e.kind = 'enable' AND EXISTS (SELECT 1 FROM dx d WHERE d.file_id = e.file_id AND d.kind = 'disable' AND d.directive < e.directive AND (d.wildcard OR e.wildcard OR d.code = e.code) AND (CASE WHEN e.wildcard AND d.wildcard THEN true WHEN e.wildcard THEN d.code <> 'K4' ELSE d.wildcard = false OR e.code <> 'K4' END)))
 SELECT d.file_id, d.directive, CASE WHEN d.code = 'K4' THEN 'unknown' WHEN d.kind = 'enable' THEN 'closes' ELSE 'dead' END AS reason, CASE WHEN d.code <> 'K4' AND d.kind <> 'enable' AND NOT d.wildcard THEN d.code ELSE '' END AS dead FROM dx d

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -263,6 +266,106 @@ def parse_directives(comments: DataFrame, marker: str) -> DataFrame:
     return rows.select("file_id", "directive", "kind", target.alias("line"), F.col("line").alias("first"), "codes", (F.size("codes") == 0).alias("wildcard"))
 
 
+@dataclass(frozen=True)
+class Markers:
+    """What opens a directive of each kind in a comment, what encloses its list of codes, and how lines of annotation begin."""
+
+    file: str
+    disable: str
+    enable: str
+    line: str
+    annotation: str = ""
+    open: str = ""
+    close: str = ""
+
+
+#: Annotations that a directive is carried past, and lines of one of them.
+ANNOTATIONS = 32
+
+
+def _carried(rows: DataFrame, lines: DataFrame, prefix: str) -> DataFrame:
+    """file_id, offset and target of rows(file_id, offset, line): the next line that no annotation begins on.
+
+    An annotation goes on until its brackets close.  Where the file ends first, or there
+    are too many, the target is the line after the directive.  Only the lines after a
+    directive are looked up, and only where the next one is an annotation.
+    """
+    text = F.col("text")
+    count = lambda which: F.length(F.regexp_replace(text, which, ""))
+    seen = lines.select("file_id", F.col("line").alias("at"), F.startswith(F.ltrim(text), F.lit(prefix)).alias("starts"), (count(r"[^\[(]") - count(r"[^\])]")).alias("more"))
+    next_ = rows.withColumn("at", F.col("line") + 1).join(seen, ["file_id", "at"], "left").where("starts").select("file_id", "offset", "line")
+    reach = next_.select("file_id", "offset", "line", F.explode(F.expr(f"sequence(line + 1, line + {ANNOTATIONS * ANNOTATIONS + 1})")).alias("at"))
+    after = reach.join(seen, ["file_id", "at"]).groupBy("file_id", "offset", "line").agg(F.array_sort(F.collect_list(F.struct("at", "starts", "more"))).alias("after"))
+    state = "named_struct('target', cast(null as int), 'depth', 0, 'inside', 0, 'n', 0)"
+    ends = f"(s.depth + x.more <= 0 or s.inside + 1 = {ANNOTATIONS})"
+    step = f"""if(s.target is not null, s,
+      if(s.inside = 0 and (s.n = {ANNOTATIONS} or not x.starts), named_struct('target', if(s.n = {ANNOTATIONS}, line + 1, x.at), 'depth', 0, 'inside', 0, 'n', s.n),
+        named_struct('target', cast(null as int), 'depth', if({ends}, 0, s.depth + x.more), 'inside', if({ends}, 0, s.inside + 1), 'n', s.n + if(s.inside = 0, 1, 0))))"""
+    return after.select("file_id", "offset", F.expr(f"aggregate(after, {state}, (s, x) -> {step}).target").alias("target"))
+
+
+def region_directives(comments: DataFrame, lines: DataFrame, markers: Markers) -> DataFrame:
+    """file_id, directive, kind, line, first, codes, wildcard and unclosed of the directives in comments, as region_claims takes them.
+
+    comments: file_id, offset, text; lines: those of the files, by explode_lines.  The first
+    marker found in the order file, disable, enable, line decides; what follows `` -- `` is a
+    reason.  Codes are words of letters, digits and ``-./_`` that end in a letter or digit;
+    none, a ``*`` or no list at all means all codes.  A line directive on a line of its own
+    covers up to the next line past annotations.
+    """
+    at = lines.select("file_id", F.col("start").alias("pos"), F.lit(0).alias("turn"), F.struct("line", "start", F.col("text").alias("whole")).alias("l"), F.lit(None).cast("string").alias("text"))
+    said = comments.select("file_id", F.col("offset").cast("long").alias("pos"), F.lit(1).alias("turn"), F.lit(None).cast(at.schema["l"].dataType).alias("l"), "text")
+    placed = at.unionByName(said).withColumn("l", F.last("l", True).over(Window.partitionBy("file_id").orderBy("pos", "turn"))).where("turn = 1")
+    blank = F.octet_length(F.regexp_extract("l.whole", r"^([\s\x0B]*)", 1))
+    rows = placed.select("file_id", F.col("pos").alias("offset"), F.col("l.line").alias("line"), (F.col("pos") - F.col("l.start") <= blank).alias("own_line"), F.split_part("text", F.lit(" -- "), F.lit(1)).alias("body"))
+    kind, rest = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name in ("line", "enable", "disable", "file"):
+        marker = getattr(markers, name)
+        found = F.instr("body", marker)
+        kind = F.when(found > 0, name).otherwise(kind)
+        rest = F.when(found > 0, F.ltrim(F.substring(F.col("body"), found + len(marker), F.lit(1 << 30)))).otherwise(rest)
+    rows = rows.withColumns({"kind": kind, "rest": rest}).where("kind is not null")
+    listed = F.startswith("rest", F.lit(markers.open)) if markers.open else F.lit(True)
+    inner = F.substring(F.col("rest"), F.lit(len(markers.open) + 1), F.lit(1 << 30))
+    closed = F.contains(inner, F.lit(markers.close)) if markers.close else F.lit(True)
+    inner = F.split_part(inner, F.lit(markers.close), F.lit(1)) if markers.close else inner
+    inner = F.when(listed & ~F.contains(inner, F.lit("*")), inner).otherwise("")
+    codes = F.regexp_extract_all(inner, F.lit(r"([0-9A-Za-z](?:[0-9A-Za-z._/-]*[0-9A-Za-z])?)"), 1)
+    number = F.row_number().over(Window.partitionBy("file_id").orderBy("offset")) - 1
+    rows = rows.withColumns({"codes": codes, "unclosed": listed & ~closed, "directive": number})
+    target = F.when((F.col("kind") == "line") & F.col("own_line"), F.col("line") + 1).otherwise(F.col("line"))
+    if markers.annotation:
+        carried = _carried(rows.where("kind = 'line' and own_line").select("file_id", "offset", "line"), lines, markers.annotation)
+        rows = rows.join(carried.withColumnRenamed("target", "_t"), ["file_id", "offset"], "left")
+        target = F.coalesce("_t", target)
+    rows = rows.withColumn("target", target)
+    return rows.select("file_id", "offset", "directive", "kind", F.col("target").alias("line"), F.least("target", F.col("line") + 1).alias("first"), "codes", (F.size("codes") == 0).alias("wildcard"), "unclosed")
+
+
+def read_suppressions(comments: DataFrame, word: str = "noqa", file_prefixes: tuple[str, ...] = ("flake8:", "ruff:")) -> DataFrame:
+    """file_id, offset, directive, line, blanket and codes of the comments that suppress by a word, as line_suppress takes them.
+
+    comments: file_id, offset, line, text.  The word, in any case, stands at the start of
+    the comment, after one of ``#*/`` or after a prefix that makes it hold for the file
+    (line is null), and ends with the comment, a colon or white space.  After a colon, or
+    after blanks where a code follows, comes a list of codes (capitals, then digits) up
+    to the first other word.  No list suppresses everything; a malformed code makes a
+    list blanket, or void if a colon stands before it, and so does an empty list.
+    """
+    end, quoted = r"(?=:|[\s\x0B]|\z)", re.escape(word)
+    prefix = "[#/*]*[ \t]*(?:" + "|".join(map(re.escape, file_prefixes)) + ")[ \t]*"
+    fits = rf"(?s)^(?:(?:.*?[#*/])?[ \t]*|{prefix})(?i:{quoted}){end}"
+    rows = comments.where(F.col("text").rlike(fits)).withColumn("rest", F.regexp_extract("text", fits + "(.*)$", 1))
+    colon = F.startswith("rest", F.lit(":"))
+    body = F.when(colon, F.substring("rest", 2, 1 << 30)).when(F.col("rest").rlike(r"^[ \t]+[A-Z]+[0-9]"), F.ltrim("rest"))
+    rows = rows.withColumns({"colon": colon, "list": F.coalesce(F.regexp_extract(body, r"^((?:[,\s\x0B]*[A-Z]+[0-9]+(?![0-9A-Za-z_-]))*)", 1), F.lit("")), "body": F.coalesce(body, F.lit(""))})
+    bad = F.substring(F.col("body"), F.length("list") + 1, F.lit(1 << 30)).rlike(r"^[,\s\x0B]*[A-Z]+[0-9]")
+    codes = F.when(bad, F.array().cast("array<string>")).otherwise(F.regexp_extract_all("list", F.lit("([A-Z]+[0-9]+)"), 1))
+    rows = rows.withColumn("codes", codes).where(~F.col("colon") | (F.size("codes") > 0))
+    number = F.row_number().over(Window.partitionBy("file_id").orderBy("offset")) - 1
+    return rows.select("file_id", "offset", number.alias("directive"), F.when(~F.col("text").rlike(rf"(?s)^{prefix}(?i:{quoted}){end}"), F.col("line")).alias("line"), (F.size("codes") == 0).alias("blanket"), "codes")
+
+
 def unused_directives(directives: DataFrame, claims: DataFrame, findings: DataFrame, enabled: DataFrame) -> DataFrame:
     """file_id, directive, reason and dead codes of directives that do nothing.
 
