@@ -1344,6 +1344,34 @@ def j5_edit_batch(spark, sf_dir):
     return changes.edit_batch(rows)
 
 
+_RANGES = "SELECT 'c' || conv_id AS uri, max(turn) FILTER (turn = 0 OR turn % 3 <> 2) AS version, '\U0001f642' || coalesce(string_agg(text || chr(10), '' ORDER BY turn DESC) FILTER (turn > 0 AND turn % 3 <> 2), '') || 'é' || chr(10) || (max(text) FILTER (turn = 0)) AS text, count(*) FILTER (turn % 3 = 2) AS rejected FROM conversations GROUP BY conv_id"
+
+
+def _ranges(c: DataFrame) -> DataFrame:
+    """The first turn of a conversation as a document below a line of two characters; later ones are put between those, and a third of them also ask for half a character."""
+    item = lambda n, line, character, text_: F.struct(F.lit(n).cast("long").alias("ordinal"), *(F.lit(x).cast("long").alias(k) for k, x in zip(("line", "character", "end_line", "end_character"), (line, character, line, character), strict=True)), text_.alias("text"))
+    first = F.array(item(0, None, None, F.concat(F.lit("\U0001f642é\n"), "text")))
+    good, bad = item(0, 0, 2, F.concat("text", F.lit("\n"))), item(1, 0, 1, F.lit("never"))
+    items = F.when(F.col("turn") == 0, first).when(F.col("turn") % 3 == 2, F.array(good, bad)).otherwise(F.array(good))
+    return c.select(F.concat(F.lit("c"), F.col("conv_id")).alias("uri"), F.col("turn").alias("version"), F.explode(items).alias("i")).select("uri", "version", "i.*")
+
+
+@query(_RANGES)
+def j5_range_edits(spark, sf_dir):
+    from ..streaming import changes
+
+    return changes.range_edit_batch(_ranges(a.table(spark, sf_dir, "conversations")))
+
+
+@query(_RANGES)
+def j5_range_stream(spark, sf_dir):
+    from ..streaming import changes
+
+    rows = _streamed(spark, sf_dir, "conversations", lambda c: changes.range_edit_stream(_ranges(c)), "update")
+    last = rows.groupBy("uri").agg(F.max_by(F.struct("version", "text", "rejected"), "batch").alias("s"))
+    return last.select("uri", "s.*")
+
+
 def _streamed(spark, sf_dir: str, name: str, build, mode: str) -> DataFrame:
     """The rows that a stream over a table of sf_dir wrote up to now, with batch: all of its files, then stop."""
     source = spark.readStream.schema(a.table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")

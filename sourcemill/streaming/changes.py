@@ -136,6 +136,115 @@ def edit_batch(changes: DataFrame) -> DataFrame:
     return changes.groupBy("uri").applyInPandas(run, EDITED)
 
 
+class Lines:
+    """A document as its lines, each with what ends it, into which edits are spliced."""
+
+    def __init__(self, lines: list[str]):
+        self.lines = lines
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """Lines with their ``\\n``; the last has none and may be empty."""
+        parts = text.split("\n")
+        return [p + "\n" for p in parts[:-1]] + parts[-1:]
+
+    def column(self, line: int, character: int, unit: str) -> int | None:
+        """The place in a line of a position in utf8, utf16 or utf32 units; None outside the line or inside a character."""
+        if not 0 <= line < len(self.lines) or character < 0:
+            return None
+        text = self.lines[line]
+        if text.endswith("\n"):
+            text = text[:-2] if text.endswith("\r\n") else text[:-1]
+        if unit == "utf32" or text.isascii():
+            return character if character <= len(text) else None
+        width = (lambda c: len(c.encode())) if unit == "utf8" else (lambda c: 1 + (c > "\uffff"))
+        at = 0
+        for n, c in enumerate(text):
+            if at >= character:
+                return n if at == character else None
+            at += width(c)
+        return len(text) if at == character else None
+
+    def splice(self, first: int, last: int, new: list[str]) -> list[str]:
+        """Puts new in the place of the lines first..last and returns those."""
+        old = self.lines[first:last]
+        self.lines[first:last] = new
+        return old
+
+    def apply(self, changes: list[tuple], unit: str) -> bool:
+        """One list of (line, character, end line, end character, text), all of it or, if an item is malformed, nothing."""
+        undo = []
+        for line, character, last, end, text in changes:
+            if text is None:
+                break
+            if line is None:
+                new = self.cut(text)
+                undo.append((0, len(new), self.splice(0, len(self.lines), new)))
+                continue
+            if None in (character, last, end):
+                break
+            a, b = self.column(line, character, unit), self.column(last, end, unit)
+            if a is None or b is None or (last, b) < (line, a):
+                break
+            new = self.cut(self.lines[line][:a] + text + self.lines[last][b:])
+            if last + 1 < len(self.lines):  # the end of the last line stays one
+                new.pop()
+            undo.append((line, line + len(new), self.splice(line, last + 1, new)))
+        else:
+            return True
+        for first, last, old in reversed(undo):
+            self.splice(first, last, old)
+        return False
+
+
+RANGED = "uri string, version long, text string, rejected long"
+_RANGE = ["line", "character", "end_line", "end_character"]
+
+
+def _ranged(lines: list[str] | None, version, rejected, rows: pd.DataFrame, unit: str):
+    """Change lists in order of version, each whole or not at all; one that is not newer than the document is rejected."""
+    document = Lines(list(lines) if lines is not None else [])
+    for v, part in rows.groupby("version", sort=True):
+        part = part.sort_values("ordinal")
+        numbers = [[None if pd.isna(x) else int(x) for x in part[c]] for c in _RANGE]
+        items = list(zip(*numbers, [None if t is None or (isinstance(t, float) and pd.isna(t)) else t for t in part["text"]], strict=True))
+        if (version is None or v > version) and document.apply(items, unit):
+            version = int(v)
+        else:
+            rejected += 1
+    return document.lines, version, rejected
+
+
+def range_edit_stream(changes: DataFrame, unit: str = "utf16") -> DataFrame:
+    """uri, version, text and rejected of every document that a micro-batch of changes touched.
+
+    changes: uri, version, ordinal, line, character, end_line, end_character (from 0, in
+    units of utf8, utf16 or utf32; line null: the whole document), text.  A range that is
+    outside the document, ends inside a character or runs backward rejects its whole list,
+    and so does a null text.  The state is the lines of the document; an edit touches the
+    lines of its range only.  A document begins with a change of the whole.
+    """
+
+    def update(key, batches, state: GroupState):
+        lines, version, rejected = state.get if state.exists else (None, None, 0)
+        rows = _in_order(batches, ["version", "ordinal"])
+        lines, version, rejected = _ranged(lines, version, rejected, rows, unit)
+        state.update((lines, version, int(rejected)))
+        yield pd.DataFrame({"uri": [key[0]], "version": pd.array([version], "Int64"), "text": ["".join(lines) if version is not None else None], "rejected": [int(rejected)]})
+
+    return changes.groupBy("uri").applyInPandasWithState(update, RANGED, "lines array<string>, version long, rejected long", "update", GroupStateTimeout.NoTimeout)
+
+
+def range_edit_batch(changes: DataFrame, unit: str = "utf16") -> DataFrame:
+    """The documents after all changes: the batch form of range_edit_stream, one group for each document."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        lines, version, rejected = _ranged(None, None, 0, pdf, unit)
+        return pd.DataFrame({"uri": [key[0]], "version": pd.array([version], "Int64"), "text": ["".join(lines) if version is not None else None], "rejected": [int(rejected)]})
+
+    return changes.groupBy("uri").applyInPandas(run, RANGED)
+
+
 def stream_findings(files: DataFrame, width: int = 100) -> DataFrame:
     """Findings of the line rules, file by file; stateless, so equal to those of a whole run."""
     return line_findings(files, width)

@@ -9,7 +9,7 @@ UPSERTS = "path string, version long, content_hash string, language string, flav
 def streamed(spark, tmp_path, batches, schema, build, mode):
     """Rows that a stream wrote, a list for each micro-batch."""
     source, out = tmp_path / "in", []
-    source.mkdir()
+    source.mkdir(parents=True)
 
     def keep(df, _):
         out.append([tuple(r) for r in df.collect()])
@@ -70,6 +70,54 @@ def test_edits(spark, tmp_path):
     assert [tuple(r) for r in whole] == [("u", 4, "Jello!?", 1)]
 
 
+def test_range_edits_like_whole_strings(spark, tmp_path):
+    """Random edits by line and character over several micro-batches, against splices of encoded strings."""
+    rng = random.Random(9)
+    wide = {"utf8": "utf-8", "utf16": "utf-16-le", "utf32": "utf-32-le"}
+    size = {"utf8": 1, "utf16": 2, "utf32": 4}
+    piece = lambda: "".join(rng.choice(["a", "é", "🙂", "\n", "\r\n", "b c"]) for _ in range(rng.randrange(6)))
+    schema = "uri string, version long, ordinal long, line long, character long, end_line long, end_character long, text string"
+    for unit in wide:
+        rows, text, want, version = [("d", 1, 0, None, None, None, None, "🙂x\ny\r\n")], "🙂x\ny\r\n", 0, 1
+        for v in range(2, 40):
+            items, now, bad = [], text, False
+            for o in range(rng.randrange(1, 4)):
+                spots = []
+                for _ in range(2):
+                    lines = now.split("\n")
+                    line = rng.randrange(len(lines) + (rng.random() < 0.1))
+                    own = lines[line] if line < len(lines) else ""
+                    own = own[:-1] if own.endswith("\r") and line < len(lines) - 1 else own
+                    units = own.encode(wide[unit])
+                    spots.append((line, rng.randrange(len(units) // size[unit] + 1 + (rng.random() < 0.1)), units))
+                spots.sort(key=lambda s: s[:2], reverse=rng.random() < 0.1)
+                new = piece()
+                items.append(("d", v, o, *spots[0][:2], *spots[1][:2], new))
+                if bad:
+                    continue
+                try:
+                    lines, places = now.split("\n"), []
+                    for line, at, units in spots:
+                        if line >= len(lines) or at * size[unit] > len(units):
+                            raise UnicodeError
+                        head = units[: at * size[unit]].decode(wide[unit])
+                        units[at * size[unit] :].decode(wide[unit])
+                        places.append(sum(len(x) + 1 for x in lines[:line]) + len(head))
+                    if places[0] > places[1]:
+                        raise UnicodeError
+                    now = now[: places[0]] + new + now[places[1] :]
+                except UnicodeError:
+                    bad = True
+            rows += items
+            want += bad
+            text, version = (text, version) if bad else (now, v)
+        batches = [[r for r in rows if r[1] % 40 // 10 == k] for k in range(4)]
+        out = streamed(spark, tmp_path / unit, batches, schema, lambda df, u=unit: changes.range_edit_stream(df, u), "update")
+        assert [b[-1] for b in out if b][-1] == ("d", version, text, want)
+        assert [tuple(r) for r in changes.range_edit_batch(spark.createDataFrame(rows, schema), unit).collect()] == [("d", version, text, want)]
+        assert 3 < want < 36
+
+
 def test_findings_equal_a_whole_run(spark, tmp_path):
     rng = random.Random(3)
     rows = [(i, f"f{i}.py", rng.choice(["a\n", "b \n", "c\t\n", "d"])) for i in range(40)]
