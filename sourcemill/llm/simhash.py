@@ -343,32 +343,9 @@ def _closest(left: np.ndarray, right: np.ndarray, words: np.ndarray):
     return left[keep], right[keep]
 
 
-def _apart(keys: np.ndarray, words: np.ndarray, part: np.ndarray, most: int):
-    """All pairs of rows with the same key (sorted) and different parts that differ in at most ``most`` bits."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if b - a < 2 or (part[a:b] == part[a]).all():
-            continue
-        names, sizes = np.unique(part[a:b], return_counts=True)
-        main = part[a:b] == names[sizes.argmax()]
-        rare = np.flatnonzero(~main)  # pairs within the largest part are not looked at
-        for at in range(0, len(rare), FEW):
-            own = rare[at : at + FEW]
-            i, j = _near(words[a:b][own], words[a:b], most)
-            i = own[i]
-            new = (part[a:b][i] != part[a:b][j]) & (main[j] | (i < j))
-            left.append(i[new] + a)
-            right.append(j[new] + a)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _bundled(keys: np.ndarray, words: np.ndarray, bundle: np.ndarray, own: np.ndarray, most: int, part: np.ndarray | None = None):
+def _bundled(keys: np.ndarray, words: np.ndarray, bundle: np.ndarray, own: np.ndarray, most: int):
     """Links between rows with the same key that agree in a cut of their bundle: indices of their ends.
 
-    They connect all that links connect; where rows belong to a part, they are all those
-    between different parts.
-
     keys are sorted; bundle is the number of each row's bundle, and own the bit positions
     of each bundle's cuts beyond those that the key stands for.
     """
@@ -381,11 +358,11 @@ def _bundled(keys: np.ndarray, words: np.ndarray, bundle: np.ndarray, own: np.nd
             full[at : at + _BLOCK] = bits.astype(np.int64) @ (1 << np.arange(OWN, dtype=np.int64))
         full += keys << OWN
         order = np.argsort(full, kind="stable")
-        i, j = _linked(full[order], words[order], most) if part is None else _apart(full[order], words[order], part[order], most)
+        i, j = _linked(full[order], words[order], most)
         left.append(order[i])
         right.append(order[j])
     left, right = np.concatenate(left), np.concatenate(right)
-    return (left, right) if part is not None else _closest(left, right, words)
+    return _closest(left, right, words)
 
 
 def similar_links(found: DataFrame, *, similarity: float) -> DataFrame:
@@ -393,12 +370,10 @@ def similar_links(found: DataFrame, *, similarity: float) -> DataFrame:
 
     All nodes that share a cut are compared, however many they are.  Of the pairs that
     differ in no more bits than the similarity allows, those are returned that connect
-    all that they connect, the closest first; if found has part as well, all those
-    between nodes of different parts.
+    all that they connect, the closest first.
     """
     hard, most = differing(similarity)
-    parted = "part" in found.columns
-    names = [f"s{k}" for k in range(WORDS)] + ["part"] * parted
+    names = [f"s{k}" for k in range(WORDS)]
     common, own = cuts(found.count(), hard)
     n, width = common.shape
     schema = "key long, nid long, " + ", ".join(f"{c} long" for c in names)
@@ -409,7 +384,7 @@ def similar_links(found: DataFrame, *, similarity: float) -> DataFrame:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
                 words = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
-                bits = np.unpackbits(np.ascontiguousarray(words[:, :WORDS]).view(np.uint8), axis=1, bitorder="little")
+                bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
                 keys = bits[:, common.ravel()].reshape(len(batch), n, width) @ powers + base
                 spread = [np.repeat(c, n) for c in (batch.column(0).to_numpy(zero_copy_only=False), *words.T)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *map(pa.array, spread)], names=["key", "nid", *names])
@@ -417,7 +392,7 @@ def similar_links(found: DataFrame, *, similarity: float) -> DataFrame:
     def compare(batches):
         def links_of(parts):
             key, nid, words = (np.concatenate(x) for x in zip(*parts, strict=True))
-            a, b = _bundled(key, np.ascontiguousarray(words[:, :WORDS]), key >> width, own, most, words[:, WORDS].view(np.int64) if parted else None)
+            a, b = _bundled(key, words, key >> width, own, most)
             return pa.RecordBatch.from_arrays([pa.array(nid[a]), pa.array(nid[b])], names=["a", "b"])
 
         held = []
@@ -438,13 +413,82 @@ def similar_links(found: DataFrame, *, similarity: float) -> DataFrame:
     return index.repartition("key").sortWithinPartitions("key", "nid").mapInArrow(compare, "a long, b long").distinct()
 
 
+#: Shingles of a block of a crowd; two blocks are compared in one task.
+CROWD_SHINGLES = 4 << 20
+
+
+def _between(left: np.ndarray, right: np.ndarray, part: np.ndarray, values: np.ndarray, offsets: np.ndarray, similarity: float):
+    """Links between the sets left and right of different parts that connect all parts that links connect: indices of their ends.
+
+    Common shingles are counted along an inverted index of the right sets.
+    """
+    size = np.diff(offsets)
+    places = np.concatenate([np.arange(offsets[k], offsets[k + 1]) for k in right.tolist()]) if len(right) else np.zeros(0, np.int64)
+    order = np.argsort(values[places], kind="stable")
+    posted, owner = values[places][order], np.repeat(np.arange(len(right)), size[right])[order]
+    found_left, found_right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in left.tolist():
+        own = values[offsets[k] : offsets[k + 1]]
+        a, b = np.searchsorted(posted, own, "left"), np.searchsorted(posted, own, "right")
+        n = b - a
+        hits = np.arange(n.sum()) + np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        common = np.bincount(owner[hits], minlength=len(right))
+        near = (common >= similarity * (size[k] + size[right] - common)) & (part[right] != part[k])
+        found_right.append(right[near])
+        found_left.append(np.full(int(near.sum()), k))
+    i, j = np.concatenate(found_left), np.concatenate(found_right)
+    keep = _forest(part[i], part[j])
+    return i[keep], j[keep]
+
+
+def crowd_links(nodes: DataFrame, *, similarity: float, block: int = CROWD_SHINGLES) -> DataFrame:
+    """(a, b): links between different parts of the crowds of nodes(root, nid, part, shingles) that connect all parts that links connect.
+
+    Every set outside the largest part of a crowd is compared with all sets of other
+    parts, in tasks of two blocks of sets each; no pair becomes a row but the links kept.
+    """
+    parts = nodes.groupBy("root", "part").agg(F.sum(F.size("shingles")).alias("n"))
+    crowd = parts.groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    crowd = crowd.where("all > most").select("root", "main", F.ceil((F.col("all") - F.col("most")) / block).alias("r"), F.ceil(F.col("most") / block).alias("m"))
+    rows = nodes.join(crowd, "root").withColumn("rare", F.col("part") != F.col("main"))
+    own = F.when(F.col("rare"), F.expr("pmod(xxhash64(nid), r)")).otherwise(F.expr("r + pmod(xxhash64(nid), m)"))
+    rows = rows.withColumn("own", own).withColumn("j", F.explode(F.expr("sequence(0L, if(rare, r + m, r) - 1)")))
+    rows = rows.select("root", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), "own", "nid", "part", "shingles")
+
+    def compare(batches):
+        def links_of(parts):
+            table = pa.Table.from_batches(parts).combine_chunks()
+            i, j, own, nid, part = (table.column(k).to_numpy() for k in range(1, 6))
+            lists = table.column(6).combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            a, b = _between(np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0]), part, lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64), similarity)
+            return pa.RecordBatch.from_arrays([pa.array(nid[a]), pa.array(nid[b])], names=["a", "b"])
+
+        held, now = [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            for x, y in zip(starts[:-1], starts[1:], strict=True):
+                if held and tuple(keys[x]) != now:
+                    yield links_of(held)
+                    held = []
+                now = tuple(keys[x])
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield links_of(held)
+
+    return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(compare, "a long, b long")
+
+
 def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs without near-duplicates: of each group that links connect, the smallest doc_id stays.
 
     Two texts are linked if their sets of shingles have a Jaccard similarity of at least
-    ``similarity``.  Fingerprints propose pairs; of a group that they connect only the
+    ``similarity``.  Fingerprints propose pairs; of a crowd that they connect only the
     closest are looked at first.  Where one of those falls short of the similarity, all
-    pairs between what is not linked yet are proposed, so no link is lost behind it.
+    sets of the crowd that are not linked yet are compared, so no link is lost behind it.
 
     All columns stay.  Texts with equal sets are one group from the start; all texts
     without words are one group; rows repeated with the same doc_id and text leave one
@@ -467,9 +511,8 @@ def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     if not short.isEmpty():
         crowds, parts = components(proposed), components(good)
         open_ = short.select(F.col("a").alias("node")).distinct().join(crowds, "node").select("root").distinct()
-        again = crowds.join(open_, "root", "left_semi").select("node").join(parts, "node", "left").select(F.col("node").alias("nid"), F.coalesce("root", "node").alias("part"))
-        more = similar_links(first.join(again, "nid").select("nid", *same, "part"), similarity=similarity)
-        good = good.unionByName(checkpointed(verified(more.join(short, ["a", "b"], "left_anti"), sets, similarity)))
+        again = crowds.join(open_, "root", "left_semi").join(parts.withColumnRenamed("root", "part"), "node", "left").select("root", F.col("node").alias("nid"), F.coalesce("part", "node").alias("part"))
+        good = good.unionByName(checkpointed(crowd_links(again.join(sets, "nid"), similarity=similarity)))
     linked = components(good)
     groups = first.select("id", "nid").join(linked, F.col("nid") == F.col("node"), "left")
     stay = groups.groupBy(F.coalesce("root", "nid").alias("root")).agg(F.min(F.struct("id", "nid")).alias("f")).select("f.nid")

@@ -363,3 +363,37 @@ def test_representatives_equal_to_links_by_brute_force(spark):
     df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
     stay = {r.doc_id for r in simhash.representatives(df).collect()}
     assert stay == {i for i in range(len(rows)) if top(i) == i}
+
+
+def test_crowds_in_blocks_equal_brute_force(spark):
+    """Crowds cut into many blocks: links join the parts that any pair of sets at the similarity joins."""
+    rng, rows, sets = random.Random(31), [], {}
+    for root in (1, 2, 3):
+        base = set(rng.sample(range(10**6), 60))
+        for k in range(80):
+            own = set(rng.sample(sorted(base), 60 - rng.randrange(12))) | set(rng.sample(range(10**6), rng.randrange(8)))
+            nid = root * 1000 + k
+            sets[nid] = own
+            rows.append((root, nid, root * 1000 + (k % 3 if k < 40 else k), sorted(own)))
+    part = {r[1]: r[2] for r in rows}
+    df = spark.createDataFrame(rows, "root long, nid long, part long, shingles array<int>").repartition(5)
+
+    def groups(links):
+        up = {p: p for p in part.values()}
+
+        def top(p):
+            while up[p] != p:
+                p = up[p]
+            return p
+
+        for a, b in links:
+            up[top(part[a])] = top(part[b])
+        return {frozenset(p for p in up if top(p) == t) for t in {top(p) for p in up}}
+
+    want = [(a, b) for a in sets for b in sets if a < b and a // 1000 == b // 1000 and jaccard(sets[a], sets[b]) >= 0.8]
+    for block in (1 << 20, 700):
+        found = [tuple(r) for r in simhash.crowd_links(df, similarity=0.8, block=block).collect()]
+        assert all(jaccard(sets[a], sets[b]) >= 0.8 and part[a] != part[b] for a, b in found)
+        assert groups(found) == groups(want)
+        if block == 1 << 20:  # two tasks for each crowd, each with a forest of its own
+            assert len(found) <= 2 * (len(set(part.values())) - len(groups(want)))
