@@ -375,6 +375,22 @@ def _fact_sources(spark, sf_dir):
     return a.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), language.alias("language"), F.concat(F.lit("x\n"), line, F.lit("\ny")).alias("source"))
 
 
+_SPREAD = [
+    ("python", "from m% import (  # why (not)\n    a%,\n    b as c%,  # d)\n)\nimport x%, \\\n    y.z\n", ["import_named|a%|a%|m%", "import_named|c%|b|m%", "import_module|x%||x%", "import_module|y||y.z"]),
+    ("javascript", "import D%, {\n  a, // one }\n  b as c%,\n} from './m%';\nexport {\n  d%\n} from 'e';\nexport function f% () {\n}\n", ["import_default|D%|default|./m%", "import_named|a|a|./m%", "import_named|c%|b|./m%", "reexport_named|d%|d%|e", "export_named|f%||"]),
+    ("go", "package p\n\nimport (\n\t\"fmt\"\n\tm% \"a/b%\" // )\n\t_ \"c/d%\"\n)\nimport . \"e%\"\n", ["import_named|fmt|fmt|fmt", "import_named|m%|a/b%|a/b%", "import_named|_|c/d%|c/d%", "import_named|.|e%|e%"]),
+    ("rust", "use a%::{\n    b::{c as d%, e}, // f\n    g::*,\n    self%,\n};\npub use h::i%;\nextern crate j% as k;\nlet use_ = 1;\n", ["import_named|d%|c|a%::b", "import_named|e|e|a%::b", "import_namespace|||a%::g", "import_named|self%|self%|a%", "reexport_named|i%|i%|h", "import_named|k|j%|j%"]),
+]
+
+
+@query(f"SELECT p_partkey AS file_id, i - 1 AS fact, x[1] AS kind, nullif(x[2], '') AS local, nullif(x[3], '') AS remote, nullif(x[4], '') AS specifier FROM (SELECT p_partkey, generate_subscripts(l, 1) AS i, string_split(replace(unnest(l), '%', CAST(p_partkey AS VARCHAR)), '|') AS x FROM (SELECT p_partkey, {[x[2] for x in _SPREAD]}[p_partkey % {len(_SPREAD)} + 1] AS l FROM part))")
+def d1_spread_facts(spark, sf_dir):
+    """Parts as sources whose statements go on over several lines."""
+    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in _SPREAD]), (F.col("p_partkey") % len(_SPREAD) + 1).cast("int"))
+    files = a.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), pick(0).alias("language"), F.replace(pick(1), F.lit("%"), F.col("p_partkey").cast("string")).alias("source"))
+    return names.extract_facts(files).drop("only")
+
+
 @query(a.sql("steps", "bindings") + " SELECT file_id, name, max(binding) AS binding FROM bindings GROUP BY 1, 2")
 def d3_declarations(spark, sf_dir):
     return names.declarations(a.bindings(spark, sf_dir))

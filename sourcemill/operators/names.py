@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,21 +102,96 @@ def _markup(t: Column) -> Column:
     return F.when(base != "", F.array(_struct("extends", None, None, base))).when(part != "", F.array(_struct("include", None, None, part)))
 
 
-READERS = {"python": _python, "javascript": _javascript, "typescript": _javascript, "css": _css, "zig": _zig, "markup": _markup}
+def _go(t: Column) -> Column:
+    body = F.regexp_extract(t, r"^\s*import\b\s*\(?(.*)$", 1)
+    pattern = r"(?:([\p{L}_][\p{L}\p{N}_]*|\.)\s*)?[\"`]([^\"`]+)[\"`]"
+    pairs = F.arrays_zip(F.regexp_extract_all(body, F.lit(pattern), 1).alias("local"), F.regexp_extract_all(body, F.lit(pattern), 2).alias("path"))
+    package = lambda path: F.regexp_extract(path, r"([^/]*?)(?:(?<=[^/])/v[0-9]+)?$", 1)
+    return F.when(body != "", F.transform(pairs, lambda p: _struct("import_named", F.when(p["local"] == "", package(p["path"])).otherwise(p["local"]), p["path"], p["path"])))
+
+
+def _use_names(statements: pd.Series) -> pd.Series:
+    """The names that ``use`` statements bring in, groups inside groups opened."""
+
+    def names(text: str) -> list[tuple]:
+        crate = re.match(r"\s*(?:pub(?:\([^)]*\))?\s+)?extern\s+crate\s+(\w+)(?:\s+as\s+(\w+))?", text)
+        if crate:
+            return [("import_named", crate[2] or crate[1], crate[1], crate[1])]
+        public, body = re.match(r"\s*(pub(?:\([^)]*\))?\s+)?use\b([^;]*)", text).groups()
+        kind, out, stack, path, local = "reexport_named" if public else "import_named", [], [], [], None
+
+        def leaf():
+            if path and path[-1] == "*":
+                out.append(("import_namespace", None, None, "::".join(path[:-1]) or None))
+            elif path:
+                out.append((kind, local or path[-1], path[-1], "::".join(path[:-1]) or None))
+
+        words = re.findall(r"r#\w+|\w+|[{},*]", body)
+        for at, word in enumerate(words):
+            if word == "{":
+                stack.append(list(path))
+            elif word in ",}":
+                if at and words[at - 1] not in ",{}":
+                    leaf()
+                path, local = list(stack[-1]) if stack else [], None
+                if word == "}" and stack:
+                    stack.pop()
+                    path = []
+            elif word == "as":
+                continue
+            elif at and words[at - 1] == "as":
+                local = word
+            else:
+                path.append(word)
+        if words and words[-1] not in ",{}":
+            leaf()
+        return out
+
+    return statements.map(names)
+
+
+_FACTS = "array<struct<kind:string,local:string,remote:string,specifier:string>>"
+READERS = {"python": _python, "javascript": _javascript, "typescript": _javascript, "css": _css, "zig": _zig, "markup": _markup, "go": _go}
+
+# Statements that may go on over several lines; everything else is a statement for each line.
+_BRACED = r"[ \t]*+(?:import|export)\b[ \t]*+(?:type\b[ \t]*+)?(?:[\w$]++[ \t]*+,[ \t]*+)?\{[^}/]*+(?:/(?:/[^\n]*+)?+[^}/]*+)*+\}[^\n]*+"
+_SPANNING = {
+    "python": r"[ \t]*+from[ \t]++\S++[ \t]++import[ \t]*+\([^)#]*+(?:#[^\n]*+[^)#]*+)*+\)[^\n]*+|__all__[ \t]*+\+?+=[ \t]*+[\[(][^\])#]*+(?:#[^\n]*+[^\])#]*+)*+[\])][^\n]*+|[ \t]*+(?:from|import)\b(?:[^\n]*\\\r?\n)++[^\n]*+",
+    "javascript": _BRACED,
+    "typescript": _BRACED,
+    "go": r"[ \t]*+import[ \t]*+\([^)/]*+(?:/(?:/[^\n]*+)?+[^)/]*+)*+\)[^\n]*+",
+    "rust": r"[ \t]*+(?:pub(?:\([^)]*+\))?+[ \t]++)?+(?:use|extern[ \t]++crate)\b[^;]*+;[^\n]*+",
+}
+_REMARK = {"python": r"#[^\n]*|\\\r?(?=\n)"}
+
+
+def _statements(source: Column, language: str) -> Column:
+    """The statements of a source, each on one line; those over several lines lose their remarks."""
+    if language not in _SPANNING:
+        return F.split(source, r"\r?\n")
+    found = F.regexp_extract_all(source, F.lit(rf"(?m)^(?:{_SPANNING[language]}|[^\r\n]*+)"), F.lit(0))
+    remark = _REMARK.get(language, r"(?m)(?<=\s|^)//[^\n]*")
+    return F.transform(found, lambda t: F.when(F.contains(t, F.lit("\n")), F.regexp_replace(F.regexp_replace(t, remark, ""), r"\s*\n\s*", " ")).otherwise(t))
 
 
 def extract_facts(files: DataFrame) -> DataFrame:
-    """file_id, fact (its number), kind, only, local, remote and specifier of imports and exports that stand on one line.
+    """file_id, fact (its number), kind, only, local, remote and specifier of imports and exports.
 
-    files: file_id, language, source.  This reads lines, it does not parse: statements
-    over several lines and those inside strings or comments are beyond it.
+    files: file_id, language, source.  This reads statements, those in brackets over
+    several lines included, but it does not parse: what stands inside strings or comments
+    is beyond it.
     """
-    lines = files.where(F.col("language").isin(*READERS)).select("file_id", "language", F.posexplode(F.split("source", r"\r?\n")).alias("line", "raw"))
+    statements = F.lit(None)
+    for language in (*READERS, "rust"):
+        statements = F.when(F.col("language") == language, _statements(F.col("source"), language)).otherwise(statements)
+    lines = files.where(F.col("language").isin(*READERS, "rust")).select("file_id", "language", F.posexplode(statements).alias("line", "raw"))
     found = F.lit(None)
     for language, read in READERS.items():
         found = F.when(F.col("language") == language, read(F.col("raw"))).otherwise(found)
     only = F.when(F.col("language") == "markup", F.col("raw").rlike(r"\{%-?\s*include\b[^%]*\bonly\b"))
-    facts = lines.select("file_id", "line", only.alias("only"), F.posexplode(found).alias("place", "f"))
+    facts = lines.where("language <> 'rust'").select("file_id", "line", only.alias("only"), F.posexplode(found).alias("place", "f"))
+    uses = lines.where(F.col("language") == "rust").where(F.col("raw").rlike(r"^\s*(pub(\([^)]*\))?\s+)?(use|extern\s+crate)\b"))
+    facts = facts.unionByName(uses.select("file_id", "line", F.lit(None).cast("boolean").alias("only"), F.posexplode(F.pandas_udf(_use_names, _FACTS)("raw")).alias("place", "f")))
     number = F.row_number().over(Window.partitionBy("file_id").orderBy("line", "place")) - 1
     return facts.select("file_id", number.alias("fact"), "f.kind", "only", "f.local", "f.remote", "f.specifier")
 
