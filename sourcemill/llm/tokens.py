@@ -373,8 +373,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
     files, base = _fs(folder)
     found = sorted(i.path for i in files.get_file_info(fs.FileSelector(base, allow_not_found=True, recursive=True)) if i.is_file and i.base_name.startswith("ids-") and i.extension == "pfor")
-    scheme = folder.split("://")[0] + "://" if "://" in folder and not folder.startswith("file:") else ""
-    paths = [scheme + p for p in found]
+    paths = [folder[: folder.rindex(base)] + p for p in found]
 
     def dealt(rows, schema):
         frame = spark.createDataFrame(rows, schema)
