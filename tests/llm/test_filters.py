@@ -28,7 +28,7 @@ def rows_of(df):
 @pytest.mark.parametrize("name", sorted(llm.ORACLES))
 def test_queries_like_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = llm.QUERIES[name](spark, SF)
     found = c.execute(llm.ORACLES[name])
