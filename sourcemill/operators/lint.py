@@ -76,14 +76,17 @@ def select_rules(rules: DataFrame, selectors: DataFrame, explicit: bool, preview
     count as selected with strength 0 unless select was given (``explicit``).  A rule is
     enabled where its best selection is stronger than its best ignore; rules in preview,
     deprecated or removed need their exact code, or preview mode for the first.
+    Rows of equal rules stay: nothing is grouped or shuffled.
     """
-    rows = rules.join(F.broadcast(selectors), F.startswith(F.col("code"), F.col("prefix")), "left")  # a handful of command-line selectors
-    best = lambda kind: F.max(F.when(F.col("kind") == kind, F.length("prefix")))
-    exact = F.max(F.when((F.col("kind") == "select") & (F.col("prefix") == F.col("code")), 1).otherwise(0))
-    n = rows.groupBy(*rules.columns).agg(best("select").alias("_s"), best("ignore").alias("_i"), exact.alias("_x"))
+    held = selectors.agg(F.collect_list(F.struct("kind", "prefix")).alias("_held"))
+    n = rules.crossJoin(F.broadcast(held))  # one row
+    hits = F.filter("_held", lambda x: F.startswith(F.col("code"), x["prefix"]))
+    best = lambda kind: F.array_max(F.transform(F.filter(hits, lambda x: x["kind"] == kind), lambda x: F.length(x["prefix"])))
+    exact = F.exists(hits, lambda x: (x["kind"] == "select") & (x["prefix"] == F.col("code")))
+    n = n.withColumns({"_s": best("select"), "_i": best("ignore"), "_x": F.coalesce(exact, F.lit(False))})
     chosen = F.coalesce("_s", F.when(F.col("default_on") & F.lit(not explicit), 0))
     on = F.coalesce(chosen > F.coalesce("_i", F.lit(-1)), F.lit(False))
-    group = (F.col("group") == "stable") | (F.col("_x") == 1) | ((F.col("group") == "preview") & F.lit(preview))
+    group = (F.col("group") == "stable") | F.col("_x") | ((F.col("group") == "preview") & F.lit(preview))
     return n.withColumn("enabled", on & group).select(*rules.columns, "enabled")
 
 
