@@ -7,9 +7,69 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Lines of a middle up to which the whole table of common subsequences is held.
 MIDDLE = 512
 
 
+def _suffixes(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """The longest common subsequence of xs with each suffix of ys, in the memory of one row."""
+    best = np.zeros(len(ys) + 1, np.int32)
+    for x in xs[::-1]:
+        # A row from the right: a match adds one to the diagonal, then the best so far carries on.
+        took = np.maximum(best[:-1], np.where(ys == x, best[1:] + 1, 0))
+        best[:-1] = np.maximum.accumulate(took[::-1])[::-1]
+    return best
+
+
+def _walked(xs: np.ndarray, ys: np.ndarray) -> list[tuple[int, int]]:
+    """The places of a longest common subsequence, by the whole table."""
+    best = np.zeros((len(xs) + 1, len(ys) + 1), np.int32)
+    for i in range(len(xs) - 1, -1, -1):
+        took = np.maximum(best[i + 1, :-1], np.where(ys == xs[i], best[i + 1, 1:] + 1, 0))
+        best[i, :-1] = np.maximum.accumulate(took[::-1])[::-1]
+    out, i, j = [], 0, 0
+    while i < len(xs) and j < len(ys):
+        if xs[i] == ys[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1, j] >= best[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def _common(xs: np.ndarray, ys: np.ndarray) -> list[tuple[int, int]]:
+    """The places of a longest common subsequence of any length.
+
+    Lines that the other side does not have, and a common head and tail, are set aside; what
+    is left is halved where both halves together have the most in common, until the table
+    of a part is small.
+    """
+    out, parts = [], [(np.arange(len(xs)), np.arange(len(ys)))]
+    while parts:
+        p, q = parts.pop()
+        p, q = p[np.isin(xs[p], ys[q])], q[np.isin(ys[q], xs[p])]
+        n = min(len(p), len(q))
+        off = np.flatnonzero(xs[p[:n]] != ys[q[:n]])
+        head = int(off[0]) if len(off) else n
+        off = np.flatnonzero(xs[p[::-1][: n - head]] != ys[q[::-1][: n - head]])
+        tail = int(off[0]) if len(off) else n - head
+        ends = [slice(0, head), slice(-tail, None) if tail else slice(0, 0)]
+        out += [pair for e in ends for pair in zip(p[e].tolist(), q[e].tolist(), strict=True)]
+        p, q = p[head : len(p) - tail], q[head : len(q) - tail]
+        if not len(p) or not len(q):
+            continue
+        if max(len(p), len(q)) <= MIDDLE or len(p) == 1:
+            out += [(int(p[i]), int(q[j])) for i, j in _walked(xs[p], ys[q])]
+            continue
+        half = len(p) // 2
+        below, above = _suffixes(xs[p[half:]], ys[q]), _suffixes(xs[p[:half]][::-1], ys[q][::-1])[::-1]
+        cut = int(np.argmax(below + above))
+        parts += [(p[:half], q[:cut]), (p[half:], q[cut:])]
+    return sorted(out)
+
+
 def _steps(before: list[str], after: list[str], exact: bool) -> list[str]:
     """delete, equal and insert steps; common head and tail first, the longest common subsequence between."""
     key = (lambda s: s) if exact else (lambda s: s.rstrip())
@@ -18,27 +78,13 @@ def _steps(before: list[str], after: list[str], exact: bool) -> list[str]:
     head = next((i for i in range(n) if a[i] != b[i]), n)
     tail = next((i for i in range(n - head) if a[-1 - i] != b[-1 - i]), n - head)
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    if max(len(x), len(y)) > MIDDLE:
-        middle = ["delete"] * len(x) + ["insert"] * len(y)
-    else:
-        words = {w: i for i, w in enumerate(dict.fromkeys(x + y))}
-        xs, ys = np.array([words[w] for w in x], np.int64), np.array([words[w] for w in y], np.int64)
-        best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-        for i in range(len(x) - 1, -1, -1):
-            # A row from the right: a match adds one to the diagonal, then the best so far carries on.
-            took = np.maximum(best[i + 1, :-1], np.where(ys == xs[i], best[i + 1, 1:] + 1, 0))
-            best[i, :-1] = np.maximum.accumulate(took[::-1])[::-1]
-        middle, i, j = [], 0, 0
-        while i < len(x) or j < len(y):
-            if i < len(x) and j < len(y) and xs[i] == ys[j]:
-                middle.append("equal")
-                i, j = i + 1, j + 1
-            elif j == len(y) or (i < len(x) and best[i + 1, j] >= best[i, j + 1]):
-                middle.append("delete")
-                i += 1
-            else:
-                middle.append("insert")
-                j += 1
+    words = {w: i for i, w in enumerate(dict.fromkeys(x + y))}
+    xs, ys = np.array([words[w] for w in x], np.int64), np.array([words[w] for w in y], np.int64)
+    found = _walked(xs, ys) if max(len(x), len(y)) <= MIDDLE else _common(xs, ys)
+    middle, i, j = [], 0, 0
+    for p, q in [*found, (len(x), len(y))]:
+        middle += ["delete"] * (p - i) + ["insert"] * (q - j) + ["equal"] * (p < len(x))
+        i, j = p + 1, q + 1
     return ["equal"] * head + middle + ["equal"] * tail
 
 

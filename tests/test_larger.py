@@ -1,6 +1,8 @@
 """What larger tables showed: equal rows, long texts, many rows of one name."""
 
-from sourcemill.operators import lint
+import random
+
+from sourcemill.operators import diff, lint
 
 
 def test_equal_rules_stay(spark):
@@ -10,3 +12,21 @@ def test_equal_rules_stay(spark):
     assert got == [("Q", False), ("R1", True), ("R1", True), ("R12", True)]
     none = lint.selector_frame(spark)
     assert [r.enabled for r in lint.select_rules(rules.where("code = 'R1'"), none, explicit=False).collect()] == [True, True]
+
+
+def test_long_middles_are_whole(spark):
+    before = [f"{i % 37} {i}" if i % 3 else "the" for i in range(2000)]
+    kept = [x for x in before if x != "the"]
+    rows = [("a", "\n".join(before), "\n".join([*kept, "end"])), ("b", "\n".join(["x"] + ["u", "v"] * 600), "\n".join(["v", "u"] * 600))]
+    got = {r.path: (r.deleted, r.inserted, r.equal) for r in diff.line_diff(spark.createDataFrame(rows, "path string, before string, after string"), exact=True).collect()}
+    assert got == {"a": (667, 1, 1333), "b": (2, 1, 1199)}
+
+
+def test_halved_middles_have_as_much_in_common(monkeypatch):
+    r = random.Random(7)
+    texts = [([str(r.randrange(k)) for _ in range(r.randrange(50))], [str(r.randrange(k)) for _ in range(r.randrange(50))]) for k in (2, 3, 9) for _ in range(60)]
+    whole = [diff._steps(a, b, True).count("equal") for a, b in texts]
+    monkeypatch.setattr(diff, "MIDDLE", 3)
+    for (a, b), n in zip(texts, whole, strict=True):
+        steps = diff._steps(a, b, True)
+        assert steps.count("equal") == n and len(steps) == len(a) + len(b) - n
