@@ -264,15 +264,16 @@ def resolve_refs(refs: DataFrame, bindings: DataFrame, chain: DataFrame, builtin
 
     refs: file_id, ref, scope, name, offset.  bindings: file_id, binding, scope, name,
     visible_from (null: everywhere).  The nearest scope outward that holds a visible
-    binding of the name wins, in it the newest (or oldest) binding.  Names meet first:
-    only scopes that bind the name are looked up in the chain.  A reference meets each
-    such scope once, not its bindings: a running window over the bindings of a name in a
-    scope, in the order in which they become visible, holds the one that counts.
+    binding of the name wins, in it the newest (or oldest) binding.  A reference walks its
+    own chain, so a name that many scopes of a file bind costs no product: it meets the
+    scopes above it that bind the name, each once and not its bindings.  A running window
+    over the bindings of a name in a scope, in the order in which they become visible,
+    holds the one that counts.
     """
     b = bindings.select("file_id", F.col("scope").alias("ancestor"), "name", "binding", F.col("visible_from").cast("long").alias("at"))
     c = chain.select("file_id", "scope", "ancestor", "distance", "crossed")
     binders = b.select("file_id", "name", "ancestor").distinct()
-    met = refs.select("file_id", "ref", "scope", "name", F.col("offset").cast("long").alias("at")).join(binders, ["file_id", "name"]).join(c.drop("crossed"), ["file_id", "scope", "ancestor"])
+    met = refs.select("file_id", "ref", "scope", "name", F.col("offset").cast("long").alias("at")).join(c.drop("crossed"), ["file_id", "scope"]).join(binders, ["file_id", "name", "ancestor"])
     key = ["file_id", "ancestor", "name"]
     both = b.select(*key, "at", F.lit(0).alias("kind"), "binding").unionByName(met.select(*key, "at", F.lit(1).alias("kind"), "ref", "distance"), allowMissingColumns=True)
     seen = Window.partitionBy(*key).orderBy(F.col("at").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, 0)
@@ -330,7 +331,7 @@ def resolve_by_rules(refs: DataFrame, bindings: DataFrame, scopes: DataFrame, bu
     language and class of scope; a lookup that starts in another scope than its own counts
     as one from inside a function.
 
-    As in resolve_refs, names meet first, and a reference meets each scope that binds its
+    As in resolve_refs, a reference walks its own chain and meets each scope that binds its
     name once: running windows over the bindings of a name in a scope hold the one that counts.
     """
     spark = refs.sparkSession
@@ -345,8 +346,9 @@ def resolve_by_rules(refs: DataFrame, bindings: DataFrame, scopes: DataFrame, bu
     r = r.withColumn("_asked", asked)
     binders = bindings.select("file_id", "name", "namespace", F.col("scope").alias("ancestor")).distinct()
     met = r.select("file_id", "ref", "name", F.col("offset").cast("long").alias("at"), "scope", "_start", "_order", "_ordered", "_namespaces", "_crosses", "_skips", "_newest", F.explode("_asked").alias("q"))
-    met = met.select("*", "q.turn", F.col("q.ns").alias("namespace")).drop("q").join(binders, ["file_id", "name", "namespace"])
-    met = met.join(chain.select("file_id", F.col("scope").alias("_start"), "ancestor", "distance", "_class"), ["file_id", "_start", "ancestor"])
+    met = met.select("*", "q.turn", F.col("q.ns").alias("namespace")).drop("q")
+    met = met.join(chain.select("file_id", F.col("scope").alias("_start"), "ancestor", "distance", "_class"), ["file_id", "_start"])
+    met = met.join(binders, ["file_id", "name", "namespace", "ancestor"])
     met = met.where(~(F.array_contains("_skips", F.col("_class")) & (F.col("distance") > 0)))
     ordered = ((F.size("_ordered") == 0) | F.array_contains("_ordered", F.col("_class"))) & ((F.size("_namespaces") == 0) | F.array_contains("_namespaces", F.col("namespace")))
     # A language whose functions are crossed sees all of an outer scope: its body runs later.

@@ -1,8 +1,11 @@
 """What larger tables showed: equal rows, long texts, many rows of one name."""
 
 import random
+import time
 
-from sourcemill.operators import diff, lint
+from pyspark.sql import functions as F
+
+from sourcemill.operators import diff, lint, names
 
 
 def test_equal_rules_stay(spark):
@@ -30,3 +33,19 @@ def test_halved_middles_have_as_much_in_common(monkeypatch):
     for (a, b), n in zip(texts, whole, strict=True):
         steps = diff._steps(a, b, True)
         assert steps.count("equal") == n and len(steps) == len(a) + len(b) - n
+
+
+def test_name_that_every_scope_binds(spark):
+    """A product of the references and scopes of one name would have 900 million rows."""
+    n = 30000
+    ids = spark.range(1, n + 1, 1, 4)
+    one = F.lit(1).cast("long").alias("file_id")
+    scopes = ids.select(one, F.col("id").alias("scope"), F.lit(0).cast("long").alias("parent"), F.lit("block").alias("class"), F.lit(False).alias("dynamic"))
+    bindings = ids.select(one, F.col("id").alias("binding"), F.col("id").alias("scope"), F.lit("x").alias("name"), F.lit("value").alias("namespace"), F.lit(0).cast("long").alias("offset"), F.lit(None).cast("long").alias("visible_from"))
+    refs = ids.select(one, F.lit("zig").alias("language"), F.col("id").alias("ref"), F.col("id").alias("scope"), F.lit(None).cast("long").alias("start"), F.lit("x").alias("name"), F.col("id").alias("offset"), F.lit("value").alias("namespace"), F.lit(None).cast("string").alias("retry"), F.lit(False).alias("qualified"))
+    t = time.time()
+    by_rules = names.resolve_by_rules(refs, bindings, scopes)
+    by_chain = names.resolve_refs(refs, bindings, names.scope_chain(scopes))
+    for found in (by_rules, by_chain):
+        assert found.where("binding = ref and resolution = 'bound'").count() == n
+    assert time.time() - t < 60
