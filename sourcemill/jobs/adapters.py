@@ -45,14 +45,11 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words_of(files: DataFrame) -> DataFrame:
     """The ASCII words of files as tokens: file_id, idx, offset and length in bytes, kind by its first letter.
 
-    Words and the stretches between them alternate, so offsets are running sums in the row.
+    Words and the stretches between them alternate; idx counts both.
     """
-    parts = F.regexp_extract_all(F.col("source"), F.lit(r"([A-Za-z]+|[^A-Za-z]+)"), 1)
-    rows = files.select("file_id", F.posexplode(parts).alias("at", "word"))
-    before = Window.partitionBy("file_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("offset", F.coalesce(F.sum(F.octet_length("word")).over(before), F.lit(0)).cast("long"))
-    rows = rows.where(F.col("word").rlike("^[A-Za-z]"))
-    return rows.select("file_id", F.col("at").cast("long").alias("idx"), "offset", F.octet_length("word").cast("long").alias("length"), F.when(F.col("word").rlike("^[A-Z]"), "name").otherwise("word").alias("kind"))
+    from ..operators.batches import letter_runs
+
+    return letter_runs(files).select("file_id", "idx", "offset", "length", F.when(F.col("upper"), "name").otherwise("word").alias("kind"))
 
 
 def bindings(spark: SparkSession, sf_dir: str) -> DataFrame:

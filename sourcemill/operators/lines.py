@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BOM
+from .batches import raw_lines
 
 
 def split_lines(files: DataFrame, file: str = "file_id", source: str = "source") -> DataFrame:
@@ -19,13 +20,10 @@ def explode_lines(files: DataFrame, file: str = "file_id", source: str = "source
     """file_id, line (from 0), start, end (bytes) and text of every line.
 
     Only ``\\n`` ends a line; the ``\\r`` of ``\\r\\n`` and a BOM at the start of the file
-    are outside the line's span.  The last line may be empty.  One window over
-    (file_id, line), whose partitioning later steps by file reuse.
+    are outside the line's span.  The last line may be empty.  Narrow: a file's lines are
+    placed in the task that reads it.
     """
-    raw = split_lines(files, file, source)
-    before = Window.partitionBy("file_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.octet_length("raw") + 1).over(before), F.lit(0))
-    rows = raw.withColumn("at", at)
+    rows = raw_lines(files.select(F.col(file).alias("file_id"), F.col(source).alias("source")))
     bom = (F.col("line") == 0) & F.startswith("raw", F.lit(BOM))
     text = F.when(bom, F.substring("raw", 2, 1 << 30)).otherwise(F.col("raw"))
     text = F.when(~F.col("last") & F.endswith(text, F.lit("\r")), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)

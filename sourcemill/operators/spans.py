@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import marks
+
 # Brackets and the kind of each pair.
 OPENING = {"(": "paren", "[": "bracket", "{": "brace"}
 CLOSING = {")": "paren", "]": "bracket", "}": "brace"}
@@ -31,13 +33,10 @@ def gaps(spans: DataFrame, files: DataFrame) -> DataFrame:
 def bracket_tokens(files: DataFrame) -> DataFrame:
     """file_id, idx, offset, length and text of every bracket in the sources of files(file_id, source).
 
-    Brackets and the stretches between them alternate, so offsets are running sums.
+    Brackets and the stretches between them alternate; idx counts both.
     """
-    parts = F.regexp_extract_all(F.col("source"), F.lit(r"([()\[\]{}]|[^()\[\]{}]+)"), 1)
-    rows = files.select("file_id", F.posexplode(parts).alias("idx", "text"))
-    before = Window.partitionBy("file_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("offset", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("long"))
-    return rows.where(F.col("text").isin(*OPENING, *CLOSING)).select("file_id", F.col("idx").cast("long").alias("idx"), "offset", F.lit(1).cast("long").alias("length"), "text")
+    found = marks(files, "".join([*OPENING, *CLOSING]))
+    return found.select("file_id", "idx", "offset", F.lit(1).cast("long").alias("length"), "text")
 
 
 def bracket_pairs(tokens: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """What larger tables showed: equal rows, long texts, many rows of one name."""
 
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
 
-from sourcemill.operators import diff, lint, names
+from sourcemill.jobs import adapters as a
+from sourcemill.operators import diff, lines, lint, names, spans
 
 
 def test_equal_rules_stay(spark):
@@ -49,3 +51,34 @@ def test_name_that_every_scope_binds(spark):
     for found in (by_rules, by_chain):
         assert found.where("binding = ref and resolution = 'bound'").count() == n
     assert time.time() - t < 60
+
+
+ODD = [(1, "aé b\n\nC😀(d)[]\n"), (2, ""), (3, None), (4, "\n"), (5, "((x"), (6, "éé"), (7, "Z"), (8, "a\r\n﻿b"), (9, "a" * 70 + "()" * 3)]
+
+
+def test_words_brackets_and_lines_are_narrow(spark):
+    df = spark.createDataFrame(ODD, "file_id int, source string").repartition(2)
+    words, brackets, own = a.words_of(df), spans.bracket_tokens(df), lines.explode_lines(df)
+    for found in (words, brackets, own):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Sort" not in plan
+    want_words, want_brackets, want_lines = set(), set(), set()
+    for i, text in ODD:
+        at = 0
+        for idx, part in enumerate(re.findall("[A-Za-z]+|[^A-Za-z]+", text or "")):
+            if part[0].isascii() and part[0].isalpha():
+                want_words.add((i, idx, at, len(part), "name" if part[0].isupper() else "word"))
+            at += len(part.encode())
+        at = 0
+        for idx, part in enumerate(re.findall(r"[()\[\]{}]|[^()\[\]{}]+", text or "")):
+            if part in "()[]{}":
+                want_brackets.add((i, idx, at, 1, part))
+            at += len(part.encode())
+        at = 0
+        for n, raw in enumerate(text.split("\n") if text is not None else []):
+            held = raw[:-1] if raw.endswith("\r") and n < text.count("\n") else raw
+            want_lines.add((i, n, at, at + len(held.encode()), held))
+            at += len(raw.encode()) + 1
+    assert {tuple(r) for r in words.collect()} == want_words
+    assert {tuple(r) for r in brackets.collect()} == want_brackets
+    assert {tuple(r) for r in own.collect()} == want_lines
