@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from sourcemill.jobs import adapters as a
-from sourcemill.operators import diff, lines, lint, names, spans
+from sourcemill.operators import compare, diff, lines, lint, names, spans
 
 
 def test_equal_rules_stay(spark):
@@ -82,3 +82,19 @@ def test_words_brackets_and_lines_are_narrow(spark):
     assert {tuple(r) for r in words.collect()} == want_words
     assert {tuple(r) for r in brackets.collect()} == want_brackets
     assert {tuple(r) for r in own.collect()} == want_lines
+
+
+def test_prefix_check_compares_only_files_that_differ(spark):
+    """Words of a prefix that ends in a letter join the first word of some files, also of one without an id."""
+    df = spark.createDataFrame([(1, "ab c"), (2, " ab"), (None, "x y"), (4, "12")], "file_id int, source string")
+    words = lambda f: a.words_of(f).select("file_id", F.col("kind").alias("name"), "offset", (F.col("offset") + F.col("length")).alias("end"))
+    after, expected = compare._extracted(df, words, "q")
+    differ = compare.differing(after, expected, tuple(after.columns))
+    assert sorted(str(r.file_id) for r in differ.collect()) == ["1", "2", "4", "None"]
+    key = lambda r: str(tuple(r))
+    found, whole = compare.prefix_check(df, words, "q"), compare.compare_rows(after, expected, tuple(after.columns))
+    assert sorted(found.collect(), key=key) == sorted(whole.collect(), key=key)
+    same = compare.differing(*compare._extracted(df, words, "## 1\n"), tuple(after.columns))
+    assert same.count() == 0
+    twice = after.unionByName(after)
+    assert compare.differing(twice, after, tuple(after.columns)).count() == 4
