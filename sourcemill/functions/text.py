@@ -102,12 +102,17 @@ def strip_group(col: Column, most: int = 4) -> Column:
 
 def dedent(col: Column) -> Column:
     """Without blank first and last lines, the smallest indent and blanks at line ends."""
-    lines = F.transform(F.split(col, "\n"), lambda s: F.regexp_replace(s, r"[ \t\r]+$", ""))
-    full = F.filter(F.transform(lines, lambda s, i: F.struct(i.alias("i"), (F.length(s) - F.length(F.ltrim(s))).alias("w"), (s != "").alias("f"))), lambda x: x["f"])
-    first, last = F.array_min(F.transform(full, lambda x: x["i"])), F.array_max(F.transform(full, lambda x: x["i"]))
-    least = F.array_min(F.transform(full, lambda x: x["w"]))
-    kept = F.slice(lines, first + 1, last - first + 1)
-    return F.when(F.size(full) > 0, F.array_join(F.transform(kept, lambda s: F.substring(s, least + 1, F.lit(1 << 30))), "\n")).otherwise(F.when(col.isNotNull(), ""))
+    # Each step is bound as the one element of an array, so that it is done once for all its uses.
+    once = lambda value, then: F.transform(F.array(value), then)[0]
+    rows = lambda lines: F.filter(F.transform(lines, lambda s, i: F.struct(i.alias("i"), (F.length(s) - F.length(F.ltrim(s))).alias("w"), (s != "").alias("f"))), lambda x: x["f"])
+
+    def cut(lines: Column, full: Column) -> Column:
+        first, last = full[0]["i"], F.element_at(full, -1)["i"]
+        kept = lambda least: F.transform(F.slice(lines, first + 1, last - first + 1), lambda s: F.substring(s, least + 1, F.lit(1 << 30)))
+        return F.when(F.size(full) > 0, once(F.array_min(F.transform(full, lambda x: x["w"])), lambda least: F.array_join(kept(least), "\n"))).otherwise("")
+
+    bare = F.split(F.regexp_replace(col, r"[ \t\r]++(?=\n|\z)", ""), "\n")
+    return F.when(col.isNotNull(), once(bare, lambda lines: once(rows(lines), lambda full: cut(lines, full))))
 
 
 def _wrap(text: str | None, width: int) -> str | None:

@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from sourcemill.functions import text
 from sourcemill.jobs import adapters as a
 from sourcemill.operators import compare, diff, lines, lint, names, spans
 
@@ -98,3 +99,9 @@ def test_prefix_check_compares_only_files_that_differ(spark):
     assert same.count() == 0
     twice = after.unionByName(after)
     assert compare.differing(twice, after, tuple(after.columns)).count() == 4
+
+
+def test_dedent_of_blank_and_empty_texts(spark):
+    texts = [None, "", "\n \t\n", "  a \t\r\n\n    b\n  ", "a  b\n c\t"]
+    got = [r.d for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(text.dedent(F.col("t")).alias("d")).collect()]
+    assert got == [None, "", "", "a\n\n  b", "a  b\n c"]
