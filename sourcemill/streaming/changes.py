@@ -19,6 +19,18 @@ def _in_order(batches, by: list[str]) -> pd.DataFrame:
     return pd.concat(parts).sort_values(by, kind="stable") if parts else pd.DataFrame()
 
 
+def _sorted(batches, *columns: str) -> list[tuple]:
+    """The rows of a group as tuples of columns in order of the first, those of equal rank as they came; cheap for groups of a few rows."""
+    rows = [r for p in batches for r in zip(*(p[c].array for c in columns), strict=True)]
+    return sorted(rows, key=lambda r: (r[0] != r[0], r[0]))  # a missing rank comes last
+
+
+def _one(schema: str, row: tuple) -> pd.DataFrame:
+    """A frame of one row; longs may be null."""
+    fields = [c.split() for c in schema.split(", ")]
+    return pd.DataFrame({name: pd.array([x], "Int64") if kind == "long" else [x] for (name, kind), x in zip(fields, row, strict=True)}, copy=False)
+
+
 def upsert_stream(changes: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """The store's entry after each micro-batch of changes(path, version, content_hash, language, flavor, removed), by path.
 
@@ -37,13 +49,13 @@ def upsert_stream(changes: DataFrame, ttl_ms: int | None = None) -> DataFrame:
             return
         digest, language, flavor, generation, rebuilds, touched, version, placed = state.get if state.exists else (None, None, None, 0, 0, 0, None, None)
         outcome = None
-        for r in _in_order(batches, ["version"]).itertuples():
-            kind = tuple(None if pd.isna(x) else x for x in (r.content_hash, r.language, r.flavor))
-            if version is not None and r.version <= version:
+        for at, removed, *kind in _sorted(batches, "version", "removed", "content_hash", "language", "flavor"):
+            kind = tuple(x if isinstance(x, str) else None for x in kind)
+            if version is not None and at <= version:
                 outcome = "stale"
                 continue
-            version = int(r.version)
-            if r.removed:
+            version = int(at)
+            if removed:
                 digest, language, flavor, placed, generation, outcome = None, None, None, None, generation + 1, "removed"
             elif placed is not None and kind == (digest, language, flavor):
                 touched, outcome = touched + 1, "touched"
@@ -56,8 +68,7 @@ def upsert_stream(changes: DataFrame, ttl_ms: int | None = None) -> DataFrame:
         state.update(entry)
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
-        out = pd.DataFrame([(*key, *entry, outcome)], columns=[c.split()[0] for c in UPSERT.split(", ")])
-        yield out.astype({"version": "Int64", "placed": "Int64"})
+        yield _one(UPSERT, (*key, *entry, outcome))
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
     return changes.groupBy("path").applyInPandasWithState(update, UPSERT, _UPSERT_STATE, "update", timeout)
@@ -76,11 +87,10 @@ def watch_stream(stamps: DataFrame) -> DataFrame:
 
     def update(key, batches, state: GroupState):
         seen, before = (True, state.get[0]) if state.exists else (False, None)
-        rows = _in_order(batches, ["version"])
-        now = rows.iloc[-1].stamp
-        now = None if pd.isna(now) else now
+        now = _sorted(batches, "version", "stamp")[-1][1]
+        now = now if isinstance(now, str) else None
         state.update((now,))
-        yield pd.DataFrame([(*key, now, "unchanged" if seen and now == before else "changed")], columns=["path", "stamp", "state"])
+        yield _one(WATCH, (*key, now, "unchanged" if seen and now == before else "changed"))
 
     return stamps.groupBy("path").applyInPandasWithState(update, WATCH, "stamp string", "update", GroupStateTimeout.NoTimeout)
 
