@@ -119,3 +119,46 @@ def raw_lines(files: DataFrame) -> DataFrame:
             yield _rows(keys, own, {"line": line.astype(np.int32), "at": starts - ends[own], "raw": raw, "last": tails})
 
     return _mapped(files, run, "line int, at long, raw string, last boolean")
+
+
+def cut_pieces(files: DataFrame, chars: int, unit: str) -> DataFrame:
+    """file_id, piece (from 0), at and size (bytes), units of utf8, utf16 or utf32 before it, and text of the stretches of chars characters of the sources.
+
+    A source of ASCII is one piece, and its text is null.
+    """
+
+    def run(batches):
+        for keys, data, ends in _steps(batches):
+            lead = (data & 0xC0) != 0x80
+            lead[ends[:-1][np.diff(ends) > 0]] = True
+            at = np.flatnonzero(lead)
+            first = np.searchsorted(at, ends)
+            per = np.diff(first)
+            plain = per == np.diff(ends)
+            own = np.repeat(np.arange(len(per)), per)
+            n = np.arange(len(at)) - first[own]
+            cut = ~plain[own] & (n % chars == 0)
+            starts, own, n = at[cut], own[cut], n[cut]
+            stops = ends[own + 1]
+            inner = own[:-1] == own[1:]
+            stops[:-1][inner] = starts[1:][inner]
+            if unit == "utf8":
+                units = starts - ends[own]
+            elif unit == "utf16":
+                pairs = np.flatnonzero(data >= 0xF0)
+                units = n + np.searchsorted(pairs, starts) - np.searchsorted(pairs, ends)[own]
+            else:
+                units = n
+            offsets = np.zeros(len(own) + 1, np.int32)
+            np.cumsum(stops - starts, out=offsets[1:])
+            held = np.ascontiguousarray(data[np.repeat(~plain, np.diff(ends))])
+            text = pa.StringArray.from_buffers(len(own), pa.py_buffer(offsets), pa.py_buffer(held))
+            whole = np.flatnonzero(plain)
+            none = np.zeros(len(whole), np.int64)
+            both = lambda a, b: np.concatenate([a, b])
+            yield _rows(keys, both(whole, own), {
+                "piece": both(none, n // chars).astype(np.int32), "at": both(none, starts - ends[own]), "units": both(none, units).astype(np.int32),
+                "size": both(np.diff(ends)[whole], stops - starts).astype(np.int32), "text": pa.concat_arrays([pa.nulls(len(whole), pa.string()), text]),
+            })
+
+    return _mapped(files, run, "piece int, at long, units int, size int, text string")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BOM
-from .batches import raw_lines
+from .batches import cut_pieces, raw_lines
 
 
 def split_lines(files: DataFrame, file: str = "file_id", source: str = "source") -> DataFrame:
@@ -63,13 +63,9 @@ def _pieces(lines: DataFrame, unit: str) -> DataFrame:
     A line of ASCII is one piece whatever its length, and its text is null: bytes count
     its units.  Others are cut, so that an offset carries and reads PIECE characters.
     """
-    plain = F.octet_length("text") == F.char_length("text")
-    cut = F.when(plain, F.array(F.lit(None).cast("string"))).otherwise(F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % PIECE), F.lit(0)))
-    rows = lines.select("file_id", "line", "start", F.when(plain, F.octet_length("text")).alias("_whole"), F.posexplode(cut).alias("piece", "text"))
-    rows = rows.withColumns({"size": F.coalesce("_whole", F.octet_length("text")), "_units": F.coalesce(_units(F.col("text"), unit), F.lit(0))})
-    before = Window.partitionBy("file_id", "line").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    back = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    return rows.select("file_id", "line", "piece", (F.col("start") + back("size")).alias("at"), back("_units").cast("int").alias("units"), "size", "text")
+    key = F.struct("file_id", "line", "start").alias("file_id")
+    rows = cut_pieces(lines.select(key, F.col("text").alias("source")), PIECE, unit)
+    return rows.select("file_id.file_id", "file_id.line", "piece", (F.col("file_id.start") + F.col("at")).alias("at"), "units", "size", "text")
 
 
 def locate(offsets: DataFrame, lines: DataFrame, unit: str = "utf32", offset: str = "offset") -> DataFrame:

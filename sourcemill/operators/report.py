@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -16,17 +17,31 @@ from .lint import order_tally, severity_as, tally
 from .lines import locate
 
 
-def positioned(findings: DataFrame, lines: DataFrame) -> DataFrame:
-    """findings(finding_id, file_id, offset, length, ...) with row, column, end_row and end_column from 1 in code points, and the text of the first line."""
-    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("offset")), F.struct(F.lit(1).alias("side"), (F.col("offset") + F.col("length")).alias("offset")))
-    points = findings.select("file_id", "finding_id", F.inline(ends))
-    place = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c) + 1))
-    found = locate(points, lines).groupBy("finding_id").agg(
-        place("line", 0).alias("row"), place("column", 0).alias("column"), place("line", 1).alias("end_row"), place("column", 1).alias("end_column")
-    )
-    out = findings.join(found.withColumn("_line", F.col("row") - 1), "finding_id")
-    text = lines.select("file_id", F.col("line").alias("_line"), F.col("text").alias("line_text"))
-    return out.join(text, ["file_id", "_line"], "left").drop("_line")
+def _spanned(rows: DataFrame, lines: DataFrame, *key: str) -> DataFrame:
+    """rows(file_id, offset, length, ...) with row, column, end_row and end_column from 1 in code points; key tells the rows of a file apart.
+
+    Both ends are located at once. The start carries its row along, so that rows meet their ends in the
+    partition of their file: nothing is joined back.
+    """
+    held = F.struct(*[c for c in rows.columns if c not in ("file_id", *key)])
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("offset").alias("at"), held.alias("held")), F.struct(F.lit(1).alias("side"), (F.col("offset") + F.col("length")).alias("at"), F.lit(None).alias("held")))
+    points = rows.dropna(subset=list(key)).select("file_id", *key, F.inline(ends))
+    own = Window.partitionBy("file_id", *key)
+    place = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c) + 1)).over(own)
+    found = locate(points, lines, offset="at").withColumns({"row": place("line", 0), "column": place("column", 0), "end_row": place("line", 1), "end_column": place("column", 1)})
+    return found.where("side = 0").select(*(c if c in ("file_id", *key) else F.col(f"held.{c}").alias(c) for c in rows.columns), "row", "column", "end_row", "end_column")
+
+
+def positioned(findings: DataFrame, lines: DataFrame, text: bool = True) -> DataFrame:
+    """findings(finding_id, file_id, offset, length, ...) with row, column, end_row and end_column from 1 in code points, and the text of the first line as line_text.
+
+    Only render_full and the format gitlab read line_text; without ``text`` it is left out, and the lines are not joined for it.
+    """
+    out = _spanned(findings, lines, "finding_id")
+    if not text:
+        return out
+    held = lines.select("file_id", (F.col("line") + 1).alias("row"), F.col("text").alias("line_text"))
+    return out.join(held, ["file_id", "row"], "left").select(*out.columns, "line_text")
 
 
 # The schema that SARIF documents name, and what reports say of the tool that made them.
@@ -88,13 +103,14 @@ def render(findings: DataFrame, format_: str, tool: dict = TOOL) -> DataFrame:
 
     findings as positioned() gives them, with path, rule, severity, message, applicability
     and arrival; related (see with_related_places) and suggestions (see with_suggestions)
-    are empty where they are missing.  Formats: concise, github, azure, pylint, json,
+    are empty where they are missing, an index stays.  Formats: concise, github, azure, pylint, json,
     json_lines, gitlab, rdjson, sarif.  Nothing is sorted here: write_report does that.
     """
     for name in ("related", "suggestions"):
         if name not in findings.columns:
             findings = findings.withColumn(name, F.array().cast("array<string>"))
-    return findings.select("path", "offset", "code", "arrival", _line(format_, tool).alias("text"))
+    index = ["index"] if "index" in findings.columns else []
+    return findings.select("path", "offset", "code", "arrival", *index, _line(format_, tool).alias("text"))
 
 
 def with_related_places(findings: DataFrame, related: DataFrame) -> DataFrame:
@@ -107,10 +123,10 @@ def with_related_places(findings: DataFrame, related: DataFrame) -> DataFrame:
 
 def with_suggestions(findings: DataFrame, edits: DataFrame, lines: DataFrame) -> DataFrame:
     """findings with ``suggestions``: the edits(finding_id, file_id, ordinal, offset, length, replacement) of their fixes as ranges and texts, in order."""
-    spot = lambda at: locate(edits.select("finding_id", "file_id", "ordinal", at.alias("offset")), lines).select("finding_id", "ordinal", F.struct((F.col("column") + 1).alias("column"), (F.col("line") + 1).alias("line")).alias("at"))
-    key = ["finding_id", "ordinal"]
-    places = edits.select(*key, "replacement").join(spot(F.col("offset")).withColumnRenamed("at", "start"), key).join(spot(F.col("offset") + F.col("length")).withColumnRenamed("at", "end"), key)
-    n = places.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(F.struct("end", "start").alias("range"), F.col("replacement").alias("text")).alias("s")))).alias("_s"))
+    placed = _spanned(edits.select("file_id", "finding_id", "ordinal", "offset", "length", "replacement"), lines, "finding_id", "ordinal")
+    spot = lambda r, c: F.struct(F.col(c).alias("column"), F.col(r).alias("line"))
+    range_ = F.struct(spot("end_row", "end_column").alias("end"), spot("row", "column").alias("start"))
+    n = placed.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(range_.alias("range"), F.col("replacement").alias("text")).alias("s")))).alias("_s"))
     none = F.array().cast("array<struct<range:struct<end:struct<column:int,line:int>,start:struct<column:int,line:int>>,text:string>>")
     return findings.join(n, "finding_id", "left").withColumn("suggestions", F.coalesce(F.transform("_s", lambda x: x["s"]), none)).drop("_s")
 
@@ -123,7 +139,24 @@ def document(rendered: DataFrame, format_: str, rules: DataFrame | None = None,
     report, so that all but the first can begin with a comma and no task sees them all;
     ordered by index and joined by line ends they are the document.
     """
-    spark = rendered.sparkSession
+    return _framed(_in_order(rendered), format_, rules, tool)
+
+
+def documents(findings: DataFrame, formats: tuple[str, ...], rules: DataFrame | None = None, tool: dict = TOOL) -> DataFrame:
+    """format, index and text: document() of the findings in each of the formats. The findings are made and numbered once for all of them."""
+    rows = _in_order(findings)
+    out = [_framed(render(rows, f, tool), f, rules, tool).select(F.lit(f).alias("format"), "index", "text") for f in formats]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """rows with index, their number from 0 in the order of a report."""
+    return numbered(rows.withColumn("_path", order_key(F.col("path"))), "_path", "offset", "code", "arrival").drop("_path")
+
+
+def _framed(rows: DataFrame, format_: str, rules: DataFrame | None, tool: dict) -> DataFrame:
+    """The lines of document() of rows(index, text)."""
+    spark = rows.sparkSession
     if format_ == "json":
         head, tail = "[", "]"
     elif format_ == "rdjson":
@@ -132,7 +165,6 @@ def document(rendered: DataFrame, format_: str, rules: DataFrame | None = None,
         head, tail = f'{{"$schema":{json.dumps(SARIF_SCHEMA)},"runs":[{{"results":[', None
     else:
         raise ValueError(f"{format_} is no format of one document")
-    rows = numbered(rendered.withColumn("_path", order_key(F.col("path"))), "_path", "offset", "code", "arrival").drop("_path")
     body = rows.select("index", F.concat(F.when(F.col("index") == 0, "").otherwise(","), F.col("text")).alias("text"))
     ends = spark.createDataFrame([(-1, head)] + ([(LAST, tail)] if tail else []), "index long, text string")
     if tail is None:

@@ -9,7 +9,7 @@ from functools import reduce
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -271,15 +271,16 @@ def deepest_root(files: DataFrame, roots: DataFrame, path: str = "path") -> Data
 def numbered(df: DataFrame, *keys: str, name: str = "index") -> DataFrame:
     """df with a running number from 0 in the order of keys, without one task that sees all rows.
 
-    Rows are range-partitioned and counted by partition; a row's number is its place in
+    Rows are range-partitioned, sorted and counted by partition; a row's number is its place in
     its partition after the counts of the partitions before.
     """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = checkpointed(df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
-    counts = parts.groupBy("_part").count()
+    # The id holds the partition above its lower 33 bits, and below them the place in it.
+    parts = checkpointed(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = parts.groupBy(part.alias("_part")).count()
     before = counts.alias("a").join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("_before"))
-    return parts.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + place).drop("_part", "_before")  # one row for each partition
+    return parts.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + place).drop("_part", "_before", "_id")  # one row for each partition
 
 
 def sample_stride(df: DataFrame, n: int, key: str = "path") -> DataFrame:

@@ -1,5 +1,6 @@
 """What larger tables showed: equal rows, long texts, many rows of one name."""
 
+import json
 import random
 import re
 import time
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sourcemill.functions import text
 from sourcemill.jobs import adapters as a
-from sourcemill.operators import compare, diff, lines, lint, names, spans
+from sourcemill.operators import compare, diff, lines, lint, names, report, spans
 from sourcemill.streaming import changes
 
 
@@ -117,3 +118,38 @@ def test_groups_of_streams_are_cheap():
     for _ in range(1000):
         changes._sorted(parts, "version", "stamp")
     assert time.perf_counter() - t < 0.5
+
+
+def test_pieces_of_lines_are_narrow(spark):
+    rows = [(1, 0, 0, "a" * 200), (1, 1, 201, ("é" * 63 + "😀") * 3), (2, 0, 5, ""), (2, 1, 6, None), (None, 0, 0, "é"), (3, 0, 0, "b😀" * 40 + "c")]
+    df = spark.createDataFrame(rows, "file_id int, line int, start long, text string").repartition(1)
+    for unit, code in (("utf8", "utf-8"), ("utf16", "utf-16-be"), ("utf32", "utf-32-be")):
+        found = lines._pieces(df, unit)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Sort" not in plan
+        want, width = set(), {"utf8": 1, "utf16": 2, "utf32": 4}[unit]
+        for i, line, start, t in rows:
+            if t is not None and t.isascii():
+                want.add((i, line, 0, start, 0, len(t), None))
+            elif t is not None:
+                for k in range(0, len(t), lines.PIECE):
+                    part = t[k : k + lines.PIECE]
+                    want.add((i, line, k // lines.PIECE, start + len(t[:k].encode()), len(t[:k].encode(code)) // width, len(part.encode()), part))
+        assert {tuple(r) for r in found.collect()} == want
+
+
+def test_findings_of_documents_are_made_once(spark):
+    """Both formats and the fixes read one table of placed findings: the sources are not found in the plan of the documents."""
+    files = spark.createDataFrame([(1, "p/a", "é x\nyy z\n"), (2, "p", "q")], "file_id int, path string, source string")
+    own = lines.explode_lines(files)
+    f = spark.createDataFrame([(1, 10, 3, 4), (1, 11, 0, 2), (2, 12, 0, 1), (1, 13, 3, 0)], "file_id int, finding_id int, offset long, length long").join(files.select("file_id", "path"), "file_id")
+    f = f.withColumns({"code": F.lit("C"), "arrival": F.col("finding_id").cast("long"), "rule": F.lit("r"), "severity": F.lit("error"), "message": F.lit("m"), "applicability": F.lit("safe")})
+    placed = report.positioned(f, own, text=False)
+    assert sorted((r.finding_id, r.row, r.column, r.end_row, r.end_column) for r in placed.collect()) == [(10, 1, 3, 2, 3), (11, 1, 1, 1, 2), (12, 1, 1, 1, 2), (13, 1, 3, 1, 3)]
+    edits = placed.select("finding_id", "file_id", F.lit(0).alias("ordinal"), "offset", "length", F.lit("X").alias("replacement"))
+    found = report.documents(report.with_suggestions(placed, edits, own), ("rdjson", "sarif"))
+    rows = {(r["format"], r["index"]): r["text"] for r in found.collect()}
+    assert len(rows) == 12 and "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    fix = json.loads(rows["rdjson", 2].lstrip(","))
+    assert fix["location"] == {"path": "p/a", "range": {"start": {"line": 1, "column": 3}, "end": {"line": 2, "column": 3}}}
+    assert fix["suggestions"] == [{"range": fix["location"]["range"], "text": "X"}]
