@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.session import Grown
+
 STAMP = ("mode", "seconds", "nanos", "size")
 
 
@@ -28,7 +30,7 @@ def expire_snapshot(stamps: DataFrame, now: float, days: int = 30) -> DataFrame:
     return stamps.where(F.col("seen") >= now - days * 86400)
 
 
-def upsert_batch(store: DataFrame, changes: DataFrame) -> DataFrame:
+def upsert_batch(store: DataFrame, changes: DataFrame, partitions: int | None = None) -> DataFrame:
     """The store after a batch of changes.
 
     store: path, content_hash, language, flavor, generation, rebuilds, sequence;
@@ -36,7 +38,11 @@ def upsert_batch(store: DataFrame, changes: DataFrame) -> DataFrame:
     a path the latest version counts.  An entry with equal content, language and flavor
     stays; otherwise generation and rebuilds grow by one; a removal only bumps the
     generation and clears the content; new paths continue the sequence in path order.
+    Paths are dealt to that many partitions (by default, as many as the session says) before
+    their changes are held against the store, and the result is written once for both its uses.
     """
+    n = partitions or max(1, int(store.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    store, changes = store.repartition(n, "path"), changes.repartition(n, "path")
     latest = changes.groupBy("path").agg(F.max_by(F.struct("content_hash", "language", "flavor", "removed"), "version").alias("c"))
     both = store.join(latest, "path", "full")
     fields = ("content_hash", "language", "flavor")
@@ -53,7 +59,8 @@ def upsert_batch(store: DataFrame, changes: DataFrame) -> DataFrame:
     )
     from ..sources.files import numbered
 
+    rows = Grown(store.sparkSession).add(rows)
     kept, fresh = rows.where("sequence is not null"), rows.where("sequence is null").drop("sequence")
-    top = store.agg(F.coalesce(F.max("sequence"), F.lit(-1)).alias("_top"))
-    fresh = numbered(fresh, "path", name="_n").crossJoin(F.broadcast(top))  # one row
+    top = rows.agg(F.coalesce(F.max("sequence"), F.lit(-1)).alias("_top"))
+    fresh = numbered(fresh, "path", name="_n", partitions=n).crossJoin(F.broadcast(top))  # one row
     return kept.unionByName(fresh.withColumn("sequence", F.col("_top") + 1 + F.col("_n")).drop("_top", "_n"))

@@ -27,6 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Tasks that the rows of one split of a table are dealt to.
+SHARE = 8
+
+
+def tasks_for(*tables: DataFrame) -> int:
+    """Partitions to deal the rows of tables to: as many as the session says, and more where they have many splits.
+
+    tables are read from files without a shuffle. The number grows with them, so what one task holds does not.
+    """
+    session = max(1, int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(session, SHARE * sum(t.rdd.getNumPartitions() for t in tables))
+
+
 _SCRATCH: dict[str, str] = {}
 
 

@@ -268,13 +268,14 @@ def deepest_root(files: DataFrame, roots: DataFrame, path: str = "path") -> Data
     return own.distinct().join(best.select("path", "r.root", "r.ordinal"), "path", "left")
 
 
-def numbered(df: DataFrame, *keys: str, name: str = "index") -> DataFrame:
+def numbered(df: DataFrame, *keys: str, name: str = "index", partitions: int | None = None) -> DataFrame:
     """df with a running number from 0 in the order of keys, without one task that sees all rows.
 
     Rows are range-partitioned, sorted and counted by partition; a row's number is its place in
-    its partition after the counts of the partitions before.
+    its partition after the counts of the partitions before.  Without partitions there are as many
+    as the session says.
     """
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = partitions or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # The id holds the partition above its lower 33 bits, and below them the place in it.
     parts = checkpointed(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()))
     part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))

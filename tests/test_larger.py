@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from sourcemill.functions import text
 from sourcemill.jobs import adapters as a
+from sourcemill.jobs import incremental
 from sourcemill.operators import compare, diff, lines, lint, names, report, spans
+from sourcemill.operators.session import SHARE, tasks_for
+from sourcemill.sources import files as sources
 from sourcemill.streaming import changes
 
 
@@ -153,3 +156,29 @@ def test_findings_of_documents_are_made_once(spark):
     fix = json.loads(rows["rdjson", 2].lstrip(","))
     assert fix["location"] == {"path": "p/a", "range": {"start": {"line": 1, "column": 3}, "end": {"line": 2, "column": 3}}}
     assert fix["suggestions"] == [{"range": fix["location"]["range"], "text": "X"}]
+
+
+def test_paths_of_a_batch_are_dealt_to_tasks_by_input(spark, tmp_path):
+    """A table of more splits is dealt to more tasks; the store and its changes meet there once."""
+    spark.range(0, 9000, 1, 9).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    assert tasks_for(t, t) == max(4, SHARE * 2 * t.rdd.getNumPartitions()) > 4
+    ids = spark.range(400)
+    store = ids.where("id < 300").select(F.concat(F.lit("p"), "id").alias("path"), F.lit("h").alias("content_hash"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("flavor"), F.lit(1).alias("generation"), F.lit(0).alias("rebuilds"), F.col("id").alias("sequence"))
+    new = ids.where("id >= 200").select(F.concat(F.lit("p"), "id").alias("path"), F.explode(F.array(F.lit(1), F.lit(2))).alias("version"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("flavor"), (F.col("id") % 10 == 0).alias("removed"))
+    new = new.withColumn("content_hash", F.concat(F.lit("v"), "version"))
+    found = incremental.upsert_batch(store, new, 40)
+    assert 20 < len(found.inputFiles()) <= 40 + 40
+    want = {f"p{i}": ("h", 1, 0, i) for i in range(200)} | {f"p{i}": (None, 2, 0, i) if i % 10 == 0 else ("v2", 2, 1, i) for i in range(200, 300)}
+    want |= {p: ("v2", 1, 0, 300 + k) for k, p in enumerate(sorted(f"p{i}" for i in range(300, 400) if i % 10))}
+    assert {r.path: (r.content_hash, r.generation, r.rebuilds, r.sequence) for r in found.collect()} == want
+
+
+def test_numbers_come_from_the_sorted_partition(spark):
+    """A window over partition numbers would shuffle once more, and put several partitions into one task."""
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("k"), F.when(F.col("id") % 11 == 0, None).otherwise(F.col("id")).alias("v"))
+    found = sources.numbered(df, "k", partitions=13)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.where("index <> k").count() == 0 and found.count() == 5000
+    empty = sources.numbered(df.where("k < 0"), "k")
+    assert empty.count() == 0 and empty.columns == ["k", "v", "index"]
