@@ -65,10 +65,18 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("file_id", F.col("idx").alias("ref"), F.lit(0).alias("scope"), F.concat(F.lit("n"), F.col("k") % 10).alias("name"), F.col("idx").alias("offset"), F.when(F.col("k") % 3 == 0, "store").otherwise("load").alias("context"))
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """l_orderkey, l_linenumber and l_partkey of lineitem, each once, dealt by order to tasks whose number grows with the table."""
+    from ..operators.session import tasks_for
+
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return li.repartition(tasks_for(li), "l_orderkey").distinct()
+
+
 def next_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst: each part and the part of the line after its first line, in order of order and line; null at the end of an order."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct().withColumn("dst", F.lead("l_partkey").over(order))
+    li = order_lines(spark, sf_dir).withColumn("dst", F.lead("l_partkey").over(order))
     first = li.groupBy(F.col("l_partkey").alias("src")).agg(F.min_by("dst", F.struct("l_orderkey", "l_linenumber")).alias("dst"))
     return first
 

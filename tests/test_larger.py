@@ -4,6 +4,7 @@ import json
 import random
 import re
 import time
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from sourcemill.functions import text
 from sourcemill.jobs import adapters as a
 from sourcemill.jobs import incremental
+from sourcemill.jobs import queries as library
 from sourcemill.operators import compare, diff, lines, lint, names, report, spans
 from sourcemill.operators.session import SHARE, tasks_for
 from sourcemill.sources import files as sources
@@ -182,3 +184,18 @@ def test_numbers_come_from_the_sorted_partition(spark):
     assert found.where("index <> k").count() == 0 and found.count() == 5000
     empty = sources.numbered(df.where("k < 0"), "k")
     assert empty.count() == 0 and empty.columns == ["k", "v", "index"]
+
+
+def test_lines_of_orders_are_dealt_once_by_input(spark, tmp_path):
+    """Each line and part once, and parameters counted, in tasks that hold the same share of a larger table."""
+    rows = spark.range(0, 3000, 1, 9).select((F.col("id") % 500).alias("l_orderkey"), (F.col("id") % 4).cast("int").alias("l_linenumber"), (F.col("id") % 750).alias("l_partkey"))
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    n = tasks_for(spark.read.parquet(str(tmp_path / "lineitem.parquet")))
+    own = a.order_lines(spark, str(tmp_path))
+    assert n > 4 and own.rdd.getNumPartitions() == n
+    found = library.d17_duplicate_parameters(spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    held = {(i % 500, i % 4, i % 750) for i in range(3000)}
+    assert {tuple(r) for r in own.collect()} == held
+    count = Counter((o, line, str(part % 7)) for o, line, part in held)
+    assert {tuple(r) for r in found.collect()} == {(*k, c) for k, c in count.items() if c > 1}
