@@ -138,7 +138,7 @@ def line_diff(pairs: DataFrame, exact: bool = False, context: int = 3) -> DataFr
 
 def drift(pairs: DataFrame) -> DataFrame:
     """path, same, added and removed: how many lines, as a multiset, each text gained and lost.  Built-in functions alone."""
-    lines = lambda c, s: pairs.select("path", F.explode(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), "\n$", ""), "\n")).alias("line"), F.lit(s).alias("d"))
+    lines = lambda c, s: pairs.select("path", F.explode(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"\n\z", ""), "\n")).alias("line"), F.lit(s).alias("d"))
     n = lines("before", -1).unionByName(lines("after", 1)).groupBy("path", "line").agg(F.sum("d").alias("d"))
     return n.groupBy("path").agg(
         (F.max(F.abs("d")) == 0).alias("same"), F.sum(F.greatest("d", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("removed")

@@ -6,6 +6,7 @@ import re
 import time
 from collections import Counter
 
+import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -36,6 +37,21 @@ def test_long_middles_are_whole(spark):
     assert got == {"a": (667, 1, 1333), "b": (2, 1, 1199)}
 
 
+def test_versions_of_odd_texts_like_their_sql(spark, tmp_path):
+    """Texts without a letter, with blank lines at their ends, without a text, and, for the diff, two of one path."""
+    texts = ["", "\n", "a\n", "a\n\n", "the\n", "a the\nb", "= end =\nthe", "x\r\n", "a\n\r\n", None, "the"]
+    rows = [(i, t, "en", "src1") for i, t in enumerate(texts)]
+    for name, twice in (("g4_line_diff", [(2, "c\nthe", "en", "src1"), (20, "n", None, "src1"), (21, "the", None, "src1")]), ("g5_drift", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(rows + twice, "doc_id long, text string, lang string, source string").write.parquet(str(folder / "documents.parquet"))
+        c = duckdb.connect()
+        c.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+        want = c.execute(library.ORACLES[name])
+        columns = [d[0] for d in want.description]
+        got = library.QUERIES[name](spark, str(folder)).select(*columns).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
+
+
 def test_halved_middles_have_as_much_in_common(monkeypatch):
     r = random.Random(7)
     texts = [([str(r.randrange(k)) for _ in range(r.randrange(50))], [str(r.randrange(k)) for _ in range(r.randrange(50))]) for k in (2, 3, 9) for _ in range(60)]
