@@ -53,6 +53,12 @@ def _prefix16(text: Column, n: Column) -> Column:
     return F.decode(F.substring(whole, F.lit(1), F.when(half, 2 * n - 2).otherwise(2 * n)), "UTF-16BE")
 
 
+def column_at(text: Column, start: Column, offset: Column, unit: str = "utf32") -> Column:
+    """The column of an offset in the line that has the text and start: 0 before it, and that of its end beyond it."""
+    inside = F.greatest(F.lit(0), F.least(offset - start, F.octet_length(text))).cast("int")
+    return F.when(F.octet_length(text) == F.char_length(text), inside).otherwise(_units(_prefix(text, inside), unit))
+
+
 #: Characters of the pieces that lines beyond ASCII are looked up in.
 PIECE = 64
 
